@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import langid, packing, quality, sharding
-from .common import read
+from . import bpe, fingerprints, huffman, langid, packing, quality, sharding
+from .common import read, stash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,10 +28,25 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.accepted(read(ship(spark), sf_dir, "documents"))
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint, its equals, and the maximal spans it shares with benchmark items."""
+    return fingerprints.fingerprint(read(ship(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read(ship(spark), sf_dir, "documents"))
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document as Huffman bits with checkpoints."""
+    ids = stash(bpe.encode_rows(read(ship(spark), sf_dir, "documents")), "token-ids")
+    return huffman.compress(ids, huffman.build_book(ids))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(ship(spark), sf_dir, "documents"), CAPACITY)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op4_language_id, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_document_fingerprints, op4_language_id, op6_byte_level_bpe, op9_token_output, op10_best_fit_packing)}
 
 SQL: dict[str, str] = {"op2_quality_rules": quality.oracle(), "op4_language_id": langid.oracle()}
