@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import bpe, fingerprints, huffman, langid, packing, quality, sharding
+from . import bpe, fingerprints, html_extract, huffman, langid, licenses, packing, quality, sharding
 from .common import read, stash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,14 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(ship(spark), sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(ship(spark), sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(ship(spark), sf_dir, "pages"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document as Huffman bits with checkpoints."""
     ids = stash(bpe.encode_rows(read(ship(spark), sf_dir, "documents")), "token-ids")
@@ -47,6 +55,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(ship(spark), sf_dir, "documents"), CAPACITY)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_document_fingerprints, op4_language_id, op6_byte_level_bpe, op9_token_output, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_document_fingerprints, op4_language_id, op6_byte_level_bpe, op7_license_scan, op8_html_extraction, op9_token_output, op10_best_fit_packing)}
 
 SQL: dict[str, str] = {"op2_quality_rules": quality.oracle(), "op4_language_id": langid.oracle()}
