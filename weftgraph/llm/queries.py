@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import bpe, fingerprints, html_extract, huffman, langid, licenses, packing, quality, sharding
+from . import bpe, fingerprints, html_extract, huffman, jaccard, langid, licenses, packing, quality, sharding
 from .common import read, stash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(read(ship(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(ship(spark), sf_dir, "documents"))
+
+
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(ship(spark), sf_dir, "documents"))
 
@@ -55,6 +59,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(ship(spark), sf_dir, "documents"), CAPACITY)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_document_fingerprints, op4_language_id, op6_byte_level_bpe, op7_license_scan, op8_html_extraction, op9_token_output, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_document_fingerprints, op4_language_id, op5_ngram_jaccard_join, op6_byte_level_bpe, op7_license_scan, op8_html_extraction, op9_token_output, op10_best_fit_packing)}
 
-SQL: dict[str, str] = {"op2_quality_rules": quality.oracle(), "op4_language_id": langid.oracle()}
+SQL: dict[str, str] = {"op2_quality_rules": quality.oracle(), "op4_language_id": langid.oracle(), "op5_ngram_jaccard_join": jaccard.oracle()}
