@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import langid, packing, quality
+from weftgraph.llm import jaccard, langid, packing, quality
 from weftgraph.llm.common import read, stash
 from weftgraph.llm.queries import CAPACITY
 from weftgraph.session import ship
@@ -24,6 +24,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return langid.accepted(docs).select(docs.columns)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that similar n-gram sets link, that of smallest id; the rest go."""
+    return jaccard.keep_one(docs).select(docs.columns)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The bins of all documents kept so far."""
     return packing.pack(docs, CAPACITY)
@@ -32,6 +37,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality rules", quality_stage),
     ("language ID", language_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
     ("best-fit packing", packing_stage),
 ]
 

@@ -252,7 +252,7 @@ def index_entries(tokens: np.ndarray, dfs: np.ndarray, size: int, unshared: int,
     rare = int(np.searchsorted(dfs, rare_df, side="right"))
     out = []
     for k in classes:
-        salt = np.uint64(k + 1) * _MIX
+        salt = np.uint64((k + 1) * int(_MIX) & 0xFFFFFFFFFFFFFFFF)
         singles = tokens[: min(rare, need)]
         out.append(mix(singles ^ salt))
         left = need - len(singles)
