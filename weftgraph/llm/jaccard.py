@@ -10,7 +10,8 @@ A document is the set of its word n-grams, hashed. The steps, each linear in the
    ``rare_df``) are indexed alone, frequent ones in pairs within hashed subclasses. A pair of sets that lose at
    most ``e`` tokens lacks a common entry only if each subclass keeps at most one common token, so the
    prefix is extended until rare tokens plus, for each subclass, frequent tokens less one, exceed ``e``.
-4. Sets that share an entry are candidates and are verified by their shared tokens.
+4. Sets that share an entry, each within the prefix that the pair's sizes call for, are candidates. They are verified by
+   their shared tokens, a group of candidates in one place.
 
 Subclasses number with the sets' size, so that the pairs stay in proportion to the prefix; sets near the end of
 a size class index in the next one too. The result is exact up to hash collisions, whose chance for a token
@@ -242,19 +243,23 @@ def subclasses(g: int) -> int:
     return max(1, (1 << g) // 5 if g >= 4 else 1)
 
 
-def index_entries(tokens: np.ndarray, dfs: np.ndarray, size: int, unshared: int, threshold: float, rare_df: int) -> np.ndarray:
-    """The hashed entries of one set: its rare tokens and pairs of frequent ones in the extended prefix."""
+def index_entries(tokens: np.ndarray, dfs: np.ndarray, size: int, unshared: int, threshold: float, rare_df: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed entries of one set, its rare tokens and pairs of frequent ones in the extended prefix, and each one's slack.
+
+    The slack is how many tokens a set must be allowed to lose for the entry to lie within its prefix.
+    """
     need = size - math.ceil(threshold * size - 1e-9) + 1 - unshared
     if size < 2 or need < 1:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int32)
     g = size.bit_length() - 1
     classes = [g, g + 1] if math.floor(size / threshold + 1e-9) >> (g + 1) else [g]
     rare = int(np.searchsorted(dfs, rare_df, side="right"))
-    out = []
+    out, slack = [], []
     for k in classes:
         salt = np.uint64((k + 1) * int(_MIX) & 0xFFFFFFFFFFFFFFFF)
         singles = tokens[: min(rare, need)]
         out.append(mix(singles ^ salt))
+        slack.append(np.arange(len(singles)) + unshared)
         left = need - len(singles)
         if left <= 0:
             continue
@@ -265,71 +270,184 @@ def index_entries(tokens: np.ndarray, dfs: np.ndarray, size: int, unshared: int,
         first[order[np.flatnonzero(np.concatenate(([True], np.diff(sub[order]) != 0)))]] = len(often) > 0
         gained = np.cumsum(~first)
         cut = int(np.searchsorted(gained, left)) + 1
-        often, sub = often[:cut], sub[:cut]
+        level = rare + unshared + np.concatenate(([0], gained))[: len(often)]
+        often, sub, level = often[:cut], sub[:cut], level[:cut]
         order = np.argsort(sub, kind="stable")
-        often, sub = often[order], sub[order]
+        often, sub, level = often[order], sub[order], level[order]
         for gap in range(1, len(often)):
-            pair = sub[gap:] == sub[:-gap]
-            if not pair.any():
+            pair = np.flatnonzero(sub[gap:] == sub[:-gap])
+            if not len(pair):
                 break
-            x, y = often[:-gap][pair], often[gap:][pair]
+            x, y = often[pair], often[pair + gap]
             out.append(mix(mix(np.minimum(x, y) ^ salt) + np.maximum(x, y) * _MIX))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+            slack.append(np.maximum(level[pair], level[pair + gap]))
+    return np.concatenate(out), np.concatenate(slack).astype(np.int32)
 
 
 def _index(threshold: float, rare_df: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs, recs, sizes = [], [], []
+            cols: list[list[np.ndarray]] = [[], [], [], []]
             for rec, size, unshared, tokens, dfs in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), b.column(4)):
-                e = index_entries(tokens.values.to_numpy().view(np.uint64), dfs.values.to_numpy(), size, unshared, threshold, rare_df)
-                sigs.append(e.view(np.int64))
-                recs.append(np.full(len(e), rec, np.int64))
-                sizes.append(np.full(len(e), size, np.int32))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, recs, sizes)], ["sig", "rec", "size"])
+                e, slack = index_entries(tokens.values.to_numpy().view(np.uint64), dfs.values.to_numpy(), size, unshared, threshold, rare_df)
+                for c, x in zip(cols, (e.view(np.int64), np.full(len(e), rec, np.int64), np.full(len(e), size, np.int32), slack)):
+                    c.append(x)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["sig", "rec", "size", "slack"])
 
     return run
 
 
-_PAIR_ROWS = 1 << 18
+_RUN_ROWS, _PAIR_ROWS = 1 << 19, 1 << 22
 
 
 def _pairs(threshold: float):
-    """Runs of equal entries, by size within them, to candidate pairs whose sizes allow a match."""
+    """Runs of equal entries, by size within them, to candidate pairs.
+
+    Two sets must share ``ceil(t / (1 + t) (|x| + |y|))`` tokens; an entry counts for the pair only if it lies in both
+    prefixes for the losses that this leaves. Pairs come once for each ``_PAIR_ROWS`` found.
+    """
+    share = threshold / (1 + threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(sig: np.ndarray, rec: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-            n = len(sig)
-            last = np.searchsorted(sig, sig, side="right") if n else sig  # runs are sorted by entry
-            out_a, out_b, held, gap = [], [], 0, 1
-            alive = np.arange(n)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def told() -> pa.RecordBatch:
+            nonlocal found, held
+            a, b = (np.concatenate(x) for x in zip(*found))
+            recs, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+            keys = np.unique(at[: len(a)] << 32 | at[len(a) :])
+            found, held = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(recs[keys >> 32]), pa.array(recs[keys & 0xFFFFFFFF])], ["a", "b"])
+
+        def made(sig: np.ndarray, rec: np.ndarray, size: np.ndarray, slack: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            last = np.searchsorted(sig, sig, side="right")  # runs are sorted by entry
+            gap, alive = 1, np.arange(len(sig))
             while len(alive):
                 alive = alive[alive + gap < last[alive]]
                 alive = alive[size[alive] >= threshold * size[alive + gap] - 1e-9]
-                if len(alive):
-                    out_a.append(np.minimum(rec[alive], rec[alive + gap]))
-                    out_b.append(np.maximum(rec[alive], rec[alive + gap]))
-                    held += len(alive)
+                i, j = alive, alive + gap
+                shared = np.ceil(share * (size[i].astype(np.int64) + size[j]) - 1e-9)
+                ok = (size[i] - shared >= slack[i]) & (size[j] - shared >= slack[j]) & (rec[i] != rec[j])
+                if ok.any():
+                    x, y = rec[i[ok]], rec[j[ok]]
+                    found.append((np.minimum(x, y), np.maximum(x, y)))
+                    held += len(x)
+                    if held > _PAIR_ROWS:
+                        yield told()
                 gap += 1
-                if held > _PAIR_ROWS or (held and not len(alive)):
-                    pairs = np.unique(np.stack((np.concatenate(out_a), np.concatenate(out_b)), axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-                    out_a, out_b, held = [], [], 0
 
-        rest: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        parts: list[pa.RecordBatch] = []
+        rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)]
+
+        def joined() -> list[np.ndarray]:
+            return [np.concatenate((r, *(p.column(k).to_numpy() for p in parts))) for k, r in enumerate(rest)]
+
         for b in batches:
-            now = [np.concatenate((r, b.column(k).to_numpy())) for k, r in enumerate(rest)]
-            if not len(now[0]):
-                continue
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last run may go on
-            yield from made(*(x[:cut] for x in now))
-            rest = [x[cut:] for x in now]
-        yield from made(*rest)
+            parts.append(b)
+            if sum(p.num_rows for p in parts) >= _RUN_ROWS:
+                now = joined()
+                cut = int(np.searchsorted(now[0], now[0][-1]))  # the last run may go on
+                yield from made(*(x[:cut] for x in now))
+                rest, parts = [x[cut:] for x in now], []
+        yield from made(*joined())
+        if found:
+            yield told()
 
     return run
 
 
+#: Tokens of one group of candidates that are brought together; larger groups are split and their parts paired.
+UNIT_TOKENS = 1 << 20
+
+
+def _verify(threshold: float):
+    """Unit by unit, its sets and then its pairs: the pairs whose shared tokens suffice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = None
+        sets: list[tuple[int, int, np.ndarray]] = []
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def done() -> pa.RecordBatch | None:
+            if not pairs:
+                return None
+            recs = np.array([r for r, _, _ in sets])
+            order = np.argsort(recs)
+            recs, held = recs[order], [sets[k] for k in order]
+            sizes = np.array([z for _, z, _ in held], dtype=np.int64)
+            ends = np.cumsum([len(t) for _, _, t in held])
+            ids = np.unique(np.concatenate([t for _, _, t in held]), return_inverse=True)[1]
+            tokens = np.split(ids, ends[:-1])
+            a, b = (np.searchsorted(recs, np.concatenate(x)) for x in zip(*pairs))
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            common = np.empty(len(a), dtype=np.int64)
+            mark = np.zeros(int(ids.max()) + 1, dtype=bool)
+            cuts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True])))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                mine = tokens[a[lo]]
+                mark[mine] = True
+                for at in range(lo, hi, 4096):
+                    others = [tokens[k] for k in b[at : min(hi, at + 4096)].tolist()]
+                    starts = np.concatenate(([0], np.cumsum([len(o) for o in others])[:-1])).astype(np.int64)
+                    common[at : at + len(others)] = np.add.reduceat(mark[np.concatenate(others)], starts, dtype=np.int64)
+                mark[mine] = False
+            jaccard = common / (sizes[a] + sizes[b] - common)
+            ok = jaccard >= threshold - 1e-9
+            return pa.RecordBatch.from_arrays([pa.array(recs[a[ok]]), pa.array(recs[b[ok]]), pa.array(jaccard[ok])], ["rep_a", "rep_b", "jaccard"])
+
+        for batch in batches:
+            units = batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], units[1:] != units[:-1], [True]))) if len(units) else [0]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if unit is not None and units[lo] != unit:
+                    if (made := done()) is not None:
+                        yield made
+                    sets, pairs = [], []
+                unit = units[lo]
+                part = batch.slice(lo, hi - lo)
+                n = int((part.column(1).to_numpy() == 0).sum())  # sets come first
+                a, size = part.column(2).to_numpy(), part.column(4).to_pylist()[:n]
+                sets += [(int(r), z, t.values.to_numpy()) for r, z, t in zip(a[:n], size, part.column(5).slice(0, n))]
+                if n < hi - lo:
+                    pairs.append((a[n:], part.column(3).slice(n).to_numpy()))
+        if unit is not None and (made := done()) is not None:
+            yield made
+
+    return run
+
+
+def _where(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """``df`` semi- or anti-joined with ``ids``, which is broadcast up to BROADCAST_IDS rows."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+
+
+def _verified(candidates: DataFrame, sets: DataFrame, threshold: float, buckets: int) -> DataFrame:
+    """The candidate pairs (a, b) of ``sets`` that reach the threshold.
+
+    A set's leader is its smallest candidate partner, or itself. The sets of one leader, in parts of about UNIT_TOKENS, go
+    together, so that the members of a group of near duplicates travel once and not with each of their pairs.
+    """
+    both = candidates.select(F.col("a").alias("rec"), F.col("b").alias("other")).unionByName(candidates.select(F.col("b").alias("rec"), F.col("a").alias("other")))
+    leaders = stash(both.groupBy("rec").agg(F.least(F.min("other"), F.col("rec")).alias("leader")), "leaders")
+    some = _where(sets, leaders.select("rec"), "rec", "left_semi")
+    led = leaders.join(some.select("rec", "size"), "rec")
+    parts = led.groupBy("leader").agg(F.ceil(F.sum("size") / F.lit(UNIT_TOKENS)).alias("n_parts"))
+    part = F.xxhash64("leader", F.pmod(F.xxhash64("rec"), F.col("n_parts")))
+    placed = stash(led.join(parts, "leader").select("rec", part.alias("part")), "parts")
+    side = lambda x: placed.select(F.col("rec").alias(x), F.col("part").alias(f"part_{x}"))
+    unit = F.xxhash64(F.least("part_a", "part_b"), F.greatest("part_a", "part_b")).alias("unit")
+    units = stash(candidates.join(side("a"), "a").join(side("b"), "b").select(unit, "a", "b"), "units")
+    needed = units.select("unit", F.col("a").alias("rec")).unionByName(units.select("unit", F.col("b").alias("rec"))).distinct()
+    held = needed.join(some.select("rec", "size", "tokens"), "rec").select("unit", F.lit(0).alias("kind"), F.col("rec").alias("a"), F.lit(0).cast("bigint").alias("b"), "size", "tokens")
+    asked = units.select("unit", F.lit(1).alias("kind"), "a", "b", F.lit(0).alias("size"), F.lit(None).cast("array<bigint>").alias("tokens"))
+    ordered = held.unionByName(asked).repartition(buckets, "unit").sortWithinPartitions("unit", "kind")
+    return ordered.mapInArrow(_verify(threshold), "rep_a bigint, rep_b bigint, jaccard double")
+
+
 def similar_sets(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_df: int = RARE_DF, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(members, pairs): the documents of each distinct set that may match, and the pairs of sets that do.
 
@@ -346,18 +464,13 @@ def similar_sets(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_d
     key = ["whole", "size"]
     reps = sets.filter("unshared = 0").groupBy(*key).agg(F.min("rec").alias("rep"))
     equal = sets.filter("unshared = 0").select("rec", "doc_id", *key).join(reps, key)
-    members = equal.select("rep", "doc_id").unionByName(sets.filter("unshared > 0").select(F.col("rec").alias("rep"), "doc_id"))
+    members = equal.select("rec", "rep", "doc_id").unionByName(sets.filter("unshared > 0").select("rec", F.col("rec").alias("rep"), "doc_id"))
     members = stash(members, "set-members")
-    one = sets.join(members.select(F.col("rep").alias("rec")).distinct(), "rec", "left_semi")
-    entries = one.select("rec", "size", "unshared", "tokens", "dfs").mapInArrow(_index(threshold, rare_df), "sig bigint, rec bigint, size int")
+    one = _where(sets, members.filter("rec <> rep").select("rec"), "rec", "left_anti")
+    entries = one.select("rec", "size", "unshared", "tokens", "dfs").mapInArrow(_index(threshold, rare_df), "sig bigint, rec bigint, size int, slack int")
     runs = entries.repartition(buckets, "sig").sortWithinPartitions("sig", "size", "rec")
     candidates = stash(runs.mapInArrow(_pairs(threshold), "a bigint, b bigint").distinct(), "candidates")
-    side = lambda x: one.select(F.col("rec").alias(x), F.col("size").alias(f"size_{x}"), F.col("tokens").alias(f"tokens_{x}"))
-    both = candidates.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    judged = both.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), common.alias("o"), (F.col("size_a") + F.col("size_b")).alias("s"))
-    pairs = judged.select("rep_a", "rep_b", (F.col("o") / (F.col("s") - F.col("o"))).alias("jaccard"))
-    return members, stash(pairs.filter(F.col("jaccard") >= threshold - 1e-9), "set-pairs")
+    return members.select("rep", "doc_id"), stash(_verified(candidates, one, threshold, buckets), "set-pairs")
 
 
 def join(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_df: int = RARE_DF, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
