@@ -1 +1,7 @@
-"""A Spark-native engine for property graphs of source code."""
+"""Code-graph analytics and training-data operators on Spark."""
+
+from .config import Config
+from .engine import BuildReport, Index
+from .graph import CodeGraph
+
+__all__ = ["BuildReport", "CodeGraph", "Config", "Index"]
