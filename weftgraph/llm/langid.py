@@ -17,11 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, tidy
+from .common import col, stash, tidy
 
 TOP = 300
 #: Bound on the labelled documents a language's profile is fitted on, those of smallest md5 of the id.
 TRAIN_DOCS = 400
+#: The chosen ids, ``TRAIN_DOCS`` a language, are broadcast up to this number; beyond, documents are shuffled.
+BROADCAST_IDS = 2_000_000
 #: A document is rejected when its distance is over this share of the largest possible one.
 MAX_DISTANCE = 0.65
 
@@ -76,7 +78,9 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
     known = df.filter(col(text_col).isNotNull() & col(lang_col).isNotNull() & col(id_col).isNotNull())
     rank = Window.partitionBy("lang").orderBy(F.md5(F.col("id").cast("string")), "id")
     ids = known.select(col(id_col).alias("id"), col(lang_col).alias("lang"))
-    picked = ids.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= train_docs).select("id").distinct()
+    picked = stash(ids.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= train_docs).select("id").distinct(), "train-ids")
+    if picked.count() <= BROADCAST_IDS:
+        picked = F.broadcast(picked)
     sample = known.select(col(id_col).alias("id"), col(lang_col).alias("lang"), col(text_col).alias("text")).join(picked, "id", "left_semi")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
