@@ -27,7 +27,7 @@ NODE_SCHEMA = T.StructType(
         T.StructField("signature", T.StringType()),
         T.StructField("body", T.StringType()),
         T.StructField("is_async", T.BooleanType()),
-        T.StructField("decorators", T.ArrayType(T.StringType(), False)),
+        T.StructField("decorators", T.ArrayType(T.StringType())),
     ]
 )
 EDGE_SCHEMA = T.StructType([T.StructField(c, T.StringType(), False) for c in ("src", "tgt", "kind")])

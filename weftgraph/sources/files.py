@@ -18,13 +18,14 @@ from .parsers import OUT_SCHEMA, parse_source, supported_extensions
 def scan(spark: SparkSession, root: str, exclude: Iterable[str] = (), extensions: Iterable[str] | None = None) -> DataFrame:
     """``path`` (below ``root``), ``mtime``, ``sha256``, ``language``, ``content`` of all source files that no pattern excludes.
 
-    ``root`` is a folder of any file system that Spark reads. An empty folder gives no rows.
+    ``root`` is a folder of any file system that Spark reads. An empty folder gives no rows. Files of no bytes are left
+    out, as all of Spark's file sources do.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     base = fs.resolvePath(hadoop).toUri().getPath()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    plain = F.url_decode(F.regexp_replace(F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?(?=/)", ""), r"\+", "%2B"))
+    plain = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?(?=/)", "")
     path = scalar.relative_path(plain, base)
     known = list(extensions) if extensions is not None else supported_extensions()
     # the test of the extension comes first: it is cheaper than the patterns

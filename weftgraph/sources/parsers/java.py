@@ -80,25 +80,24 @@ def parse(rows: Rows, options: dict) -> None:
                 continue
             owner = max(around, key=lambda t: t[4])[1]
         level = _no_annotations(inner(text, open_ + 1, close))
-        begin_at = begin_depth = 0
-        if what == "enum":
-            begin_at = level.find(";") + 1 or len(level)
-        for m in re.finditer(r"[;{}()]", level[begin_at:]):
-            i = begin_at + m.start()
+        first = level.find(";") + 1 or len(level) if what == "enum" else 0  # behind an enum's constants
+        member, depth = first, 0
+        for m in re.compile(r"[;{}()]").finditer(level, first):
+            i = m.start()
             if m[0] in "()":
-                begin_depth += 1 if m[0] == "(" else -1
-            elif begin_depth == 0 and m[0] in ";{":
-                head = level[begin_at:i]
+                depth += 1 if m[0] == "(" else -1
+            elif depth == 0 and m[0] == "}":
+                member = i + 1
+            elif depth == 0:
+                head = level[member:i]
                 found = re.search(r"(\w+)\s*\(", head)
                 if found and "=" not in head[: found.start()] and not re.search(r"\b(?:class|interface|enum|record|new)\b", head[: found.start()]) and re.search(r"\)\s*(?:\[\s*\]\s*)*(?:throws\b[\w\s.,]*)?(?:default\b.*)?$", head, re.S):
-                    whole = text[open_ + 1 + begin_at : open_ + 1 + i]
-                    start = open_ + 1 + begin_at + len(whole) - len(whole.lstrip())
+                    whole = text[open_ + 1 + member : open_ + 1 + i]
+                    start = open_ + 1 + member + len(whole) - len(whole.lstrip())
                     end = match_close(text, open_ + 1 + i) if m[0] == "{" else open_ + 1 + i
                     methods.append((start, owner, found[1], end, open_ + 1 + i if m[0] == "{" else -1))
-                begin_at_next = i + 1
-                begin_at = begin_at_next if m[0] == ";" else begin_at
-            elif begin_depth == 0 and m[0] == "}":
-                begin_at = i + 1
+                if m[0] == ";":
+                    member = i + 1
     seen: set[str] = set()
     for start, owner, name, end, open_ in sorted(methods):
         me = rows.id(owner, name)

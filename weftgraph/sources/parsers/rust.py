@@ -13,7 +13,7 @@ _TYPE = re.compile(r"(?:\bpub\b(?:\s*\([^)]*\))?\s+)?\b(struct|enum|union)\s+(\w
 _TRAIT = re.compile(r"(?:\bpub\b(?:\s*\([^)]*\))?\s+)?(?:unsafe\s+)?\btrait\s+(\w+)[^{;]*(\{)")
 _IMPL = re.compile(r"\bimpl\b\s*(<)?")
 _FN = re.compile(r"(?:\bpub\b(?:\s*\([^)]*\))?\s+)?(?:(?:default|const|async|unsafe|extern\s*(?:\"\s*\")?)\s+)*\bfn\s+(\w+)")
-_USE = re.compile(r"(?:^|[;{}\]])\s*(?:pub(?:\s*\([^)]*\))?\s+)?use\s+([^;]+);")
+_USE = re.compile(r"(?:^|(?<=[;{}\]]))\s*(?:pub(?:\s*\([^)]*\))?\s+)?use\s+([^;]+);")
 _CALL = re.compile(r"(?<![\w.:!])(?:\w+(?:::|\.))*(\w+)\(")
 _KEYWORDS = frozenset("if for while match return fn loop in let Some Ok Err Box Vec".split())
 
