@@ -1,7 +1,9 @@
 """A corpus pipeline: quality rules, language ID, near-duplicate removal and packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+read again as the next stage's ``docs``. All but the last return the columns of ``documents``. Documents whose
+text is null, empty or blank go in the first stage; null ids are never near duplicates; repeated rows are judged alike; an
+empty table gives no bins; columns beyond those of ``documents`` are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -9,24 +11,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import jaccard, langid, packing, quality
-from weftgraph.llm.common import read, stash
+from weftgraph.llm.common import col, read, stash
 from weftgraph.llm.queries import CAPACITY
 from weftgraph.session import ship
 
 
+def _as(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The input columns of ``out``, which come first, under their names in ``docs``, whatever outputs these clash with."""
+    return out.select(*[col(c) for c in out.columns[: len(docs.columns)]]).toDF(*docs.columns)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules accept, with their cleaned text; the rest go."""
-    return quality.accepted(docs).select(docs.columns)
+    return _as(quality.accepted(docs), docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; the rest go."""
-    return langid.accepted(docs).select(docs.columns)
+    return _as(langid.accepted(docs), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that similar n-gram sets link, that of smallest id; the rest go."""
-    return jaccard.keep_one(docs).select(docs.columns)
+    return jaccard.keep_one(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
