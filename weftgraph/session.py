@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import io
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .storage import shared_folder
+
 _shipped: set[str] = set()
 
 
@@ -27,15 +29,20 @@ def local_session(cpus: int = 8, memory: str = "8g", partitions: int | None = No
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, once for each application."""
+    """Let Python workers import this package, once for each application.
+
+    The package goes to the shared folder as a zip file, from where Spark hands it to the executors.
+    """
     app = spark.sparkContext.applicationId
     if app not in _shipped:
-        root = Path(__file__).resolve().parent
-        fd, path = tempfile.mkstemp(prefix="weftgraph-", suffix=".zip")
-        os.close(fd)
-        with zipfile.ZipFile(path, "w") as z:
+        root, held = Path(__file__).resolve().parent, io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, str(p.relative_to(root.parent)))
-        spark.sparkContext.addPyFile(path)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/weftgraph/package-{uuid.uuid4().hex}.zip")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        out.write(bytearray(held.getvalue()))
+        out.close()
+        spark.sparkContext.addPyFile(path.toString())
         _shipped.add(app)
     return spark
