@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_dirs: list[str] = []
+from ..storage import shared_folder, stash
+
+__all__ = ["col", "read", "stable", "stash", "tidy"]
 
 
 def tidy(df: DataFrame, reserved: Iterable[str] = (), keep: Iterable[str] = ()) -> DataFrame:
@@ -43,37 +41,6 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a local session gets a temporary folder; a cluster must name one.
-    """
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not where:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="weftgraph-")
-        _local_dirs.append(where)
-        sc.setCheckpointDir("file://" + where)
-        where = sc.getCheckpointDir()
-    return where.rstrip("/")
-
-
-@atexit.register
-def _sweep() -> None:
-    for d in _local_dirs:
-        shutil.rmtree(d, ignore_errors=True)
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: a cut in the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def stable(df: DataFrame) -> DataFrame:
     """A frame whose partitions hold the same rows in the same order whenever they are computed.
 
@@ -82,7 +49,7 @@ def stable(df: DataFrame) -> DataFrame:
     """
     plan = df._jdf.queryExecution().executedPlan().toString()
     if "AdaptiveSparkPlan" in plan or "Exchange" in plan:
-        shared_dir(df.sparkSession)
+        shared_folder(df.sparkSession)
         return df.checkpoint()
     return df
 
