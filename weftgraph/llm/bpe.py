@@ -1,6 +1,6 @@
 """Byte-level BPE over a corpus: every distinct pre-token is encoded once.
 
-Encoding takes four steps. (1) Each block of documents is split into pre-tokens; its distinct
+Encoding takes four steps. (1) Each block of documents is cut at spaces and its distinct pieces into pre-tokens; the distinct
 ones get numbers, the frequent ones the small ones, and every document becomes its pre-tokens'
 numbers in order of position. (2) The distinct pre-tokens of all blocks are exchanged by hash, so
 that all blocks' copies of one meet in one place. (3) There each distinct one is encoded once and
@@ -16,6 +16,7 @@ import re
 import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -75,6 +76,41 @@ def pre_tokens(text: str) -> list[str]:
     return (exact if _odd().search(text) else fast).findall(text)
 
 
+#: White space before a space, that of ASCII first.
+_SPACED = tuple(chr(c) + " " for c in sorted((c for c in range(0x3001) if chr(c).isspace()), key=lambda c: (c > 127, c)))
+_ASCII_SPACED = tuple(x for x in _SPACED if x.isascii())
+
+
+def pieces_of(text: str) -> list[str]:
+    """The text cut at spaces so that each piece can be pre-tokenised alone, all but the first with a space before it.
+
+    A pre-token never goes on over a space that follows something else than white space, and never looks beyond its end
+    unless it is white space. Pieces that end with white space are therefore joined with the next one.
+    """
+    pieces = text.split(" ")
+    if text[:1] != " " and not any(x in text for x in (_ASCII_SPACED if text.isascii() else _SPACED)):
+        return pieces
+    out, now = [], None
+    for p in pieces:
+        now = p if now is None else f"{now} {p}"
+        if now and not now[-1].isspace():
+            out.append(now)
+            now = None
+    return out if now is None else [*out, now]
+
+
+_MARKS = frozenset(".,;:!?")
+
+
+def cut_piece(piece: str, before: str) -> list[str]:
+    """``pre_tokens(before + piece)``, with short ways for a word and a word with a mark behind it; ``before`` is '' or a space."""
+    if piece.isalpha():
+        return [before + piece]
+    if piece[-1:] in _MARKS and piece[:-1].isalpha():
+        return [before + piece[:-1], piece[-1]]
+    return pre_tokens(before + piece)
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """BPE of one pre-token: the adjacent pair of least rank merges, the leftmost first, until none is known.
 
@@ -115,35 +151,63 @@ BLOCK_WORDS = 500_000
 
 
 class _Numbers(dict):
-    """Numbers words as they come."""
+    """Numbers what it is asked for as it comes."""
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         return n
 
 
+def _expand(numbers: np.ndarray, starts: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """``flat[starts[n] : starts[n] + counts[n]]`` for all ``numbers`` n, strung together."""
+    many = counts[numbers]
+    ends = np.cumsum(many)
+    if not len(ends) or not ends[-1]:
+        return flat[:0]
+    return flat[np.arange(ends[-1]) + np.repeat(starts[numbers] - (ends - many), many)]
+
+
+def _finish(heads: dict, rests: dict, docs: list[np.ndarray | None]) -> tuple[list, list[str]]:
+    """A block's documents, given as the numbers of their pieces (those of first ones negative), as numbers of pre-tokens."""
+    words = _Numbers()
+    flat_, counts_ = [], []
+    for known, before in ((rests, " "), (list(reversed(heads)), "")):
+        for p in known:
+            found = cut_piece(p, before)
+            counts_.append(len(found))
+            flat_ += map(words.__getitem__, found)
+    flat, counts = np.array(flat_, dtype=np.int64), np.array(counts_, dtype=np.int64)
+    starts = np.cumsum(counts) - counts
+    # the piece -1 - k is the first one's number k, which stands k places from the end
+    numbers = [None if d is None else _expand(np.where(d < 0, len(counts) + d, d), starts, counts, flat) for d in docs]
+    some = [d for d in numbers if d is not None]
+    often = np.bincount(np.concatenate(some), minlength=len(words)) if some else np.zeros(len(words), np.int64)
+    order = np.argsort(-often, kind="stable")
+    place = np.empty(len(words), dtype=np.int64)
+    place[order] = np.arange(len(words))
+    known = list(words)
+    return [d if d is None else place[d] for d in numbers], [known[n] for n in order.tolist()]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, list[str]]]:
     """(block, ids, numbers of each document's pre-tokens or None, words by number); the same at each attempt."""
     part, made = TaskContext.get().partitionId(), 0
     for batch in batches:
-        known, ids, docs, end = _Numbers(), [], [], batch.num_rows
+        heads, rests, ids, docs, end = _Numbers(), _Numbers(), [], [], batch.num_rows
         for row, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1)), 1):
             t = t.as_py()
             ids.append(i)
             if t is None:
                 docs.append(None)
             else:
-                words = pre_tokens(t)
-                docs.append(np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words)))
-            if len(known) > BLOCK_WORDS or row == end:
-                some = [d for d in docs if d is not None]
-                counts = np.bincount(np.concatenate(some), minlength=len(known)) if known else np.empty(0, np.int64)
-                order = np.argsort(-counts, kind="stable")
-                place = np.empty(len(known), dtype=np.int64)
-                place[order] = np.arange(len(known))
-                words = list(known)
-                yield part << 24 | made, ids, [d if d is None else place[d] for d in docs], [words[n] for n in order]
-                known, ids, docs, made = _Numbers(), [], [], made + 1
+                pieces = pieces_of(t)
+                pieces[0], first = "", heads[pieces[0]]
+                numbers = np.fromiter(map(rests.__getitem__, pieces), dtype=np.int32, count=len(pieces))
+                numbers[0] = -1 - first
+                docs.append(numbers)
+            if len(rests) > BLOCK_WORDS or row == end:
+                yield part << 24 | made, ids, *_finish(heads, rests, docs)
+                heads, rests, ids, docs, made = _Numbers(), _Numbers(), [], [], made + 1
 
 
 _WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("chars", pa.binary()), ("lens", pa.binary()), ("nums", pa.binary())])
@@ -251,12 +315,7 @@ class _Lookup:
             base += len(ids)
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
-        counts = self.count[numbers]
-        ends = np.cumsum(counts)
-        if not len(ends):
-            return np.empty(0, np.int32)
-        at = np.arange(ends[-1]) + np.repeat(self.start[numbers] - (ends - counts), counts)
-        return self.flat[at]
+        return _expand(numbers, self.start, self.count, self.flat)
 
 
 def token_table(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
@@ -286,8 +345,35 @@ def decode(df: DataFrame, tokens: DataFrame, ids_col: str = "token_ids") -> Data
     return out.select(*[col(c) for c in df.columns], decoded.alias("decoded"))
 
 
-#: Pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+#: Pieces of which a worker remembers the ids; as many are kept from before, and what they lack is forgotten.
+REMEMBERED = 300_000
+
+
+class _Ids(dict):
+    """The ids, as bytes, of pieces that have ``before`` before them."""
+
+    def __init__(self, piece, before: str) -> None:
+        super().__init__()
+        self.piece, self.before, self.older = piece, before, {}
+
+    def __missing__(self, text: str) -> bytes:
+        made = self.older.get(text)
+        if made is None:
+            ids = [self.piece(w.encode("utf-8", "surrogatepass")) for w in cut_piece(text, self.before)]
+            made = array("i", ids[0] if len(ids) == 1 else [i for x in ids for i in x]).tobytes()
+        self[text] = made
+        return made
+
+    def trim(self) -> None:
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+
+
+@lru_cache(maxsize=1)
+def _remembered(path: str) -> tuple[_Ids, _Ids]:
+    """What this process has encoded of late, of first pieces and of others; it outlasts a task."""
+    return _Ids(encoder(path), ""), _Ids(encoder(path), " ")
 
 
 def encode_rows(df: DataFrame, vocabulary: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -299,7 +385,7 @@ def encode_rows(df: DataFrame, vocabulary: str | None = None, text_col: str = "t
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, known = encoder(path), {}
+        heads, rests = _remembered(path)
         for b in batches:
             lists = []
             for t in b.column(1):
@@ -307,12 +393,10 @@ def encode_rows(df: DataFrame, vocabulary: str | None = None, text_col: str = "t
                 if t is None:
                     lists.append(None)
                     continue
-                words = pre_tokens(t)
-                for w in set(words).difference(known):
-                    known[w] = np.array(piece(w.encode("utf-8", "surrogatepass")), dtype=np.int32).tobytes()
-                lists.append(np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int32))
-                if len(known) > REMEMBERED:
-                    known = {}
+                first, *rest = pieces_of(t)
+                lists.append(np.frombuffer(heads[first] + b"".join(map(rests.__getitem__, rest)), dtype=np.int32))
+                heads.trim()
+                rests.trim()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "token_ids"])
 
     docs = df.select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"))
