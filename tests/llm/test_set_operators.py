@@ -48,6 +48,10 @@ def test_shards(spark):
     assert sorted(sizes.values()) == [25] * 5 + [26] * 3
     assert all(sorted(r["shard_pos"] for r in out if r["shard"] == s) == list(range(n)) for s, n in sizes.items())
     assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(rows) and {r["shard_in"] for r in out} == {"s"} and {r["SHARD_POS_in"] for r in out} == {"p"}
+    for bin_rows in (1, 4, 10):
+        out = sharding.shard(df, 8, 4, bin_rows).collect()
+        assert all(sorted(r["shard_pos"] for r in out if r["shard"] == s) == list(range(n)) for s, n in sizes.items())
+        assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(rows)
     assert sharding.shard(docs(spark, []), 3).count() == 0
     few = sharding.shard(docs(spark, [(1, "a"), (2, "b")]), 5).collect()
     assert sorted(r["shard"] for r in few) == [0, 1] and [r["shard_pos"] for r in few] == [0, 0]

@@ -5,7 +5,8 @@ sums are the partition sizes, its column sums the shard sizes, and its law is th
 hypergeometric one that a uniform permutation of all rows would give. No process ever holds the
 whole matrix: a binary tree over the partitions splits the shard sizes at every node with a
 generator seeded by the node, so that a task redraws just its own row in ``log2(P)`` draws and
-gets the same row after a lost executor. The driver sends the partition sizes only.
+gets the same row after a lost executor. The driver sends the partition sizes only. A large shard is several columns
+of the matrix, bins that follow one another in it, so that no task holds more than a bin.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import col, stable, tidy
 
+#: A shard of more rows is exchanged and permuted in several bins of exact sizes, so that tasks stay small.
+BIN_ROWS = 50_000
 _NUMPY_LIMIT = 10**9
 _LOCAL_BITS = 33
 
@@ -63,10 +66,15 @@ def shard_sizes(n_rows: int, n_shards: int) -> np.ndarray:
     return np.array([n_rows // n_shards + (s < n_rows % n_shards) for s in range(n_shards)], dtype=np.int64)
 
 
-def matrix_row(partition_sizes: np.ndarray, n_shards: int, p: int, seed: int) -> np.ndarray:
-    """Row ``p`` of the communication matrix."""
+def bin_sizes(n_rows: int, n_shards: int, bins: int) -> np.ndarray:
+    """The sizes of the shards' bins, ``bins`` for each, as equal as can be within a shard."""
+    return np.concatenate([shard_sizes(n, bins) for n in shard_sizes(n_rows, n_shards).tolist()])
+
+
+def matrix_row(partition_sizes: np.ndarray, n_shards: int, p: int, seed: int, bins: int = 1) -> np.ndarray:
+    """Row ``p`` of the communication matrix, with ``bins`` columns for each shard."""
     ends = np.concatenate(([0], np.cumsum(partition_sizes)))
-    totals = shard_sizes(int(ends[-1]), n_shards)
+    totals = bin_sizes(int(ends[-1]), n_shards, bins)
     lo, hi = 0, len(partition_sizes)
     while hi - lo > 1:
         mid = (lo + hi) // 2
@@ -78,14 +86,14 @@ def matrix_row(partition_sizes: np.ndarray, n_shards: int, p: int, seed: int) ->
     return totals
 
 
-def permuted_labels(partition_sizes: np.ndarray, n_shards: int, p: int, seed: int) -> np.ndarray:
-    """The shard of each row of partition ``p``: its matrix row, locally permuted."""
-    labels = np.repeat(np.arange(n_shards, dtype=np.int32), matrix_row(partition_sizes, n_shards, p, seed))
+def permuted_labels(partition_sizes: np.ndarray, n_shards: int, p: int, seed: int, bins: int = 1) -> np.ndarray:
+    """The bin of each row of partition ``p``: its matrix row, locally permuted."""
+    labels = np.repeat(np.arange(n_shards * bins, dtype=np.int32), matrix_row(partition_sizes, n_shards, p, seed, bins))
     np.random.default_rng([seed, len(partition_sizes), p, 1]).shuffle(labels)
     return labels
 
 
-def shard(df: DataFrame, n_shards: int, seed: int = 0) -> DataFrame:
+def shard(df: DataFrame, n_shards: int, seed: int = 0, bin_rows: int = BIN_ROWS) -> DataFrame:
     """Add ``shard`` (int) and ``shard_pos`` (bigint, 0-based place in the shard).
 
     Every row lands in exactly one shard; sizes differ by one at most; given the input's
@@ -94,19 +102,21 @@ def shard(df: DataFrame, n_shards: int, seed: int = 0) -> DataFrame:
     an empty result; with fewer rows than shards the last shards stay empty. Input columns
     called ``shard`` or ``shard_pos`` are kept as ``shard_in`` and ``shard_pos_in``.
     """
-    if n_shards < 1:
-        raise ValueError("n_shards must be at least 1")
-    df = stable(tidy(df, ("shard", "shard_pos", "__row", "__key")))
+    if n_shards < 1 or bin_rows < 1:
+        raise ValueError("n_shards and bin_rows must be at least 1")
+    df = stable(tidy(df, ("shard", "shard_pos", "__row", "__key", "__bin")))
     found = df.groupBy(F.spark_partition_id().alias("p")).count().collect()  # one small row a partition
     sizes = np.zeros(max((r["p"] for r in found), default=-1) + 1, dtype=np.int64)
     for r in found:
         sizes[r["p"]] = r["count"]
+    n_rows = int(sizes.sum())
+    bins = max(1, -(-n_rows // (n_shards * bin_rows)))
 
     @F.pandas_udf("int")
     def place(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
         @functools.lru_cache(maxsize=1)
         def labels(p: int) -> np.ndarray:
-            return permuted_labels(sizes, n_shards, p, seed)
+            return permuted_labels(sizes, n_shards, p, seed, bins)
 
         for batch in rows:
             ids = batch.to_numpy()
@@ -117,8 +127,13 @@ def shard(df: DataFrame, n_shards: int, seed: int = 0) -> DataFrame:
             yield pd.Series(out)
 
     names = df.columns
-    labelled = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("shard", place("__row"))
+    labelled = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__bin", place("__row"))
     labelled = labelled.withColumn("__key", F.xxhash64(F.lit(seed), F.col("__row")))
-    inside = Window.partitionBy("shard").orderBy("__key", "__row")
-    placed = labelled.withColumn("shard_pos", F.row_number().over(inside).cast("bigint") - 1)
-    return placed.select(*[col(c) for c in names], "shard", "shard_pos")
+    inside = Window.partitionBy("__bin").orderBy("__key", "__row")
+    shard_ = F.expr(f"CAST(__bin DIV {bins} AS INT)").alias("shard")
+    # the rows of the shard's bins before this one
+    size = F.lit(n_rows // n_shards) + (shard_ < n_rows % n_shards).cast("bigint")
+    nth = F.pmod("__bin", F.lit(bins)).cast("bigint")
+    before = nth * F.floor(size / bins).cast("bigint") + F.least(nth, F.pmod(size, F.lit(bins)))
+    pos = before + F.row_number().over(inside).cast("bigint") - 1
+    return labelled.select(*[col(c) for c in names], shard_, pos.alias("shard_pos"))
