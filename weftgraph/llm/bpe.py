@@ -16,7 +16,6 @@ import re
 import sys
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -76,9 +75,8 @@ def pre_tokens(text: str) -> list[str]:
     return (exact if _odd().search(text) else fast).findall(text)
 
 
-#: White space before a space, that of ASCII first.
-_SPACED = tuple(chr(c) + " " for c in sorted((c for c in range(0x3001) if chr(c).isspace()), key=lambda c: (c > 127, c)))
-_ASCII_SPACED = tuple(x for x in _SPACED if x.isascii())
+_SPACES = tuple(chr(c) for c in range(0x3001) if chr(c).isspace())
+_ASCII_SPACES = tuple(c for c in _SPACES if c.isascii())
 
 
 def pieces_of(text: str) -> list[str]:
@@ -88,7 +86,7 @@ def pieces_of(text: str) -> list[str]:
     unless it is white space. Pieces that end with white space are therefore joined with the next one.
     """
     pieces = text.split(" ")
-    if text[:1] != " " and not any(x in text for x in (_ASCII_SPACED if text.isascii() else _SPACED)):
+    if text[:1] != " " and not any(c in text and c + " " in text for c in (_ASCII_SPACES if text.isascii() else _SPACES)):
         return pieces
     out, now = [], None
     for p in pieces:
@@ -126,12 +124,20 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """A function from a pre-token's bytes to its ids, made once for each process."""
+def encoding(path: str):
+    """The library's tokenizer of a vocabulary, without special tokens, made once for each process."""
     import tiktoken
 
-    core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})._core_bpe
-    return core.encode_single_piece
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
+
+
+def encoder(path: str):
+    """A function from a pre-token's bytes to its ids."""
+    return encoding(path)._core_bpe.encode_single_piece
+
+
+#: Texts that ``encode_rows`` holds the ids of at a time.
+TEXTS = 1000
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -345,39 +351,8 @@ def decode(df: DataFrame, tokens: DataFrame, ids_col: str = "token_ids") -> Data
     return out.select(*[col(c) for c in df.columns], decoded.alias("decoded"))
 
 
-#: Pieces of which a worker remembers the ids; as many are kept from before, and what they lack is forgotten.
-REMEMBERED = 300_000
-
-
-class _Ids(dict):
-    """The ids, as bytes, of pieces that have ``before`` before them."""
-
-    def __init__(self, piece, before: str) -> None:
-        super().__init__()
-        self.piece, self.before, self.older = piece, before, {}
-
-    def __missing__(self, text: str) -> bytes:
-        made = self.older.get(text)
-        if made is None:
-            ids = [self.piece(w.encode("utf-8", "surrogatepass")) for w in cut_piece(text, self.before)]
-            made = array("i", ids[0] if len(ids) == 1 else [i for x in ids for i in x]).tobytes()
-        self[text] = made
-        return made
-
-    def trim(self) -> None:
-        if len(self) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-
-
-@lru_cache(maxsize=1)
-def _remembered(path: str) -> tuple[_Ids, _Ids]:
-    """What this process has encoded of late, of first pieces and of others; it outlasts a task."""
-    return _Ids(encoder(path), ""), _Ids(encoder(path), " ")
-
-
 def encode_rows(df: DataFrame, vocabulary: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``encode`` without its columns' exchange: each worker remembers what it has encoded of late.
+    """``encode`` without its exchange: each text is encoded by itself, by the tokenizer library.
 
     For operators that need ids but not each distinct pre-token's encoding in one place. ``doc_id`` and
     ``token_ids``; nulls and repeated rows as in ``encode``.
@@ -385,19 +360,14 @@ def encode_rows(df: DataFrame, vocabulary: str | None = None, text_col: str = "t
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, rests = _remembered(path)
+        whole = encoding(path)
         for b in batches:
-            lists = []
-            for t in b.column(1):
-                t = t.as_py()
-                if t is None:
-                    lists.append(None)
-                    continue
-                first, *rest = pieces_of(t)
-                lists.append(np.frombuffer(heads[first] + b"".join(map(rests.__getitem__, rest)), dtype=np.int32))
-                heads.trim()
-                rests.trim()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "token_ids"])
+            for part in (b.slice(at, TEXTS) for at in range(0, b.num_rows, TEXTS)):
+                ids = [None if t is None else whole.encode_to_numpy(t, disallowed_special=()) for t in part.column(1).to_pylist()]
+                offsets = np.cumsum([0, *(0 if x is None else len(x) for x in ids)], dtype=np.int32)
+                flat = np.concatenate([x for x in ids if x is not None] or [np.empty(0, np.uint32)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=pa.array([x is None for x in ids]))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "token_ids"])
 
     docs = df.select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"))
     return docs.mapInArrow(run, "doc_id bigint, token_ids array<int>")

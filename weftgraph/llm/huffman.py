@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,10 @@ from .common import col, tidy
 MAX_LEN, BLOCK = 20, 1024
 #: Distinct ids a code book may have.
 MAX_IDS = 1 << 20
+#: Ids below this are looked up and counted by tables.
+DENSE = 1 << 22
+#: Ids that are coded in one go, which bounds memory.
+SLICE_IDS = 1 << 19
 
 
 def code_lengths(counts: np.ndarray, max_len: int = MAX_LEN) -> np.ndarray:
@@ -66,6 +71,10 @@ class Book:
         by_id = np.argsort(self.ids)
         self._sorted, self._by_id = self.ids[by_id], by_id
         self._first = first
+        self._dense = None
+        if len(order) and self._sorted[0] >= 0 and self._sorted[-1] < DENSE:
+            self._dense = np.full(int(self._sorted[-1]) + 1, -1, dtype=np.int32)
+            self._dense[self._sorted] = by_id
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """Id and length for every string of ``max_len`` bits."""
@@ -76,10 +85,20 @@ class Book:
         return self._table
 
     def look_up(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self._sorted, ids)
-        if len(ids) and (len(self._sorted) == 0 or (self._sorted[np.minimum(at, len(self._sorted) - 1)] != ids).any()):
+        """Codes and lengths of ``ids``; by a table where ids are small, else by binary search."""
+        if not len(ids):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        if self._dense is not None:
+            if ids.min() < 0 or ids.max() >= len(self._dense):
+                raise ValueError("an id is not in the code book")
+            at = self._dense[ids]
+            known = at.min() >= 0
+        else:
+            at = np.searchsorted(self._sorted, ids)
+            known = len(self._sorted) > 0 and (self._sorted[np.minimum(at, len(self._sorted) - 1)] == ids).all()
+            at = self._by_id[at] if known else at
+        if not known:
             raise ValueError("an id is not in the code book")
-        at = self._by_id[at]
         return self.codes[at], self.lengths[at]
 
 
@@ -97,11 +116,9 @@ def pack_bits(codes: np.ndarray, lengths: np.ndarray, starts: np.ndarray, n_word
     return words[:n_words]
 
 
-def encode_lists(lists: list[np.ndarray], book: Book, block: int = BLOCK) -> list[tuple[bytes, int, np.ndarray]]:
-    """(bits, number of bits, checkpoints) of each list, all packed in one go."""
-    flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
+def encode_rows(flat: np.ndarray, counts: np.ndarray, book: Book, block: int = BLOCK) -> list[tuple[int, int, bytes, list[int]]]:
+    """(ids, bits, bit string, checkpoints) of rows that have ``counts`` of the ids in ``flat``, all packed in one go."""
     codes, lens = book.look_up(flat)
-    counts = np.array([len(x) for x in lists], dtype=np.int64)
     ends = np.cumsum(counts)
     total = np.concatenate(([0], np.cumsum(lens)))
     first, bits = total[ends - counts], total[ends] - total[ends - counts]
@@ -110,13 +127,39 @@ def encode_lists(lists: list[np.ndarray], book: Book, block: int = BLOCK) -> lis
     starts = total[:-1] - np.repeat(first - base[:-1] * 64, counts)
     data = pack_bits(codes, lens, starts, int(base[-1])).astype(">u8").tobytes()
     out = []
-    for k in range(len(lists)):
-        marks = total[ends[k] - counts[k] : ends[k] : block] - first[k]
-        b = int(base[k]) * 8
-        out.append((data[b : b + (int(bits[k]) + 7) // 8], int(bits[k]), marks))
+    for n, end, size, at, before in zip(counts.tolist(), ends.tolist(), bits.tolist(), (base[:-1] * 8).tolist(), first.tolist()):
+        out.append((n, size, data[at : at + (size + 7) // 8], (total[end - n : end : block] - before).tolist()))
     return out
 
 
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids and how many each row has; null lists have none, null ids are left out."""
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    if flat.null_count:
+        gone = np.concatenate(([0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))))
+        ends = np.cumsum(counts)
+        counts = counts - (gone[ends] - gone[ends - counts])
+        flat = flat.drop_null()
+    return flat.to_numpy(zero_copy_only=False), counts
+
+
+def _slices(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about SLICE_IDS ids together."""
+    ends, lo = np.cumsum(counts), 0
+    while lo < len(counts):
+        before = int(ends[lo] - counts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, before + SLICE_IDS, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def _ids_column(df: DataFrame, ids_col: str) -> F.Column:
+    kind = df.select(col(ids_col)).schema[0].dataType
+    plain = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.IntegerType, T.LongType))
+    return col(ids_col) if plain else col(ids_col).cast("array<bigint>")
+
+
 def decode_block(bits: bytes, start: int, n: int, book: Book) -> list[int]:
     """``n`` ids from bit ``start`` on, one table lookup each."""
     ids, lens = book.table()
@@ -158,14 +201,22 @@ def build_book(df: DataFrame, ids_col: str = "token_ids", max_len: int = MAX_LEN
         raise ValueError("codes have at most 24 bits")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
+        dense, rest = np.zeros(0, dtype=np.int64), {}
         for b in batches:
-            ids, n = np.unique(b.column(0).flatten().drop_null().to_numpy(zero_copy_only=False), return_counts=True)
-            for i, c in zip(ids.tolist(), n.tolist()):
-                total[i] = total.get(i, 0) + c
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["id", "n"])
-
-    lists = df.select(col(ids_col).cast("array<bigint>").alias("ids"))
+            flat, _ = _flat(b.column(0))
+            for at in range(0, len(flat), SLICE_IDS):
+                ids = flat[at : at + SLICE_IDS]
+                if ids.min() >= 0 and ids.max() < DENSE:
+                    n = np.bincount(ids)
+                    dense = np.pad(dense, (0, max(0, len(n) - len(dense))))
+                    dense[: len(n)] += n
+                else:
+                    for i, c in zip(*(x.tolist() for x in np.unique(ids, return_counts=True))):
+                        rest[i] = rest.get(i, 0) + c
+        some = np.flatnonzero(dense)
+        yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), *rest], pa.int64()), pa.array([*dense[some].tolist(), *rest.values()], pa.int64())], ["id", "n"])
+
+    lists = df.select(_ids_column(df, ids_col).alias("ids"))
     counts = lists.mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counts.limit(MAX_IDS + 1).collect()
     if len(rows) > MAX_IDS:
@@ -186,14 +237,15 @@ def compress(df: DataFrame, book: Book, ids_col: str = "token_ids", block: int =
     """
     df = tidy(df, _OUT, keep=(ids_col,))
     rest = [c for c in df.columns if c.lower() != ids_col.lower()]
-    lists = df.select(*[col(c) for c in rest], col(ids_col).cast("array<bigint>").alias("__ids"))
+    lists = df.select(*[col(c) for c in rest], _ids_column(df, ids_col).alias("__ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(b.num_columns - 1)
-            rows = [None if x.values is None else x.values.drop_null().to_numpy(zero_copy_only=False) for x in ids]
-            coded = iter(encode_lists([r for r in rows if r is not None], book, block))
-            made = [(None,) * 4 if r is None else (len(r), *(lambda c: (c[1], c[0], c[2].tolist()))(next(coded))) for r in rows]
+            flat, counts = _flat(ids)
+            ends = np.cumsum(counts)
+            made = [r for lo, hi in _slices(counts) for r in encode_rows(flat[ends[lo] - counts[lo] : ends[hi - 1]], counts[lo:hi], book, block)]
+            made = [r if ok else (None,) * 4 for r, ok in zip(made, ids.is_valid().to_pylist())]
             n, bits, data, marks = zip(*made) if made else ((),) * 4
             cols = [pa.array(n, pa.int32()), pa.array(bits, pa.int64()), pa.array(data, pa.binary()), pa.array(marks, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*rest, *_OUT])
