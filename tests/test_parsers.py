@@ -112,7 +112,7 @@ type (
 )
 
 // Speak says it.
-func (d *Dog) Speak() string { return fmt.Sprintf("{%s", d.Name) }
+func (dog *Dog) Speak() string { return "{" + dog.Name }
 
 func (c Cat) Len() int { return c.n }
 
@@ -149,7 +149,7 @@ impl Shape for Point {
 }
 
 impl fmt::Display for Point {
-    fn fmt(&self, f: &mut fmt::Formatter<'_>) -> fmt::Result { write!(f, "x") }
+    fn fmt<'a>(&'a self, out: &'a mut Out<'_>) -> Written { out.add("x", '}') }
 }
 
 impl<T> Holder<T> {

@@ -52,11 +52,25 @@ class _Handler(BaseHTTPRequestHandler):
         pass
 
 
-def serve(index: Index, host: str = "127.0.0.1", port: int = 7331) -> HTTPServer:
+LOCAL, PORT = "127.0.0.1", 7331
+
+
+def serve(index: Index, host: str = LOCAL, port: int = PORT) -> HTTPServer:
     """A server bound to the address; ``serve_forever`` starts it."""
     return HTTPServer((host, port), partial(_Handler, index, index.html()))
 
 
+_SWITCH = {"action": "store_true"}
+#: The flags of each command, with their short names.
+_FLAGS: dict[str, dict[str, dict]] = {
+    "index": {"-e --exclude": {"action": "append", "default": []}, "-f --fresh": _SWITCH, "--max-body-lines": {"type": int}},
+    "query": {"-n --limit": {"type": int, "default": 10}, "--explain": _SWITCH},
+    "viz": {"-o --out": {"default": "graph.html"}, "-s --serve": _SWITCH, "--host": {"default": LOCAL}, "-p --port": {"type": int, "default": PORT}},
+    "info": {},
+    "config": {},
+}
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="weftgraph", description=__doc__)
     p.add_argument("--cpus", type=int, default=8)
@@ -66,17 +80,8 @@ def main(args: list[str] | None = None) -> int:
         s.add_argument("root", nargs="?", default=".")
         if name == "query":
             s.add_argument("text")
-            s.add_argument("--limit", "-n", type=int, default=10)
-            s.add_argument("--explain", action="store_true")
-        if name == "index":
-            s.add_argument("--exclude", "-e", action="append", default=[])
-            s.add_argument("--fresh", "-f", action="store_true")
-            s.add_argument("--max-body-lines", type=int, default=None)
-        if name == "viz":
-            s.add_argument("--out", "-o", default="graph.html")
-            s.add_argument("--serve", "-s", action="store_true")
-            s.add_argument("--host", default="127.0.0.1")
-            s.add_argument("--port", "-p", type=int, default=7331)
+        for flag, more in _FLAGS[name].items():
+            s.add_argument(*flag.split(), **more)
     a = p.parse_args(args)
     given = {"exclude": tuple(a.exclude) or None, "max_body_lines": a.max_body_lines} if a.command == "index" else {}
     config = Config.load(a.root, **given)

@@ -11,14 +11,11 @@ from pyspark.sql import functions as F
 #: Line ends as Python's ``str.splitlines`` sees them.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
-LANGUAGE_OF_EXTENSION = {
-    ".py": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript",
-    ".ts": "typescript", ".tsx": "typescript", ".go": "go", ".rs": "rust", ".java": "java",
-}
-
-DEFAULT_EXCLUDES = (
-    "**/node_modules/**", "**/.venv/**", "**/venv/**", "**/__pycache__/**", "**/.git/**", "**/dist/**", "**/build/**", "**/*.min.js", "**/*.min.css",
-)
+_EXTENSIONS = {"go": "go", "java": "java", "javascript": "cjs js mjs", "python": "py", "rust": "rs", "typescript": "ts tsx"}
+LANGUAGE_OF_EXTENSION = {f".{x}": language for language, names in _EXTENSIONS.items() for x in names.split()}
+
+_EXCLUDED_FOLDERS, _EXCLUDED_FILES = "build dist venv .venv .git node_modules __pycache__", "*.min.css *.min.js"
+DEFAULT_EXCLUDES = (*(f"**/{x}/**" for x in _EXCLUDED_FOLDERS.split()), *(f"**/{x}" for x in _EXCLUDED_FILES.split()))
 
 
 def node_id(*parts: Column | str) -> Column:

@@ -44,7 +44,7 @@ class CodeGraph:
         """The graph as two tables in the shared folder, for operators that read it several times."""
         return CodeGraph(stash(self.nodes, "nodes"), stash(self.edges, "edges"))
 
-    # Look-ups ------------------------------------------------------------
+    # Look-ups
 
     def node(self, node_id: str) -> DataFrame:
         return self.nodes.filter(F.col("node_id") == node_id)
@@ -77,7 +77,7 @@ class CodeGraph:
         rows = ext.select("node_id", F.lit(S.EXTERNAL).alias("kind"), name.alias("name"), name.alias("qualified"))
         return CodeGraph(self.nodes.unionByName(conform_nodes(rows)), self.edges)
 
-    # Set operations ------------------------------------------------------
+    # Set operations
 
     def upsert_nodes(self, new: DataFrame, order: str | None = None) -> CodeGraph:
         """``new`` rows replace those of the same id; among ``new`` ones the last by ``order`` wins."""
@@ -98,7 +98,7 @@ class CodeGraph:
             self.edges.join(gone.withColumnRenamed("node_id", "src"), "src", "left_anti").join(gone.withColumnRenamed("node_id", "tgt"), "tgt", "left_anti").select(*S.EDGE_COLUMNS),
         )
 
-    # Statistics ----------------------------------------------------------
+    # Statistics
 
     def by_kind(self) -> DataFrame:
         return self.nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
@@ -116,7 +116,7 @@ class CodeGraph:
         g = self.ghosts().agg(F.count(F.lit(1)).alias("total_ghosts"))
         return n.crossJoin(e).crossJoin(g)
 
-    # Storage -------------------------------------------------------------
+    # Storage
 
     def save(self, path: str) -> None:
         """Two Parquet tables; edges are partitioned by kind, so that a look-up reads its kind only."""

@@ -166,7 +166,7 @@ def export_elements(graph: CodeGraph) -> dict:
     for r in _rows(edge_elements(graph).orderBy("id")):
         edges.setdefault(r.pop("kind"), []).append(r)
     stats = {"node_count": len(nodes), "edge_count": sum(map(len, edges.values())), "file_count": sum(n["kind"] == S.FILE for n in nodes)}
-    return {"nodes": nodes, "detail": detail, "bodies": bodies, "edges_by_kind": edges, "stats": stats}
+    return dict(stats=stats, nodes=nodes, edges_by_kind=edges, bodies=bodies, detail=detail)
 
 
 def export_tree(graph: CodeGraph) -> dict:

@@ -7,21 +7,21 @@ from html import escape
 from .operators.exports import to_json
 
 _PAGE = """<!doctype html>
-<html lang="en"><head><meta charset="utf-8"><title>@TITLE@</title>
+<html><head><title>@TITLE@</title><meta charset=utf-8>
 <style>
 body{margin:0;font:14px system-ui,sans-serif;display:grid;grid-template-columns:20rem 1fr;height:100vh}
 #list{overflow:auto;border-right:1px solid #ccc;padding:.5rem}#list div{cursor:pointer;padding:.1rem .3rem}
 #list div:hover{background:#eef}#main{overflow:auto;padding:1rem}input{width:95%;margin-bottom:.5rem}table{border-collapse:collapse}td,th{padding:.15rem .6rem;text-align:left}
-</style></head><body>
-<div id="list"><input id="q" placeholder="Search files and symbols"><div id="hits"></div></div><div id="main"></div>
+</style>
+<body><div id="list"><input id="q" placeholder="Search files and symbols"><div id="hits"></div></div><div id="main"></div>
 <script type="application/json" id="data">@DATA@</script>
 <script>
 const D=JSON.parse(document.getElementById('data').textContent),E=s=>String(s).replace(/&/g,'&amp;').replace(/</g,'&lt;').replace(/>/g,'&gt;').replace(/"/g,'&quot;');
-const all=[...D.level1.nodes.map(n=>({id:n.id,label:n.label,file:n.id})),...Object.entries(D.level2).flatMap(([f,x])=>x.nodes.map(n=>({id:n.node_id,label:n.name,file:f})))];
+const all=[...D.level1.nodes.map(f=>({file:f.id,label:f.label,id:f.id})),...Object.entries(D.level2).flatMap(([f,x])=>x.nodes.map(n=>({id:n.node_id,label:n.name,file:f})))];
 const more=(l,n)=>l.slice(0,n).map(E).join('<br>')+(l.length>n?`<br>… and ${l.length-n} more`:'');
-function list(){const q=document.getElementById('q').value.toLowerCase();const hits=all.filter(x=>!q||x.label.toLowerCase().includes(q)||x.id.toLowerCase().includes(q)).slice(0,q?40:400);
+function list(){const q=document.getElementById('q').value.toLowerCase();const has=s=>s.toLowerCase().indexOf(q)>=0,hits=all.filter(x=>has(x.label)||has(x.id)).slice(0,q?40:400);
  const box=document.getElementById('hits');box.innerHTML='';for(const h of hits){const d=document.createElement('div');d.textContent=h.label;d.title=h.id;d.onclick=()=>show(h.file);box.append(d)}}
-function show(f){const n=D.level1.nodes.find(x=>x.id===f),x=D.level2[f]||{nodes:[],edges:[]};
+function show(f){const n=D.level1.nodes.find(x=>x.id===f),x=D.level2[f]??{edges:[],nodes:[]};
  const from=D.level1.edges.filter(e=>e.target===f).map(e=>`${e.source} (${e.weight})`),to=D.level1.edges.filter(e=>e.source===f).map(e=>`${e.target} (${e.weight})`);
  const calls=x.nodes.map(()=>[]);for(const[s,t]of x.edges)calls[s].push(x.nodes[t].name);
  document.getElementById('main').innerHTML=`<h2>${E(f)}</h2><p>${E(n?n.language:'')} · ${n?n.symbol_count:0} symbols · called by ${n?n.in_degree:0} files · calls ${n?n.out_degree:0} files</p><table><tr><th>Called by<th>Calls</tr><tr><td>${more(from,30)}<td>${more(to,30)}</tr></table><h3>Symbols</h3><table><tr><th>Line<th>Kind<th>Name<th>Calls here</tr>${x.nodes.map((s,i)=>`<tr><td>${s.line}<td>${E(s.kind)}<td>${E(s.name)}<td>${more(calls[i],20)}</tr>`).join('')}</table>`}

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-FILE, CLASS, FUNCTION, METHOD = "file", "class", "function", "method"
-INTERFACE, STRUCT, ENUM, TRAIT, EXTERNAL = "interface", "struct", "enum", "trait", "external"
-NODE_KINDS = (FILE, CLASS, FUNCTION, METHOD, INTERFACE, STRUCT, ENUM, TRAIT, EXTERNAL)
-CALLS, IMPORTS, DEFINES, CONTAINS, INHERITS, IMPLEMENTS = "CALLS", "IMPORTS", "DEFINES", "CONTAINS", "INHERITS", "IMPLEMENTS"
-EDGE_KINDS = (CALLS, IMPORTS, DEFINES, CONTAINS, INHERITS, IMPLEMENTS)
+NODE_KINDS = "class enum external file function interface method struct trait".split()
+CLASS, ENUM, EXTERNAL, FILE, FUNCTION, INTERFACE, METHOD, STRUCT, TRAIT = NODE_KINDS
+EDGE_KINDS = "CALLS CONTAINS DEFINES IMPLEMENTS IMPORTS INHERITS".split()
+CALLS, CONTAINS, DEFINES, IMPLEMENTS, IMPORTS, INHERITS = EDGE_KINDS
 
 EXTERNAL_PREFIX = "ext::"
 UNRESOLVED_PREFIX = "ext::__unresolved__::"

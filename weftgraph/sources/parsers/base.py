@@ -37,10 +37,8 @@ class Rows:
     def line(self, n: int) -> str:
         return self.lines[n - 1].strip() if 1 <= n <= len(self.lines) else ""
 
-    def body(self, start: int, end: int) -> str:
-        if start < 1 or end < start:
-            return ""
-        got = self.lines[start - 1 : end]
+    def body(self, first: int, last: int) -> str:
+        got = self.lines[first - 1 : last] if 1 <= first <= last else []
         if 0 < self.max_body < len(got):
             got = [*got[: self.max_body], f"# ... ({len(got) - self.max_body} more lines)"]
         return "\n".join(got)
@@ -99,10 +97,10 @@ def match_close(text: str, at: int) -> int:
     return len(text)
 
 
-def inner(text: str, start: int, end: int) -> str:
-    """``text[start:end]`` with all that is inside of further braces blanked, the braces kept."""
+def inner(text: str, a: int, b: int) -> str:
+    """``text[a:b]`` with all that is inside of further braces blanked, the braces kept."""
     out, depth = [], 0
-    for c in text[start:end]:
+    for c in text[a:b]:
         if c == "}":
             depth -= 1
         out.append(c if depth <= 0 or c == "\n" else " ")
@@ -169,8 +167,8 @@ def supported_extensions() -> list[str]:
     return sorted(_all())
 
 
-def supported_languages() -> list[str]:
-    """TypeScript is read by the JavaScript parser and not named apart."""
+def supported_languages():
+    """The languages' names. TypeScript is read by the JavaScript parser and not named apart."""
     return sorted({lang for lang, _ in _all().values()} - {"typescript"})
 
 
