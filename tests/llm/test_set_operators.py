@@ -15,7 +15,7 @@ from weftgraph.llm import bpe, huffman, jaccard, packing, sharding
 from .test_text_operators import brute_languages, clean, docs
 
 
-# Sharding --------------------------------------------------------------------
+# Sharding
 
 
 def test_matrix_has_exact_margins():
@@ -68,7 +68,7 @@ def test_shuffle_is_uniform(spark):
     assert sum(first.values()) == 240 and all(5 <= first[i] <= 40 for i in range(12))
 
 
-# Jaccard join ----------------------------------------------------------------
+# Jaccard join
 
 
 def token_sets(rows, n):
@@ -158,7 +158,7 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys((50, 51, 52), 50), **dict.fromkeys((60, 61, 70), 60)}
 
 
-# Byte-level BPE --------------------------------------------------------------
+# Byte-level BPE
 
 TEXTS = [
     "Hello, world! It's fine.", "", "  two  spaces \n\n\tand tabs ", "naïve café ÜBER straße", "日本語テキスト и русский 🙂👍🏽", "x" * 3000, "a1b22c333 ½ ² Ⅷ ͏", "<|endoftext|> is text", "'s 'LL don't", "_under_score__",
@@ -201,7 +201,7 @@ def test_decode_odd_ids(spark):
     assert bpe.encode(docs(spark, [])).count() == 0 and bpe.decode(df.limit(0), table).count() == 0
 
 
-# Huffman coding --------------------------------------------------------------
+# Huffman coding
 
 
 def optimal_cost(counts, limit):
@@ -263,7 +263,7 @@ def test_huffman_null_ids_and_empty(spark):
     assert huffman.compress(none, huffman.build_book(none)).count() == 0
 
 
-# Packing ---------------------------------------------------------------------
+# Packing
 
 
 def brute_best_fit(sizes, capacity):
@@ -317,7 +317,7 @@ def test_packing_of_nothing(spark):
         packing.pack(docs(spark, []), 0)
 
 
-# The pipeline ----------------------------------------------------------------
+# The pipeline
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 

@@ -18,7 +18,7 @@ def docs(spark, rows, schema=DOC):
     return spark.createDataFrame(rows, schema)
 
 
-# Quality rules ---------------------------------------------------------------
+# Quality rules
 
 
 def line_rule(x: str) -> int:
@@ -64,7 +64,7 @@ def test_quality_accepted_and_empty(spark):
     assert quality.clean(docs(spark, [])).count() == 0 and quality.accepted(docs(spark, [])).count() == 0
 
 
-# Language ID -----------------------------------------------------------------
+# Language ID
 
 EN = "the cat and the dog walked over the hill to see what was there and then they all went home "
 DE = "der hund und die katze gingen ueber den huegel und sahen was dort war und dann gingen sie heim "
@@ -143,7 +143,7 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert langid.identify(test, langid.fit(train)).filter("lang = pred_lang").count() >= 98
 
 
-# Fingerprints ----------------------------------------------------------------
+# Fingerprints
 
 
 def test_spans_and_extensions_against_brute_force():
@@ -201,7 +201,7 @@ def test_fingerprints_without_reference_or_rows(spark):
     assert [r["same_as"] for r in got] == [1, 1, 3] and got[2]["fingerprint"] == 0 and fingerprints.fingerprint(docs(spark, [(1, "x")])).first()["spans"] == []
 
 
-# Licenses --------------------------------------------------------------------
+# Licenses
 
 LICENSE_TEXTS = {
     "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only",
@@ -242,7 +242,7 @@ def test_license_table(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
-# HTML ------------------------------------------------------------------------
+# HTML
 
 PAGE = '<html><head><title>no</title><style>p{{}}</style></head><body><nav class="menu"><a href="/">Home</a></nav><div class="main post-{n}"><p>{text}</p><script>bad()</script></div><div class="ads">{ads}</div><footer>Imprint</footer></body></html>'
 
