@@ -82,7 +82,7 @@ def top_k_all(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK
     and keeps ``k`` for each query, so that memory does not grow with the tables. Distances are rounded to
     6 places, ties are taken by id. Null vectors and those whose length is not the query's have no distance.
     """
-    spark = ship(vectors.sparkSession)
+    ship(vectors.sparkSession)
 
     def blocks(df: DataFrame, key: str, side: str) -> DataFrame:
         def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,14 +90,16 @@ def top_k_all(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK
                 for at in range(0, len(b), block):
                     part = b.iloc[at : at + block]
                     for n, rows in part.groupby(part["e"].map(len)):
-                        yield pd.DataFrame({f"ids_{side}": [rows["id"].tolist()], "n": [int(n)], f"data_{side}": [np.stack(rows["e"].to_numpy()).astype("<f8").tobytes()]})
+                        yield pd.DataFrame({f"ids_{side}": [rows["id"].tolist()], f"n_{side}": [int(n)], f"data_{side}": [np.stack(rows["e"].to_numpy()).astype("<f8").tobytes()]})
 
         rows = df.filter(F.col(key).isNotNull() & F.col("embedding").isNotNull()).select(F.col(key).cast("string").alias("id"), F.col("embedding").alias("e"))
-        return rows.mapInPandas(pack, f"ids_{side} array<string>, n int, data_{side} binary")
+        return rows.mapInPandas(pack, f"ids_{side} array<string>, n_{side} int, data_{side} binary")
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for ids_q, data_q, ids_v, data_v, n in zip(b["ids_q"], b["data_q"], b["ids_v"], b["data_v"], b["n"]):
+            for ids_q, data_q, ids_v, data_v, n, m in zip(b["ids_q"], b["data_q"], b["ids_v"], b["data_v"], b["n_q"], b["n_v"]):
+                if n != m:
+                    continue
                 q = np.frombuffer(data_q, "<f8").reshape(-1, n)
                 v = np.frombuffer(data_v, "<f8").reshape(-1, n)
                 norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)
@@ -109,10 +111,9 @@ def top_k_all(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK
                 best = np.argsort(d, axis=1, kind="stable")[:, :k]
                 yield pd.DataFrame({"query_id": np.repeat(np.array(ids_q, dtype=object), best.shape[1]), "node_id": ids[best].ravel(), "distance": np.take_along_axis(d, best, axis=1).ravel()})
 
-    # the pairs of blocks are few and large: spread them over all tasks, not over the scan's
-    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = stash(blocks(queries, "query_id", "q"), "blocks-q").join(stash(blocks(vectors, "node_id", "v"), "blocks-v"), "n")
-    found = pairs.repartition(many, F.xxhash64("data_q"), F.xxhash64("data_v")).mapInPandas(multiply, _BLOCKED)
+    # a Cartesian product has a task for each pair of partitions; an equi-join on the length would meet in one
+    pairs = stash(blocks(queries, "query_id", "q"), "blocks-q").crossJoin(stash(blocks(vectors, "node_id", "v"), "blocks-v"))
+    found = pairs.mapInPandas(multiply, _BLOCKED)
     rank = Window.partitionBy("query_id").orderBy("distance", "node_id")
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
