@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -301,8 +303,45 @@ def _index(threshold: float, rare_df: int):
 _RUN_ROWS, _PAIR_ROWS = 1 << 19, 1 << 22
 
 
-def _pairs(threshold: float):
-    """Runs of equal entries, by size within them, to candidate pairs.
+_PAIRS_SQL = "bucket int, n int, data binary"
+
+
+def _pack_pairs(a: np.ndarray, b: np.ndarray) -> bytes:
+    """Sorted pairs as the differences from one to the next, byte by byte, compressed."""
+    steps = np.concatenate((np.diff(a, prepend=0), np.diff(b, prepend=0))).astype("<i8")
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpack_pairs(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(8, -1).T
+    steps = np.ascontiguousarray(raw).view("<i8").reshape(-1)
+    return np.cumsum(steps[:n]), np.cumsum(steps[n:])
+
+
+def _unique(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, sorted."""
+    a, b = (np.concatenate(x) for x in zip(*found))
+    recs, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    keys = np.unique(at[: len(a)] << 32 | at[len(a) :])
+    return recs[keys >> 32], recs[keys & 0xFFFFFFFF]
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bucket by bucket, the distinct pairs of its packets."""
+    bucket, found = None, []
+    for batch in batches:
+        for k, n, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if k != bucket:
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unique(found)], ["a", "b"])
+                bucket, found = k, []
+            found.append(_unpack_pairs(data, n))
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unique(found)], ["a", "b"])
+
+
+def _pairs(threshold: float, buckets: int):
+    """Runs of equal entries, by size within them, to candidate pairs, packed for each bucket.
 
     Two sets must share ``ceil(t / (1 + t) (|x| + |y|))`` tokens; an entry counts for the pair only if it lies in both
     prefixes for the losses that this leaves. Pairs come once for each ``_PAIR_ROWS`` found.
@@ -315,11 +354,13 @@ def _pairs(threshold: float):
 
         def told() -> pa.RecordBatch:
             nonlocal found, held
-            a, b = (np.concatenate(x) for x in zip(*found))
-            recs, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-            keys = np.unique(at[: len(a)] << 32 | at[len(a) :])
+            a, b = _unique(found)
             found, held = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(recs[keys >> 32]), pa.array(recs[keys & 0xFFFFFFFF])], ["a", "b"])
+            to = (mix(a.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+            out = [(k, hi - lo, _pack_pairs(a[order[lo:hi]], b[order[lo:hi]])) for k, (lo, hi) in enumerate(pairwise(cuts.tolist())) if hi > lo]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "n", "data"])
 
         def made(sig: np.ndarray, rec: np.ndarray, size: np.ndarray, slack: np.ndarray) -> Iterator[pa.RecordBatch]:
             nonlocal held
@@ -458,7 +499,7 @@ def similar_sets(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_d
     spark = df.sparkSession
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 20)
     docs = df.filter(col(id_col).isNotNull()).select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"))
-    told = stable(docs).mapInArrow(_spread(n, buckets), _SCHEMA).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    told = stable(docs).mapInArrow(_spread(n, buckets), _SCHEMA).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     back = told.mapInArrow(_count, _SCHEMA).repartition(buckets, "block").sortWithinPartitions("block")
     sets = stash(back.mapInArrow(_gather(threshold), _SETS), "sets")
     key = ["whole", "size"]
@@ -469,7 +510,8 @@ def similar_sets(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_d
     one = _where(sets, members.filter("rec <> rep").select("rec"), "rec", "left_anti")
     entries = one.select("rec", "size", "unshared", "tokens", "dfs").mapInArrow(_index(threshold, rare_df), "sig bigint, rec bigint, size int, slack int")
     runs = entries.repartition(buckets, "sig").sortWithinPartitions("sig", "size", "rec")
-    candidates = stash(runs.mapInArrow(_pairs(threshold), "a bigint, b bigint").distinct(), "candidates")
+    packets = runs.mapInArrow(_pairs(threshold, buckets), _PAIRS_SQL).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    candidates = stash(packets.mapInArrow(_distinct, "a bigint, b bigint"), "candidates")
     return members.select("rep", "doc_id"), stash(_verified(candidates, one, threshold, buckets), "set-pairs")
 
 
