@@ -367,3 +367,22 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
 
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "language ID", "n-gram Jaccard join", "best-fit packing"]
+
+
+# Names that clash
+
+
+def test_names_that_differ_by_case_only(spark):
+    from weftgraph.llm import fingerprints, html_extract, langid, licenses, quality
+
+    schema = "doc_id bigint, text string, TEXT string, Doc_ID string, lang string, url string, URL string, html string, page_id bigint, token_ids array<int>, Token_IDs string"
+    df = docs(spark, [(i, "MIT License and a good sentence of words.", "x", "y", "en", "http://a.b/", "z", "<p>t</p>", i, [1, 2], "w") for i in (1, 2)], schema)
+    n = len(df.columns)
+    assert sharding.shard(df, 2).count() == 2 and len(sharding.shard(df, 2).columns) == n + 2
+    assert quality.accepted(df).count() == 2 and langid.accepted(df).count() == 2
+    assert fingerprints.fingerprint(df, docs(spark, [(1, "x", "y")], "item_id bigint, text string, TEXT string")).count() == 2
+    assert [(r["doc_a"], r["doc_b"]) for r in jaccard.join(df).collect()] == [(1, 2)] and [r["doc_id"] for r in jaccard.keep_one(df).collect()] == [1]
+    assert bpe.encode(df).count() == bpe.encode_rows(df).count() == 2 and licenses.scan(df).count() == 2
+    assert html_extract.extract(df).first()["text"] == "t" and packing.pack(df, 100).first()["n_items"] == 2
+    book = huffman.build_book(df)
+    assert huffman.decompress(huffman.compress(df, book), book).count() == 2

@@ -232,7 +232,7 @@ def encode(df: DataFrame, vocabulary: str | None = None, text_col: str = "text",
     path = vocabulary or default_vocabulary()
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = stable(df.select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text")))
+    docs = stable(tidy(df).select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text")))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, _, words in _blocks(batches):
@@ -369,5 +369,5 @@ def encode_rows(df: DataFrame, vocabulary: str | None = None, text_col: str = "t
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=pa.array([x is None for x in ids]))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "token_ids"])
 
-    docs = df.select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"))
+    docs = tidy(df).select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"))
     return docs.mapInArrow(run, "doc_id bigint, token_ids array<int>")

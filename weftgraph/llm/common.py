@@ -1,4 +1,7 @@
-"""Helpers shared by the ten operators: column hygiene, shared storage, stable scans."""
+"""Helpers shared by the ten operators: column hygiene, shared storage, stable scans.
+
+All operators take tables whose column names differ by case only or repeat: the first of them is meant.
+"""
 
 from __future__ import annotations
 

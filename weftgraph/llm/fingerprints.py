@@ -168,11 +168,11 @@ def fingerprint(
     """
     if min_chars < 2:
         raise ValueError("min_chars must be at least 2")
-    docs = df.select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"))
+    docs = tidy(df).select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"))
     passes: list[list[tuple[int, str]]] = [[]]
     if reference is not None:
         held = 0
-        rows = reference.select(col(ref_id).cast("bigint").alias("i"), col(ref_text).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
+        rows = tidy(reference).select(col(ref_id).cast("bigint").alias("i"), col(ref_text).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
         for r in rows.toLocalIterator():
             if held and held + len(r["t"]) > reference_chars:
                 passes.append([])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, stash
+from .common import col, stash, tidy
 
 #: Winning paths up to this many hosts are broadcast; beyond, pages and paths are joined by a shuffle.
 BROADCAST_HOSTS = 200_000
@@ -214,7 +214,7 @@ def extract(df: DataFrame, html_col: str = "html", url_col: str = "url", id_col:
     does not vote and uses its own. Null html has null ``path``, ``method``, ``text`` and ``n_chars``; html without text gives ''. Repeated rows are
     kept, and each votes. Other columns are not read.
     """
-    pages = df.select(col(id_col).cast("bigint").alias("page_id"), host_of(col(url_col)).alias("host"), col(html_col).alias("html"))
+    pages = tidy(df).select(col(id_col).cast("bigint").alias("page_id"), host_of(col(url_col)).alias("host"), col(html_col).alias("html"))
     best = stash(winners(votes(pages)), "host-paths")
     if best.count() <= BROADCAST_HOSTS:
         best = F.broadcast(best)

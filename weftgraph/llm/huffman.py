@@ -216,6 +216,7 @@ def build_book(df: DataFrame, ids_col: str = "token_ids", max_len: int = MAX_LEN
         some = np.flatnonzero(dense)
         yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), *rest], pa.int64()), pa.array([*dense[some].tolist(), *rest.values()], pa.int64())], ["id", "n"])
 
+    df = tidy(df)
     lists = df.select(_ids_column(df, ids_col).alias("ids"))
     counts = lists.mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counts.limit(MAX_IDS + 1).collect()

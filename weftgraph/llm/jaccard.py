@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, stable, stash
+from .common import col, stable, stash, tidy
 from .fingerprints import BASES, PRIMES, _tables, code_points
 
 N, THRESHOLD, RARE_DF = 3, 0.55, 32
@@ -498,6 +498,7 @@ def similar_sets(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_d
         raise ValueError("threshold must be over 0.5 and at most 1, n at least 1, rare_df at least 2")
     spark = df.sparkSession
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 20)
+    df = tidy(df)
     docs = df.filter(col(id_col).isNotNull()).select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"))
     told = stable(docs).mapInArrow(_spread(n, buckets), _SCHEMA).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     back = told.mapInArrow(_count, _SCHEMA).repartition(buckets, "block").sortWithinPartitions("block")
@@ -563,6 +564,7 @@ def keep_one(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_df: i
     Documents that pairs link, directly or by way of others, are a group; that of smallest id stays. Rows with a null id and
     texts without a word stay. Of repeated rows of one id all stay or all go.
     """
+    df = tidy(df, ("__gone",))
     members, pairs = similar_sets(df, n, threshold, rare_df, text_col, id_col)
     roots = components(pairs, "rep_a", "rep_b").withColumnRenamed("node", "rep")
     group = members.join(roots, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))

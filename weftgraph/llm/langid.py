@@ -75,7 +75,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
     The documents are chosen from all labelled ones by the md5 of their id. Rows without id, text or
     language are not used. What comes back has ``top`` rows a language.
     """
-    known = df.filter(col(text_col).isNotNull() & col(lang_col).isNotNull() & col(id_col).isNotNull())
+    known = tidy(df).filter(col(text_col).isNotNull() & col(lang_col).isNotNull() & col(id_col).isNotNull())
     rank = Window.partitionBy("lang").orderBy(F.md5(F.col("id").cast("string")), "id")
     ids = known.select(col(id_col).alias("id"), col(lang_col).alias("lang"))
     picked = stash(ids.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= train_docs).select("id").distinct(), "train-ids")

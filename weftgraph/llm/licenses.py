@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, tidy
 
 #: Priorities: an explicit tag, sentences of a license's own text, a grant, an address, a bare name, a generic remark.
 TAG, BODY, GRANT, ADDRESS, NAME, REMARK = 100, 90, 80, 70, 50, 10
@@ -336,5 +336,5 @@ def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataF
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "license", "rule", "priority", "start", "end", "matched"])
 
-    docs = df.filter(col(text_col).isNotNull() & (F.length(col(text_col)) > 0))
+    docs = tidy(df).filter(col(text_col).isNotNull() & (F.length(col(text_col)) > 0))
     return docs.select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, _OUT)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, stash
+from .common import col, stash, tidy
 
 _BINS = "rnd int, grp bigint, k int, done boolean, used bigint, doc_ids array<bigint>, pieces array<int>, sizes array<bigint>"
 
@@ -58,7 +58,7 @@ def pack(
     """
     if capacity < 1 or fan_in < 2 or group_items < 1:
         raise ValueError("capacity and group_items must be positive, fan_in at least 2")
-    items = df.select(
+    items = tidy(df).select(
         col(id_col).cast("bigint").alias("doc_id"),
         F.greatest(F.coalesce(F.expr(size).cast("bigint"), F.lit(1)), F.lit(1)).alias("size"),
     )
