@@ -249,7 +249,7 @@ def test_javascript():
         "greet": "function", "load": "function", "twice": "function", "once": "function", "old": "function",
     }
     assert n["s/app.js::greet"]["line"] == 8 and n["s/app.js::greet"]["end_line"] == 10 and n["s/app.js::greet"]["docstring"] == "/**\n* Greets.\n*/"
-    assert n["s/app.js::Dog::bark"]["docstring"] == "/* Barks. */" and n["s/app.js::Animal::speak"]["end_line"] == 23
+    assert n["s/app.js::Dog::bark"]["docstring"] == "/* Barks. */" and n["s/app.js::Animal::speak"]["line"] == 20 and n["s/app.js::Animal::speak"]["end_line"] == 23
     assert ("s/app.js::Dog", "s/app.js::Animal", "INHERITS") in e and ("s/app.js::Animal", "s/app.js::Animal::speak", "CONTAINS") in e
     assert {t for _, t, k in e if k == "IMPORTS"} == {"ext::fs", "ext::./lib.js", "ext::path"}
     assert not any(k == "CALLS" for _, _, k in e)

@@ -11,7 +11,9 @@ from .. import schema as S
 from ..functions import scalar
 from ..graph import CodeGraph
 from ..operators import exports, incremental, resolve, structural, traversal, vector
+from ..sources import files as sources
 from .projection import CALL_EDGES, CALL_NODES, ORACLE_CTE, ORACLE_USERS, Star, table, user_graph
+from .samples import LINKS, SOURCES, SYMBOLS, values
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -437,3 +439,26 @@ def node_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT name, count(*) AS n, min(node_id) AS first_id, max(node_id) AS last_id FROM nodes WHERE kind <> 'file' GROUP BY name")
 def names_to_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Star(spark, sf_dir).graph().symbols().groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first_id"), F.max("node_id").alias("last_id"))
+
+
+def _samples(spark: SparkSession) -> CodeGraph:
+    texts = spark.createDataFrame(list(SOURCES.items()), "path string, text string")
+    files = texts.select("path", scalar.language_of(F.col("path")).alias("language"))
+    parsed = sources.parse(texts)
+    return resolve.resolve_calls(incremental.integrate(CodeGraph.empty(spark), sources.nodes_of(parsed), sources.edges_of(parsed), files))
+
+
+@query(f"SELECT node_id, kind, line, end_line FROM (VALUES {values(SYMBOLS)}) t(node_id, kind, line, end_line)", base="")
+def parse_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols of a small source of each language."""
+    return _samples(spark).symbols().select("node_id", "kind", "line", "end_line")
+
+
+@query(
+    f"""SELECT src, tgt, kind FROM (VALUES {values(LINKS)}) t(src, tgt, kind)
+UNION ALL SELECT string_split(node_id, '::')[1], node_id, 'DEFINES' FROM (VALUES {values(SYMBOLS)}) s(node_id, kind, line, end_line) WHERE kind <> 'method'""",
+    base="",
+)
+def parse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the same sources, with calls resolved across files."""
+    return _samples(spark).edges

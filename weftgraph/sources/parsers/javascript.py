@@ -15,7 +15,7 @@ _NOISE = re.compile(
 _CLASS = re.compile(r"\bclass\s+([\w$]+)\s*(<[^{}]*?>)?\s*(?:extends\s+([\w$.]+)\s*(?:<[^{}]*?>)?(?:\([^{}]*?\))?)?\s*(?:implements\s+([^{]+?))?\s*(\{)")
 _FUNCTION = re.compile(r"\b(?:async\s+)?function\s*\*?\s*([\w$]+)\s*(?:<[^(){}]*>)?\s*(\()")
 _BOUND = re.compile(r"\b(?:const|let|var)\s+([\w$]+)\s*(?::[^=;]+?)?=\s*(?:async\b\s*)?(?:function\b\s*\*?\s*[\w$]*\s*(?=\()|(?:<[^(){}]*>\s*)?(?=\()|[\w$]+\s*=>)")
-_METHOD = re.compile(r"(?:(?:public|private|protected|static|async|get|set|readonly|override|abstract|declare)\s+)*\*?\s*(\#?[\w$]+)\s*\??(?:<[^(){}]*>)?\s*(\()")
+_METHOD = re.compile(r"(?:(?:public|private|protected|static|async|get|set|readonly|override|abstract|declare)\s+)*(?:\*\s*)?(\#?[\w$]+)\s*\??(?:<[^(){}]*>)?\s*(\()")
 _TYPE = re.compile(r"\b(interface|enum)\s+([\w$]+)[^{};=()]*(\{)")
 _IMPORT = re.compile(r"\bimport\b(?:\s*type\b)?[^'\";()]*?(['\"])([^'\"]*)\1")
 _REQUIRE = re.compile(r"\brequire\s*\(\s*(['\"`])([^'\"`]*)\1\s*\)")
