@@ -5,14 +5,36 @@ All operators take tables whose column names differ by case only or repeat: the
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import shared_folder, stash
 
-__all__ = ["col", "read", "stable", "stash", "tidy"]
+__all__ = ["col", "lean", "read", "stable", "stash", "tidy"]
+
+
+_MMAP_THRESHOLD = -3  # mallopt's number for it
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a step over Arrow batches, in a worker that gives freed memory back: workers live on after a task."""
+
+    def step(batches: Iterator) -> Iterator:
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):  # large arrays in pages of their own, whatever was freed before
+            libc.mallopt(_MMAP_THRESHOLD, 4 << 20)
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return step
 
 
 def tidy(df: DataFrame, reserved: Iterable[str] = (), keep: Iterable[str] = ()) -> DataFrame:

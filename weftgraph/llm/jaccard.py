@@ -31,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, stable, stash, tidy
+from .common import col, lean, stable, stash, tidy
 from .fingerprints import BASES, PRIMES, _tables, code_points
 
 N, THRESHOLD, RARE_DF = 3, 0.55, 32
 #: Ids of dropped documents are broadcast up to this number, which is 16 MB; beyond, documents are shuffled.
 BROADCAST_IDS = 2_000_000
-_CHUNK_CHARS, _BLOCK_TOKENS = 1 << 20, 1_500_000
+_CHUNK_CHARS, _BLOCK_TOKENS = 1 << 18, 1_500_000
 _LOW = np.uint64((1 << 40) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -162,12 +162,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = [r for r in rows if r[2] == 1]
         if told:
             tokens = np.concatenate([_unpack40(r[3]) for r in told])
-            order = np.argsort(tokens, kind="stable")
+            order = np.argsort(tokens)
             ordered = tokens[order]
-            edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
+            edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))).astype(np.int32)
+            del ordered
             runs = np.diff(edge)
-            df = np.empty(len(tokens), dtype=np.int64)
+            df = np.empty(len(tokens), dtype=np.int32)
             df[order] = np.repeat(runs, runs)
+            del order
             at = 0
             for r in told:
                 counts = np.frombuffer(r[4], "<u4")
@@ -300,7 +302,7 @@ def _index(threshold: float, rare_df: int):
     return run
 
 
-_RUN_ROWS, _PAIR_ROWS = 1 << 19, 1 << 22
+_RUN_ROWS, _PAIR_ROWS = 1 << 18, 1 << 20
 
 
 _PAIRS_SQL = "bucket int, n int, data binary"
@@ -486,7 +488,7 @@ def _verified(candidates: DataFrame, sets: DataFrame, threshold: float, buckets:
     held = needed.join(some.select("rec", "size", "tokens"), "rec").select("unit", F.lit(0).alias("kind"), F.col("rec").alias("a"), F.lit(0).cast("bigint").alias("b"), "size", "tokens")
     asked = units.select("unit", F.lit(1).alias("kind"), "a", "b", F.lit(0).alias("size"), F.lit(None).cast("array<bigint>").alias("tokens"))
     ordered = held.unionByName(asked).repartition(buckets, "unit").sortWithinPartitions("unit", "kind")
-    return ordered.mapInArrow(_verify(threshold), "rep_a bigint, rep_b bigint, jaccard double")
+    return ordered.mapInArrow(lean(_verify(threshold)), "rep_a bigint, rep_b bigint, jaccard double")
 
 
 def similar_sets(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_df: int = RARE_DF, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -500,19 +502,19 @@ def similar_sets(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_d
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 20)
     df = tidy(df)
     docs = df.filter(col(id_col).isNotNull()).select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"))
-    told = stable(docs).mapInArrow(_spread(n, buckets), _SCHEMA).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    back = told.mapInArrow(_count, _SCHEMA).repartition(buckets, "block").sortWithinPartitions("block")
-    sets = stash(back.mapInArrow(_gather(threshold), _SETS), "sets")
+    told = stable(docs).mapInArrow(lean(_spread(n, buckets)), _SCHEMA).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    back = told.mapInArrow(lean(_count), _SCHEMA).repartition(buckets, "block").sortWithinPartitions("block")
+    sets = stash(back.mapInArrow(lean(_gather(threshold)), _SETS), "sets")
     key = ["whole", "size"]
     reps = sets.filter("unshared = 0").groupBy(*key).agg(F.min("rec").alias("rep"))
     equal = sets.filter("unshared = 0").select("rec", "doc_id", *key).join(reps, key)
     members = equal.select("rec", "rep", "doc_id").unionByName(sets.filter("unshared > 0").select("rec", F.col("rec").alias("rep"), "doc_id"))
     members = stash(members, "set-members")
     one = _where(sets, members.filter("rec <> rep").select("rec"), "rec", "left_anti")
-    entries = one.select("rec", "size", "unshared", "tokens", "dfs").mapInArrow(_index(threshold, rare_df), "sig bigint, rec bigint, size int, slack int")
+    entries = one.select("rec", "size", "unshared", "tokens", "dfs").mapInArrow(lean(_index(threshold, rare_df)), "sig bigint, rec bigint, size int, slack int")
     runs = entries.repartition(buckets, "sig").sortWithinPartitions("sig", "size", "rec")
-    packets = runs.mapInArrow(_pairs(threshold, buckets), _PAIRS_SQL).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    candidates = stash(packets.mapInArrow(_distinct, "a bigint, b bigint"), "candidates")
+    packets = runs.mapInArrow(lean(_pairs(threshold, buckets)), _PAIRS_SQL).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    candidates = stash(packets.mapInArrow(lean(_distinct), "a bigint, b bigint"), "candidates")
     return members.select("rep", "doc_id"), stash(_verified(candidates, one, threshold, buckets), "set-pairs")
 
 
