@@ -64,6 +64,14 @@ def test_fingerprints_catch_benchmark_passages(spark, documents):
             assert t[s["start"] : s["start"] + s["length"]] == items[s["item_id"]][s["item_start"] : s["item_start"] + s["length"]]
 
 
+def test_fingerprints_catch_short_benchmark_items(spark):
+    at = "/root/testdata/sf0.1"
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{at}/benchmark.parquet").collect()}
+    got = {(r["doc_id"], s["item_id"]) for r in QUERIES["op3_document_fingerprints"](spark, at).filter("size(spans) > 0").collect() for s in r["spans"]}
+    held = {(r["doc_id"], k) for r in spark.read.parquet(f"{at}/documents.parquet").toLocalIterator() for k, x in items.items() if x in r["text"]}
+    assert held <= got and {(1137, 155), (4466, 102), (9148, 162)} <= held
+
+
 def test_pipeline_keeps_clean_documents(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DIR}/labels.parquet").collect()}
     docs = spark.read.parquet(f"{DIR}/documents.parquet")

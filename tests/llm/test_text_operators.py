@@ -194,6 +194,16 @@ def test_fingerprints_against_brute_force(spark):
                 assert [tuple(s) for s in r["spans"]] == brute_spans(t, known, 9)
 
 
+def test_short_references_are_found_whole():
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    items = [(n, word(n)) for n in range(1, 30)] + [(40, ""), (41, "ba"), (41, "ba")]
+    refs = fingerprints.References(items, 13)
+    for t in [word(300), *(word(4) + x + word(3) for _, x in items), items[11][1], "a", ""]:
+        want = sorted(s for k in items if k[1] for s in brute_spans(t, [k], min(13, len(k[1]))))
+        assert refs.shared(fingerprints.Prefix(fingerprints.code_points(t))) == want
+
+
 def test_fingerprints_without_reference_or_rows(spark):
     empty = docs(spark, [], "item_id bigint, text string")
     assert fingerprints.fingerprint(docs(spark, []), empty).count() == 0

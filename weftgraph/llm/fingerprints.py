@@ -20,7 +20,7 @@ from .common import col, tidy
 
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
-#: Shared spans shorter than this many characters are not reported.
+#: Shared spans shorter than this many characters are not reported, unless they are a whole reference text.
 MIN_CHARS = 100
 #: Code points of reference text that one pass holds in memory; more take further passes.
 REFERENCE_CHARS = 4_000_000
@@ -108,41 +108,45 @@ class References:
     """Reference texts, indexed by their blocks of half the smallest span.
 
     Any common span of ``min_chars`` holds a whole block, so that looking up every window of a
-    document finds at least one place of each.
+    document finds at least one place of each. A text below ``min_chars`` must be held whole; if it
+    is even below a block, its first characters are indexed, as many as the largest power of two in its length.
     """
 
     def __init__(self, items: list[tuple[int, str]], min_chars: int) -> None:
-        self.block, self.min_chars = (min_chars + 1) // 2, min_chars
+        self.min_chars, whole = min_chars, (min_chars + 1) // 2
         self.items = [(i, Prefix(code_points(t))) for i, t in sorted(items)]
-        at: dict[int, list[tuple[int, int]]] = {}
+        #: By size of block: the places of each block's hash, and a gate for hashes modulo the first prime.
+        self.blocks: dict[int, tuple[dict[int, list[tuple[int, int]]], np.ndarray]] = {}
         for n, (_, p) in enumerate(self.items):
-            starts = np.arange(0, p.n - self.block + 1, self.block)
-            for s, h in zip(starts.tolist(), p.hashes(starts, starts + self.block).tolist()):
+            if not p.n:
+                continue
+            block = whole if p.n >= whole else 1 << (p.n.bit_length() - 1)
+            starts = np.arange(0, p.n - block + 1, block) if block == whole else np.zeros(1, dtype=np.int64)
+            at, gate = self.blocks.setdefault(block, ({}, np.zeros(1 << 22, dtype=bool)))
+            for s, h in zip(starts.tolist(), p.hashes(starts, starts + block).tolist()):
                 at.setdefault(h, []).append((n, s))
-        self.at = at
-        self.gate = np.zeros(1 << 22, dtype=bool)
-        for h in at:
-            self.gate[(h >> 31) & (len(self.gate) - 1)] = True
+                gate[(h >> 31) & (len(gate) - 1)] = True
 
     def shared(self, doc: Prefix) -> list[tuple[int, int, int, int]]:
         """Maximal common spans as (item, start in text, start in item, length), sorted."""
-        if doc.n < self.min_chars or not self.at:
-            return []
-        starts = np.arange(doc.n - self.block + 1)
-        first = doc.spans(starts, starts + self.block, 0)
-        near = np.flatnonzero(self.gate[first & (len(self.gate) - 1)])
         out: list[tuple[int, int, int, int]] = []
         reach: dict[tuple[int, int], int] = {}  # the end of the last span on (item, diagonal)
-        for i, h in zip(near.tolist(), doc.hashes(near, near + self.block).tolist()):
-            for n, j in self.at.get(h, ()):
-                if reach.get((n, i - j), -1) > i:
-                    continue
-                item, p = self.items[n]
-                left = extend_left(doc, i, p, j)
-                length = left + extend_right(doc, i, p, j)
-                reach[n, i - j] = i - left + length
-                if length >= self.min_chars:
-                    out.append((item, i - left, j - left, length))
+        for block, (at, gate) in self.blocks.items():
+            if doc.n < block:
+                continue
+            starts = np.arange(doc.n - block + 1)
+            first = doc.spans(starts, starts + block, 0)
+            near = np.flatnonzero(gate[first & (len(gate) - 1)])
+            for i, h in zip(near.tolist(), doc.hashes(near, near + block).tolist()):
+                for n, j in at.get(h, ()):
+                    if reach.get((n, i - j), -1) > i:
+                        continue
+                    item, p = self.items[n]
+                    left = extend_left(doc, i, p, j)
+                    length = left + extend_right(doc, i, p, j)
+                    reach[n, i - j] = i - left + length
+                    if length >= min(self.min_chars, p.n):
+                        out.append((item, i - left, j - left, length))
         return sorted(out)
 
 
@@ -161,7 +165,8 @@ def fingerprint(
     ``fingerprint`` is the hash of the whole text; ``same_as`` is the smallest id of an equal text of
     equal length and ``n_same`` counts such rows, the row itself included. ``spans`` lists all maximal
     spans of at least ``min_chars`` code points that the text shares with a reference text, as
-    (item_id, start, item_start, length), sorted. A null text has null ``fingerprint``,
+    (item_id, start, item_start, length), sorted; a shorter reference text is found where it is held whole, an
+    empty one nowhere. A null text has null ``fingerprint``,
     ``same_as`` and ``n_same`` and no spans; an empty one has fingerprint 0. Repeated rows are kept, each with
     its own row. Reference rows without id or text are left out; an empty reference gives no
     spans. Reference text beyond ``reference_chars`` is taken in several passes over the documents.
