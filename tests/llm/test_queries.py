@@ -49,6 +49,11 @@ def test_tokens_and_bits(spark, documents):
     assert {r["doc_id"]: r["token_ids"] for r in coded} == ids
 
 
+def test_tokens_are_decoded_by_the_query(spark, documents):
+    got = QUERIES["op6_byte_level_bpe"](spark, DIR).collect()
+    assert {r["doc_id"]: r["decoded"] for r in got} == documents and len(got) == len(documents) and all(r["token_ids"] for r in got)
+
+
 def test_packing(spark, documents):
     check_bins(QUERIES["op10_best_fit_packing"](spark, DIR).collect(), [(i, len(t.encode()) + 1) for i, t in documents.items()], CAPACITY)
 

@@ -194,6 +194,17 @@ def test_plain_merge_equals_the_library(reference):
         assert bpe.merge(w.encode(), ranks) == reference.encode_ordinary(w)
 
 
+def test_decode_by_either_join(spark, monkeypatch):
+    lists = [[-1, 72], [None, 39], [], None, [39, 200, 72, 201], [9, 9], [72] * 3000, [-5, 38, 73]]
+    df = docs(spark, list(enumerate(lists)) * 2, "doc_id bigint, token_ids array<int>")
+    table = docs(spark, [(72, b"i"), (39, b"H"), (200, b"\xc3"), (201, b"\xa9"), (9, None), (-5, "𝄞".encode())], "id int, bytes binary")
+    few = [Counter((r["doc_id"], r["decoded"]) for r in bpe.decode(x, t).collect()) for x in (df, df.repartition(3)) for t in (table, table.union(table.limit(0)))]
+    monkeypatch.setattr(bpe, "SLICE", 2)
+    few.append(Counter((r["doc_id"], r["decoded"]) for r in bpe.decode(df, table).collect()))
+    monkeypatch.setattr(bpe, "BROADCAST_TOKENS", 0)
+    assert all(x == Counter((r["doc_id"], r["decoded"]) for r in bpe.decode(df, table).collect()) for x in few)
+
+
 def test_decode_odd_ids(spark):
     df = docs(spark, [(1, [-1, 72]), (2, [None, 39]), (3, []), (4, None)], "doc_id bigint, token_ids array<int>")
     table = docs(spark, [(72, b"i"), (39, b"H")], "id int, bytes binary")

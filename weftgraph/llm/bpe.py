@@ -22,12 +22,13 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, stable, tidy
+from .common import col, lean, stable, tidy
 
 #: The pre-token pattern of the 50k byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -35,6 +36,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _FAST = r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: Most tokens a vocabulary may have to be broadcast for decoding.
 BROADCAST_TOKENS = 2_000_000
+#: Tokens that are decoded at a time.
+SLICE = 500_000
 
 
 def default_vocabulary() -> str:
@@ -136,7 +139,7 @@ def encoder(path: str):
     return encoding(path)._core_bpe.encode_single_piece
 
 
-#: Texts that ``encode_rows`` holds the ids of at a time.
+#: Texts that ``encode`` and ``encode_rows`` hold the ids of at a time.
 TEXTS = 1000
 
 
@@ -278,7 +281,7 @@ def encode(df: DataFrame, vocabulary: str | None = None, text_col: str = "text",
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, table = None, [], None
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             ids, lists = [], []
             for block, kind, doc, a, b, c in zip(*(batch.column(k) for k in range(6))):
                 block = block.as_py()
@@ -300,11 +303,11 @@ def encode(df: DataFrame, vocabulary: str | None = None, text_col: str = "text",
                 n = pa.array([None if x is None else len(x) for x in lists], pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), tokens, n], ["doc_id", "token_ids", "n_tokens"])
 
-    words = docs.mapInArrow(words_of, "bucket int, block bigint, chars binary, lens binary, nums binary")
-    answers = words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(encode_words, _ROWS_SQL)
-    rows = docs.mapInArrow(docs_of, _ROWS_SQL).unionByName(answers)
+    words = docs.mapInArrow(lean(words_of), "bucket int, block bigint, chars binary, lens binary, nums binary")
+    answers = words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(encode_words), _ROWS_SQL)
+    rows = docs.mapInArrow(lean(docs_of), _ROWS_SQL).unionByName(answers)
     joined = rows.repartition("block").sortWithinPartitions("block", "kind")
-    return joined.mapInArrow(assemble, "doc_id bigint, token_ids array<int>, n_tokens int")
+    return joined.mapInArrow(lean(assemble), "doc_id bigint, token_ids array<int>, n_tokens int")
 
 
 class _Lookup:
@@ -330,14 +333,62 @@ def token_table(spark: SparkSession, vocabulary: str | None = None) -> DataFrame
     return spark.createDataFrame([(i, b) for b, i in ranks.items()], "id int, bytes binary")
 
 
+def _joined(tokens: DataFrame):
+    """A function from a column of id lists to their tokens' bytes strung together, or None if ids repeat or lie far apart."""
+    found = tokens.select("id", "bytes").filter("id IS NOT NULL").collect()
+    known = {r[0]: r[1] for r in found}
+    low, high = min(known, default=0), max(known, default=0)
+    if len(known) < len(found) or high - low >= 4 * BROADCAST_TOKENS:
+        return None
+    missing = len(known)
+    slots = np.full(high - low + 1, missing, dtype=np.int32)
+    slots[np.fromiter(known, np.int64, missing) - low] = np.arange(missing)
+    table = pa.array([*("\ufffd".encode() if b is None else bytes(b) for b in known.values()), "\ufffd".encode()], pa.binary())
+    shared = tokens.sparkSession.sparkContext.broadcast((slots, table))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        slots, table = shared.value
+        for lists in batches:
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            ends, texts, size = [np.zeros(1, np.int64)], [], 0
+            row = 0
+            while row < len(lists):  # whole lists of SLICE tokens in all, or one longer list
+                end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE, side="right")) - 1)
+                ids = lists.values[offsets[row] : offsets[end]].cast(pa.int64())
+                at = ids.fill_null(low - 1).to_numpy() - low
+                at = np.where((at >= 0) & (at < len(slots)), slots[np.clip(at, 0, len(slots) - 1)], np.int32(missing))
+                taken = table.take(pa.array(at, pa.int32()))
+                if len(taken):
+                    places = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1)
+                    texts.append(taken.buffers()[2].to_pybytes()[: places[-1]])
+                    ends.append(size + places[offsets[row + 1 : end + 1] - offsets[row]])
+                    size += len(texts[-1])
+                else:
+                    ends.append(np.full(end - row, size))
+                row = end
+            ends = pa.py_buffer(np.concatenate(ends).astype(np.int32))
+            out = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, ends, pa.py_buffer(b"".join(texts))])
+            yield pc.if_else(lists.is_valid(), out, pa.scalar(None, pa.binary())) if lists.null_count else out
+
+    @F.arrow_udf("binary")
+    def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(run)(batches)
+
+    return text_of
+
+
 def decode(df: DataFrame, tokens: DataFrame, ids_col: str = "token_ids") -> DataFrame:
     """All rows with ``decoded``: the text of ``ids_col``, by a join with the table of tokens' bytes.
 
-    The table is broadcast up to BROADCAST_TOKENS rows and shuffled beyond. Null ``ids_col`` gives null,
+    A table of up to BROADCAST_TOKENS rows is broadcast and joined list by list, without a row for each token and
+    without an exchange; a larger one, or one that repeats ids, is joined token by token and shuffled. Null ``ids_col`` gives null,
     an empty one ''. Null ids in the list and ids that the table lacks become U+FFFD, and so do bytes that are
     no UTF-8. Repeated rows are kept apart. An input column ``decoded`` is kept as ``decoded_in``.
     """
-    df = stable(tidy(df, ("decoded", "__row"), keep=(ids_col,)))
+    df = tidy(df, ("decoded", "__row"), keep=(ids_col,))
+    if tokens.count() <= BROADCAST_TOKENS and (text_of := _joined(tokens)):
+        return df.withColumn("decoded", F.make_valid_utf8(text_of(col(ids_col)).cast("string")))
+    df = stable(df)
     rows = df.withColumn("__row", F.monotonically_increasing_id())
     table = tokens.select(F.col("id").alias("__id"), F.hex("bytes").alias("__hex"))
     if table.count() <= BROADCAST_TOKENS:

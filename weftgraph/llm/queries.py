@@ -38,7 +38,8 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(read(ship(spark), sf_dir, "documents"))
+    """Token ids of every document, and the text that they decode to."""
+    return bpe.decode(bpe.encode(read(ship(spark), sf_dir, "documents")), bpe.token_table(spark))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
