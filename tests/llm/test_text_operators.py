@@ -194,6 +194,18 @@ def test_fingerprints_against_brute_force(spark):
                 assert [tuple(s) for s in r["spans"]] == brute_spans(t, known, 9)
 
 
+def test_passes_over_references_do_not_change_results(spark):
+    refs = [(1, "first reference text"), (2, "second, quite another one"), (3, "the last of these texts"), (3, "the last of these texts"), (3, "the last of these texts"), (4, "last")]
+    texts = ["x " + refs[2][1] + " y", refs[0][1] + refs[2][1], "nothing", None, ""]
+    df = docs(spark, [(i, t) for t in texts for i in (None, None, 5, 5, 6)])
+    runs = []
+    for chars in (10**6, 50, 1):
+        got = fingerprints.fingerprint(df, docs(spark, refs, "item_id bigint, text string"), min_chars=9, reference_chars=chars).collect()
+        runs.append(Counter((r["doc_id"], r["n_points"], r["fingerprint"], r["same_as"], r["n_same"], tuple(map(tuple, r["spans"]))) for r in got))
+    assert runs[0] == runs[1] == runs[2] and sum(runs[0].values()) == 25
+    assert sum(n for r, n in runs[0].items() if r[0] is None and {s[0] for s in r[5]} >= {3, 4}) == 4
+
+
 def test_short_references_are_found_whole():
     rng = random.Random(11)
     word = lambda n: "".join(rng.choice("ab") for _ in range(n))

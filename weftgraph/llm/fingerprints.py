@@ -169,7 +169,7 @@ def fingerprint(
     empty one nowhere. A null text has null ``fingerprint``,
     ``same_as`` and ``n_same`` and no spans; an empty one has fingerprint 0. Repeated rows are kept, each with
     its own row. Reference rows without id or text are left out; an empty reference gives no
-    spans. Reference text beyond ``reference_chars`` is taken in several passes over the documents.
+    spans. Reference text beyond ``reference_chars`` is taken in several passes over the documents, with the same result.
     """
     if min_chars < 2:
         raise ValueError("min_chars must be at least 2")
@@ -187,12 +187,13 @@ def fingerprint(
     out = _hashed(docs, passes[0], min_chars)
     more = None
     for items in passes[1:]:
-        rows = _hashed(docs.filter("doc_id IS NOT NULL"), items, min_chars).filter("size(spans) > 0").select("doc_id", "n_points", "fingerprint", "spans")
+        rows = _hashed(docs, items, min_chars).filter("size(spans) > 0").select("doc_id", "n_points", "fingerprint", "spans").distinct()
         more = rows if more is None else more.unionByName(rows)
     if more is not None:
-        key = ["doc_id", "n_points", "fingerprint"]
-        more = more.distinct().groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("more"))
-        out = out.join(more, key, "left").withColumn("spans", F.array_sort(F.concat("spans", F.coalesce("more", F.array())))).drop("more")
+        key = ["doc_id", "n_points", "fingerprint"]  # equal for equal texts only, so that repeated rows and null ids share their spans
+        more = more.groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("more")).select(*[F.col(k).alias(f"__{k}") for k in key], "more")
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+        out = out.join(more, same, "left").withColumn("spans", F.array_sort(F.concat("spans", F.coalesce("more", F.array()))))
     alike = Window.partitionBy("fingerprint", "n_points")
     known = F.col("fingerprint").isNotNull()
     return out.select(
