@@ -117,6 +117,16 @@ def test_pairs_of_split_groups_and_blocks(spark, monkeypatch):
     assert got == brute_pairs(rows, jaccard.N, jaccard.THRESHOLD).keys()
 
 
+def test_pairs_after_many_empty_texts_of_one_partition(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_CHUNK_CHARS", 1)
+    monkeypatch.setattr(jaccard, "_BLOCK_TOKENS", 1)
+    text = "CASE id WHEN {0} THEN 'a b c d e f g' WHEN {1} THEN 'p q r s t u v' WHEN {2} THEN 'a b c d e f g h' WHEN {3} THEN 'p q r s t u v w' END"
+    many = (1 << 20) + 4  # without a bound, place 2^20 of the first block and place 0 of the second are one record
+    ids = [(1 << 20) + k for k in range(4)]
+    df = spark.range(0, many, 1, 1).selectExpr("id AS doc_id", text.format(*ids) + " AS text")
+    assert sorted((r["doc_a"], r["doc_b"]) for r in jaccard.join(df).collect()) == [(ids[0], ids[2]), (ids[1], ids[3])]
+
+
 def test_pairs_of_long_and_no_texts(spark):
     rng = random.Random(1)
     long = " ".join(f"v{rng.randrange(5000)}" for _ in range(30_000))

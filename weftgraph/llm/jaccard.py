@@ -38,6 +38,8 @@ N, THRESHOLD, RARE_DF = 3, 0.55, 32
 #: Ids of dropped documents are broadcast up to this number, which is 16 MB; beyond, documents are shuffled.
 BROADCAST_IDS = 2_000_000
 _CHUNK_CHARS, _BLOCK_TOKENS = 1 << 18, 1_500_000
+#: Most documents of a block, empty ones included; their places have 20 bits.
+_BLOCK_DOCS = 1 << 16
 _LOW = np.uint64((1 << 40) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -141,9 +143,9 @@ def _spread(n: int, buckets: int):
                 ids.append(i)
                 texts.append(words_of(t.as_py()))
                 chars += len(texts[-1])
-                if chars >= _CHUNK_CHARS:
+                if chars >= _CHUNK_CHARS or len(ids) == _BLOCK_DOCS:
                     flush()
-                    if held >= _BLOCK_TOKENS:
+                    if held >= _BLOCK_TOKENS or len(ids) == _BLOCK_DOCS:
                         yield _batch(rows_of(part << 24 | made, ids, np.concatenate(docs), np.concatenate(toks)))
                         ids, docs, toks, held, made = [], [], [], 0, made + 1
         flush()
