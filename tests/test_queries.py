@@ -36,3 +36,11 @@ def test_nothing_else_imports_the_training_data_operators():
     for p in [*ROOT.glob("weftgraph/**/*.py"), *ROOT.glob("tests/*.py"), ROOT / "bench.py"]:
         if "llm" not in p.relative_to(ROOT).parts and p != Path(__file__).resolve():
             assert not re.search(r"^\s*(from|import)\b.*\b(llm|corpus_pipeline)\b", p.read_text(), re.M), p
+
+
+def test_distances_and_chains_beyond_twelve_calls(spark, tmp_path):
+    events = spark.range(15).selectExpr("id AS event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, id) AS ts", "id + 10 AS user_id", "'click' AS event_type")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    users = [f"user::{k + 10}" for k in range(15)]
+    assert {r["node_id"]: r["depth"] for r in QUERIES["bfs_distance"](spark, str(tmp_path)).collect()} == {u: k for k, u in enumerate(users)}
+    assert [r["node_id"] for r in QUERIES["call_chain"](spark, str(tmp_path)).orderBy("pos").collect()] == users

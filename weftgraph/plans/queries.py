@@ -241,10 +241,10 @@ dist AS (SELECT node_id, min(depth) AS depth FROM walk GROUP BY node_id)"""
 
 @query(f"{_BFS} SELECT node_id, CAST(depth AS INTEGER) AS depth FROM dist", base="RECURSIVE " + ORACLE_USERS)
 def bfs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user's distance from the first one in order of ids, up to 12 calls."""
+    """Every user's distance from the first one in order of ids."""
     g = user_graph(spark, sf_dir)
     start = g.edges.filter("src <> tgt").agg(F.min("src").alias("node_id"))
-    return traversal.bfs(g.edges, start, 12).select("node_id", "depth")
+    return traversal.bfs(g.edges, start).select("node_id", "depth")
 
 
 @query(
@@ -260,12 +260,12 @@ def call_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain from the first user in order of ids to one that is farthest from it."""
     g = user_graph(spark, sf_dir)
     first = g.edges.filter("src <> tgt").agg(F.min("src").alias("node_id"))
-    found = traversal.bfs(g.edges, first, 12)
+    found = traversal.bfs(g.edges, first)
     last = found.orderBy(F.desc("depth"), F.desc("node_id")).limit(1)
     ends = found.filter("depth = 0").select(F.col("node_id").alias("a")).crossJoin(last.select(F.col("node_id").alias("b"))).first()
     if ends is None:
         return spark.createDataFrame([], "pos int, node_id string")
-    return traversal.call_chain(g, ends["a"], ends["b"], 12).select("pos", "node_id")
+    return traversal.call_chain(g, ends["a"], ends["b"]).select("pos", "node_id")
 
 
 @query("""SELECT a.id AS src, b.id AS tgt, 'CALLS' AS kind FROM pa a JOIN pa b ON a.p_name = b.p_name AND a.id <> b.id
