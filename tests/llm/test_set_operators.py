@@ -97,24 +97,63 @@ def near_copies(seed, groups=12, words=60, vocabulary=400):
     return rows
 
 
+def found_pairs(df, *args):
+    """The pairs of documents that the pairs of sets and their members stand for."""
+    members, pairs = jaccard.similar_sets(df, *args)
+    of: dict = {}
+    for r in members.collect():
+        of.setdefault(r["rep"], set()).add(r["doc_id"])
+    out = {p: 1.0 for m in of.values() for p in combinations(sorted(m), 2)}
+    for r in pairs.collect():
+        out |= {(min(a, b), max(a, b)): r["jaccard"] for a in of[r["rep_a"]] for b in of[r["rep_b"]] if a != b}
+    return out
+
+
+def brute_links(rows, n, t):
+    """(class, links, best index) of every id, for rows that have one text an id."""
+    pairs, classes = brute_pairs(rows, n, t), groups_of(rows, n, t)
+    near: dict = {}
+    for (a, b), j in pairs.items():
+        near.setdefault(a, []).append(j)
+        near.setdefault(b, []).append(j)
+    return {i: (classes.get(i, i), len(near.get(i, ())), max(near.get(i, [0])) or None) for i, _ in rows if i is not None}
+
+
+def told(df):
+    got = df.collect()
+    assert len({r["doc_id"] for r in got}) == len(got)
+    return {r["doc_id"]: (r["class_id"], r["n_links"], r["max_jaccard"]) for r in got}
+
+
 ODD = [(1000, None), (1001, ""), (1002, " \n"), (1003, "one"), (1004, "ONE"), (1005, "one two"), (None, "one"), (None, None), (1006, "a b c"), (1006, "a b c"), (1007, "A  B\tC")]
 
 
 @pytest.mark.parametrize("seed,n,t,rare", [(1, 3, 0.55, 32), (2, 1, 0.55, 2), (3, 2, 0.7, 3), (4, 1, 0.8, 2), (5, 2, 0.51, 2), (6, 3, 1.0, 2)])
 def test_pairs_against_brute_force(spark, seed, n, t, rare):
     rows = near_copies(seed) + ODD
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.join(docs(spark, [(*r, "x") for r in rows], "doc_id bigint, text string, rep_a string"), n, t, rare).collect()}
-    want = brute_pairs(rows, n, t)
+    df = docs(spark, [(*r, "x") for r in rows], "doc_id bigint, text string, class_id string")
+    got, want = found_pairs(df, n, t, rare), brute_pairs(rows, n, t)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
-    assert len(want) >= 10
+    assert len(want) >= 10 and told(jaccard.links(df, n, t, rare)) == brute_links(rows, n, t)
 
 
 def test_pairs_of_split_groups_and_blocks(spark, monkeypatch):
     rows = near_copies(9, groups=6) + [(500 + i, "the same long text again and again " * 3 + f"end{i % 4}") for i in range(40)]
     monkeypatch.setattr(jaccard, "UNIT_TOKENS", 50)
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
-    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.join(docs(spark, rows)).collect()}
-    assert got == brute_pairs(rows, jaccard.N, jaccard.THRESHOLD).keys()
+    assert found_pairs(docs(spark, rows)).keys() == brute_pairs(rows, jaccard.N, jaccard.THRESHOLD).keys()
+    assert told(jaccard.links(docs(spark, rows))) == brute_links(rows, jaccard.N, jaccard.THRESHOLD)
+
+
+def test_links_of_ids_with_several_texts(spark):
+    x, y, z = "a b c d e f g h", "p q r s t u v w", "l m n o"
+    rows = [(1, x), (1, y), (1, x), (2, x), (3, y + " z"), (4, z), (4, z + " k"), (4, None), (5, "none like it"), (None, x), (None, z)]
+    rows += [(6, z + " k"), (7, "b b b b b"), (7, "")]
+    got = told(jaccard.links(docs(spark, rows)))
+    assert {i: g[:2] for i, g in got.items()} == {1: (1, 2), 2: (1, 1), 3: (1, 1), 4: (4, 2), 5: (5, 0), 6: (4, 2), 7: (7, 0)}
+    assert got[2][2] == 1.0 and got[3][2] == 6 / 7 and got[5][2] is None
+    kept = jaccard.keep_one(docs(spark, rows)).collect()
+    assert Counter(r["doc_id"] for r in kept) == Counter({1: 3, 4: 3, 5: 1, None: 2, 7: 2})
 
 
 def test_pairs_after_many_empty_texts_of_one_partition(spark, monkeypatch):
@@ -124,17 +163,17 @@ def test_pairs_after_many_empty_texts_of_one_partition(spark, monkeypatch):
     many = (1 << 20) + 4  # without a bound, place 2^20 of the first block and place 0 of the second are one record
     ids = [(1 << 20) + k for k in range(4)]
     df = spark.range(0, many, 1, 1).selectExpr("id AS doc_id", text.format(*ids) + " AS text")
-    assert sorted((r["doc_a"], r["doc_b"]) for r in jaccard.join(df).collect()) == [(ids[0], ids[2]), (ids[1], ids[3])]
+    assert sorted(found_pairs(df)) == [(ids[0], ids[2]), (ids[1], ids[3])]
 
 
 def test_pairs_of_long_and_no_texts(spark):
     rng = random.Random(1)
     long = " ".join(f"v{rng.randrange(5000)}" for _ in range(30_000))
     rows = [(1, long), (2, long + " more"), (3, "short one here")]
-    assert {(r["doc_a"], r["doc_b"]) for r in jaccard.join(docs(spark, rows)).collect()} == {(1, 2)}
-    assert jaccard.join(docs(spark, [])).count() == 0 and jaccard.keep_one(docs(spark, [])).count() == 0
+    assert {i: g[:2] for i, g in told(jaccard.links(docs(spark, rows))).items()} == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+    assert jaccard.links(docs(spark, [])).count() == 0 and jaccard.keep_one(docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
-        jaccard.join(docs(spark, rows), threshold=0.4)
+        jaccard.links(docs(spark, rows), threshold=0.4)
 
 
 def groups_of(rows, n, t):
@@ -402,7 +441,7 @@ def test_names_that_differ_by_case_only(spark):
     assert sharding.shard(df, 2).count() == 2 and len(sharding.shard(df, 2).columns) == n + 2
     assert quality.accepted(df).count() == 2 and langid.accepted(df).count() == 2
     assert fingerprints.fingerprint(df, docs(spark, [(1, "x", "y")], "item_id bigint, text string, TEXT string")).count() == 2
-    assert [(r["doc_a"], r["doc_b"]) for r in jaccard.join(df).collect()] == [(1, 2)] and [r["doc_id"] for r in jaccard.keep_one(df).collect()] == [1]
+    assert told(jaccard.links(df)) == {1: (1, 1, 1.0), 2: (1, 1, 1.0)} and [r["doc_id"] for r in jaccard.keep_one(df).collect()] == [1]
     assert bpe.encode(df).count() == bpe.encode_rows(df).count() == 2 and licenses.scan(df).count() == 2
     assert html_extract.extract(df).first()["text"] == "t" and packing.pack(df, 100).first()["n_items"] == 2
     book = huffman.build_book(df)

@@ -14,7 +14,8 @@ A document is the set of its word n-grams, hashed. The steps, each linear in the
    their shared tokens, a group of candidates in one place.
 
 Subclasses number with the sets' size, so that the pairs stay in proportion to the prefix; sets near the end of
-a size class index in the next one too. The result is exact up to hash collisions, whose chance for a token
+a size class index in the next one too. The registered result has one row a document, with its class and how many documents it is
+linked to: pairs of a group of copies are counted, not listed. The result is exact up to hash collisions, whose chance for a token
 is about 3e-6, as bits stay in proportion to the number of partitions. No candidate is capped.
 """
 
@@ -465,9 +466,14 @@ def _verify(threshold: float):
     return run
 
 
+def _some(ids: DataFrame) -> DataFrame:
+    """``ids``, to be broadcast up to BROADCAST_IDS rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _where(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """``df`` semi- or anti-joined with ``ids``, which is broadcast up to BROADCAST_IDS rows."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+    return df.join(_some(ids), key, how)
 
 
 def _verified(candidates: DataFrame, sets: DataFrame, threshold: float, buckets: int) -> DataFrame:
@@ -520,22 +526,6 @@ def similar_sets(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_d
     return members.select("rep", "doc_id"), stash(_verified(candidates, one, threshold, buckets), "set-pairs")
 
 
-def join(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_df: int = RARE_DF, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """All pairs ``doc_a`` < ``doc_b`` of documents whose n-gram sets' Jaccard index, ``jaccard``, reaches ``threshold``.
-
-    Rows with a null id take no part, and neither do texts that are null or without a word, not even with each other.
-    A text of fewer than ``n`` words has one token, itself. Equal texts are pairs of index 1.
-    Repeated rows of one id count once, and an id is no pair with itself. Other columns are not read.
-    """
-    members, pairs = similar_sets(df, n, threshold, rare_df, text_col, id_col)
-    m = members.distinct()
-    a, b = m.select(F.col("rep").alias("rep_a"), F.col("doc_id").alias("x")), m.select(F.col("rep").alias("rep_b"), F.col("doc_id").alias("y"))
-    near = pairs.join(a, "rep_a").join(b, "rep_b").filter("x <> y").select("x", "y", "jaccard")
-    same = a.join(b, F.col("rep_a") == F.col("rep_b")).filter("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
-    out = near.unionByName(same).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    return out
-
-
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """``node`` and ``root``, the smallest node of its connected component, of all nodes in ``edges``.
 
@@ -562,31 +552,80 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
+def _classes(members: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id``, ``rep``; ``rep``, ``class_id``) of all documents in ``members``: their sets and the sets' classes.
+
+    Sets are of one class if pairs, or documents that have several texts, link them by however many steps.
+    """
+    one = members.groupBy("doc_id").agg(F.min("rep").alias("first"))
+    several = members.join(one, "doc_id").filter("rep <> first").select(F.col("first").alias("rep_a"), F.col("rep").alias("rep_b"))
+    roots = components(pairs.select("rep_a", "rep_b").unionByName(several), "rep_a", "rep_b").withColumnRenamed("node", "rep")
+    group = stash(members.join(roots, "rep", "left").select("doc_id", "rep", F.coalesce("root", "rep").alias("root")), "classed")
+    return group, group.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+
+
+def links(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_df: int = RARE_DF, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row a document: ``doc_id``, ``class_id``, ``n_links``, ``max_jaccard``.
+
+    Two documents are linked if the Jaccard index of their n-gram sets reaches ``threshold``; ``n_links`` counts all documents
+    that a document is linked to, ``max_jaccard`` is the greatest index of its texts with any other, null without links. Links form classes, by however many steps;
+    ``class_id`` is the smallest id of the class. Pairs of different sets are all found and counted, but not listed: a class of m
+    documents has m rows. Documents of equal sets are linked by index 1 without being paired.
+
+    Rows with a null id have no row. Texts that are null or without a word are linked to nothing, not even to each other.
+    A text of fewer than ``n`` words has one token, itself. Repeated rows of one id count once, and an id is not linked to
+    itself; an id with several different texts is one document of the class of all of them and has the links of each. Other columns are not read.
+    """
+    df = tidy(df)
+    members, pairs = similar_sets(df, n, threshold, rare_df, text_col, id_col)
+    members = stash(members.distinct(), "members")
+    group, classes = _classes(members, pairs)
+    several = _some(members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id"))
+    equal = _some(members.groupBy("rep").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
+    both = pairs.select("rep_a", "rep_b", "jaccard").unionByName(pairs.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"), "jaccard"))
+    weighed = both.join(equal.withColumnRenamed("rep", "rep_b"), "rep_b", "left").groupBy("rep_a").agg(F.sum(F.coalesce("k", F.lit(1))).alias("others"), F.max("jaccard").alias("near"))
+    sets = group.join(weighed.withColumnRenamed("rep_a", "rep"), "rep", "left").join(equal, "rep", "left")
+    # an id whose own texts are linked is not linked to itself
+    own = members.join(several, "doc_id", "left_semi")
+    own = both.join(own.select(F.col("rep").alias("rep_a"), "doc_id"), "rep_a").join(own.select(F.col("rep").alias("rep_b"), "doc_id"), ["rep_b", "doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    told = sets.join(classes, "root").groupBy("doc_id").agg(
+        F.first("class_id").alias("class_id"),
+        F.sum(F.coalesce("others", F.lit(0)) + F.coalesce("k", F.lit(1)) - 1).alias("links"),
+        F.max(F.when(F.col("k") > 1, F.lit(1.0)).otherwise(F.col("near"))).alias("max_jaccard"),
+    )
+    told = told.join(own, "doc_id", "left").select("doc_id", "class_id", (F.col("links") - F.coalesce("own", F.lit(0))).alias("links"), "max_jaccard")
+    ids = df.select(col(id_col).cast("bigint").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    linked = F.coalesce("links", F.lit(0)).cast("bigint")
+    return ids.join(told, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), linked.alias("n_links"), F.when(linked > 0, F.col("max_jaccard")).alias("max_jaccard"))
+
+
 def keep_one(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_df: int = RARE_DF, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``df`` less those of documents that are linked, by similar pairs, to one of smaller id.
 
-    Documents that pairs link, directly or by way of others, are a group; that of smallest id stays. Rows with a null id and
-    texts without a word stay. Of repeated rows of one id all stay or all go.
+    Documents that pairs link, directly or by way of others, are a class; that of smallest id stays. Rows with a null id and
+    texts without a word stay. Of repeated rows of one id all stay or all go; an id with several texts is of the class of all of them.
     """
     df = tidy(df, ("__gone",))
     members, pairs = similar_sets(df, n, threshold, rare_df, text_col, id_col)
-    roots = components(pairs, "rep_a", "rep_b").withColumnRenamed("node", "rep")
-    group = members.join(roots, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
-    first = group.groupBy("root").agg(F.min("doc_id").alias("first"))
-    gone = stash(group.join(first, "root").filter("doc_id <> first").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return df.join(gone, col(id_col) == F.col("__gone"), "left_anti")
+    group, classes = _classes(members.distinct(), pairs)
+    gone = _some(stash(group.join(classes, "root").filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone"))
+    return df.join(gone, col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
 
 
 def oracle(n: int = N, threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL for ``join`` on documents."""
+    """DuckDB SQL for ``links`` on documents, whose ids are unique."""
     gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
     return rf"""
-WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, {gram} AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM t WHERE len(w) >= {n})
   UNION ALL SELECT DISTINCT doc_id, array_to_string(w, ' ') FROM t WHERE len(w) BETWEEN 1 AND {n - 1}),
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
-o AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS o FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, o.o / CAST(a.n + b.n - o.o AS DOUBLE) AS jaccard FROM o JOIN s a ON a.doc_id = doc_a JOIN s b ON b.doc_id = doc_b
-WHERE o.o >= {threshold} * (a.n + b.n - o.o) - 1e-9"""
+o AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS o FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+p AS MATERIALIZED (SELECT doc_a, doc_b, o.o / CAST(a.n + b.n - o.o AS DOUBLE) AS jaccard FROM o JOIN s a ON a.doc_id = doc_a JOIN s b ON b.doc_id = doc_b
+  WHERE o.o >= {threshold} * (a.n + b.n - o.o) - 1e-9),
+l AS MATERIALIZED (SELECT doc_a AS a, doc_b AS b, jaccard FROM p UNION ALL SELECT doc_b, doc_a, jaccard FROM p),
+r AS (SELECT DISTINCT a AS doc_id, a AS other FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other),
+c AS (SELECT doc_id, min(other) AS class_id FROM r GROUP BY 1),
+k AS (SELECT a AS doc_id, count(*) AS n, max(jaccard) AS best FROM l GROUP BY 1)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, k.best AS max_jaccard
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""

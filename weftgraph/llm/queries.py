@@ -34,7 +34,8 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(read(ship(spark), sf_dir, "documents"))
+    """Each document's class and number of links."""
+    return jaccard.links(read(ship(spark), sf_dir, "documents"))
 
 
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
