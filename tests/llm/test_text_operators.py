@@ -25,9 +25,9 @@ def line_rule(x: str) -> int:
     words = x.split(" ")
     if len(re.findall(quality.SYMBOLS, x)) > quality.MAX_SYMBOLS * len(x):
         return 1
-    if len(re.findall(quality.SEPARATORS, x)) >= 2 or len(x) <= quality.STOCK_LINE and re.search(quality.MENU, x.lower()):
+    if len(re.findall(quality.SEPARATORS, x)) >= 2 or re.search(quality.MENU, x.lower()):
         return 2
-    if len(x) <= quality.STOCK_LINE and re.search(quality.STOCK, x.lower()):
+    if quality.STOCK_EVERY * len(list(re.finditer(quality.STOCK, x.lower()))) >= len(x):
         return 3
     if len(words) >= 4 and sum(a == b for a, b in zip(words, words[1:])) > quality.MAX_REPEATED * len(words):
         return 4
@@ -45,9 +45,16 @@ QUALITY = [
     None, "", "  \n\t\n", "A good line.", "Home | About | Contact | Help\nA good line that is long enough to stay here.", "no end of sentence", "read more\nHome",
     "Wow $$$ %%% ### &&& !!! text.", "go go go go go go.", "We use cookies, see our cookie policy.\nBut this is a fine sentence of the page.", LONG,
     "He said \"yes.\"\n  A tab line.\t\r\nx", "Half is fine here.\n" + "a" * 17, "Half is fine here.\n" + "a" * 19, "é" * 50 + ".", "日本語の文。", "x" * 100_000,
+    "यह एक वाक्य है।", "هل هذه جملة؟", "Alle Rechte vorbehalten.", "Tous droits réservés par nous.", "Startseite > Über uns > Impressum", "Mentions légales · Aide\nUne phrase assez longue pour rester.",
+    "All rights reserved by us and more words follow here. " * 7, "home contact us " * 50_000, "All rights reserved. " + "A long line of ordinary words goes on. " * 20, "Suscríbase a nuestro boletín.",
 ]
 
 
+def test_every_stock_phrase_has_a_part():
+    for p in re.split(r"\|(?![^(]*\))", quality.STOCK):
+        assert any(k in p or k in re.sub(r"\([^)]*\)\??", "", p) for k in quality.STOCK_PARTS), p
+
+
 def test_quality_against_brute_force(spark):
     rows = [(i, t, "a", "b", "c") for i, t in enumerate(QUALITY + QUALITY[:5])]
     out = quality.clean(docs(spark, rows, "doc_id bigint, text string, accepted string, CLEAN_TEXT string, n_lines string")).collect()
