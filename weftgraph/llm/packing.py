@@ -2,8 +2,9 @@
 
 Round 0 hashes the pieces into groups of bounded size and packs every group by best fit,
 longest first. Bins that are nearly full are final; the underfull ones become items, and
-``fan_in`` groups merge into one for the next round, up to a single group. Only
-(doc_id, piece, size) triples move, never texts.
+``fan_in`` groups merge into one for the next round. A bin is final, too, as soon as nothing that is left fits into it, and
+no round puts more than ``group_items`` bins on average into a group: when groups can no longer be merged within that, the bins
+stand as they are. Only (doc_id, piece, size) triples move, never texts.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import col, stash, tidy
 
-_BINS = "rnd int, grp bigint, k int, done boolean, used bigint, doc_ids array<bigint>, pieces array<int>, sizes array<bigint>"
+_BINS = "rnd int, grp bigint, k bigint, done boolean, used bigint, doc_ids array<bigint>, pieces array<int>, sizes array<bigint>"
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -53,8 +54,8 @@ def pack(
     ``size`` is an SQL expression, by default the byte-level tokens of the text with one
     separator. An item longer than ``capacity`` is cut into pieces ``0, 1, ...``, all but the last
     of them full. A null size counts as 1 and one below 1 as 1, so that a document without text
-    still appears once. Null ids and repeated rows are items like any other. Ties are taken by
-    (size descending, id, piece). An empty table gives no bins. Other columns are not read.
+    still appears once. Null ids and repeated rows are items like any other, hashed into groups by their places in the
+    table. Ids are integers or strings of such. Ties are taken by (size descending, id, piece). An empty table gives no bins. Other columns are not read.
     """
     if capacity < 1 or fan_in < 2 or group_items < 1:
         raise ValueError("capacity and group_items must be positive, fan_in at least 2")
@@ -66,12 +67,9 @@ def pack(
     rows = items.count()
     groups = max(1, -(-rows // group_items))
     last = F.floor((F.col("size") - 1) / F.lit(capacity)).cast("int")
-    pieces = items.select(
-        "doc_id",
-        F.explode(F.sequence(F.lit(0), last)).alias("piece"),
-        "size",
-        F.pmod(F.xxhash64("doc_id", "size"), F.lit(groups)).alias("grp"),
-    ).select(
+    # copies of one row, however many, go to different groups
+    placed = items.withColumn("grp", F.pmod(F.xxhash64("doc_id", "size", F.monotonically_increasing_id()), F.lit(groups)))
+    pieces = placed.select("doc_id", F.explode(F.sequence(F.lit(0), last)).alias("piece"), "size", "grp").select(
         "grp",
         F.least(F.col("size") - F.col("piece") * F.lit(capacity).cast("bigint"), F.lit(capacity).cast("bigint")).alias("used"),
         F.array("doc_id").alias("doc_ids"),
@@ -79,21 +77,24 @@ def pack(
     )
     now = pieces.withColumn("sizes", F.array("used"))
     full = now.filter(F.col("used") == capacity).select(
-        F.lit(-1).alias("rnd"), F.coalesce(F.element_at("doc_ids", 1), F.lit(-1)).alias("grp"), F.element_at("pieces", 1).alias("k"),
-        F.lit(True).alias("done"), "used", "doc_ids", "pieces", "sizes",
-    )
+        F.lit(-1).alias("rnd"), F.lit(0).cast("bigint").alias("grp"), F.monotonically_increasing_id().alias("k"), F.lit(True).alias("done"), "used", "doc_ids", "pieces", "sizes"
+    )
     now = now.filter(F.col("used") < capacity)
     done: list[DataFrame] = [full]
     rnd, left = 0, groups
     while True:
-        final = left == 1
-        out = stash(now.groupBy("grp").applyInPandas(_packer(rnd, capacity, near_full, final), _BINS), f"pack-{rnd}")
-        done.append(out.filter("done"))
-        if final:
+        out = stash(now.groupBy("grp").applyInPandas(_packer(rnd, capacity, near_full), _BINS), f"pack-{rnd}")
+        open_ = out.filter("not done")
+        least = open_.agg(F.min("used")).first()[0] if left > 1 else None
+        takes = F.lit(False) if least is None else ~F.col("done") & (F.col("used") + F.lit(least) <= capacity)
+        n = 0 if least is None else out.filter(takes).count()
+        merged = max(-(-left // fan_in), -(-n // group_items))
+        if not n or merged >= left:
+            done.append(out)
             break
-        left = -(-left // fan_in)
-        now = out.filter("not done").select(F.floor(F.col("grp") / fan_in).cast("bigint").alias("grp"), "used", "doc_ids", "pieces", "sizes")
-        rnd += 1
+        done.append(out.filter(~takes))
+        now = out.filter(takes).select(F.floor(F.col("grp") * merged / left).cast("bigint").alias("grp"), "used", "doc_ids", "pieces", "sizes")
+        rnd, left = rnd + 1, merged
     bins = done[0]
     for d in done[1:]:
         bins = bins.unionByName(d)
@@ -102,7 +103,7 @@ def pack(
     )
 
 
-def _packer(rnd: int, capacity: int, near_full: float, final: bool):
+def _packer(rnd: int, capacity: int, near_full: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [
             (-int(u), [(d is None, d or 0) for d in ds], list(ps), list(ds), list(zs))
@@ -113,7 +114,7 @@ def _packer(rnd: int, capacity: int, near_full: float, final: bool):
         for k, members in enumerate(best_fit([-r[0] for r in rows], capacity)):
             used = sum(-rows[i][0] for i in members)
             out.append((
-                rnd, int(pdf["grp"].iloc[0]), k, final or used >= near_full * capacity, used,
+                rnd, int(pdf["grp"].iloc[0]), k, used >= near_full * capacity, used,
                 [d for i in members for d in rows[i][3]], [p for i in members for p in rows[i][2]], [z for i in members for z in rows[i][4]],
             ))
         return pd.DataFrame(out, columns=["rnd", "grp", "k", "done", "used", "doc_ids", "pieces", "sizes"])
