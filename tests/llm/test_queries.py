@@ -43,10 +43,12 @@ def test_tokens_and_bits(spark, documents):
     ids = {r["doc_id"]: list(r["token_ids"]) for r in QUERIES["op6_byte_level_bpe"](spark, DIR).collect()}
     back = bpe.decode(QUERIES["op6_byte_level_bpe"](spark, DIR), bpe.token_table(spark)).collect()
     assert {r["doc_id"]: r["decoded"] for r in back} == documents
-    docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    book = huffman.build_book(bpe.encode_rows(docs))
-    coded = huffman.decompress(QUERIES["op9_token_output"](spark, DIR), book).collect()
-    assert {r["doc_id"]: r["token_ids"] for r in coded} == ids
+    out = QUERIES["op9_token_output"](spark, DIR).cache()
+    rows = out.filter("book_ids IS NULL")
+    assert {r["doc_id"]: r["decoded"] for r in rows.collect()} == ids
+    again = huffman.decompress(rows.drop("decoded"), huffman.read_book(out)).collect()  # by the output alone
+    assert {r["doc_id"]: r["token_ids"] for r in again} == ids and len(again) == len(ids)
+    out.unpersist()
 
 
 def test_tokens_are_decoded_by_the_query(spark, documents):
@@ -55,7 +57,8 @@ def test_tokens_are_decoded_by_the_query(spark, documents):
 
 
 def test_packing(spark, documents):
-    check_bins(QUERIES["op10_best_fit_packing"](spark, DIR).collect(), [(i, len(t.encode()) + 1) for i, t in documents.items()], CAPACITY)
+    sizes = [(i, len(bpe.encoding(bpe.default_vocabulary()).encode_ordinary(t)) + 1) for i, t in documents.items()]
+    check_bins(QUERIES["op10_best_fit_packing"](spark, DIR).collect(), sizes, CAPACITY)
 
 
 def test_fingerprints_catch_benchmark_passages(spark, documents):

@@ -315,6 +315,28 @@ def test_huffman_round_trip(spark):
     assert bits == sum(int(n) * counts[int(i)] for i, n in zip(book.ids, book.lengths))
 
 
+def test_huffman_blocks_of_many_rows(monkeypatch):
+    rng = np.random.default_rng(3)
+    lists = [rng.integers(0, 900, n) for n in (0, 1, 700, 64, 65, 3000, 0, 63)] + [None]
+    found, counts = np.unique(np.concatenate(lists[:-1]), return_counts=True)
+    for book in (huffman.Book(found, huffman.code_lengths(counts)), huffman.Book(found, huffman.code_lengths(counts, 10))):
+        coded = huffman.encode_rows(np.concatenate(lists[:-1]), np.array([len(x) for x in lists[:-1]]), book, 64) + [(None, None, None, None)]
+        for ids in (10, 1 << 19):
+            monkeypatch.setattr(huffman, "SLICE_IDS", ids)
+            got = huffman.decode_rows([c[2] for c in coded], [c[0] for c in coded], [c[3] for c in coded], book, 64)
+            assert all((a is None) == (b is None) and (a is None or a.tolist() == b.tolist()) for a, b in zip(got, lists))
+
+
+def test_huffman_of_many_ids(spark):
+    df = docs(spark, [(1, list(range(0, 60_000, 3))), (2, [5_000_000, -7, 0] * 5000), (3, None)], "doc_id bigint, token_ids array<bigint>")
+    book = huffman.build_book(df)
+    again = huffman.read_book(huffman.book_row(spark, book))
+    assert again.codes.tolist() == book.codes.tolist() and again.ids.tolist() == book.ids.tolist()
+    back = huffman.decompress(huffman.compress(df, book), again, keep=True)
+    assert back.columns == ["doc_id", "n_tokens", "n_bits", "bits", "checkpoints", "token_ids"]
+    assert {r["doc_id"]: r["token_ids"] for r in back.collect()} == {r["doc_id"]: r["token_ids"] for r in df.collect()}
+
+
 def test_huffman_null_ids_and_empty(spark):
     df = docs(spark, [(1, [None, 5, None]), (2, [None]), (3, [])], "doc_id bigint, token_ids array<bigint>")
     book = huffman.build_book(df)
@@ -371,6 +393,24 @@ def test_packing(spark, group_items, fan_in):
     assert len(bins) <= 1.15 * sum(s for _, s in wanted) / 100 + 2
 
 
+def test_packing_of_repeated_rows(spark):
+    rows = [(5, 250)] * 3 + [(None, 250), (-1, 250), (None, 250), (7, 100), (7, 100), (None, 1), (None, 1), (8, None)]
+    bins = packing.pack(docs(spark, rows, "doc_id bigint, z bigint"), 100, "z", group_items=3, fan_in=2).collect()
+    check_bins(bins, [(i, z or 1) for i, z in rows], 100)
+    copies = packing.pack(docs(spark, [(1, 40)] * 200, "doc_id bigint, z bigint"), 100, "z", group_items=10).collect()
+    check_bins(copies, [(1, 40)] * 200, 100)
+    assert len({b["bin_id"].split("-")[1] for b in copies}) > 10 and len(copies) <= 105  # not all in one group
+
+
+def test_packing_of_items_over_half_a_bin(spark):
+    """No two fit together: all bins are final in the first round, in their groups' tasks."""
+    rng = random.Random(2)
+    rows = [(i, rng.randint(600, 650)) for i in range(2000)]
+    bins = packing.pack(docs(spark, rows, "doc_id bigint, z bigint"), 1000, "z", group_items=100).collect()
+    check_bins(bins, rows, 1000)
+    assert len(bins) == 2000 and {b["bin_id"].split("-")[0] for b in bins} == {"0"} and len({b["bin_id"].split("-")[1] for b in bins}) == 20
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(docs(spark, []), 10).count() == 0
     with pytest.raises(ValueError):

@@ -16,6 +16,7 @@ import re
 import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -139,7 +140,7 @@ def encoder(path: str):
     return encoding(path)._core_bpe.encode_single_piece
 
 
-#: Texts that ``encode`` and ``encode_rows`` hold the ids of at a time.
+#: Texts that ``encode``, ``encode_rows`` and ``count_rows`` hold the ids of at a time.
 TEXTS = 1000
 
 
@@ -402,23 +403,82 @@ def decode(df: DataFrame, tokens: DataFrame, ids_col: str = "token_ids") -> Data
     return out.select(*[col(c) for c in df.columns], decoded.alias("decoded"))
 
 
+#: Distinct pieces that a worker remembers the ids of; it starts anew beyond. This bounds memory and changes no result.
+KNOWN_PIECES = 1_000_000
+
+
+class _Cut(dict):
+    """Numbers pieces as they come, and encodes each of them once."""
+
+    def __init__(self, own: "_Encoded", before: str) -> None:
+        self.own, self.before = own, before
+
+    def __missing__(self, piece: str) -> int:
+        own = self.own
+        self[piece] = n = len(own.counts)
+        ids = own.encode(self.before + piece)
+        own.flat.extend(ids)
+        own.counts.append(len(ids))
+        return n
+
+
+class _Encoded:
+    """Texts to ids by pieces cut at spaces, with a memory of the pieces met so far."""
+
+    def __init__(self, path: str) -> None:
+        self.encode = encoding(path).encode_ordinary
+        self.forget()
+
+    def forget(self) -> None:
+        self.flat, self.counts = array("i"), array("i")
+        self.heads, self.rests = _Cut(self, ""), _Cut(self, " ")
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, strung together, and how many each text has; a null text has none."""
+        if len(self.counts) > KNOWN_PIECES:
+            self.forget()
+        numbers, sizes = [], np.zeros(len(texts), dtype=np.int64)
+        rest, head = self.rests.__getitem__, self.heads.__getitem__
+        for i, t in enumerate(texts):
+            if t is None:
+                continue
+            first, *others = pieces_of(t)
+            numbers.append(head(first))
+            numbers += map(rest, others)
+            sizes[i] = 1 + len(others)
+        at, counts = np.array(numbers, dtype=np.int64), np.array(self.counts, dtype=np.int64)
+        ends = np.concatenate(([0], np.cumsum(counts[at])))
+        edges = np.cumsum(sizes)
+        return _expand(at, np.cumsum(counts) - counts, counts, np.array(self.flat, dtype=np.int32)), ends[edges] - ends[edges - sizes]
+
+
 def encode_rows(df: DataFrame, vocabulary: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``encode`` without its exchange: each text is encoded by itself, by the tokenizer library.
+    """``encode`` without its exchange: ``doc_id`` and ``token_ids``, each worker encoding the distinct pieces that it meets.
 
-    For operators that need ids but not each distinct pre-token's encoding in one place. ``doc_id`` and
-    ``token_ids``; nulls and repeated rows as in ``encode``.
+    For operators that need ids but not each distinct pre-token's encoding in one place. Nulls and repeated rows as in ``encode``.
     """
+    return _rows(df, vocabulary, text_col, id_col, True)
+
+
+def count_rows(df: DataFrame, vocabulary: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``doc_id`` and ``n_tokens`` of ``encode``, without the ids."""
+    return _rows(df, vocabulary, text_col, id_col, False)
+
+
+def _rows(df: DataFrame, vocabulary: str | None, text_col: str, id_col: str, lists: bool) -> DataFrame:
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = encoding(path)
+        encoded = _Encoded(path)
         for b in batches:
             for part in (b.slice(at, TEXTS) for at in range(0, b.num_rows, TEXTS)):
-                ids = [None if t is None else whole.encode_to_numpy(t, disallowed_special=()) for t in part.column(1).to_pylist()]
-                offsets = np.cumsum([0, *(0 if x is None else len(x) for x in ids)], dtype=np.int32)
-                flat = np.concatenate([x for x in ids if x is not None] or [np.empty(0, np.uint32)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=pa.array([x is None for x in ids]))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "token_ids"])
+                flat, counts = encoded(part.column(1).to_pylist())
+                if lists:
+                    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                    made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=part.column(1).is_null())
+                else:
+                    made = pc.if_else(part.column(1).is_valid(), pa.array(counts, pa.int64()), pa.scalar(None, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), made], ["doc_id", "token_ids" if lists else "n_tokens"])
 
     docs = tidy(df).select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"))
-    return docs.mapInArrow(run, "doc_id bigint, token_ids array<int>")
+    return docs.mapInArrow(lean(run), "doc_id bigint, " + ("token_ids array<int>" if lists else "n_tokens bigint"))

@@ -13,11 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, tidy
+from .common import col, lean, tidy
 
 MAX_LEN, BLOCK = 20, 1024
 #: Distinct ids a code book may have.
@@ -174,29 +174,47 @@ def decode_block(bits: bytes, start: int, n: int, book: Book) -> list[int]:
     return out
 
 
-def decode_row(bits: bytes, n_ids: int, checkpoints: np.ndarray, book: Book, block: int = BLOCK) -> np.ndarray:
-    """All ids of a row; its blocks go side by side, one lookup a step for all of them."""
-    if n_ids == 0:
+def decode_blocks(data: bytes, starts: np.ndarray, counts: np.ndarray, book: Book) -> np.ndarray:
+    """The ids of blocks of ``counts`` ids that start at bits ``starts`` of ``data``; all blocks go side by side, one lookup an id."""
+    total = int(counts.sum())
+    if not total:
         return np.empty(0, dtype=np.int64)
     ids, lens = book.table()
-    m = np.int64(book.max_len)
-    raw = np.frombuffer(bits + b"\0" * 8, dtype=np.uint8).astype(np.int64)
-    at = np.asarray(checkpoints, dtype=np.int64).copy()
-    left = np.minimum(n_ids - np.arange(len(at)) * block, block)
-    out = np.full((len(at), int(left.max())), -1, dtype=np.int64)
-    for step in range(out.shape[1]):
-        on = left > step
-        byte = at >> 3
-        byte = np.minimum(byte, len(raw) - 4)
-        window = raw[byte] << 24 | raw[byte + 1] << 16 | raw[byte + 2] << 8 | raw[byte + 3]
-        k = (window >> (32 - m - (at & 7))) & ((np.int64(1) << m) - 1)
-        out[on, step] = ids[k[on]]
-        at = np.where(on, at + lens[k], at)
-    return out[np.arange(out.shape[1]) < left[:, None]]
+    m = book.max_len
+    raw = np.frombuffer(data + b"\0" * 8, dtype=np.uint8).astype(np.uint32)
+    windows = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
+    order = np.argsort(-counts, kind="stable")  # the longest first: those that go on are always at the front
+    at, to = starts[order].astype(np.int64), (np.cumsum(counts) - counts)[order]
+    going = len(counts) - np.cumsum(np.bincount(counts, minlength=int(counts.max()) + 1))
+    out, mask = np.empty(total, dtype=np.int64), np.uint32((1 << m) - 1)
+    for step, n in enumerate(going[:-1].tolist()):
+        here = at[:n]
+        k = windows[here >> 3] >> (32 - m - (here & 7)).astype(np.uint32) & mask
+        out[to[:n] + step] = ids[k]
+        here += lens[k]
+    return out
+
+
+def decode_rows(bits: list[bytes | None], n_ids: list[int | None], marks: list, book: Book, block: int = BLOCK) -> list[np.ndarray | None]:
+    """The ids of each row, None for a null one, in slices of about SLICE_IDS ids."""
+    out: list[np.ndarray | None] = []
+    for lo, hi in _slices(np.array([n or 0 for n in n_ids], dtype=np.int64)):
+        rows = [k for k in range(lo, hi) if bits[k] is not None]
+        base = np.cumsum([0, *(len(bits[k]) for k in rows)]) * 8
+        starts = [np.asarray(marks[k], dtype=np.int64) + base[j] for j, k in enumerate(rows)]
+        counts = [np.minimum(n_ids[k] - np.arange(len(marks[k]), dtype=np.int64) * block, block) for k in rows]
+        none = np.empty(0, dtype=np.int64)
+        flat = decode_blocks(b"".join(bits[k] for k in rows), np.concatenate([none, *starts]), np.concatenate([none, *counts]), book)
+        parts = iter(np.split(flat, np.cumsum([n_ids[k] for k in rows])[:-1])) if rows else iter(())
+        out += [None if bits[k] is None else next(parts) for k in range(lo, hi)]
+    return out
 
 
 def build_book(df: DataFrame, ids_col: str = "token_ids", max_len: int = MAX_LEN) -> Book:
-    """The code book of all ids of all rows; null lists and null ids do not count."""
+    """The code book of all ids of all rows; null lists and null ids do not count.
+
+    More than MAX_IDS distinct ids are an error: a book is held by the driver and every worker.
+    """
     if max_len > 24:
         raise ValueError("codes have at most 24 bits")
 
@@ -253,19 +271,40 @@ def compress(df: DataFrame, book: Book, ids_col: str = "token_ids", block: int =
 
     kinds = (T.IntegerType(), T.LongType(), T.BinaryType(), T.ArrayType(T.LongType()))
     schema = T.StructType(lists.schema.fields[:-1] + [T.StructField(n, k) for n, k in zip(_OUT, kinds)])
-    return lists.mapInArrow(run, schema)
+    return lists.mapInArrow(lean(run), schema)
 
 
-def decompress(df: DataFrame, book: Book, block: int = BLOCK) -> DataFrame:
-    """All other columns of ``compress`` with ``token_ids`` back again."""
+def decompress(df: DataFrame, book: Book, block: int = BLOCK, keep: bool = False) -> DataFrame:
+    """All other columns of ``compress``, with ``keep`` its own as well, with ``token_ids`` (array<bigint>) back again.
+
+    Null ``bits`` give null, a row of no ids gives an empty list. Repeated rows are decoded alike. A book other than the one that coded the rows gives
+    other ids. An input column ``token_ids`` is kept as ``token_ids_in``.
+    """
     df = tidy(df, ("token_ids",))
-    rest = [c for c in df.columns if c.lower() not in _OUT]
+    names = [c.lower() for c in df.columns]
+    coded = [names.index(c) for c in ("n_tokens", "bits", "checkpoints")]
+    rest = [k for k, c in enumerate(names) if keep or c not in _OUT]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, data, marks = (b.column(b.num_columns - 3 + k).to_pylist() for k in range(3))
-            ids = [None if d is None else decode_row(d, k, np.array(m, np.int64), book, block).tolist() for k, d, m in zip(n, data, marks)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(ids, pa.list_(pa.int64()))], [*rest, "token_ids"])
+            n, data, marks = (b.column(k).to_pylist() for k in coded)
+            rows = decode_rows(data, n, marks, book, block)
+            offsets = np.cumsum([0, *(0 if r is None else len(r) for r in rows)], dtype=np.int32)
+            flat = np.concatenate([np.empty(0, np.int64), *(r for r in rows if r is not None)])
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([r is None for r in rows], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), ids], [*(df_names[k] for k in rest), "token_ids"])
+
+    df_names = df.columns
+    schema = T.StructType([df.schema.fields[k] for k in rest] + [T.StructField("token_ids", T.ArrayType(T.LongType()))])
+    return df.mapInArrow(lean(run), schema)
+
+
+def book_row(spark: SparkSession, book: Book) -> DataFrame:
+    """One row, ``book_ids`` and ``book_lengths``, from which ``read_book`` makes the book again; an empty book has empty lists."""
+    return spark.createDataFrame([(book.ids.tolist(), book.lengths.tolist())], "book_ids array<bigint>, book_lengths array<int>")
+
 
-    schema = df.select(*[col(c) for c in rest]).schema.add("token_ids", T.ArrayType(T.LongType()))
-    return df.select(*[col(c) for c in rest], "n_tokens", "bits", "checkpoints").mapInArrow(run, schema)
+def read_book(df: DataFrame) -> Book:
+    """The book in the one row of ``df`` that has ``book_ids``."""
+    ids, lengths = df.select("book_ids", "book_lengths").filter("book_ids IS NOT NULL").first()
+    return Book(np.array(ids, dtype=np.int64), np.array(lengths, dtype=np.int64))

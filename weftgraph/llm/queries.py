@@ -52,13 +52,20 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids of every document as Huffman bits with checkpoints."""
+    """Token ids of every document as Huffman bits with checkpoints, and ``decoded``, the ids that the bits give back.
+
+    One more row, without ``doc_id``, has the code book, so that the output can be decoded by itself.
+    """
     ids = stash(bpe.encode_rows(read(ship(spark), sf_dir, "documents")), "token-ids")
-    return huffman.compress(ids, huffman.build_book(ids))
+    book = huffman.build_book(ids)
+    coded = huffman.compress(ids, book)
+    back = huffman.decompress(coded, book, keep=True).withColumnRenamed("token_ids", "decoded")
+    return back.unionByName(huffman.book_row(spark, book), allowMissingColumns=True)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(ship(spark), sf_dir, "documents"), CAPACITY)
+    """Bins of documents by their numbers of byte-level BPE tokens, each with one separator."""
+    return packing.pack(bpe.count_rows(read(ship(spark), sf_dir, "documents")), CAPACITY, "n_tokens + 1")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_document_fingerprints, op4_language_id, op5_ngram_jaccard_join, op6_byte_level_bpe, op7_license_scan, op8_html_extraction, op9_token_output, op10_best_fit_packing)}
