@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -40,6 +41,25 @@ def test_large_draws():
     assert sharding.split(rng, totals, 10**8).sum() == 10**8
 
 
+def test_splits_in_runs(monkeypatch):
+    """Beyond the limit the law is the same: means and variances of each shard's share, over many small runs."""
+    totals, rng = np.array([5, 40, 0, 25, 60, 30, 1, 39]), np.random.default_rng(2)
+    monkeypatch.setattr(sharding, "_NUMPY_LIMIT", 66)
+    monkeypatch.setattr(sharding, "hypergeometric", lambda g, good, bad, n: int(g.hypergeometric(good, bad, n)))
+    draws = np.array([sharding.split(rng, totals, 80) for _ in range(4000)])
+    share = totals / 200
+    variance = 80 * share * (1 - share) * 120 / 199
+    assert (draws.sum(axis=1) == 80).all() and (draws <= totals).all()
+    assert np.abs(draws.mean(axis=0) - 80 * share).max() < 0.25 and np.allclose(draws.var(axis=0), variance, rtol=0.12)
+
+
+def test_a_row_of_many_bins_is_quick():
+    sizes = np.full(1000, 10**7)
+    began = time.perf_counter()
+    row = sharding.matrix_row(sizes, 64, 137, 20, 3125)
+    assert row.sum() == 10**7 and len(row) == 200_000 and time.perf_counter() - began < 5
+
+
 def test_shards(spark):
     rows = [(i % 50 if i % 7 else None, None if i % 5 else "t" * (i * 100)) for i in range(203)]
     df = docs(spark, [(*r, "s", "p") for r in rows], "doc_id bigint, text string, shard string, SHARD_POS string").repartition(5)

@@ -49,15 +49,25 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
 
 
 def split(rng: np.random.Generator, totals: np.ndarray, n: int) -> np.ndarray:
-    """Multivariate hypergeometric: how many of each shard's rows are among ``n`` of all rows."""
+    """Multivariate hypergeometric: how many of each shard's rows are among ``n`` of all rows.
+
+    Beyond numpy's limit of 10^9 rows the shards are first taken in runs of fewer rows, one draw for each run, and then shard by shard within it.
+    """
     rest = int(totals.sum())
     if rest < _NUMPY_LIMIT:
         return rng.multivariate_hypergeometric(totals, n, method="marginals")
     out = np.zeros_like(totals)
-    for s, size in enumerate(totals):
-        rest -= int(size)
-        out[s] = hypergeometric(rng, int(size), rest, n)
-        n -= int(out[s])
+    ends = np.cumsum(totals)
+    lo = 0
+    while lo < len(totals):
+        before = int(ends[lo] - totals[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, before + _NUMPY_LIMIT - 1, side="right")))
+        size = int(ends[hi - 1]) - before
+        rest -= size
+        drawn = hypergeometric(rng, size, rest, n)
+        out[lo:hi] = drawn if hi == lo + 1 else rng.multivariate_hypergeometric(totals[lo:hi], drawn, method="marginals")
+        n -= drawn
+        lo = hi
     return out
 
 
@@ -98,7 +108,8 @@ def shard(df: DataFrame, n_shards: int, seed: int = 0, bin_rows: int = BIN_ROWS)
 
     Every row lands in exactly one shard; sizes differ by one at most; given the input's
     partitions, the result depends on ``seed`` only. Null values, long texts and repeated rows are
-    carried along as they are: rows are told apart by place, not by value. An empty table gives
+    carried along as they are: rows are told apart by place, not by value. A shard of more than ``bin_rows`` rows is made of several
+    bins, which changes the order that a seed gives but neither its law nor the sizes. An empty table gives
     an empty result; with fewer rows than shards the last shards stay empty. Input columns
     called ``shard`` or ``shard_pos`` are kept as ``shard_in`` and ``shard_pos_in``.
     """
