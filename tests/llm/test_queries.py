@@ -45,7 +45,7 @@ def test_tokens_and_bits(spark, documents):
     assert {r["doc_id"]: r["decoded"] for r in back} == documents
     out = QUERIES["op9_token_output"](spark, DIR).cache()
     rows = out.filter("book_ids IS NULL")
-    assert {r["doc_id"]: r["decoded"] for r in rows.collect()} == ids
+    assert {r["doc_id"]: r["decoded"] for r in rows.collect()} == documents
     again = huffman.decompress(rows.drop("decoded"), huffman.read_book(out)).collect()  # by the output alone
     assert {r["doc_id"]: r["token_ids"] for r in again} == ids and len(again) == len(ids)
     out.unpersist()

@@ -251,8 +251,13 @@ def test_encoding_and_decoding(spark, reference, monkeypatch):
         got = Counter((r["doc_id"], None if r["token_ids"] is None else tuple(r["token_ids"]), r["n_tokens"]) for r in out.collect())
         want = Counter((i, None if t is None else tuple(reference.encode_ordinary(t)), None if t is None else len(reference.encode_ordinary(t))) for i, t, _ in rows)
         assert got == want
-    by_worker = Counter((r["doc_id"], None if r["token_ids"] is None else tuple(r["token_ids"])) for r in bpe.encode_rows(df).collect())
-    assert by_worker == Counter((i, x) for i, x, _ in want.elements())
+    by_row = Counter((r["doc_id"], None if r["token_ids"] is None else tuple(np.frombuffer(r["token_ids"], "<u4").tolist())) for r in bpe.encode_rows(df).collect())
+    assert by_row == Counter((i, x) for i, x, _ in want.elements())
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in bpe.count_rows(df).collect()) == Counter((i, n) for i, _, n in want.elements())
+    packed = bpe.encode_rows(df)
+    book = huffman.build_book(packed)
+    again = huffman.decompress(huffman.compress(packed, book), book)
+    assert Counter((r["doc_id"], None if r["token_ids"] is None else tuple(r["token_ids"])) for r in again.collect()) == by_row
     back = bpe.decode(out.withColumnRenamed("n_tokens", "decoded"), bpe.token_table(spark)).collect()
     assert Counter((r["doc_id"], r["decoded"]) for r in back) == Counter((i, t) for i, t, _ in rows) and "decoded_in" in back[0].__fields__
 

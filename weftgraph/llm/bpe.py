@@ -16,8 +16,7 @@ import re
 import sys
 import unicodedata
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import pairwise
 
@@ -334,8 +333,10 @@ def token_table(spark: SparkSession, vocabulary: str | None = None) -> DataFrame
     return spark.createDataFrame([(i, b) for b, i in ranks.items()], "id int, bytes binary")
 
 
-def _joined(tokens: DataFrame):
-    """A function from a column of id lists to their tokens' bytes strung together, or None if ids repeat or lie far apart."""
+def joined(tokens: DataFrame) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]] | None:
+    """A step from lists of ids to their tokens' bytes strung together, as ``decode`` takes it; None if ids repeat, lie far apart or are too many to be broadcast."""
+    if tokens.count() > BROADCAST_TOKENS:
+        return None
     found = tokens.select("id", "bytes").filter("id IS NOT NULL").collect()
     known = {r[0]: r[1] for r in found}
     low, high = min(known, default=0), max(known, default=0)
@@ -371,11 +372,7 @@ def _joined(tokens: DataFrame):
             out = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, ends, pa.py_buffer(b"".join(texts))])
             yield pc.if_else(lists.is_valid(), out, pa.scalar(None, pa.binary())) if lists.null_count else out
 
-    @F.arrow_udf("binary")
-    def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from lean(run)(batches)
-
-    return text_of
+    return run
 
 
 def decode(df: DataFrame, tokens: DataFrame, ids_col: str = "token_ids") -> DataFrame:
@@ -387,7 +384,12 @@ def decode(df: DataFrame, tokens: DataFrame, ids_col: str = "token_ids") -> Data
     no UTF-8. Repeated rows are kept apart. An input column ``decoded`` is kept as ``decoded_in``.
     """
     df = tidy(df, ("decoded", "__row"), keep=(ids_col,))
-    if tokens.count() <= BROADCAST_TOKENS and (text_of := _joined(tokens)):
+    if run := joined(tokens):
+
+        @F.arrow_udf("binary")
+        def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from lean(run)(batches)
+
         return df.withColumn("decoded", F.make_valid_utf8(text_of(col(ids_col)).cast("string")))
     df = stable(df)
     rows = df.withColumn("__row", F.monotonically_increasing_id())
@@ -403,82 +405,34 @@ def decode(df: DataFrame, tokens: DataFrame, ids_col: str = "token_ids") -> Data
     return out.select(*[col(c) for c in df.columns], decoded.alias("decoded"))
 
 
-#: Distinct pieces that a worker remembers the ids of; it starts anew beyond. This bounds memory and changes no result.
-KNOWN_PIECES = 1_000_000
-
-
-class _Cut(dict):
-    """Numbers pieces as they come, and encodes each of them once."""
-
-    def __init__(self, own: "_Encoded", before: str) -> None:
-        self.own, self.before = own, before
-
-    def __missing__(self, piece: str) -> int:
-        own = self.own
-        self[piece] = n = len(own.counts)
-        ids = own.encode(self.before + piece)
-        own.flat.extend(ids)
-        own.counts.append(len(ids))
-        return n
-
-
-class _Encoded:
-    """Texts to ids by pieces cut at spaces, with a memory of the pieces met so far."""
-
-    def __init__(self, path: str) -> None:
-        self.encode = encoding(path).encode_ordinary
-        self.forget()
-
-    def forget(self) -> None:
-        self.flat, self.counts = array("i"), array("i")
-        self.heads, self.rests = _Cut(self, ""), _Cut(self, " ")
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, strung together, and how many each text has; a null text has none."""
-        if len(self.counts) > KNOWN_PIECES:
-            self.forget()
-        numbers, sizes = [], np.zeros(len(texts), dtype=np.int64)
-        rest, head = self.rests.__getitem__, self.heads.__getitem__
-        for i, t in enumerate(texts):
-            if t is None:
-                continue
-            first, *others = pieces_of(t)
-            numbers.append(head(first))
-            numbers += map(rest, others)
-            sizes[i] = 1 + len(others)
-        at, counts = np.array(numbers, dtype=np.int64), np.array(self.counts, dtype=np.int64)
-        ends = np.concatenate(([0], np.cumsum(counts[at])))
-        edges = np.cumsum(sizes)
-        return _expand(at, np.cumsum(counts) - counts, counts, np.array(self.flat, dtype=np.int32)), ends[edges] - ends[edges - sizes]
-
-
 def encode_rows(df: DataFrame, vocabulary: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``encode`` without its exchange: ``doc_id`` and ``token_ids``, each worker encoding the distinct pieces that it meets.
+    """``encode`` without its exchange: ``doc_id`` and ``token_ids``, each text encoded by itself, by the tokenizer library.
 
-    For operators that need ids but not each distinct pre-token's encoding in one place. Nulls and repeated rows as in ``encode``.
+    For operators that need ids but not each distinct pre-token's encoding in one place. Here ``token_ids`` is binary, the ids as
+    little-endian 32-bit numbers, which is cheap to store and to read. Nulls and repeated rows as in ``encode``.
     """
-    return _rows(df, vocabulary, text_col, id_col, True)
+
+    def packed(ids: list[np.ndarray | None]) -> pa.Array:
+        return pa.array([None if x is None else x.astype("<u4").tobytes() for x in ids], pa.binary())
+
+    return _rows(df, vocabulary, text_col, id_col, "token_ids binary", packed)
 
 
 def count_rows(df: DataFrame, vocabulary: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id`` and ``n_tokens`` of ``encode``, without the ids."""
-    return _rows(df, vocabulary, text_col, id_col, False)
+    """``doc_id`` and ``n_tokens`` (bigint) of ``encode``, without the ids."""
+    return _rows(df, vocabulary, text_col, id_col, "n_tokens bigint", lambda ids: pa.array([None if x is None else len(x) for x in ids], pa.int64()))
 
 
-def _rows(df: DataFrame, vocabulary: str | None, text_col: str, id_col: str, lists: bool) -> DataFrame:
+def _rows(df: DataFrame, vocabulary: str | None, text_col: str, id_col: str, out: str, made: Callable[[list], pa.Array]) -> DataFrame:
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = _Encoded(path)
+        encode_text = encoding(path).encode_to_numpy
         for b in batches:
             for part in (b.slice(at, TEXTS) for at in range(0, b.num_rows, TEXTS)):
-                flat, counts = encoded(part.column(1).to_pylist())
-                if lists:
-                    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                    made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=part.column(1).is_null())
-                else:
-                    made = pc.if_else(part.column(1).is_valid(), pa.array(counts, pa.int64()), pa.scalar(None, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), made], ["doc_id", "token_ids" if lists else "n_tokens"])
+                texts = (t.as_py() for t in part.column(1))
+                ids = (None if t is None else encode_text(t, disallowed_special=()) for t in texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), made(list(ids))], ["doc_id", out.split()[0]])
 
     docs = tidy(df).select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"))
-    return docs.mapInArrow(lean(run), "doc_id bigint, " + ("token_ids array<int>" if lists else "n_tokens bigint"))
+    return docs.mapInArrow(lean(run), "doc_id bigint, " + out)

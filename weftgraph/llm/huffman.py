@@ -3,12 +3,12 @@
 One pass counts all ids; package-merge turns the counts into code lengths of at most ``max_len`` bits,
 and lengths alone fix the canonical codes. Every row's ids become one bit string, with the bit offset of
 every ``block``-th id beside it: any block can be decoded without the others, by one table
-lookup for each id.
+lookup for each id. Ids come as arrays, or as binary columns of little-endian 32-bit numbers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -132,8 +132,11 @@ def encode_rows(flat: np.ndarray, counts: np.ndarray, book: Book, block: int = B
     return out
 
 
-def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids and how many each row has; null lists have none, null ids are left out."""
+    if pa.types.is_binary(lists.type):
+        counts = pc.fill_null(pc.binary_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        return np.frombuffer(b"".join(x for x in lists.to_pylist() if x), dtype="<u4"), counts
     counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten()
     if flat.null_count:
@@ -156,7 +159,7 @@ def _slices(counts: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _ids_column(df: DataFrame, ids_col: str) -> F.Column:
     kind = df.select(col(ids_col)).schema[0].dataType
-    plain = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.IntegerType, T.LongType))
+    plain = isinstance(kind, T.BinaryType) or isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.IntegerType, T.LongType))
     return col(ids_col) if plain else col(ids_col).cast("array<bigint>")
 
 
@@ -244,6 +247,7 @@ def build_book(df: DataFrame, ids_col: str = "token_ids", max_len: int = MAX_LEN
     return Book(np.array([r["id"] for r in rows], np.int64), code_lengths(np.array([r["n"] for r in rows], np.int64), max_len))
 
 
+Into = tuple[str, T.DataType, Callable[[Iterator[pa.Array]], Iterator[pa.Array]]]
 _OUT = ("n_tokens", "n_bits", "bits", "checkpoints")
 
 
@@ -274,28 +278,32 @@ def compress(df: DataFrame, book: Book, ids_col: str = "token_ids", block: int =
     return lists.mapInArrow(lean(run), schema)
 
 
-def decompress(df: DataFrame, book: Book, block: int = BLOCK, keep: bool = False) -> DataFrame:
+def decompress(df: DataFrame, book: Book, block: int = BLOCK, keep: bool = False, into: Into | None = None) -> DataFrame:
     """All other columns of ``compress``, with ``keep`` its own as well, with ``token_ids`` (array<bigint>) back again.
 
+    ``into`` is a column's name and type and a step from lists of ids to it, which then takes the place of ``token_ids``.
     Null ``bits`` give null, a row of no ids gives an empty list. Repeated rows are decoded alike. A book other than the one that coded the rows gives
-    other ids. An input column ``token_ids`` is kept as ``token_ids_in``.
+    other ids. An input column of the new one's name is kept with ``_in`` behind it.
     """
-    df = tidy(df, ("token_ids",))
+    new, kind, step = into or ("token_ids", T.ArrayType(T.LongType()), lambda lists: lists)
+    df = tidy(df, (new,))
     names = [c.lower() for c in df.columns]
     coded = [names.index(c) for c in ("n_tokens", "bits", "checkpoints")]
     rest = [k for k, c in enumerate(names) if keep or c not in _OUT]
+    schema = T.StructType([df.schema.fields[k] for k in rest] + [T.StructField(new, kind)])
+    columns = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, data, marks = (b.column(k).to_pylist() for k in coded)
-            rows = decode_rows(data, n, marks, book, block)
-            offsets = np.cumsum([0, *(0 if r is None else len(r) for r in rows)], dtype=np.int32)
-            flat = np.concatenate([np.empty(0, np.int64), *(r for r in rows if r is not None)])
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([r is None for r in rows], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), ids], [*(df_names[k] for k in rest), "token_ids"])
-
-    df_names = df.columns
-    schema = T.StructType([df.schema.fields[k] for k in rest] + [T.StructField("token_ids", T.ArrayType(T.LongType()))])
+        for batch in batches:
+            sizes = pc.fill_null(batch.column(coded[0]), 0).to_numpy().astype(np.int64)
+            for lo, hi in _slices(sizes):
+                b = batch.slice(lo, hi - lo)
+                rows = decode_rows(*(b.column(k).to_pylist() for k in (coded[1], coded[0], coded[2])), book, block)
+                offsets = np.cumsum([0, *(0 if r is None else len(r) for r in rows)], dtype=np.int32)
+                flat = np.concatenate([np.empty(0, np.int64), *(r for r in rows if r is not None)])
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([r is None for r in rows], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), *step(iter([ids]))], columns)
+
     return df.mapInArrow(lean(run), schema)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 from . import bpe, fingerprints, html_extract, huffman, jaccard, langid, licenses, packing, quality, sharding
@@ -52,15 +54,16 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids of every document as Huffman bits with checkpoints, and ``decoded``, the ids that the bits give back.
+    """Token ids of every document as Huffman bits with checkpoints, and ``decoded``, the text that bits and token table give back.
 
     One more row, without ``doc_id``, has the code book, so that the output can be decoded by itself.
     """
     ids = stash(bpe.encode_rows(read(ship(spark), sf_dir, "documents")), "token-ids")
     book = huffman.build_book(ids)
-    coded = huffman.compress(ids, book)
-    back = huffman.decompress(coded, book, keep=True).withColumnRenamed("token_ids", "decoded")
-    return back.unionByName(huffman.book_row(spark, book), allowMissingColumns=True)
+    step = bpe.joined(bpe.token_table(spark))
+    back = huffman.decompress(huffman.compress(ids, book), book, keep=True, into=("decoded", T.BinaryType(), step))
+    text = back.withColumn("decoded", F.make_valid_utf8(F.col("decoded").cast("string")))
+    return text.unionByName(huffman.book_row(spark, book), allowMissingColumns=True)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
