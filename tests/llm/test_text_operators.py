@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -238,6 +239,18 @@ LICENSE_TEXTS = {
     "Licensed under the Apache License, Version 2.0 (the License)": "Apache-2.0",
     "see https://creativecommons.org/licenses/by-nc-nd/4.0/ for it": "CC-BY-NC-ND-4.0",
     "Licensed under\n   the Apache\tLicense,  Version 2.0": "Apache-2.0",
+    "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated documentation\n# files": "MIT",
+    "/*\n * This file is free; either version 2 of the License, or\n * (at your option) any later version.\n */": "GPL-2.0-or-later",
+    "// under the terms of the GNU Affero General\n//   Public License, version 3 or later": "AGPL-3.0-or-later",
+    "-- Redistributions of source code must retain the above\n-- copyright notice, this list of conditions and the\n-- following disclaimer": "BSD",
+    "The Software shall be used for Good, not Evil.": "JSON",
+    "%% Neither the name of the Widget Company nor the\n%% names of its contributors": "BSD-3-Clause",
+    "This product includes software developed by the OpenSSL Project\n * for use in the OpenSSL Toolkit.": "OpenSSL",
+    "If a copy of the MPL was not distributed with this\n * file, You can obtain one at": "MPL-2.0",
+    "You may not provide the software to third parties as a hosted or managed service": "Elastic-2.0",
+    "THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES": "BSD",
+    "Zope Public License (ZPL)": "ZPL-2.1",
+    "CC-BY-SA-3.0": "CC-BY-SA-3.0",
 }
 
 
@@ -247,6 +260,30 @@ def test_license_found(text):
     assert LICENSE_TEXTS[text] in {book[n].license for n, _, _ in licenses.detect(text)}
 
 
+def test_versions_end_where_their_digits_end():
+    book = licenses.rules()
+    name = lambda t: {book[n].license for n, _, _ in licenses.detect(t)}
+    assert name("Apache License 20") == {"Apache"} and "Apache-2.0" in name("Apache License 2.0.") and "Apache-2.0" in name("Apache License 2, and")
+    assert name("GNU GPL version 15") == {"GPL"} and name("Microsoft Public License") == {"MS-PL"} and name("a plain sentence.\n# and more") == set()
+
+
+def test_every_rule_can_pass_its_prefilter():
+    """The keyword of a text rule occurs in what the rule matches, so far as the rule has no alternatives."""
+    for line in licenses._TEXTS.strip().splitlines():
+        _, _, keywords, pattern = (x.strip() for x in line.split("|", 3))
+        if not re.search(r"[?)}*+](?!\\)|\|", pattern.replace("[cs]e", "se")):
+            plain = re.sub(r"\\(.)", r"\1", pattern).lower().replace("[cs]", "s")
+            assert any(k.replace("licence", "license") in plain.replace("licen[cs]e", "license").replace("license", "license") for k in keywords.split(";")) or "licen" in keywords, line
+
+
+@pytest.mark.parametrize("text", ["GPL ", "MIT License\n# ", "Apache License" + " " * 1000, "licensed under the ", "Creative Commons "])
+def test_licenses_of_very_long_texts(text):
+    many = text * (1_000_000 // len(text))
+    began = time.perf_counter()
+    found = licenses.detect(many)
+    assert time.perf_counter() - began < 10 and len(found) in (0, many.count(text))
+
+
 def test_license_order_and_prefilter():
     book = licenses.rules()
     assert len(book) > 200

@@ -1,14 +1,16 @@
 """License scan by ordered signature rules.
 
 A rule is a regular expression with a priority and literal keywords, one of which any match must
-hold, in lower case and with single spaces. An Aho-Corasick pass over each text so normalised finds the
-keywords that occur; only their rules run. Of the detections, taken by priority, then length, then place, one is dropped when
-its interval lies within that of a detection already kept.
+hold, in lower case and with single spaces. A space of a rule stands for any white space, and after a line break for the marks
+that start a comment's line as well, so that wrapped headers are found. An Aho-Corasick pass over each text so normalised finds the
+keywords that occur; only their rules run. Gaps are possessive, and a version number ends where its digits end. Of the detections, taken by priority, then length, then place,
+one is dropped when its interval lies within that of a detection already kept.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -166,7 +168,7 @@ GPL | 60 | along with this program | You should have received a copy of the GNU
 LGPL | 60 | gnu lesser general | You should have received a copy of the GNU Lesser General Public Licen[cs]e along with this (?:library|program)
 AGPL-3.0 | 90 | remote network interaction | Remote Network Interaction; Use with the GNU General Public Licen[cs]e
 GPL-3.0-only | 90 | free, copyleft | The GNU General Public Licen[cs]e is a free, copyleft licen[cs]e for software and other kinds of works
-GPL-2.0-only | 90 | share and change it | is intended to guarantee your freedom to share and change free software
+GPL-2.0-only | 90 | share and change free | is intended to guarantee your freedom to share and change free software
 MPL-2.0 | 90 | source code form is subject | This Source Code Form is subject to the terms of the Mozilla Public Licen[cs]e, v\. 2\.0
 MPL-1.1 | 90 | contents of this file are subject | The contents of this file are subject to the Mozilla Public Licen[cs]e Version 1\.1
 EPL-1.0 | 90 | this program and the accompanying | This program and the accompanying materials are made available under the terms of the Eclipse Public Licen[cs]e v1\.0
@@ -238,6 +240,100 @@ Apache | 30 | apache licen;apache software | \bApache(?: Software)? Licen[cs]e
 GPL | 25 | gpl | \bGPL\b
 LGPL | 25 | lgpl | \bLGPL\b
 AGPL | 25 | agpl | \bAGPL\b
+Apache-2.0 | 88 | derivative works a copy | You must give any other recipients of the Work or Derivative Works a copy of this Licen[cs]e
+Apache-2.0 | 88 | prominent notices stating | You must cause any modified files to carry prominent notices stating that You changed the files
+Apache-2.0 | 88 | names, trademarks, service marks | This Licen[cs]e does not grant permission to use the trade names, trademarks, service marks, or product names of the Licensor
+Apache-1.1 | 90 | developed by the apache | This product includes software developed by the Apache (?:Software Foundation|Group)
+Apache-1.1 | 90 | products derived from this software may not be called | Products derived from this software may not be called "?Apache"?
+GPL-2.0-only | 88 | when we speak of free software | When we speak of free software, we are referring to freedom, not price\. Our General Public Licen[cs]es are designed to make sure that you have the freedom to distribute copies of free software \(and charge for this service if you wish\)
+GPL-2.0-only | 88 | this license applies to any program;this licence applies to any program | This Licen[cs]e applies to any program or other work which contains a notice placed by the copyright holder
+GPL-2.0-only | 88 | accompany it with the complete | Accompany it with the complete corresponding machine-readable source code
+GPL-3.0-only | 88 | to protect your rights | To protect your rights, we need to prevent others from denying you these rights or asking you to surrender the rights
+GPL-3.0-only | 88 | user product | A "?User Product"? is either \(1\) a "?consumer product"?
+GPL-3.0-only | 88 | conveying verbatim | Conveying Verbatim Copies\.? You may convey verbatim copies of the Program's source code as you receive it
+GPL-3.0-only | 88 | automatic licensing of downstream | Automatic Licensing of Downstream Recipients
+LGPL-2.1-only | 90 | library (or with a work;work based on the library | A "?work based on the Library"? means either the Library or any derivative work
+LGPL-2.1-only | 90 | designated software packages | This licen[cs]e, the Lesser General Public Licen[cs]e, applies to some specially designated software packages
+LGPL-3.0-only | 90 | incorporates the terms and conditions of version 3 | This version of the GNU Lesser General Public Licen[cs]e incorporates the terms and conditions of version 3
+LGPL-2.0-only | 90 | released version of the library gpl | the first released version of the library GPL
+LGPL | 60 | this library is free software | This library is free software[:;] you can redistribute it and/or modify it under the terms of the GNU (?:Lesser|Library) General Public Licen[cs]e
+AGPL-3.0 | 90 | interacting with it remotely | all users interacting with it remotely through a computer network
+AGPL-3.0-or-later | 80 | affero general public | it under the terms of the GNU Affero General Public Licen[cs]e as published by the Free Software Foundation
+GPL-exception | 70 | special exception | As a special exception,? (?:the copyright holders?|you may|if you|to the GNU)
+MPL-2.0 | 90 | could not distribute;can obtain one at | If a copy of the MPL was not distributed with this file, You can obtain one at
+MPL-2.0 | 88 | incompatible with secondary | "?Incompatible With Secondary Licen[cs]es"?
+MPL-1.1 | 88 | software distributed under the license is distributed | Software distributed under the Licen[cs]e is distributed on an "AS IS" basis, WITHOUT WARRANTY OF ANY KIND, either express or implied\. See the Licen[cs]e for the specific language governing rights and limitations
+MPL-1.1 | 88 | the initial developer of the | The Initial Developer of the Original Code is
+EPL-2.0 | 88 | secondary license;secondary licence | This Source Code may also be made available under the following Secondary Licen[cs]es
+EPL-1.0 | 85 | this eclipse public;eclipse public | THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICEN[CS]E
+CPL-1.0 | 90 | common public | THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS COMMON PUBLIC LICEN[CS]E
+CDDL-1.0 | 85 | cddl header | CDDL HEADER START
+BSD-2-Clause-Views | 91 | official policies | should not be interpreted as representing official policies, either expressed or implied
+BSD-3-Clause-Clear | 92 | no express or implied | NO EXPRESS OR IMPLIED LICEN[CS]ES TO ANY PARTY'S PATENT RIGHTS ARE GRANTED BY THIS LICEN[CS]E
+BSD-3-Clause | 88 | neither the name | Neither the names? of (?:the )?[\w<>.,'"()\s-]{1,120}? nor the names of (?:its|his|her|their|any) contributors
+BSD | 60 | software is provided by the | THIS SOFTWARE IS PROVIDED BY THE (?:COPYRIGHT HOLDERS(?: AND CONTRIBUTORS)?|REGENTS AND CONTRIBUTORS|AUTHORS?) "?AS IS"? AND ANY EXPRESS OR IMPLIED WARRANTIES
+BSD | 55 | regents and contributors | THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS
+BSD-4-Clause | 92 | university of california, berkeley | This product includes software developed by the University of California, Berkeley
+0BSD | 92 | permission to use | Permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\. THE SOFTWARE
+ISC | 85 | the author disclaims | THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS
+MIT-0 | 92 | to do so | to permit persons to whom the Software is furnished to do so\. THE SOFTWARE IS PROVIDED
+X11 | 92 | x consortium | Except as contained in this notice, the name of the X Consortium shall not be used in advertising
+X11 | 88 | except as contained in this notice | Except as contained in this notice, the names? of [\w<>.,'"()\s-]{1,120}? shall not be used in advertising or otherwise to promote the sale
+MIT-feh | 85 | shall be given in the documentation | acknowledge?ment shall be given in the documentation
+JSON | 95 | good, not evil | The Software shall be used for Good, not Evil
+Commons-Clause | 95 | commons clause | "?Commons Clause"? Licen[cs]e Condition
+HPND | 88 | appear in supporting documentation | that both that copyright notice and this permission notice appear in supporting documentation
+NTP | 88 | representations about the suitability | makes no representations about the suitability (?:of )?this software for any purpose
+SMLNJ | 88 | and its documentation for any purpose and without fee | Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby granted
+PostgreSQL | 91 | without a written agreement | for any purpose, without fee, and without a written agreement is hereby granted
+TCL | 90 | this notice is included verbatim | provided that existing copyright notices are retained in all copies and that this notice is included verbatim in any distributions
+Zlib | 88 | altered source versions | Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software
+Zlib | 88 | may not be removed or altered | This notice may not be removed or altered from any source distribution
+Libpng | 90 | supplied "as is";png reference | The PNG Reference Library is supplied "AS IS"
+OpenSSL | 92 | openssl toolkit;openssl project | This product includes software developed by the OpenSSL Project for use in the OpenSSL Toolkit
+SSLeay | 92 | eric young | This product includes cryptographic software written by Eric Young
+PHP-3.01 | 90 | includes php software | This product includes PHP software, freely available from
+PSF-2.0 | 88 | psf is making python | PSF is making Python available to Licensee on an "AS IS" basis
+PSF-2.0 | 85 | beopen.com | BEOPEN\.COM LICEN[CS]E AGREEMENT FOR PYTHON
+CNRI-Python | 90 | cnri | CNRI (?:OPEN SOURCE )?LICEN[CS]E AGREEMENT
+W3C | 90 | permission to copy, modify, and distribute | Permission to copy, modify, and distribute this software and its documentation, with or without modification, for any purpose and without fee or royalty is hereby granted
+Unicode-3.0 | 90 | and any associated documentation | Permission is hereby granted, free of charge, to any person obtaining a copy of (?:the Unicode )?data files and any associated documentation
+ICU | 88 | this permission notice appear in all copies | provided that the above copyright notice\(s\) and this permission notice appear in all copies of the Software
+curl | 90 | copy, modify, and distribute this software for any purpose | All rights reserved\. Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies
+IJG | 90 | independent jpeg | This software is based in part on the work of the Independent JPEG Group
+FTL | 90 | freetype | Portions of this software are copyright (?:\(c\)|©)? ?[\w<>\s,-]{0,40} ?The FreeType Project
+MS-PL | 90 | bring a patent claim | If you bring a patent claim against any contributor over patents that you claim are infringed by the software, your patent licen[cs]e from such contributor to the software ends automatically
+MS-PL | 85 | this license governs use;this licence governs use | This licen[cs]e governs use of the accompanying software\. If you use the software, you accept this licen[cs]e
+MS-RL | 92 | reciprocal grants | Reciprocal Grants ?[-–]? ?For any file you distribute that contains code from the software
+Ruby | 88 | place your modifications | place your modifications in the Public Domain or otherwise make them Freely Available
+Artistic-1.0 | 90 | state the conditions under which a package | The intent of this document is to state the conditions under which a Package may be copied
+Artistic-2.0 | 88 | use the standard version | You are permitted to use the Standard Version and create and use Modified Versions for any purpose
+Vim | 90 | charityware;help poor children | Vim is Charityware
+LPPL-1.3c | 90 | conditions of the latex | This work may be distributed and/or modified under the conditions of the LaTeX Project Public Licen[cs]e
+OFL-1.1 | 88 | sold by itself | Neither the Font Software nor any of its individual components,? in Original or Modified Versions,? may be sold by itself
+UPL-1.0 | 88 | larger works | the "?Larger Works"?
+NCSA | 88 | university of illinois | Developed by: ?[\w\s,.-]{0,80} University of Illinois
+CC0-1.0 | 88 | affirmer | Affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives
+CC-BY-4.0 | 88 | attribution 4.0 | Creative Commons Attribution 4\.0 International Public Licen[cs]e
+CC-BY-SA-4.0 | 90 | sharealike 4.0 | Creative Commons Attribution-ShareAlike 4\.0 International Public Licen[cs]e
+CC-BY-NC-4.0 | 90 | noncommercial 4.0 | Creative Commons Attribution-NonCommercial 4\.0 International Public Licen[cs]e
+CC-BY-NC-SA-4.0 | 92 | noncommercial-sharealike | Creative Commons Attribution-NonCommercial-ShareAlike 4\.0 International Public Licen[cs]e
+CC-BY-NC-ND-4.0 | 92 | noncommercial-noderivatives | Creative Commons Attribution-NonCommercial-NoDerivatives 4\.0 International Public Licen[cs]e
+CC-BY-ND-4.0 | 90 | attribution-noderivatives | Creative Commons Attribution-NoDerivatives 4\.0 International Public Licen[cs]e
+ODbL-1.0 | 88 | produced work | you must include a notice associated with the Produced Work
+SSPL-1.0 | 92 | offering the program as a service | Offering the Program as a Service
+Elastic-2.0 | 90 | hosted or managed service | You may not provide the software to third parties as a hosted or managed service
+BUSL-1.1 | 88 | change date | on the Change Date, or the fourth anniversary of the first publicly available distribution
+PolyForm-NC-1.0.0 | 90 | noncommercial purpose | Any noncommercial purpose is a permitted purpose
+Hippocratic | 90 | hippocratic | Hippocratic Licen[cs]e(?: HL3| \d\.\d)?
+OpenRAIL | 85 | openrail;open rail | (?:\w+ )?Open ?RAIL(?:-[MSDA])?(?: Licen[cs]e)?
+Llama | 85 | llama | (?:META )?LLAMA \d(?:\.\d)? COMMUNITY LICEN[CS]E(?: AGREEMENT)?
+SQLite-blessing | 90 | do good and not evil | May you do good and not evil
+Sendmail | 85 | sendmail licen | SENDMAIL LICEN[CS]E
+EUPL-1.2 | 88 | licensed under the eupl;licenced under the eupl | Licen[cs]ed under the EUPL
+CECILL-2.1 | 88 | governed by the cecill | This software is governed by the CeCILL licen[cs]e
+Proprietary | 55 | trade secret | (?:contains|constitutes?) (?:confidential|proprietary)(?: and proprietary)? (?:information|trade secrets?)
+Proprietary | 55 | internal use only | for internal use only
 Unknown | 10 | licensed under;licenced under | (?:is |are )?licen[cs]ed under(?: the)?(?: terms of)?
 Unknown | 10 | see licen;see the licen;see copying;see the copying;see file;see the file;see accompanying;see the accompanying | See (?:the )?(?:accompanying )?(?:file )?(?:LICEN[CS]E|COPYING)(?:\.\w+)?(?: file)?
 """
@@ -249,14 +345,20 @@ _GRANT = (
 )
 
 
+#: What may stand before the words on a comment's line.
+_LEADERS = r"[\s#*/;%!|>-]*+"
+_GAP = rf"[^\S\n]*+\n{_LEADERS}|\s++"
+_WRAP = re.compile(rf"\n{_LEADERS}")
+
+
 class Rule:
     """One signature: where it stands in the order, what it finds, and what must occur for it to match."""
 
     def __init__(self, number: int, license_id: str, priority: int, keyword: str, pattern: str) -> None:
         self.name, self.license, self.priority, self.keywords = f"r{number:03d}", license_id, priority, tuple(keyword.split(";"))
-        for a, b in (("[- ]", r"[-\s]"), ("[ ]", r"\s"), (" ?", r"\s*"), (" ", r"\s+")):
+        for a, b in (("[- ]", r"[-\s]"), ("[ ]", r"\s"), (" ?", f"(?:{_GAP})?+"), (" ", f"(?:{_GAP})")):
             pattern = pattern.replace(a, b)
-        self.regex = re.compile(pattern, re.I | re.A)
+        self.regex = re.compile(f"(?:{pattern})(?:(?<!\\d)|(?!\\.?\\d))", re.I | re.A)
 
 
 @lru_cache(maxsize=1)
@@ -293,7 +395,7 @@ def _automaton():
 
 def candidates(text: str) -> list[int]:
     """Numbers of the rules whose keyword the text holds."""
-    words = {w for _, w in _automaton().iter(" ".join(text.lower().split()))}
+    words = {w for _, w in _automaton().iter(" ".join(_WRAP.sub(" ", text.lower()).split()))}
     return sorted({n for _, numbers in words for n in numbers})
 
 
@@ -301,9 +403,16 @@ def resolve(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Of (rule number, start, end), those that do not lie within a better one; by place."""
     book = rules()
     kept: list[tuple[int, int, int]] = []
+    starts: list[int] = []  # of kept intervals that lie in no other one, so that the ends ascend as well
+    ends: list[int] = []
     for n, a, b in sorted(found, key=lambda f: (-book[f[0]].priority, f[1] - f[2], f[1], f[0])):
-        if not any(x <= a and b <= y for _, x, y in kept):
-            kept.append((n, a, b))
+        at = bisect_right(starts, a)
+        if at and ends[at - 1] >= b:
+            continue
+        kept.append((n, a, b))
+        at = bisect_left(starts, a)
+        over = bisect_right(ends, b, lo=at)
+        starts[at:over], ends[at:over] = [a], [b]
     return sorted(kept, key=lambda f: (f[1], f[2], f[0]))
 
 
