@@ -82,8 +82,10 @@ def clean(df: DataFrame, text_col: str = "text", min_kept: float = MIN_KEPT) ->
     names = df.columns
     lines = F.expr(r"filter(transform(split(coalesce(__t, ''), '\n'), x -> btrim(x, ' \t\r')), x -> x <> '')")
     judged = df.withColumn("__t", col(text_col)).withColumn("__l", lines)
-    judged = judged.withColumn("__l", F.expr("transform(__l, x -> named_struct('line', x, 'low', lower(x)))"))
-    judged = judged.withColumn("__l", F.expr(f"transform(__l, x -> named_struct('line', x.line, 'n', length(x.line), 'rule', {line_rule('x.line', 'x.low')}))"))
+    low = F.expr("transform(__l, x -> named_struct('line', x, 'low', lower(x)))")
+    rules = F.expr(f"transform(__l, x -> named_struct('line', x.line, 'n', length(x.line), 'rule', {line_rule('x.line', 'x.low')}))")
+    # a generator, so that filters on what is counted below do not judge the lines again
+    judged = judged.withColumn("__l", low).select(*[col(c) for c in names], F.explode(F.array(rules)).alias("__l"))
     chars = lambda cond: F.expr(f"aggregate(__l, 0L, (s, x) -> s + CASE WHEN {cond} THEN x.n ELSE 0 END)")
     count = lambda cond: F.expr(f"CAST(size(filter(__l, x -> {cond})) AS BIGINT)")
     out = judged.select(
