@@ -6,6 +6,7 @@ import random
 import re
 import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 
@@ -334,6 +335,142 @@ def test_html_odd_inputs(spark):
     assert html_extract.extract(docs(spark, [], "page_id bigint, url string, html string")).count() == 0
 
 
+# The extraction over again, on well-formed pages, by the standard library's parser and a tree of nodes.
+
+
+class Node:
+    def __init__(self, tag, parent, names=()):
+        self.tag, self.parent, self.children, self.score = tag, parent, [], 0
+        name = ".".join([tag or "", *names])
+        self.path = name if parent is None or parent.tag is None else parent.path + "/" + name
+
+    def up(self):
+        node = self
+        while node.tag is not None:
+            yield node
+            node = node.parent
+
+
+class Tree(HTMLParser):
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.root = self.now = Node(None, None)
+        self.containers, self.skip = [], 0
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "title"):
+            self.skip += 1
+        elif tag == "br":
+            self.now.children.append("\n")
+        else:
+            made = Node(tag, self.now, sorted({re.sub(r"\d+", "#", c) for c in (dict(attrs).get("class") or "").split()}))
+            self.now.children.append(made)
+            self.now = made
+            if tag in ("html", "body", "div", "nav", "footer", "ul", "section"):
+                self.containers.append(made)
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "title"):
+            self.skip -= 1
+        else:
+            self.now = self.now.parent
+
+    def handle_data(self, data):
+        if self.skip or not data:
+            return
+        self.now.children.append(data)
+        around = [n for n in self.now.up() if n.tag in ("body", "div", "nav", "footer", "ul", "section")]
+        size = len(" ".join(data.split())) * (-1 if any(n.tag == "a" for n in self.now.up()) else 1)
+        for n, k in zip(around, (2, 1)):
+            n.score += k * size
+
+    def votes(self):
+        by = Counter()
+        for n in self.containers:
+            if n.tag != "html" and n.score > 0 and not any(x.tag in ("nav", "footer") for x in n.up()):
+                by[n.path] += n.score
+        total = sum(by.values())
+        return {p: 1000 * v // total for p, v in by.items() if 1000 * v // total}
+
+    def best(self):
+        good = [n for n in self.containers if n.tag != "html" and n.score > 0 and not any(x.tag in ("nav", "footer") for x in n.up())]
+        return max(good, key=lambda n: n.score).path if good else None
+
+    def text(self, path):
+        def strings(n):
+            for c in n.children:
+                if isinstance(c, str):
+                    yield c
+                elif c.tag not in ("nav", "footer"):
+                    block = c.tag not in ("a", "b")
+                    yield from (["\n"] if block else [])
+                    yield from strings(c)
+                    yield from (["\n"] if block else [])
+
+        on = [self.root] if path is None else [n for n in self.containers if n.path == path]
+        lines = "\n".join("".join(x if x == "\n" else re.sub(r"\s+", " ", x) for x in strings(n)) for n in on).split("\n")
+        return "\n".join(x for x in (re.sub(r"\s+", " ", y).strip() for y in lines) if x)
+
+
+def random_page(rng):
+    words = lambda: " ".join(rng.choice("alpha beta gamma &amp; delta 7 &lt;epsilon".split()) for _ in range(rng.randint(1, 9)))
+
+    def inner(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            k = rng.randint(0, 6)
+            if k < 2 or depth > 4:
+                out.append(f"<p>{words()}<br>{words()} <b>{words()}</b></p>")
+            elif k == 2:
+                out.append(f'<a href="#">{words()}</a> {words()}')
+            else:
+                tag = rng.choice(["div", "div", "section", "nav", "footer", "ul"])
+                inside = "".join(f"<li>{words()}</li>" for _ in range(2)) if tag == "ul" else inner(depth + 1)
+                out.append(f'<{tag} class="{rng.choice(["c1 b", "b c2", "main", "x"])}">{inside}</{tag}>')
+        return "\n".join(out)
+
+    return f"<html><head><title>t</title><style>a</style></head><body>{inner(0)}<script>if (a < b) c()</script></body></html>"
+
+
+def test_extraction_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = [(i, f"http://h{rng.randrange(6)}.org/{i}", random_page(rng)) for i in range(120)]
+    trees, votes, pages = {i: Tree(h) for i, _, h in rows}, {}, Counter()
+    for i, url, _ in rows:
+        host = url[7:13]
+        votes.setdefault(host, Counter()).update(trees[i].votes())
+        pages.update((host, p) for p in trees[i].votes())
+    best = {h: min(c, key=lambda p: (-c[p], -pages[h, p], p)) for h, c in votes.items() if c}
+    got = {r["page_id"]: r for r in html_extract.extract(docs(spark, rows, "page_id bigint, url string, html string")).collect()}
+    seen = Counter()
+    for i, url, _ in rows:
+        for method, path in (("consensus", best.get(url[7:13])), ("own", trees[i].best()), ("body", None)):
+            if (path or method == "body") and (text := trees[i].text(path)):
+                break
+        assert (got[i]["method"], got[i]["path"], got[i]["text"], got[i]["n_chars"]) == (method, path, text, len(text)), i
+        seen[method] += 1
+    assert seen["consensus"] > 40 and len(seen) > 1
+
+
+@pytest.mark.parametrize("part", ["<span>", "<div>", "<div>x", "<td>", "<ul><li>x", "<!", "<", "<a href='", "<p>x", "<div class='deep one'>x<p>y"])
+def test_very_long_and_deep_pages(part):
+    began = time.perf_counter()
+    page = html_extract.Page(part * (1_000_000 // len(part)))
+    assert all(len(p) <= html_extract.MAX_PATH + 33 for p in page.votes())
+    assert page.text(page.best()) is not None or page.best() is None
+    assert page.text(None) is not None and time.perf_counter() - began < 30
+
+
+def test_long_paths_are_told_apart():
+    deep = "<div class='level'>" * 300
+    a, b = (html_extract.Page(deep + f"<div class='{c}'>" + "<div>" * 200 + "text of the page") for c in "xy")
+    again = html_extract.Page("<p>other</p>" + deep + "<div class='x'>" + "<div>" * 200 + "else")
+    assert a.best() != b.best() and len(a.best()) <= html_extract.MAX_PATH + 33 and a.best() == again.best()
+    assert b.text(a.best()) is None and again.text(a.best()) == "else"
+
+
 def test_votes_against_brute_force(spark):
     rows = [(i, f"http://h{i % 3}/x", PAGE.format(n=i, text="word " * (i + 1), ads="ad " * (9 - i))) for i in range(9)]
     want: dict[str, Counter] = {}
