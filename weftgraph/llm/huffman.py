@@ -71,17 +71,18 @@ class Book:
         by_id = np.argsort(self.ids)
         self._sorted, self._by_id = self.ids[by_id], by_id
         self._first = first
-        self._dense = None
+        self._dense = self._table = None
         if len(order) and self._sorted[0] >= 0 and self._sorted[-1] < DENSE:
             self._dense = np.full(int(self._sorted[-1]) + 1, -1, dtype=np.int32)
             self._dense[self._sorted] = by_id
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Id and length for every string of ``max_len`` bits."""
-        if not hasattr(self, "_table"):
+    def table(self) -> np.ndarray:
+        """For every string of ``max_len`` bits the place of its id in ``ids``, and in the low 5 bits the length of its code."""
+        if self._table is None:
             reps = np.diff(self._first)
             free = (1 << self.max_len) - int(self._first[-1])  # only with a single id
-            self._table = (np.concatenate((np.repeat(self.ids, reps), np.full(free, -1))), np.concatenate((np.repeat(self.lengths, reps), np.full(free, 1))))
+            places = np.concatenate((np.repeat(np.arange(len(self.ids)) << 5 | self.lengths, reps), np.full(free, 1)))
+            self._table = places.astype(np.int32)
         return self._table
 
     def look_up(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,15 +166,15 @@ def _ids_column(df: DataFrame, ids_col: str) -> F.Column:
 
 def decode_block(bits: bytes, start: int, n: int, book: Book) -> list[int]:
     """``n`` ids from bit ``start`` on, one table lookup each."""
-    ids, lens = book.table()
+    table = book.table()
     out, m = [], book.max_len
     at = start
     for _ in range(n):
         byte = at >> 3
         window = int.from_bytes(bits[byte : byte + 4].ljust(4, b"\0"), "big")
         k = (window >> (32 - m - (at & 7))) & ((1 << m) - 1)
-        out.append(int(ids[k]))
-        at += int(lens[k])
+        out.append(int(book.ids[table[k] >> 5]))
+        at += int(table[k]) & 31
     return out
 
 
@@ -182,20 +183,19 @@ def decode_blocks(data: bytes, starts: np.ndarray, counts: np.ndarray, book: Boo
     total = int(counts.sum())
     if not total:
         return np.empty(0, dtype=np.int64)
-    ids, lens = book.table()
-    m = book.max_len
+    table, m = book.table(), book.max_len
     raw = np.frombuffer(data + b"\0" * 8, dtype=np.uint8).astype(np.uint32)
-    windows = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
+    windows = (raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]).astype(np.int64)
     order = np.argsort(-counts, kind="stable")  # the longest first: those that go on are always at the front
     at, to = starts[order].astype(np.int64), (np.cumsum(counts) - counts)[order]
     going = len(counts) - np.cumsum(np.bincount(counts, minlength=int(counts.max()) + 1))
-    out, mask = np.empty(total, dtype=np.int64), np.uint32((1 << m) - 1)
+    found, mask, room = np.empty(total, dtype=np.int32), (1 << m) - 1, 32 - m
     for step, n in enumerate(going[:-1].tolist()):
         here = at[:n]
-        k = windows[here >> 3] >> (32 - m - (here & 7)).astype(np.uint32) & mask
-        out[to[:n] + step] = ids[k]
-        here += lens[k]
-    return out
+        k = table[windows[here >> 3] >> (room - (here & 7)) & mask]
+        found[to[:n] + step] = k
+        here += k & 31
+    return book.ids[found >> 5]
 
 
 def decode_rows(bits: list[bytes | None], n_ids: list[int | None], marks: list, book: Book, block: int = BLOCK) -> list[np.ndarray | None]:
