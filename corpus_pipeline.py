@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import jaccard, langid, packing, quality
+from weftgraph.llm import bpe, jaccard, langid, packing, quality
 from weftgraph.llm.common import col, read, stash
 from weftgraph.llm.queries import CAPACITY
 from weftgraph.session import ship
@@ -37,8 +37,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bins of all documents kept so far."""
-    return packing.pack(docs, CAPACITY)
+    """The bins of all documents kept so far, by their numbers of byte-level BPE tokens, each with one separator."""
+    return packing.pack(bpe.count_rows(docs), CAPACITY, "n_tokens + 1")
 
 
 STAGES = [
