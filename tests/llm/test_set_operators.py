@@ -475,7 +475,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     kept = kept_of([(i, c) for i, c, _ in known])
     assert len(kept) < len(known) < len(cleaned) < len(rows)
     bins = corpus_pipeline.run(spark, str(d)).collect()
-    check_bins(bins, [(i, len(t.encode()) + 1) for i, t in kept], 32768)
+    check_bins(bins, [(i, len(bpe.encoding(bpe.default_vocabulary()).encode_ordinary(t)) + 1) for i, t in kept], 32768)
     now = spark.read.parquet(str(d / "documents.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, now, str(d))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, lean, stable, tidy
+from .common import buckets_for, col, lean, stable, tidy
 
 #: The pre-token pattern of the 50k byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -155,8 +155,8 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype="<u4").astype(np.int64)
 
 
-#: A block of documents ends when it has so many distinct pre-tokens.
-BLOCK_WORDS = 500_000
+#: A block of documents ends when it has so many distinct pieces, or so many in all.
+BLOCK_WORDS, BLOCK_PIECES = 500_000, 3_000_000
 
 
 class _Numbers(dict):
@@ -201,9 +201,9 @@ def _finish(heads: dict, rests: dict, docs: list[np.ndarray | None]) -> tuple[li
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, list[str]]]:
     """(block, ids, numbers of each document's pre-tokens or None, words by number); the same at each attempt."""
     part, made = TaskContext.get().partitionId(), 0
+    heads, rests, ids, docs, held = _Numbers(), _Numbers(), [], [], 0
     for batch in batches:
-        heads, rests, ids, docs, end = _Numbers(), _Numbers(), [], [], batch.num_rows
-        for row, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1)), 1):
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
             t = t.as_py()
             ids.append(i)
             if t is None:
@@ -214,9 +214,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
                 numbers = np.fromiter(map(rests.__getitem__, pieces), dtype=np.int32, count=len(pieces))
                 numbers[0] = -1 - first
                 docs.append(numbers)
-            if len(rests) > BLOCK_WORDS or row == end:
+                held += len(numbers)
+            if len(rests) > BLOCK_WORDS or held + len(ids) > BLOCK_PIECES:
                 yield part << 24 | made, ids, *_finish(heads, rests, docs)
-                heads, rests, ids, docs, made = _Numbers(), _Numbers(), [], [], made + 1
+                heads, rests, ids, docs, held, made = _Numbers(), _Numbers(), [], [], 0, made + 1
+    if ids:
+        yield part << 24 | made, ids, *_finish(heads, rests, docs)
 
 
 _WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("chars", pa.binary()), ("lens", pa.binary()), ("nums", pa.binary())])
@@ -233,10 +236,10 @@ def encode(df: DataFrame, vocabulary: str | None = None, text_col: str = "text",
     every executor can read.
     """
     path = vocabulary or default_vocabulary()
-    spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = stable(tidy(df).select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text")))
 
+    buckets = buckets_for(docs, "text")
+
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, _, words in _blocks(batches):
             raw = [w.encode("utf-8", "surrogatepass") for w in words]

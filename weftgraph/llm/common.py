@@ -8,13 +8,14 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import shared_folder, stash
 
-__all__ = ["col", "lean", "read", "stable", "stash", "tidy"]
+__all__ = ["buckets_for", "col", "lean", "mix", "pack40", "read", "stable", "stash", "tidy", "unpack40"]
 
 
 _MMAP_THRESHOLD = -3  # mallopt's number for it
@@ -79,5 +80,34 @@ def stable(df: DataFrame) -> DataFrame:
     return df
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """64-bit hashes, mixed once more."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def pack40(hashes: np.ndarray) -> bytes:
+    """The low 40 bits of each."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack40(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1).astype(np.uint64)
+
+
+#: Text that is exchanged by the hashes of its parts goes to one bucket for each so many bytes, or to as many as there are shuffle partitions.
+BUCKET_BYTES = 32 << 20
+MAX_BUCKETS = 1 << 16
+
+
+def buckets_for(docs: DataFrame, text_col: str) -> int:
+    """How many buckets the text of ``docs`` calls for: their size, which a task holds in memory, does not grow with the data."""
+    size = docs.agg(F.sum(F.octet_length(col(text_col)))).first()[0] or 0
+    return min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)), MAX_BUCKETS)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, lean, stable, stash, tidy
+from .common import buckets_for, col, lean, mix, pack40, stable, stash, tidy, unpack40
 from .fingerprints import BASES, PRIMES, _tables, code_points
 
 N, THRESHOLD, RARE_DF = 3, 0.55, 32
@@ -41,16 +41,9 @@ BROADCAST_IDS = 2_000_000
 _CHUNK_CHARS, _BLOCK_TOKENS = 1 << 18, 1_500_000
 #: Most documents of a block, empty ones included; their places have 20 bits.
 _BLOCK_DOCS = 1 << 16
-_LOW = np.uint64((1 << 40) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def words_of(text: str | None) -> str:
     """Lower-cased words with single spaces between."""
     return " ".join((text or "").lower().split())
@@ -89,16 +82,6 @@ def chunk_tokens(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return d[new], token[new]
 
 
-def _pack40(t: np.ndarray) -> bytes:
-    return t.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unpack40(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1).astype(np.uint64)
-
-
 _SCHEMA = "bucket int, block bigint, kind int, a binary, b binary, c binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
@@ -116,11 +99,10 @@ def _spread(n: int, buckets: int):
         bucket = ((tokens >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        low = tokens & _LOW
         for b in range(buckets):
             here = order[cuts[b] : cuts[b + 1]]
             if len(here):
-                out.append((b, block, 1, _pack40(low[here]), np.bincount(docs[here], minlength=len(ids)).astype("<u4").tobytes(), None))
+                out.append((b, block, 1, pack40(tokens[here]), np.bincount(docs[here], minlength=len(ids)).astype("<u4").tobytes(), None))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +146,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [r for r in rows if r[2] == 0]
         told = [r for r in rows if r[2] == 1]
         if told:
-            tokens = np.concatenate([_unpack40(r[3]) for r in told])
+            tokens = np.concatenate([unpack40(r[3]) for r in told])
             order = np.argsort(tokens)
             ordered = tokens[order]
             edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))).astype(np.int32)
@@ -181,7 +163,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if shared.any():
                     doc = np.repeat(np.arange(len(counts)), counts)[shared]
                     left = np.bincount(doc, minlength=len(counts)).astype("<u4").tobytes()
-                    out.append((r[0], r[1], 1, _pack40(tokens[at : at + k][shared]), left, np.minimum(df[at : at + k][shared], 65535).astype("<u2").tobytes()))
+                    out.append((r[0], r[1], 1, pack40(tokens[at : at + k][shared]), left, np.minimum(df[at : at + k][shared], 65535).astype("<u2").tobytes()))
                 at += k
         return _batch(out) if out else None
 
@@ -210,7 +192,7 @@ def _gather(threshold: float):
             told = [r for r in rows if r[2] == 1]
             if not told:
                 return None
-            tokens = np.concatenate([_unpack40(r[3]) | np.uint64(r[0]) << np.uint64(40) for r in told])
+            tokens = np.concatenate([unpack40(r[3]) | np.uint64(r[0]) << np.uint64(40) for r in told])
             docs = np.concatenate([np.repeat(np.arange(len(ids)), np.frombuffer(r[4], "<u4")) for r in told])
             dfs = np.concatenate([np.frombuffer(r[5], "<u2") for r in told]).astype(np.int32)
             shared = np.bincount(docs, minlength=len(ids))
@@ -506,11 +488,11 @@ def similar_sets(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_d
     """
     if not 0.5 < threshold <= 1 or n < 1 or rare_df < 2:
         raise ValueError("threshold must be over 0.5 and at most 1, n at least 1, rare_df at least 2")
-    spark = df.sparkSession
-    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 20)
     df = tidy(df)
     docs = df.filter(col(id_col).isNotNull()).select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"))
-    told = stable(docs).mapInArrow(lean(_spread(n, buckets)), _SCHEMA).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    docs = stable(docs)
+    buckets = buckets_for(docs, "text")
+    told = docs.mapInArrow(lean(_spread(n, buckets)), _SCHEMA).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     back = told.mapInArrow(lean(_count), _SCHEMA).repartition(buckets, "block").sortWithinPartitions("block")
     sets = stash(back.mapInArrow(lean(_gather(threshold)), _SETS), "sets")
     key = ["whole", "size"]
