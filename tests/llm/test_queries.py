@@ -8,11 +8,12 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
-from weftgraph.llm import bpe, huffman, packing, quality
+from weftgraph.llm import bpe, fingerprints, huffman, packing, quality
 from weftgraph.llm.queries import CAPACITY, QUERIES, SHARDS, SQL
 
 from ..oracle import same
 from .test_set_operators import check_bins
+from .test_text_operators import brute_repeats
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DIR).is_dir(), reason="no test tables here")
@@ -67,11 +68,17 @@ def test_fingerprints_catch_benchmark_passages(spark, documents):
     assert len(got) == len(documents)
     for i, t in documents.items():
         found = {s["item_id"] for s in got[i]["spans"]}
-        assert {k for k, x in items.items() if len(x) >= 100 and x in t} <= found
+        assert {k for k, x in items.items() if x in t} <= found
         for s in got[i]["spans"]:
             assert t[s["start"] : s["start"] + s["length"]] == items[s["item_id"]][s["item_start"] : s["item_start"] + s["length"]]
 
 
+def test_fingerprints_catch_repeated_passages(spark, documents):
+    ids = sorted(documents)
+    got = {r["doc_id"]: [tuple(x) for x in r["repeats"]] for r in QUERIES["op3_document_fingerprints"](spark, DIR).collect()}
+    assert got == dict(zip(ids, brute_repeats([documents[i] for i in ids], fingerprints.WINDOW))) and any(got.values())
+
+
 def test_fingerprints_catch_short_benchmark_items(spark):
     at = "/root/testdata/sf0.1"
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{at}/benchmark.parquet").collect()}

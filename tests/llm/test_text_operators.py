@@ -215,6 +215,52 @@ def test_passes_over_references_do_not_change_results(spark):
     assert sum(n for r, n in runs[0].items() if r[0] is None and {s[0] for s in r[5]} >= {3, 4}) == 4
 
 
+def brute_repeats(texts, window):
+    """For each text its runs of more than ``window`` words in which every window is in another text."""
+    split = [(t or "").split() for t in texts]
+    holders: dict = {}
+    for n, w in enumerate(split):
+        for k in range(len(w) - window + 1):
+            holders.setdefault(tuple(w[k : k + window]), set()).add(n)
+    out = []
+    for n, w in enumerate(split):
+        runs, start = [], None
+        for k in range(len(w) - window + 2):
+            on = k <= len(w) - window and len(holders[tuple(w[k : k + window])]) > 1
+            if on and start is None:
+                start = k
+            if not on and start is not None:
+                if k - start >= 2:
+                    runs.append((start, k - start + window - 1))
+                start = None
+        out.append(runs)
+    return out
+
+
+@pytest.mark.parametrize("seed,window,block,size", [(1, 5, 10**6, 1 << 16), (2, 5, 30, 1 << 16), (3, 1, 1, 3), (4, 8, 200, 1)])
+def test_repeats_against_brute_force(spark, monkeypatch, seed, window, block, size):
+    rng = random.Random(seed)
+    passages = [" ".join(f"w{rng.randrange(9)}" for _ in range(rng.randint(3, 25))) for _ in range(6)]
+    texts = [None, "", " \n\t", "one", passages[0], passages[0], f"{passages[1]} " * 3, " ".join(f"u{k}" for k in range(4000)), "same " * 40]
+    for _ in range(60):
+        parts = [rng.choice(passages) if rng.random() < 0.5 else " ".join(f"x{rng.randrange(10**6)}" for _ in range(rng.randint(1, 20))) for _ in range(rng.randint(1, 4))]
+        texts.append(rng.choice([" ", "\n", "\u3000 "]).join(parts))
+    monkeypatch.setattr(fingerprints, "BLOCK_WINDOWS", block)
+    monkeypatch.setattr(fingerprints, "BLOCK_DOCS", size)
+    df = docs(spark, [(k, t, "r") for k, t in enumerate(texts)], "doc_id bigint, text string, repeats string").repartition(3)
+    got = {r["doc_id"]: [tuple(x) for x in r["repeats"]] for r in fingerprints.fingerprint(df, window=window).collect()}
+    want = brute_repeats(texts, window)
+    assert got == dict(enumerate(want)) and sum(map(bool, want)) > 10
+
+
+def test_groups_of_equal_texts(spark, monkeypatch):
+    rows = [(3, "a b"), (2, "a b"), (None, "a b"), (5, None), (6, None), (7, ""), (8, ""), (None, "c"), (9, "d")]
+    want = Counter([(3, 2, 3), (2, 2, 3), (None, 2, 3), (5, None, None), (6, None, None), (7, 7, 2), (8, 7, 2), (None, None, 1), (9, 9, 1)])
+    for most in (10, 0):
+        monkeypatch.setattr(fingerprints, "BROADCAST_GROUPS", most)
+        assert Counter((r["doc_id"], r["same_as"], r["n_same"]) for r in fingerprints.fingerprint(docs(spark, rows)).collect()) == want
+
+
 def test_short_references_are_found_whole():
     rng = random.Random(11)
     word = lambda n: "".join(rng.choice("ab") for _ in range(n))

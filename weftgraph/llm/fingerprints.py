@@ -5,6 +5,11 @@ modulo two primes near 2^31. Two array reads and a multiplication by an inverse
 62-bit hash of any span whatever its place, so that spans of different texts are compared in
 constant time, and the longest common extension of two places is found by binary search. The
 chance that one comparison of unequal spans errs is about their length over 2^62.
+
+Passages that repeat across documents need no partner: a second prefix array, over the hashes of a text's words, gives the hash of every
+window of WINDOW words. The windows are exchanged by hash in packed blobs, each block of documents sending a window that several of
+its documents hold just once; where all copies of a window meet, it is told which ones other documents hold, and one bit for each goes
+back. A run of such windows is a repeated passage. No pair of documents is formed, however many share a passage.
 """
 
 from __future__ import annotations
@@ -13,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, tidy
+from .common import buckets_for, col, lean, mix, pack40, stable, stash, tidy, unpack40
 
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
@@ -24,6 +31,12 @@ BASES = (911382323, 972663749)
 MIN_CHARS = 100
 #: Code points of reference text that one pass holds in memory; more take further passes.
 REFERENCE_CHARS = 4_000_000
+#: Words of a window; a repeated passage has more words than this.
+WINDOW = 50
+#: A block of documents ends at so many windows or documents.
+BLOCK_WINDOWS, BLOCK_DOCS = 1_500_000, 1 << 16
+#: Groups of equal texts are broadcast up to so many.
+BROADCAST_GROUPS = 500_000
 
 
 class _Powers:
@@ -104,6 +117,30 @@ def extend_left(a: Prefix, i: int, b: Prefix, j: int) -> int:
     return lo
 
 
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+
+
+def words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words, which are runs of characters other than white space."""
+    gap = np.concatenate(([True], _SPACE[np.minimum(codes, 0x3001)], [True]))
+    return np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+
+
+def window_hashes(p: Prefix, starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of all windows of so many words, whatever white space is between them."""
+    n = len(starts)
+    if n < window:
+        return np.empty(0, np.uint64)
+    out, powers = np.zeros(n - window + 1, dtype=np.uint64), _tables(n + 1)
+    for k, q in enumerate(PRIMES):
+        h = np.zeros(n + 1, dtype=np.int64)
+        # a word's own hash and length, as one letter of the text of words
+        letters = (p.spans(starts, ends, k) + 1 + (ends - starts) * 1000003) % q
+        np.cumsum(letters * powers.up[k][:n] % q, out=h[1:])
+        out = out << np.uint64(31) | ((h[window:] - h[:-window]) % q * powers.down[k][: n - window + 1] % q).astype(np.uint64)
+    return mix(out + np.uint64(0x9E3779B97F4A7C15))
+
+
 class References:
     """Reference texts, indexed by their blocks of half the smallest span.
 
@@ -159,21 +196,24 @@ def fingerprint(
     ref_text: str = "text",
     min_chars: int = MIN_CHARS,
     reference_chars: int = REFERENCE_CHARS,
+    window: int = WINDOW,
 ) -> DataFrame:
-    """One row a document: ``doc_id``, ``n_points``, ``fingerprint``, ``same_as``, ``n_same``, ``spans``.
+    """One row a document: ``doc_id``, ``n_points``, ``fingerprint``, ``same_as``, ``n_same``, ``spans``, ``repeats``.
 
     ``fingerprint`` is the hash of the whole text; ``same_as`` is the smallest id of an equal text of
     equal length and ``n_same`` counts such rows, the row itself included. ``spans`` lists all maximal
     spans of at least ``min_chars`` code points that the text shares with a reference text, as
     (item_id, start, item_start, length), sorted; a shorter reference text is found where it is held whole, an
-    empty one nowhere. A null text has null ``fingerprint``,
-    ``same_as`` and ``n_same`` and no spans; an empty one has fingerprint 0. Repeated rows are kept, each with
-    its own row. Reference rows without id or text are left out; an empty reference gives no
+    empty one nowhere. ``repeats`` lists, as (first_word, n_words), the longest runs of more than ``window`` words in which every window of so many
+    words is found in another row as well, words being counted from 0 and told apart by their letters alone; whether the
+    windows of a run are all from one other row is not asked. A null text has null ``fingerprint``,
+    ``same_as`` and ``n_same``, no spans and no repeats; an empty one has fingerprint 0. Repeated rows are kept, each with
+    its own row; they repeat one another's passages. Reference rows without id or text are left out; an empty reference gives no
     spans. Reference text beyond ``reference_chars`` is taken in several passes over the documents, with the same result.
     """
-    if min_chars < 2:
-        raise ValueError("min_chars must be at least 2")
-    docs = tidy(df).select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"))
+    if min_chars < 2 or window < 1:
+        raise ValueError("min_chars must be at least 2, window at least 1")
+    docs = stable(tidy(df).select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text")))
     passes: list[list[tuple[int, str]]] = [[]]
     if reference is not None:
         held = 0
@@ -184,7 +224,10 @@ def fingerprint(
                 held = 0
             passes[-1].append((r["i"], r["t"]))
             held += len(r["t"])
-    out = _hashed(docs, passes[0], min_chars)
+    buckets = buckets_for(docs, "text")
+    sent = docs.mapInArrow(lean(_send(passes[0], min_chars, window, buckets)), _SENT).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    back = sent.mapInArrow(lean(_answer), _SENT).repartition(buckets, "block").sortWithinPartitions("block")
+    out = back.mapInArrow(lean(_receive(window)), _OUT)
     more = None
     for items in passes[1:]:
         rows = _hashed(docs, items, min_chars).filter("size(spans) > 0").select("doc_id", "n_points", "fingerprint", "spans").distinct()
@@ -194,16 +237,149 @@ def fingerprint(
         more = more.groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("more")).select(*[F.col(k).alias(f"__{k}") for k in key], "more")
         same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
         out = out.join(more, same, "left").withColumn("spans", F.array_sort(F.concat("spans", F.coalesce("more", F.array()))))
-    alike = Window.partitionBy("fingerprint", "n_points")
-    known = F.col("fingerprint").isNotNull()
-    return out.select(
-        "doc_id",
-        "n_points",
-        "fingerprint",
-        F.when(known, F.min("doc_id").over(alike)).alias("same_as"),
-        F.when(known, F.count(F.lit(1)).over(alike)).alias("n_same"),
-        "spans",
-    )
+    out = stash(out, "fingerprints")
+    known = out.filter("fingerprint IS NOT NULL").groupBy("fingerprint", "n_points").agg(F.min("doc_id").alias("same_as"), F.count(F.lit(1)).alias("n_same"))
+    several = stash(known.filter("n_same > 1"), "equal-texts").withColumnsRenamed({"fingerprint": "__f", "n_points": "__n"})
+    if several.count() <= BROADCAST_GROUPS:
+        several = F.broadcast(several)
+    out = out.join(several, (F.col("fingerprint") == F.col("__f")) & (F.col("n_points") == F.col("__n")), "left")
+    alone = F.when(F.col("fingerprint").isNotNull(), F.lit(1).cast("bigint"))
+    first = F.when(F.col("n_same").isNull() & F.col("fingerprint").isNotNull(), F.col("doc_id")).otherwise(F.col("same_as"))
+    return out.select("doc_id", "n_points", "fingerprint", first.alias("same_as"), F.coalesce("n_same", alone).alias("n_same"), "spans", "repeats")
+
+
+_SENT = "bucket int, block bigint, kind int, a binary"
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary())])
+_SPANS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())]))
+_DOCS = pa.schema([("doc_id", pa.int64()), ("n_points", pa.int64()), ("fingerprint", pa.int64()), ("spans", _SPANS), ("n", pa.int64())])
+_OUT = "doc_id bigint, n_points bigint, fingerprint bigint, spans array<struct<item_id:bigint,start:int,item_start:int,length:int>>, repeats array<struct<first_word:int,n_words:int>>"
+#: What a block sends: its documents and the buckets of their windows; windows that one of its documents holds; such as several do.
+_BLOCK, _ASKED, _KNOWN = 0, 1, 2
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT_ARROW)], schema=_SENT_ARROW)
+
+
+def _send(items: list[tuple[int, str]], min_chars: int, window: int, buckets: int):
+    """Texts to what their blocks send."""
+    code = np.dtype("<u1" if buckets < 255 else "<u4")
+
+    def block_of(number: int, docs: list[tuple], hashes: list[np.ndarray]) -> pa.RecordBatch:
+        counts = np.array([len(h) for h in hashes], dtype=np.int64)
+        h, doc = np.concatenate(hashes), np.repeat(np.arange(len(docs)), counts)
+        bucket = ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+        order = np.lexsort((doc, h))
+        edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), dtype=bool), h[order][1:] != h[order][:-1])))
+        low, high = (np.minimum.reduceat(doc[order], edge), np.maximum.reduceat(doc[order], edge)) if len(edge) else (edge, edge)
+        shared = np.empty(len(h), dtype=bool)
+        shared[order] = np.repeat(low < high, np.diff(np.append(edge, len(h))))
+        known = order[edge[low < high]]  # one place of each window that several documents hold
+        codes = np.where(shared, 0, bucket + 1)
+        table = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*(d + (int(n),) for d, n in zip(docs, counts))), _DOCS)], schema=_DOCS)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _DOCS) as writer:
+            writer.write_batch(table)
+        held = sink.getvalue().to_pybytes()
+        rows = [(number % buckets, number, _BLOCK, len(held).to_bytes(8, "little") + held + codes.astype(code).tobytes())]
+        asked = np.flatnonzero(~shared)
+        for kind, places in ((_ASKED, asked), (_KNOWN, known)):
+            by = np.argsort(bucket[places], kind="stable")
+            cuts = np.searchsorted(bucket[places][by], np.arange(buckets + 1))
+            rows += [(k, number, kind, pack40(h[places[by[cuts[k] : cuts[k + 1]]]])) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+        return _rows(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs, part, made = References(items, min_chars), TaskContext.get().partitionId(), 0
+        docs: list[tuple] = []
+        hashes: list[np.ndarray] = []
+        held = 0
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+                t = t.as_py()
+                if t is None:
+                    docs.append((i, None, None, []))
+                    hashes.append(np.empty(0, np.uint64))
+                else:
+                    codes = code_points(t)
+                    p = Prefix(codes)
+                    docs.append((i, p.n, p.span(0, p.n), [dict(zip(("item_id", "start", "item_start", "length"), s)) for s in refs.shared(p)]))
+                    hashes.append(window_hashes(p, *words(codes), window))
+                held += len(hashes[-1])
+                if held >= BLOCK_WINDOWS or len(docs) >= BLOCK_DOCS:
+                    yield block_of(part << 24 | made, docs, hashes)
+                    docs, hashes, held, made = [], [], 0, made + 1
+        if docs:
+            yield block_of(part << 24 | made, docs, hashes)
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple]]:
+    """Rows that follow one another and are equal in column ``by``."""
+    now, rows = None, []
+    for b in batches:
+        for r in zip(*(b.column(k).to_pylist() for k in range(4))):
+            if r[by] != now and rows:
+                yield rows
+                rows = []
+            now = r[by]
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bucket by bucket: for each window that is asked for, one bit, whether another block or several documents of one hold it."""
+    for rows in _groups(batches, 0):
+        out = [r for r in rows if r[2] == _BLOCK]
+        asked = [unpack40(r[3]) for r in rows if r[2] == _ASKED]
+        known = [unpack40(r[3]) for r in rows if r[2] == _KNOWN]
+        # a block asks for one document's windows; where these repeat within it, that is no other document
+        every = np.sort(np.concatenate([np.empty(0, np.uint64), *map(np.unique, asked), *known, *known]))
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        for r, h in zip((r for r in rows if r[2] == _ASKED), asked):
+            at = np.searchsorted(twice, h)
+            bits = twice[np.minimum(at, len(twice) - 1)] == h if len(twice) else np.zeros(len(h), dtype=bool)
+            out.append((r[0], r[1], _ASKED, np.packbits(bits).tobytes()))
+        if out:
+            yield _rows(out)
+
+
+def _receive(window: int):
+    """Block by block: the documents with their repeated passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 1):
+            data = next(r[3] for r in rows if r[2] == _BLOCK)
+            size = int.from_bytes(data[:8], "little")
+            docs = pa.ipc.open_stream(pa.py_buffer(data[8 : 8 + size])).read_next_batch()
+            counts = docs.column(4).to_numpy()
+            total = int(counts.sum())
+            codes = np.frombuffer(data[8 + size :], dtype="<u1" if len(data) - 8 - size == total else "<u4")
+            order = np.argsort(codes, kind="stable")
+            each = np.bincount(codes, minlength=1) if total else np.zeros(1, np.int64)
+            flags = np.ones(total, dtype=bool)
+            answers = sorted((r[0], r[3]) for r in rows if r[2] == _ASKED)
+            bits = [np.unpackbits(np.frombuffer(a, np.uint8), count=int(each[k + 1])).astype(bool) for k, a in answers]
+            flags[order[each[0] :]] = np.concatenate([np.empty(0, bool), *bits])
+            ends = np.cumsum(counts)
+            # runs of at least two windows, none of them over the end of a document
+            on = np.zeros(total + len(counts) + 1, dtype=np.int8)
+            doc = np.repeat(np.arange(len(counts)), counts)
+            on[np.arange(total) + doc + 1] = flags
+            step = np.diff(np.append(on, 0))
+            first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+            long = last - first >= 2
+            first, last = first[long], last[long]
+            of = np.searchsorted(ends + np.arange(len(counts)), first, side="right") if len(counts) else first
+            start = first - of - (ends - counts)[of] if len(first) else first
+            made = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array((last - first + window - 1).astype(np.int32))], ["first_word", "n_words"])
+            offsets = np.searchsorted(of, np.arange(len(counts) + 1)).astype(np.int32)
+            repeats = pa.ListArray.from_arrays(pa.array(offsets), made)
+            yield pa.RecordBatch.from_arrays([*docs.columns[:4], repeats], ["doc_id", "n_points", "fingerprint", "spans", "repeats"])
+
+    return run
 
 
 def _hashed(docs: DataFrame, items: list[tuple[int, str]], min_chars: int) -> DataFrame:
