@@ -262,6 +262,14 @@ def test_encoding_and_decoding(spark, reference, monkeypatch):
     assert Counter((r["doc_id"], r["decoded"]) for r in back) == Counter((i, t) for i, t, _ in rows) and "decoded_in" in back[0].__fields__
 
 
+def test_texts_with_and_without_double_spaces(reference):
+    rng = random.Random(5)
+    ids = bpe.text_encoder(bpe.default_vocabulary())
+    for _ in range(3000):
+        t = "".join(rng.choice(["a", "Bc", "7", "'s", " ", "\n", "é", "!", " x", "\u3000", "\t", "\xa0", "\x1c", "_"]) for _ in range(rng.randint(0, 12)))
+        assert ids(t) == reference.encode_ordinary(t), repr(t)
+
+
 def test_plain_merge_equals_the_library(reference):
     ranks = bpe.load_ranks(bpe.default_vocabulary())
     for w in ("hello", " unbelievable", "ÄÖ", "zzzzzz", "🙂"):

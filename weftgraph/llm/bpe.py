@@ -134,6 +134,27 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
+#: PATTERN for texts without two white spaces in a row, where looking ahead changes nothing.
+_SINGLE = PATTERN.replace(r"|\s+(?!\S)", "")
+
+
+@lru_cache(maxsize=2)
+def text_encoder(path: str) -> Callable[[str], list[int]]:
+    """A function from a text to its ids, by the library; texts without two white spaces in a row go by a pattern that does not look ahead."""
+    import tiktoken
+
+    exact = encoding(path).encode_ordinary
+    single = tiktoken.Encoding("own-single", pat_str=_SINGLE, mergeable_ranks=load_ranks(path), special_tokens={}).encode_ordinary
+    pairs, ascii_spaces = ("  ", "\n\n", " \n", "\n "), [c for c in _ASCII_SPACES if c not in " \n"]
+    spaces = [c for c in _SPACES if c not in " \n"]
+
+    def ids(text: str) -> list[int]:
+        double = any(p in text for p in pairs) or any(c in text for c in (ascii_spaces if text.isascii() else spaces))
+        return exact(text) if double else single(text)
+
+    return ids
+
+
 def encoder(path: str):
     """A function from a pre-token's bytes to its ids."""
     return encoding(path)._core_bpe.encode_single_piece
@@ -415,8 +436,8 @@ def encode_rows(df: DataFrame, vocabulary: str | None = None, text_col: str = "t
     little-endian 32-bit numbers, which is cheap to store and to read. Nulls and repeated rows as in ``encode``.
     """
 
-    def packed(ids: list[np.ndarray | None]) -> pa.Array:
-        return pa.array([None if x is None else x.astype("<u4").tobytes() for x in ids], pa.binary())
+    def packed(ids: list[list[int] | None]) -> pa.Array:
+        return pa.array([None if x is None else np.array(x, dtype="<u4").tobytes() for x in ids], pa.binary())
 
     return _rows(df, vocabulary, text_col, id_col, "token_ids binary", packed)
 
@@ -430,11 +451,11 @@ def _rows(df: DataFrame, vocabulary: str | None, text_col: str, id_col: str, out
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text = encoding(path).encode_to_numpy
+        encode_text = text_encoder(path)
         for b in batches:
             for part in (b.slice(at, TEXTS) for at in range(0, b.num_rows, TEXTS)):
                 texts = (t.as_py() for t in part.column(1))
-                ids = (None if t is None else encode_text(t, disallowed_special=()) for t in texts)
+                ids = (None if t is None else encode_text(t) for t in texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), made(list(ids))], ["doc_id", out.split()[0]])
 
     docs = tidy(df).select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"))
