@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from weftgraph.operators import vector
 from weftgraph.plans.queries import QUERIES, SQL
 
 from .oracle import same
@@ -18,11 +19,30 @@ needs_data = pytest.mark.skipif(not Path(DIR).is_dir(), reason="no test tables h
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     assert same(spark, QUERIES[name], SQL[name], DIR)
 
 
+@needs_data
+@pytest.mark.parametrize("sf_dir", [DIR, "/root/testdata/sf0.1"])
+def test_recall_of_the_cell_index(spark, sf_dir):
+    """Against all of the exact search's hits; the index holds every vector."""
+    exact, near = ({(r["query_id"], r["node_id"]): r["distance"] for r in QUERIES[q](spark, sf_dir).collect()} for q in ("vector_topk", "vector_topk_near"))
+    assert len(near) == len(exact) and len(exact.keys() & near.keys()) >= 0.9 * len(exact)
+    assert all(exact[k] == near[k] for k in exact.keys() & near.keys())
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("CAST(vec_id AS STRING) AS node_id", "embedding")
+    assert vector.CellIndex.fit(v).cells.count() == v.count()
+
+
+def test_cell_index_of_odd_vectors(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.0, 0.0]), ("d", None), (None, [1.0, 1.0]), ("e", [1.0]), ("a2", [1.0, 0.0])]
+    v = spark.createDataFrame(rows, "node_id string, embedding array<float>")
+    got = vector.CellIndex.fit(v, 2).top_k(spark.createDataFrame([("q", [1.0, 0.0]), ("n", None), (None, [1.0, 0.0])], "query_id string, embedding array<float>"), 3, probes=2).orderBy("rank").collect()
+    assert [(r["query_id"], r["node_id"], r["distance"]) for r in got] == [("q", "a", 0.0), ("q", "a2", 0.0), ("q", "b", 1.0)]
+    assert vector.CellIndex.fit(v.limit(0)).top_k(v.limit(0).withColumnRenamed("node_id", "query_id"), 3).count() == 0
+
+
 @needs_data
 def test_entry(spark):
     assert entry.entry(spark).columns == ["source", "target", "weight"]

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Line ends as Python's ``str.splitlines`` sees them.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
+#: White space as Python's ``str.strip`` sees it.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
 _EXTENSIONS = {"go": "go", "java": "java", "javascript": "cjs js mjs", "python": "py", "rust": "rs", "typescript": "ts tsx"}
 LANGUAGE_OF_EXTENSION = {f".{x}": language for language, names in _EXTENSIONS.items() for x in names.split()}
 
@@ -32,6 +35,11 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(path.startswith(base), F.substring(path, len(base) + 1, 1 << 30)).otherwise(path)
 
 
+def strip(text: Column) -> Column:
+    """Without the white space around it, whatever its kind."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def lines(text: Column) -> Column:
     """The text's lines; a line end at the very end opens no further line. Null gives none."""
     parts = F.split(F.coalesce(text, F.lit("")), LINE_END)
@@ -50,7 +58,7 @@ def cap_body(body: Column, most: int) -> Column:
 def get_line(text: Column, number: Column | int) -> Column:
     """Line ``number``, counted from 1 and stripped; '' outside of the text."""
     n = F.lit(number) if isinstance(number, int) else number
-    return F.when(n < 1, F.lit("")).otherwise(F.coalesce(F.trim(F.try_element_at(lines(text), F.greatest(n, F.lit(1)))), F.lit("")))
+    return F.when(n < 1, F.lit("")).otherwise(F.coalesce(strip(F.try_element_at(lines(text), F.greatest(n, F.lit(1)))), F.lit("")))
 
 
 def extract_body(text: Column, start: Column, end: Column) -> Column:
@@ -61,7 +69,7 @@ def extract_body(text: Column, start: Column, end: Column) -> Column:
 
 def document_string(name: Column, signature: Column, docstring: Column) -> Column:
     """What is embedded for a symbol: its name, signature and docstring, blanks left out."""
-    some = lambda c: F.when(F.trim(c) != "", c)
+    some = lambda c: F.when(strip(c) != "", c)
     return F.concat_ws("  ", name, some(signature), some(docstring))
 
 

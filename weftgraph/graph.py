@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schema as S
+from .functions import scalar
 from .storage import stash
 
 
@@ -93,6 +94,7 @@ class CodeGraph:
     def remove_files(self, files: DataFrame) -> CodeGraph:
         """Without the nodes of ``files`` (column ``path``) and every edge that touches one; unknown files change nothing."""
         gone = self.nodes.join(files.select(F.col("path").alias("file")).distinct(), "file", "left_semi").select("node_id")
+        gone = stash(gone, "gone")
         return CodeGraph(
             self.nodes.join(gone, "node_id", "left_anti").select(*S.NODE_COLUMNS),
             self.edges.join(gone.withColumnRenamed("node_id", "src"), "src", "left_anti").join(gone.withColumnRenamed("node_id", "tgt"), "tgt", "left_anti").select(*S.EDGE_COLUMNS),
@@ -104,23 +106,29 @@ class CodeGraph:
         return self.nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
     def by_language(self) -> DataFrame:
-        return self.nodes.filter(F.trim(F.coalesce("language", F.lit(""))) != "").groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+        return self.nodes.filter(scalar.strip(F.coalesce("language", F.lit(""))) != "").groupBy("language").agg(F.count(F.lit(1)).alias("n"))
 
     def by_edge(self) -> DataFrame:
         return self.edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
     def totals(self) -> DataFrame:
-        """One row: ``total_nodes`` (rows), ``total_edges`` (as a bag), ``total_ghosts``, ``total_files``."""
-        n = self.nodes.agg(F.count(F.lit(1)).alias("total_nodes"), F.count_if(F.col("kind") == S.FILE).alias("total_files"))
-        e = self.edges.agg(F.count(F.lit(1)).alias("total_edges"))
-        g = self.ghosts().agg(F.count(F.lit(1)).alias("total_ghosts"))
-        return n.crossJoin(e).crossJoin(g)
+        """One row: ``total_nodes`` (rows), ``total_edges`` (as a bag), ``total_ghosts``, ``total_files``.
+
+        One aggregation by id: each edge counts for its source once, and both its ends are ghosts if no node has their id.
+        """
+        none = F.lit(0)
+        nodes = self.nodes.select("node_id", F.lit(1).alias("n"), (F.col("kind") == S.FILE).cast("int").alias("f"), none.alias("e"))
+        ends = F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.lit(1).alias("e")), F.struct(F.col("tgt").alias("node_id"), none.alias("e")))).alias("x")
+        edges = self.edges.select(ends).select("x.node_id", none.alias("n"), none.alias("f"), "x.e")
+        by_id = nodes.unionByName(edges).groupBy("node_id").agg(F.sum("n").alias("n"), F.sum("f").alias("f"), F.sum("e").alias("e"))
+        total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+        return by_id.agg(total("n", "total_nodes"), total("f", "total_files"), total("e", "total_edges"), F.count_if(F.col("n") == 0).alias("total_ghosts"))
 
     # Storage
 
     def save(self, path: str) -> None:
-        """Two Parquet tables; edges are partitioned by kind, so that a look-up reads its kind only."""
-        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        """Two Parquet tables, both partitioned by kind, so that a look-up reads its kind only."""
+        self.nodes.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/nodes")
         self.edges.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/edges")
 
     @classmethod

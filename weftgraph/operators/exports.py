@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import scalar
 from ..graph import CodeGraph
+from ..storage import stash
 
 #: Order of kinds among the children of one parent.
 KIND_ORDER = (S.CLASS, S.INTERFACE, S.STRUCT, S.ENUM, S.TRAIT, S.FUNCTION, S.METHOD, S.FILE, S.EXTERNAL)
@@ -25,7 +26,7 @@ def flow_edges(graph: CodeGraph) -> DataFrame:
 
 def flow_nodes(graph: CodeGraph, flows: DataFrame | None = None) -> DataFrame:
     """Every file: ``id``, ``label``, ``language``, ``in_degree`` and ``out_degree`` (distinct files), ``symbol_count``, ``radius``."""
-    flows = flow_edges(graph) if flows is None else flows
+    flows = stash(flow_edges(graph) if flows is None else flows, "flows")
     files = graph.nodes.filter(F.col("kind") == S.FILE).select(F.col("node_id").alias("id"), F.col("language").alias("lang"))
     ends = flows.select(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(flows.select(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))
     degree = ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
@@ -121,22 +122,29 @@ def node_details(graph: CodeGraph) -> DataFrame:
 
 
 def node_bodies(graph: CodeGraph) -> DataFrame:
-    return graph.nodes.filter(F.trim("body") != "").select(F.col("node_id").alias("id"), "body")
+    return graph.nodes.filter(scalar.strip(F.col("body")) != "").select(F.col("node_id").alias("id"), "body")
 
 
-def edges_by_kind(graph: CodeGraph) -> DataFrame:
-    """``kind`` and ``edges``, all its elements in order of id; for graphs that fit a display."""
-    return edge_elements(graph).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("id", "source", "target"))).alias("edges"))
+def edges_by_kind(graph: CodeGraph, most: int = 10_000) -> DataFrame:
+    """``kind``, ``part`` and ``edges``, its elements in order of id; a kind of more than ``most`` elements, on average, is in several parts."""
+    elements = edge_elements(graph)
+    parts = graph.edges.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).alias("n"))
+    placed = elements.join(F.broadcast(parts), "kind").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))  # kinds are few
+    return placed.groupBy("kind", "part").agg(F.array_sort(F.collect_list(F.struct("id", "source", "target"))).alias("edges"))
 
 
 def file_panel(flows: DataFrame, most: int = 30) -> DataFrame:
     """``file``, ``callers``, ``callees``: the files that call it and that it calls, heaviest first, at most ``most``, and how many more."""
 
+    flows = stash(flows.select("source", "target", "weight"), "flows")
+
     def side(here: str, there: str, name: str) -> DataFrame:
-        all_ = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col(there).alias("f"))))
-        shown = F.array_join(F.transform(F.slice(all_, 1, most), lambda x: x["f"]), ", ")
-        rest = F.size(all_) - most
-        return flows.groupBy(F.col(here).alias("file")).agg(F.concat(shown, F.when(rest > 0, F.concat(F.lit(" … and "), rest.cast("string"), F.lit(" more"))).otherwise("")).alias(name))
+        place = F.row_number().over(Window.partitionBy(here).orderBy(F.desc("weight"), there))
+        first = flows.withColumn("n", place).filter(F.col("n") <= most).groupBy(F.col(here).alias("file")).agg(F.array_sort(F.collect_list(F.struct("n", F.col(there).alias("f")))).alias("first"))
+        rest = F.col("all") - most
+        shown = F.array_join(F.transform("first", lambda x: x["f"]), ", ")
+        count = flows.groupBy(F.col(here).alias("file")).agg(F.count(F.lit(1)).alias("all"))
+        return first.join(count, "file").select("file", F.concat(shown, F.when(rest > 0, F.concat(F.lit(" … and "), rest.cast("string"), F.lit(" more"))).otherwise("")).alias(name))
 
     return side("target", "source", "callers").join(side("source", "target", "callees"), "file", "full_outer")
 

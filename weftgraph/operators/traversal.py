@@ -10,26 +10,29 @@ from ..graph import CodeGraph
 from ..storage import stash
 
 
-def _next(frontier: DataFrame, links: DataFrame) -> DataFrame:
-    """Nodes one link on, each with the smallest path that leads there."""
+def _next(frontier: DataFrame, links: DataFrame, paths: bool) -> DataFrame:
+    """Nodes one link on, with ``paths`` each with the smallest path that leads there."""
+    if not paths:
+        return links.join(frontier.select(F.col("node_id").alias("src")), "src", "left_semi").select(F.col("tgt").alias("node_id")).distinct()
     step = frontier.join(links, frontier["node_id"] == links["src"]).groupBy("tgt").agg(F.min("path").alias("path"))
     return step.select(F.col("tgt").alias("node_id"), F.concat("path", F.array("tgt")).alias("path"))
 
 
-def bfs(links: DataFrame, start: DataFrame, max_depth: int | None = None, target: str | None = None) -> DataFrame:
-    """``node_id``, ``depth`` and ``path`` of all that ``start`` (column ``node_id``) reaches by ``links`` (src, tgt).
+def bfs(links: DataFrame, start: DataFrame, max_depth: int | None = None, target: str | None = None, paths: bool = True) -> DataFrame:
+    """``node_id``, ``depth`` and, with ``paths``, ``path`` of all that ``start`` (column ``node_id``) reaches by ``links`` (src, tgt).
 
     ``path`` is the shortest one, of several the smallest in order of ids. Null ids reach nothing. It ends when a level is
     empty, at ``max_depth``, or once ``target`` is found.
     """
     links = stash(links.select("src", "tgt").filter("src <> tgt").distinct(), "links")
-    level = stash(start.filter("node_id IS NOT NULL").select("node_id").distinct().select("node_id", F.array("node_id").alias("path")), "bfs-0")
+    cols = ["node_id", F.array("node_id").alias("path")] if paths else ["node_id"]
+    level = stash(start.filter("node_id IS NOT NULL").select("node_id").distinct().select(*cols), "bfs-0")
     seen, depth = level.withColumn("depth", F.lit(0)), 0
     while max_depth is None or depth < max_depth:
         if target is not None and not level.filter(F.col("node_id") == target).isEmpty():
             break
         depth += 1
-        level = stash(_next(level, links).join(seen.select("node_id"), "node_id", "left_anti").select("node_id", "path"), f"bfs-{depth}")
+        level = stash(_next(level, links, paths).join(seen.select("node_id"), "node_id", "left_anti").select(*level.columns), f"bfs-{depth}")
         if level.isEmpty():
             break
         seen = seen.unionByName(level.withColumn("depth", F.lit(depth)))

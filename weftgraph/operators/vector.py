@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import re
+import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,21 +25,25 @@ DIMENSIONS = 256
 BLOCK = 4096
 
 
+_CAMEL, _WORD = r"([a-z0-9])([A-Z])", r"[a-z0-9]+"
+
+
 def embed(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """A deterministic embedding: words and their parts hashed into signed buckets, of length 1; zeros for a text without words."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "([a-z0-9])([A-Z])", "$1 $2")), "[^a-z0-9]+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    counts = F.aggregate(
-        hashed,
-        F.array_repeat(F.lit(0.0), dimensions),
-        lambda acc, h: F.transform(acc, lambda x, i: x + F.when(F.pmod(h, F.lit(dimensions)) == i, F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0)),
-    )
-    return F.transform(_unit(counts), lambda x: x.cast("float"))
+    camel, word, crc = re.compile(_CAMEL), re.compile(_WORD), zlib.crc32
 
+    @F.arrow_udf("array<float>")
+    def vectors(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            out = np.zeros((len(batch), dimensions))
+            for row, t in zip(out, batch.to_pylist()):
+                hashes = np.array([crc(w.encode()) for w in word.findall(camel.sub(r"\1 \2", t or "").lower())], dtype=np.int64)
+                np.add.at(row, hashes % dimensions, 1.0 - 2.0 * (hashes >> 16 & 1))
+            norm = np.linalg.norm(out, axis=1, keepdims=True)
+            out = (out / np.where(norm > 0, norm, 1.0)).astype(np.float32)
+            yield pa.ListArray.from_arrays(np.arange(0, out.size + 1, dimensions, dtype=np.int32), pa.array(out.ravel()))
 
-def _unit(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    return vectors(text)
 
 
 def document_table(nodes: DataFrame) -> DataFrame:
@@ -83,17 +92,28 @@ def top_k_all(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK
     6 places, ties are taken by id. Null vectors and those whose length is not the query's have no distance.
     """
     ship(vectors.sparkSession)
+    # a Cartesian product has a task for each pair of partitions; an equi-join on the length would meet in one
+    pairs = stash(_blocks(queries, "query_id", "q", block), "blocks-q").crossJoin(stash(_blocks(vectors, "node_id", "v", block), "blocks-v"))
+    return _nearest(pairs, k)
 
-    def blocks(df: DataFrame, key: str, side: str) -> DataFrame:
-        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for at in range(0, len(b), block):
-                    part = b.iloc[at : at + block]
-                    for n, rows in part.groupby(part["e"].map(len)):
-                        yield pd.DataFrame({f"ids_{side}": [rows["id"].tolist()], f"n_{side}": [int(n)], f"data_{side}": [np.stack(rows["e"].to_numpy()).astype("<f8").tobytes()]})
 
-        rows = df.filter(F.col(key).isNotNull() & F.col("embedding").isNotNull()).select(F.col(key).cast("string").alias("id"), F.col("embedding").alias("e"))
-        return rows.mapInPandas(pack, f"ids_{side} array<string>, n_{side} int, data_{side} binary")
+def _blocks(df: DataFrame, key: str, side: str, block: int, cell: bool = False) -> DataFrame:
+    """Runs of up to ``block`` vectors of one length, and of one ``cell`` if there are any, as rows."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for (n, c), rows in b.groupby([b["e"].map(len), b["cell"]]):
+                for at in range(0, len(rows), block):
+                    part = rows.iloc[at : at + block]
+                    yield pd.DataFrame({"cell": [int(c)], f"ids_{side}": [part["id"].tolist()], f"n_{side}": [int(n)], f"data_{side}": [np.stack(part["e"].to_numpy()).astype("<f8").tobytes()]})
+
+    rows = df.filter(F.col(key).isNotNull() & F.col("embedding").isNotNull()).select(F.col(key).cast("string").alias("id"), F.col("embedding").alias("e"), "cell" if cell else F.lit(0).alias("cell"))
+    out = rows.mapInPandas(pack, f"cell int, ids_{side} array<string>, n_{side} int, data_{side} binary")
+    return out if cell else out.drop("cell")
+
+
+def _nearest(pairs: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of each query from pairs of blocks."""
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -111,13 +131,81 @@ def top_k_all(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK
                 best = np.argsort(d, axis=1, kind="stable")[:, :k]
                 yield pd.DataFrame({"query_id": np.repeat(np.array(ids_q, dtype=object), best.shape[1]), "node_id": ids[best].ravel(), "distance": np.take_along_axis(d, best, axis=1).ravel()})
 
-    # a Cartesian product has a task for each pair of partitions; an equi-join on the length would meet in one
-    pairs = stash(blocks(queries, "query_id", "q"), "blocks-q").crossJoin(stash(blocks(vectors, "node_id", "v"), "blocks-v"))
     found = pairs.mapInPandas(multiply, _BLOCKED)
     rank = Window.partitionBy("query_id").orderBy("distance", "node_id")
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
+#: Vectors that the cells of an index are fitted on, and cells of an index at most.
+SAMPLE, CELLS = 20_000, 1024
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """An approximate index: every vector in the cell of the centre that is nearest by cosine.
+
+    The centres are fitted on at most ``SAMPLE`` vectors, chosen by the hash of their ids; all vectors are indexed. A search reads the
+    ``probes`` cells nearest to each query, exactly within them, so that it misses a vector only if its cell is not among these. Their
+    number is fitted as well: so many that ``recall`` of the nearest neighbours within the sample are found. Where vectors have no clusters, that may
+    be most cells. All vectors have one length; others, and null ones, are left out.
+    """
+
+    cells: DataFrame  # node_id, embedding, cell
+    centres: np.ndarray
+    probes: int
+
+    @classmethod
+    def fit(cls, vectors: DataFrame, n_cells: int | None = None, sample: int = SAMPLE, rounds: int = 10, recall: float = 0.97) -> CellIndex:
+        """``n_cells`` is by default about the root of the number of vectors, at most CELLS."""
+        ship(vectors.sparkSession)
+        some = vectors.filter("node_id IS NOT NULL AND embedding IS NOT NULL")
+        held = [r[0] for r in some.select("embedding", F.xxhash64("node_id").alias("h"), "node_id").orderBy("h", "node_id").limit(sample).collect()]
+        width = max((len(e) for e in held), default=0)
+        x = _unit_rows(np.array([e for e in held if len(e) == width], dtype=np.float64).reshape(-1, max(1, width)))
+        n = min(n_cells or min(CELLS, math.isqrt(some.count())), len(x)) or 1
+        centres = x[np.linspace(0, len(x) - 1, n).astype(int)] if len(x) else np.zeros((1, 1))
+        for _ in range(rounds if len(x) else 0):
+            near = np.argmax(x @ centres.T, axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, near, x)
+            filled = np.bincount(near, minlength=n) > 0
+            centres = np.where(filled[:, None], _unit_rows(sums), centres)
+        ask = x[np.linspace(0, len(x) - 1, min(200, len(x))).astype(int)] if len(x) else x
+        truth = np.argsort(-(ask @ x.T), axis=1, kind="stable")[:, :20]
+        place = np.argsort(np.argsort(-(ask @ centres.T), axis=1, kind="stable"), axis=1)
+        found = np.sort(np.take_along_axis(place, np.argmax(x @ centres.T, axis=1)[truth], axis=1).ravel()) if len(x) else np.zeros(1, int)
+        probes = int(found[min(len(found) - 1, int(recall * len(found)))]) + 1
+        whole = some.filter(F.size("embedding") == width).select(F.col("node_id").cast("string").alias("node_id"), "embedding")
+        # a cell of many vectors is in several partitions
+        placed = _in_cells(whole, "node_id", centres, 1).repartition("cell", F.pmod(F.xxhash64("node_id"), F.lit(8))).sortWithinPartitions("cell")
+        return cls(stash(placed, "cells"), centres, probes)
+
+    def top_k(self, queries: DataFrame, k: int, probes: int | None = None, block: int = BLOCK) -> DataFrame:
+        """``top_k_all`` over the cells nearest to each query; fewer than ``k`` where these hold fewer."""
+        some = queries.filter("query_id IS NOT NULL AND embedding IS NOT NULL").filter(F.size("embedding") == self.centres.shape[1])
+        asked = _in_cells(some.select(F.col("query_id").cast("string").alias("query_id"), "embedding"), "query_id", self.centres, min(probes or self.probes, len(self.centres)))
+        pairs = stash(_blocks(asked, "query_id", "q", block, True), "blocks-q").join(stash(_blocks(self.cells, "node_id", "v", block, True), "blocks-v"), "cell")
+        return _nearest(pairs, k)
+
+
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm > 0, norm, 1.0)
+
+
+def _in_cells(df: DataFrame, key: str, centres: np.ndarray, probes: int) -> DataFrame:
+    """Each row once for each of its ``probes`` nearest centres, by ``cell``."""
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                order = np.argsort(-(np.stack(b["embedding"].to_numpy()).astype(np.float64) @ centres.T), axis=1, kind="stable")[:, :probes]
+                out = b.loc[b.index.repeat(order.shape[1])].reset_index(drop=True)
+                yield out.assign(cell=order.ravel().astype("int32"))
+
+    return df.mapInPandas(near, f"{key} string, embedding array<float>, cell int")
+
+
 def hits(graph: CodeGraph, found: DataFrame) -> DataFrame:
     """The hits that are nodes, once each: ``query_id``, ``node_id``, ``distance``, ``pos`` from 1."""
     known = found.join(graph.nodes.select("node_id"), "node_id", "left_semi").groupBy("query_id", "node_id").agg(F.min("distance").alias("distance"))

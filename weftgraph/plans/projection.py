@@ -7,11 +7,15 @@ part. Users that follow one another in the events of one type and day call each
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..graph import CodeGraph, conform_nodes
+from ..storage import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +37,7 @@ def _edge(df: DataFrame, kind: str, src, tgt) -> DataFrame:
 
 
 class Star:
-    """The projection's parts; each is built when it is asked for, so that a query reads what it needs."""
+    """The projection's parts."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         t = lambda n: table(spark, sf_dir, n)
@@ -84,24 +88,49 @@ class Star:
             "unresolved": _edge(self.parts, S.CALLS, c("id"), F.concat(F.lit(S.UNRESOLVED_PREFIX), "p_name")),
         }
 
-    def graph(self, nodes: tuple[str, ...] | None = None, edges: tuple[str, ...] | None = None) -> CodeGraph:
-        """The graph of the named parts; by default of all nodes and of all edges but the unresolved calls."""
-        ns = [self.node_parts[n] for n in nodes or self.node_parts]
-        es = [self.edge_parts[e] for e in edges or [e for e in self.edge_parts if e != "unresolved"]]
-        out_n, out_e = ns[0], es[0]
-        for n in ns[1:]:
-            out_n = out_n.unionByName(n)
-        for e in es[1:]:
-            out_e = out_e.unionByName(e)
-        return CodeGraph(out_n, out_e)
+    def graph(self) -> CodeGraph:
+        """All nodes and all edges but the unresolved calls."""
+        return CodeGraph(_union(list(self.node_parts.values())), _union([e for k, e in self.edge_parts.items() if k != "unresolved"]))
 
+    def unresolved(self) -> DataFrame:
+        return self.edge_parts["unresolved"]
 
-CALL_NODES = ("order", "supplier", "part")
-CALL_EDGES = ("calls_order", "calls_supplier")
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
-def user_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    """Users that follow one another in the events of one type and day, as calls."""
+
+_built: dict[tuple[str, str, str], str] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> str:
+    """Lengths and times of the tables' files: another state is another graph."""
+    found = []
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found += [f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in fs.listStatus(path)]
+    return "\n".join(found)
+
+
+def _stored(spark: SparkSession, sf_dir: str, what: str, tables: tuple[str, ...], build: Callable[[], CodeGraph]) -> CodeGraph:
+    key = (spark.sparkContext.applicationId, f"{what} {sf_dir}", _state(spark, sf_dir, tables))
+    if key not in _built:
+        path = f"{shared_folder(spark)}/weftgraph/{what}-{uuid.uuid4().hex}"
+        build().save(path)
+        _built[key] = path
+    return CodeGraph.load(spark, _built[key])
+
+
+def star_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    """The whole projected graph, built and saved by kind once for each application and state of the tables; all queries read it."""
+    return _stored(spark, sf_dir, "star", ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"), lambda: Star(spark, sf_dir).graph())
+
+
+def _users(spark: SparkSession, sf_dir: str) -> CodeGraph:
     events = table(spark, sf_dir, "events").filter("user_id IS NOT NULL")
     flow = Window.partitionBy("event_type", F.to_date("ts")).orderBy("ts", "event_id")
     user = lambda c: F.concat(F.lit("user::"), F.col(c).cast("string"))
@@ -110,6 +139,11 @@ def user_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     return CodeGraph.of(users, _edge(edges, S.CALLS, user("user_id"), user("after")))
 
 
+def user_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    """Users that follow one another in the events of one type and day, as calls; stored like the other graph."""
+    return _stored(spark, sf_dir, "users", ("events",), lambda: _users(spark, sf_dir))
+
+
 ORACLE_CTE = """
 pl AS (SELECT n_nationkey, n_name, r_name || '/' || n_name AS file, lower(r_name) AS language FROM nation JOIN region ON n_regionkey = r_regionkey),
 cu AS (SELECT c.*, file, language, file || '::' || c_name AS id FROM customer c JOIN pl ON c_nationkey = n_nationkey),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from ..functions import scalar
 from ..graph import CodeGraph
 from ..operators import exports, incremental, resolve, structural, traversal, vector
 from ..sources import files as sources
-from .projection import CALL_EDGES, CALL_NODES, ORACLE_CTE, ORACLE_USERS, Star, table, user_graph
+from ..storage import shared_folder
+from .projection import ORACLE_CTE, ORACLE_USERS, Star, star_graph, table, user_graph
 from .samples import LINKS, SOURCES, SYMBOLS, values
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,67 +40,75 @@ _LOOKUP = """SELECT DISTINCT e.{here} AS subject, n.node_id, n.name, n.kind, n.f
 
 @query(_LOOKUP.format(here="tgt", there="src", kind="CALLS"))
 def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structural.callers(Star(spark, sf_dir).graph(CALL_NODES, CALL_EDGES)).select(*_SLIM)
+    return structural.callers(star_graph(spark, sf_dir)).select(*_SLIM)
 
 
 @query(_LOOKUP.format(here="src", there="tgt", kind="CALLS"))
 def callees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structural.callees(Star(spark, sf_dir).graph(CALL_NODES, CALL_EDGES)).select(*_SLIM)
+    return structural.callees(star_graph(spark, sf_dir)).select(*_SLIM)
 
 
 @query(_LOOKUP.format(here="tgt", there="src", kind="INHERITS"))
 def subclasses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structural.subclasses(Star(spark, sf_dir).graph(("customer", "segment"), ("inherits",))).select(*_SLIM)
+    return structural.subclasses(star_graph(spark, sf_dir)).select(*_SLIM)
 
 
 @query(_LOOKUP.format(here="src", there="tgt", kind="INHERITS"))
 def superclasses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structural.superclasses(Star(spark, sf_dir).graph(("customer", "segment"), ("inherits",))).select(*_SLIM)
+    return structural.superclasses(star_graph(spark, sf_dir)).select(*_SLIM)
 
 
 @query(_LOOKUP.format(here="tgt", there="src", kind="IMPLEMENTS"))
 def implementors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structural.implementors(Star(spark, sf_dir).graph(("part", "type"), ("implements",))).select(*_SLIM)
+    return structural.implementors(star_graph(spark, sf_dir)).select(*_SLIM)
 
 
 @query("""SELECT DISTINCT e.src AS subject, n.node_id, n.name, n.kind, n.file FROM edges e
   JOIN (SELECT node_id, name, kind, file FROM nodes UNION ALL SELECT DISTINCT 'ext::' || language, language, 'external', '' FROM pl) n ON n.node_id = e.tgt WHERE e.kind = 'IMPORTS'""")
 def imports_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structural.imports_of(Star(spark, sf_dir).graph(("nation", "brand"), ("imports", "imports_external"))).select(*_SLIM)
+    return structural.imports_of(star_graph(spark, sf_dir)).select(*_SLIM)
 
 
 @query("""SELECT x.subject, n.node_id, n.name, n.kind, n.file FROM nodes n JOIN (SELECT DISTINCT upper(p_name) AS subject FROM part) x ON lower(n.name) = lower(x.subject)""")
 def find_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part name in capitals, found whatever the case."""
-    s = Star(spark, sf_dir)
-    return structural.find_symbols(s.graph(), s.parts.select(F.upper("p_name").alias("subject")).distinct()).select(*_SLIM)
+    return structural.find_symbols(star_graph(spark, sf_dir), Star(spark, sf_dir).parts.select(F.upper("p_name").alias("subject")).distinct()).select(*_SLIM)
 
 
 @query("""SELECT 'supplier ' || s_suppkey AS asked, n.* EXCLUDE (docstring, signature) FROM supplier JOIN su USING (s_suppkey) JOIN nodes n ON n.node_id = su.id""")
 def node_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Star(spark, sf_dir)
     asked = s.suppliers.select(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("asked"), F.col("id").alias("node_id"))
-    return s.graph(("supplier", "customer", "part"), ("calls_supplier",)).nodes.join(asked, "node_id").select("asked", "node_id", "kind", "name", "file", "line", "language")
+    return star_graph(spark, sf_dir).nodes.join(asked, "node_id").select("asked", "node_id", "kind", "name", "file", "line", "language")
 
 
 @query("SELECT file, node_id, kind, name, line FROM nodes WHERE kind NOT IN ('file', 'external')")
 def nodes_for_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Star(spark, sf_dir).graph().symbols().select("file", "node_id", "kind", "name", "line")
+    return star_graph(spark, sf_dir).symbols().select("file", "node_id", "kind", "name", "line")
+
+
+@query("""SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges""")
+def graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projected graph built anew and saved by kind, as every other query reads it."""
+    path = f"{shared_folder(spark)}/weftgraph/build-{uuid.uuid4().hex}"
+    Star(spark, sf_dir).graph().save(path)
+    g = CodeGraph.load(spark, path)
+    return g.nodes.agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(g.edges.agg(F.count(F.lit(1)).alias("n_edges")))
 
 
 @query("SELECT kind, count(*) AS n FROM nodes GROUP BY kind")
 def stats_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Star(spark, sf_dir).graph().by_kind()
+    return star_graph(spark, sf_dir).by_kind()
 
 
 @query("SELECT kind, count(*) AS n FROM edges GROUP BY kind")
 def stats_by_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Star(spark, sf_dir).graph().by_edge()
+    return star_graph(spark, sf_dir).by_edge()
 
 
 @query("SELECT language, count(*) AS n FROM nodes WHERE language <> '' GROUP BY language")
 def stats_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Star(spark, sf_dir).graph().by_language()
+    return star_graph(spark, sf_dir).by_language()
 
 
 _GHOSTS = "SELECT node_id FROM (SELECT src AS node_id FROM edges UNION SELECT tgt FROM edges) WHERE node_id NOT IN (SELECT node_id FROM nodes)"
@@ -107,12 +117,12 @@ _GHOSTS = "SELECT node_id FROM (SELECT src AS node_id FROM edges UNION SELECT tg
 @query(f"""SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges,
   (SELECT count(*) FROM ({_GHOSTS})) AS total_ghosts, (SELECT count(*) FROM nodes WHERE kind = 'file') AS total_files""")
 def stats_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Star(spark, sf_dir).graph().totals()
+    return star_graph(spark, sf_dir).totals()
 
 
 @query(_GHOSTS)
 def ghost_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Star(spark, sf_dir).graph().ghosts()
+    return star_graph(spark, sf_dir).ghosts()
 
 
 _CALLED = """called AS MATERIALIZED (SELECT a.file AS source, e.tgt FROM edges e JOIN nodes a ON a.node_id = e.src WHERE e.kind = 'CALLS')"""
@@ -120,13 +130,9 @@ _CALLED = """called AS MATERIALIZED (SELECT a.file AS source, e.tgt FROM edges e
 _FLOW = "SELECT source, b.file AS target, CAST(count(*) AS BIGINT) AS weight FROM called JOIN nodes b ON b.node_id = called.tgt WHERE source <> b.file GROUP BY ALL"
 
 
-def call_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    return Star(spark, sf_dir).graph(CALL_NODES, CALL_EDGES)
-
-
 @query(f", {_CALLED} {_FLOW}")
 def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.flow_edges(call_graph(spark, sf_dir))
+    return exports.flow_edges(star_graph(spark, sf_dir))
 
 
 @query(f""", {_CALLED}, f AS ({_FLOW}),
@@ -136,8 +142,7 @@ SELECT n.node_id AS id, string_split(n.node_id, '/')[-1] AS label, n.language, c
   least(5.0 + sqrt(CAST(coalesce(in_degree, 0) AS DOUBLE)) * 2.2, 28.0) AS radius
 FROM nodes n LEFT JOIN d ON d.id = n.node_id LEFT JOIN s ON s.id = n.node_id WHERE n.kind = 'file'""")
 def flow_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Star(spark, sf_dir)
-    return exports.flow_nodes(s.graph(("nation", "brand", "other", "customer", *CALL_NODES, "segment"), CALL_EDGES), exports.flow_edges(s.graph(CALL_NODES, CALL_EDGES)))
+    return exports.flow_nodes(star_graph(spark, sf_dir))
 
 
 _ORD = "o AS (SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY line, node_id) - 1 AS INTEGER) AS ord, node_id, name, kind, line FROM nodes WHERE kind <> 'file')"
@@ -145,30 +150,29 @@ _ORD = "o AS (SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY li
 
 @query(f", {_ORD} SELECT * FROM o")
 def flow_subgraph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.flow_symbols(Star(spark, sf_dir).graph())
+    return exports.flow_symbols(star_graph(spark, sf_dir))
 
 
 @query(f", {_ORD} SELECT DISTINCT a.file, a.ord AS s, b.ord AS t FROM edges e JOIN o a ON a.node_id = e.src JOIN o b ON b.node_id = e.tgt WHERE e.kind = 'CALLS' AND e.src <> e.tgt AND a.file = b.file")
 def flow_subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.flow_links(Star(spark, sf_dir).graph(edges=CALL_EDGES))
+    return exports.flow_links(star_graph(spark, sf_dir))
 
 
 @query(""", k AS (SELECT e.src AS parent, n.kind, count(*) AS n FROM edges e JOIN nodes n ON n.node_id = e.tgt WHERE e.kind IN ('DEFINES', 'CONTAINS') GROUP BY ALL)
 SELECT parent, string_agg(n || ' ' || kind || CASE WHEN n > 1 THEN 's' ELSE '' END, ', ' ORDER BY kind) AS summary FROM k GROUP BY parent""")
 def children_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Star(spark, sf_dir)
-    return exports.children_summary(s.graph(edges=tuple(e for e in s.edge_parts if e.startswith("defines") or e == "contains")))
+    return exports.children_summary(star_graph(spark, sf_dir))
 
 
-@query(""", one AS (SELECT e.src AS file, e.src AS parent, e.tgt AS node_id, n.kind, n.name, n.line, 1 AS depth FROM edges e JOIN nodes n ON n.node_id = e.tgt WHERE e.kind = 'DEFINES'),
-two AS (SELECT one.file, e.src AS parent, e.tgt AS node_id, n.kind, n.name, n.line, 2 AS depth FROM edges e JOIN one ON one.node_id = e.src JOIN nodes n ON n.node_id = e.tgt WHERE e.kind = 'CONTAINS'),
+@query(""", down AS MATERIALIZED (SELECT e.kind AS link, e.src AS parent, e.tgt AS node_id, n.kind, n.name, n.line FROM (SELECT * FROM edges WHERE kind IN ('DEFINES', 'CONTAINS')) e JOIN nodes n ON n.node_id = e.tgt),
+one AS MATERIALIZED (SELECT parent AS file, parent, node_id, kind, name, line, 1 AS depth FROM down WHERE link = 'DEFINES'),
+two AS MATERIALIZED (SELECT one.file, down.parent, down.node_id, down.kind, down.name, down.line, 2 AS depth FROM down JOIN one ON one.node_id = down.parent WHERE link = 'CONTAINS'),
 r AS (SELECT * FROM one UNION ALL SELECT * FROM two)
 SELECT file, NULL AS parent, node_id, kind, name, line, 0 AS depth, 0 AS pos FROM nodes WHERE kind = 'file'
 UNION ALL SELECT file, parent, node_id, kind, name, line, depth, CAST(row_number() OVER (PARTITION BY file, parent
   ORDER BY list_position(['class', 'interface', 'struct', 'enum', 'trait', 'function', 'method'], kind), line, node_id) - 1 AS INTEGER) FROM r""")
 def tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Star(spark, sf_dir)
-    return exports.tree_rows(s.graph(edges=tuple(e for e in s.edge_parts if e.startswith("defines") or e == "contains")))
+    return exports.tree_rows(star_graph(spark, sf_dir))
 
 
 @query(""", f AS (SELECT list_slice(string_split(node_id, '/'), 1, -2) AS d, count(*) AS n FROM nodes WHERE kind = 'file' GROUP BY d HAVING len(d) > 0),
@@ -178,7 +182,7 @@ k AS (SELECT * FROM p WHERE n_files > 0 OR (SELECT count(*) FROM p c WHERE c.up
 u AS (SELECT k.folder, k.n_files, coalesce((SELECT arg_max(a.folder, length(a.folder)) FROM k a WHERE starts_with(k.folder, a.folder || '/')), '') AS parent FROM k)
 SELECT folder, parent, CASE WHEN parent = '' THEN folder ELSE substring(folder, length(parent) + 2) END AS label, n_files FROM u""")
 def folder_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.folder_rows(Star(spark, sf_dir).graph(("nation", "brand", "other"), ("inherits",)).nodes.select(F.col("node_id").alias("path")))
+    return exports.folder_rows(star_graph(spark, sf_dir).nodes.filter(F.col("kind") == S.FILE).select(F.col("node_id").alias("path")))
 
 
 _NUMBERED = "SELECT src || '--' || kind || '--' || tgt || CASE WHEN n > 0 THEN '_' || n ELSE '' END AS id, src AS source, tgt AS target, kind FROM (SELECT *, row_number() OVER (PARTITION BY src, kind, tgt) - 1 AS n FROM edges)"
@@ -186,18 +190,19 @@ _NUMBERED = "SELECT src || '--' || kind || '--' || tgt || CASE WHEN n > 0 THEN '
 
 @query(_NUMBERED)
 def edge_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.edge_elements(Star(spark, sf_dir).graph())
+    return exports.edge_elements(star_graph(spark, sf_dir))
 
 
-@query(f"SELECT kind, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM ({_NUMBERED}) GROUP BY kind")
+@query(f"SELECT kind, CAST(count(*) AS BIGINT) AS n, min(id) AS first_id, max(id) AS last_id FROM ({_NUMBERED}) GROUP BY kind")
 def edges_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = exports.edge_elements(Star(spark, sf_dir).graph())
-    return e.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    """How many elements the lists of each kind have, and the first and last of them."""
+    lists = exports.edges_by_kind(star_graph(spark, sf_dir))
+    return lists.groupBy("kind").agg(F.sum(F.size("edges")).alias("n"), F.min(F.col("edges")[0]["id"]).alias("first_id"), F.max(F.element_at("edges", -1)["id"]).alias("last_id"))
 
 
 @query("SELECT node_id AS id, name AS label, kind, language, file, line, 'kind-' || kind AS classes FROM nodes")
 def cytoscape_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.node_elements(Star(spark, sf_dir).graph())
+    return exports.node_elements(star_graph(spark, sf_dir))
 
 
 @query(f""", {_CALLED}, f AS ({_FLOW}),
@@ -205,7 +210,7 @@ a AS (SELECT target AS file, list(source ORDER BY weight DESC, source) AS l FROM
 SELECT coalesce(a.file, b.file) AS file, array_to_string(a.l[1:30], ', ') || CASE WHEN len(a.l) > 30 THEN ' … and ' || (len(a.l) - 30) || ' more' ELSE '' END AS callers,
   array_to_string(b.l[1:30], ', ') || CASE WHEN len(b.l) > 30 THEN ' … and ' || (len(b.l) - 30) || ' more' ELSE '' END AS callees FROM a FULL JOIN b ON a.file = b.file""")
 def file_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.file_panel(exports.flow_edges(call_graph(spark, sf_dir)))
+    return exports.file_panel(exports.flow_edges(star_graph(spark, sf_dir)))
 
 
 _SEED = "segments::BUILDING"
@@ -220,23 +225,24 @@ def _seed(spark: SparkSession) -> DataFrame:
 
 @query(f"{_HOPS} SELECT node_id FROM h1")
 def khop_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traversal.k_hop(Star(spark, sf_dir).graph().stored(), _seed(spark), 1)
+    return traversal.k_hop(star_graph(spark, sf_dir), _seed(spark), 1)
 
 
 @query(f"{_HOPS} SELECT node_id FROM h2")
 def khop_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traversal.k_hop(Star(spark, sf_dir).graph().stored(), _seed(spark), 2)
+    return traversal.k_hop(star_graph(spark, sf_dir), _seed(spark), 2)
 
 
 @query(f"{_HOPS} SELECT src, tgt, kind, count(*) AS n FROM edges WHERE src IN (SELECT node_id FROM h2) AND tgt IN (SELECT node_id FROM h2) GROUP BY ALL")
 def khop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = Star(spark, sf_dir).graph().stored()
+    g = star_graph(spark, sf_dir)
     return traversal.induced(g, traversal.k_hop(g, _seed(spark), 2)).edges.groupBy(*S.EDGE_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Level by level until a level is empty; a node that is known does not come again.
 _BFS = """,
-walk AS (SELECT (SELECT min(src) FROM links) AS node_id, 0 AS depth UNION SELECT tgt, depth + 1 FROM walk JOIN links ON src = node_id WHERE depth < 12),
-dist AS (SELECT node_id, min(depth) AS depth FROM walk GROUP BY node_id)"""
+dist(node_id, depth) USING KEY (node_id) AS (SELECT min(src), 0 FROM links HAVING min(src) IS NOT NULL
+  UNION SELECT l.tgt, d.depth + 1 FROM dist d JOIN links l ON l.src = d.node_id WHERE l.tgt NOT IN (SELECT node_id FROM recurring.dist))"""
 
 
 @query(f"{_BFS} SELECT node_id, CAST(depth AS INTEGER) AS depth FROM dist", base="RECURSIVE " + ORACLE_USERS)
@@ -244,7 +250,7 @@ def bfs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user's distance from the first one in order of ids."""
     g = user_graph(spark, sf_dir)
     start = g.edges.filter("src <> tgt").agg(F.min("src").alias("node_id"))
-    return traversal.bfs(g.edges, start).select("node_id", "depth")
+    return traversal.bfs(g.edges, start, paths=False).select("node_id", "depth")
 
 
 @query(
@@ -260,7 +266,7 @@ def call_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain from the first user in order of ids to one that is farthest from it."""
     g = user_graph(spark, sf_dir)
     first = g.edges.filter("src <> tgt").agg(F.min("src").alias("node_id"))
-    found = traversal.bfs(g.edges, first)
+    found = traversal.bfs(g.edges, first, paths=False)
     last = found.orderBy(F.desc("depth"), F.desc("node_id")).limit(1)
     ends = found.filter("depth = 0").select(F.col("node_id").alias("a")).crossJoin(last.select(F.col("node_id").alias("b"))).first()
     if ends is None:
@@ -271,7 +277,7 @@ def call_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT a.id AS src, b.id AS tgt, 'CALLS' AS kind FROM pa a JOIN pa b ON a.p_name = b.p_name AND a.id <> b.id
 UNION ALL SELECT pa.id, n.node_id, 'CALLS' FROM pa JOIN nodes n ON n.name = pa.p_name AND n.kind NOT IN ('file', 'struct')""")
 def resolve_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolve_edges(Star(spark, sf_dir).graph(edges=("unresolved",)))
+    return resolve.resolve_edges(CodeGraph(star_graph(spark, sf_dir).nodes, Star(spark, sf_dir).unresolved()))
 
 
 @query("""SELECT p.file, p.id AS src, p.p_type AS name, coalesce(f.tgt, 'ext::__unresolved__::' || p.p_type) AS tgt FROM pa p
@@ -309,7 +315,7 @@ def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remove_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left by kind when a region's files go."""
     s = Star(spark, sf_dir)
-    left = s.graph().stored().remove_files(s.places.filter("language = 'asia'").select(F.col("file").alias("path")))
+    left = star_graph(spark, sf_dir).remove_files(s.places.filter("language = 'asia'").select(F.col("file").alias("path")))
     return left.nodes.select("kind").unionByName(left.edges.select("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -319,44 +325,72 @@ def upsert_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Star(spark, sf_dir)
     new = s.orders.join(s.customers.select(F.col("c_custkey").alias("k"), "c_name"), F.col("o_custkey") == F.col("k"))
     new = new.select(F.col("id").alias("node_id"), F.lit(S.CLASS).alias("kind"), F.col("c_name").alias("name"), "file", F.col("o_orderkey").cast("int").alias("line"), "language", F.col("o_orderkey").alias("ordinal"))
-    return s.graph(("customer",), ("inherits",)).upsert_nodes(new, "ordinal").nodes.select("node_id", "name", "line")
+    return star_graph(spark, sf_dir).upsert_nodes(new, "ordinal").nodes.filter("kind = 'class' AND file <> 'segments'").select("node_id", "name", "line")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("node_id"), F.col("vec_id"), F.lit("").alias("document"), "embedding")
 
 
+def _asked(v: DataFrame) -> DataFrame:
+    return v.filter("vec_id % 50 = 0").select(F.col("node_id").alias("query_id"), "embedding")
+
+
 _KNN = """WITH near AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(v.vec_id AS VARCHAR) AS node_id,
-  round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) + 0.0 AS distance FROM embeddings q CROSS JOIN embeddings v)
+  round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) + 0.0 AS distance FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 50 = 0)
 SELECT query_id, node_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, node_id) AS INTEGER) AS rank FROM near QUALIFY rank <= {k}"""
 
 
 @query(_KNN.format(k=20), base="")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 nearest vectors of every vector."""
+    """The 20 nearest of all vectors for every one whose id is divisible by 50."""
+    v = _vectors(spark, sf_dir)
+    return vector.top_k_all(v, _asked(v), 20)
+
+
+@query()
+def vector_topk_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an index of cells, of which the nearest ones are searched."""
     v = _vectors(spark, sf_dir)
-    return vector.top_k_all(v, v.select(F.col("node_id").alias("query_id"), "embedding"), 20)
+    return vector.CellIndex.fit(v).top_k(_asked(v), 20)
 
 
 _PART_KNN = """, v AS (SELECT id AS node_id, vec_id, embedding FROM embeddings JOIN pa ON p_partkey = vec_id + 1),
-near AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, v.node_id, round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) + 0.0 AS distance FROM embeddings q CROSS JOIN v),
+near AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, v.node_id, round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) + 0.0 AS distance FROM embeddings q CROSS JOIN v WHERE q.vec_id % 50 = 0),
 hit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, node_id) AS pos FROM near QUALIFY pos <= 20)"""
 
 
 def _search(spark: SparkSession, sf_dir: str) -> tuple[CodeGraph, DataFrame, DataFrame]:
     s, v = Star(spark, sf_dir), _vectors(spark, sf_dir)
     owned = v.join(s.parts.select(F.col("id").alias("part_id"), "p_partkey"), F.col("p_partkey") == F.col("vec_id") + 1)
-    return s.graph(("part", "supplier"), ("calls_supplier",)), owned.select(F.col("part_id").alias("node_id"), "document", "embedding"), v.select(F.col("node_id").alias("query_id"), "embedding")
+    return star_graph(spark, sf_dir), owned.select(F.col("part_id").alias("node_id"), "document", "embedding"), _asked(v)
 
 
 @query(f"""{_PART_KNN}, c AS (SELECT DISTINCT src, tgt FROM edges WHERE kind = 'CALLS' AND tgt IN (SELECT id FROM pa)), ca AS (SELECT tgt AS node_id, string_agg(src, ', ' ORDER BY src) AS callers FROM c GROUP BY 1)
 SELECT query_id, CAST(pos AS INTEGER) AS pos, hit.node_id, distance, FALSE AS is_expansion, coalesce(callers, '') AS callers, '' AS callees FROM hit LEFT JOIN ca USING (node_id) WHERE pos <= 10""")
 def nl_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search with every vector as the query: its 10 best symbols with who calls them and whom they call."""
-    out = vector.search(*_search(spark, sf_dir), limit=10)
+    """Search with every 50th vector as the query: its 10 best symbols with who calls them and whom they call."""
+    return _found(vector.search(*_search(spark, sf_dir), limit=10))
+
+
+def _found(out: DataFrame) -> DataFrame:
     return out.select("query_id", "pos", "node_id", "distance", "is_expansion", F.array_join("callers", ", ").alias("callers"), F.array_join("callees", ", ").alias("callees"))
 
 
+@query(f"""{_PART_KNN}, c AS (SELECT DISTINCT src, tgt FROM edges WHERE kind = 'CALLS'),
+x AS (SELECT DISTINCT query_id, src AS node_id FROM hit JOIN c ON tgt = hit.node_id WHERE pos <= 3 AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.query_id = hit.query_id AND h.node_id = src)),
+held AS (SELECT query_id, least(count(*), 3) AS n FROM x GROUP BY 1),
+a AS (SELECT query_id, node_id, distance, FALSE AS is_expansion FROM hit LEFT JOIN held USING (query_id) WHERE pos <= 10 - coalesce(n, 0) UNION ALL SELECT query_id, node_id, 1.0, TRUE FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY is_expansion, distance, node_id) AS pos FROM a QUALIFY pos <= 10),
+i AS (SELECT DISTINCT node_id FROM r),
+ca AS (SELECT tgt AS node_id, string_agg(src, ', ' ORDER BY src) AS callers FROM c WHERE tgt IN (FROM i) GROUP BY 1),
+ce AS (SELECT src AS node_id, string_agg(tgt, ', ' ORDER BY tgt) AS callees FROM c WHERE src IN (FROM i) GROUP BY 1)
+SELECT query_id, CAST(pos AS INTEGER) AS pos, r.node_id, distance, is_expansion, coalesce(callers, '') AS callers, coalesce(callees, '') AS callees FROM r LEFT JOIN ca USING (node_id) LEFT JOIN ce USING (node_id)""")
+def nl_query_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search with 3 of its 10 places kept for callers and callees of the best hits."""
+    return _found(vector.search(*_search(spark, sf_dir), limit=10, expand_slots=3))
+
+
 @query(f"{_PART_KNN} SELECT DISTINCT query_id, e.src AS node_id FROM hit JOIN edges e ON e.tgt = hit.node_id AND e.kind = 'CALLS' WHERE pos <= 3 AND e.src NOT IN (SELECT id FROM pa)")
 def nl_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, v, q = _search(spark, sf_dir)
@@ -365,7 +399,7 @@ def nl_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT id AS node_id, (SELECT string_agg(DISTINCT src, ', ' ORDER BY src) FROM edges WHERE kind = 'CALLS' AND tgt = id) AS callers, (SELECT string_agg(DISTINCT tgt, ', ' ORDER BY tgt) FROM edges WHERE kind = 'CALLS' AND src = id) AS callees FROM su")
 def hit_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = call_graph(spark, sf_dir)
+    g = star_graph(spark, sf_dir)
     out = vector.context(g, g.nodes.filter(F.col("kind") == S.FUNCTION).select("node_id"))
     some = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).alias(c)
     return out.select("node_id", some("callers"), some("callees"))
@@ -380,7 +414,7 @@ def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT node_id, name || CASE WHEN trim(signature) <> '' THEN '  ' || signature ELSE '' END || CASE WHEN trim(docstring) <> '' THEN '  ' || docstring ELSE '' END AS document FROM nodes WHERE kind <> 'file'")
 def vector_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector.document_table(Star(spark, sf_dir).graph().nodes)
+    return vector.document_table(star_graph(spark, sf_dir).nodes)
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents", base="")
@@ -396,7 +430,7 @@ def cap_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", scalar.cap_body(F.col("text"), 3).alias("body"))
 
 
-@query(f"{_LINES} SELECT doc_id, coalesce(trim(l[2], ' '), '') AS line, array_to_string(l[2:4], chr(10)) AS body, replace(left(text, 100), chr(10), ' ') AS preview FROM l", base="")
+@query(f"{_LINES} SELECT doc_id, coalesce(trim(l[2], '{scalar.WHITE}'), '') AS line, array_to_string(l[2:4], chr(10)) AS body, replace(left(text, 100), chr(10), ' ') AS preview FROM l", base="")
 def get_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", scalar.get_line(t, 2).alias("line"), scalar.extract_body(t, F.lit(2), F.lit(4)).alias("body"), scalar.preview(t).alias("preview"))
@@ -411,7 +445,7 @@ def exclude_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT node_id, name FROM nodes WHERE contains(lower(name), 'an') OR contains(lower(node_id), 'an') ORDER BY name, node_id LIMIT 40")
 def autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Star(spark, sf_dir).graph().autocomplete("AN", 40).select("node_id", "name")
+    return star_graph(spark, sf_dir).autocomplete("AN", 40).select("node_id", "name")
 
 
 @query("""SELECT 'page::' || page_id AS src, 'ext::' || h AS tgt, 'IMPORTS' AS kind FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"#]+)"', 1)) AS h FROM pages)""", base="")
@@ -427,19 +461,19 @@ LEFT JOIN (SELECT DISTINCT e.tgt AS subject, e.src AS node_id FROM edges e WHERE
 def lookup_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Star(spark, sf_dir)
     asked = s.suppliers.select(F.col("id").alias("subject")).unionByName(s.customers.select(F.col("id").alias("subject")))
-    return structural.messages(structural.callers(s.graph(CALL_NODES, CALL_EDGES), asked), "callers", asked)
+    return structural.messages(structural.callers(star_graph(spark, sf_dir), asked), "callers", asked)
 
 
 @query("""SELECT node_id, kind || ' ' || name || '  (' || file || CASE WHEN line <> 0 THEN ':' || line ELSE '' END || ')' AS shown, replace(replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM nodes""")
 def node_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = Star(spark, sf_dir).graph().nodes
+    n = star_graph(spark, sf_dir).nodes
     c = F.col
     return n.select("node_id", scalar.display(c("kind"), c("name"), c("file"), c("line")).alias("shown"), scalar.escape_html(c("name")).alias("escaped"))
 
 
 @query("SELECT name, count(*) AS n, min(node_id) AS first_id, max(node_id) AS last_id FROM nodes WHERE kind <> 'file' GROUP BY name")
 def names_to_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Star(spark, sf_dir).graph().symbols().groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first_id"), F.max("node_id").alias("last_id"))
+    return star_graph(spark, sf_dir).symbols().groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first_id"), F.max("node_id").alias("last_id"))
 
 
 def _samples(spark: SparkSession) -> CodeGraph:
