@@ -176,8 +176,8 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype="<u4").astype(np.int64)
 
 
-#: A block of documents ends when it has so many distinct pieces, or so many in all.
-BLOCK_WORDS, BLOCK_PIECES = 500_000, 3_000_000
+#: A block of documents ends when it has so many distinct pre-tokens.
+BLOCK_WORDS = 500_000
 
 
 class _Numbers(dict):
@@ -222,9 +222,9 @@ def _finish(heads: dict, rests: dict, docs: list[np.ndarray | None]) -> tuple[li
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, list[str]]]:
     """(block, ids, numbers of each document's pre-tokens or None, words by number); the same at each attempt."""
     part, made = TaskContext.get().partitionId(), 0
-    heads, rests, ids, docs, held = _Numbers(), _Numbers(), [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+        heads, rests, ids, docs, end = _Numbers(), _Numbers(), [], [], batch.num_rows
+        for row, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1)), 1):
             t = t.as_py()
             ids.append(i)
             if t is None:
@@ -235,12 +235,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
                 numbers = np.fromiter(map(rests.__getitem__, pieces), dtype=np.int32, count=len(pieces))
                 numbers[0] = -1 - first
                 docs.append(numbers)
-                held += len(numbers)
-            if len(rests) > BLOCK_WORDS or held + len(ids) > BLOCK_PIECES:
+            if len(rests) > BLOCK_WORDS or row == end:
                 yield part << 24 | made, ids, *_finish(heads, rests, docs)
-                heads, rests, ids, docs, held, made = _Numbers(), _Numbers(), [], [], 0, made + 1
-    if ids:
-        yield part << 24 | made, ids, *_finish(heads, rests, docs)
+                heads, rests, ids, docs, made = _Numbers(), _Numbers(), [], [], made + 1
 
 
 _WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("chars", pa.binary()), ("lens", pa.binary()), ("nums", pa.binary())])
@@ -252,7 +249,7 @@ def encode(df: DataFrame, vocabulary: str | None = None, text_col: str = "text",
     """One row a document: ``doc_id``, ``token_ids`` (array<int>), ``n_tokens``.
 
     A null text has null ``token_ids`` and ``n_tokens``, an empty one has no tokens. Null ids and
-    repeated rows are kept, each with its own row. Special tokens' strings are ordinary text.
+    repeated rows are kept, each with its own row. Ids are integers, or strings of integers; any other string is an error. Special tokens' strings are ordinary text.
     Other columns are not read. ``vocabulary`` is the path of a file of base64 tokens and ranks that
     every executor can read.
     """
