@@ -519,3 +519,19 @@ def test_names_that_differ_by_case_only(spark):
     assert html_extract.extract(df).first()["text"] == "t" and packing.pack(df, 100).first()["n_items"] == 2
     book = huffman.build_book(df)
     assert huffman.decompress(huffman.compress(df, book), book).count() == 2
+
+
+def test_ids_that_are_strings(spark):
+    """Strings of integers are ids, any other string is an error, in all operators that return ids."""
+    from weftgraph.llm import fingerprints, html_extract, licenses
+
+    runs = (
+        lambda d: fingerprints.fingerprint(d), lambda d: jaccard.links(d), lambda d: bpe.encode(d), lambda d: bpe.encode_rows(d), lambda d: bpe.count_rows(d), lambda d: licenses.scan(d),
+        lambda d: html_extract.extract(d, "text", "text", "doc_id"), lambda d: packing.pack(d, 100, "1"),
+    )
+    good, bad = docs(spark, [("7", "MIT License of some words")], "doc_id string, text string"), docs(spark, [("x7", "MIT License of some words")], "doc_id string, text string")
+    for run in runs:
+        row = run(good).first()
+        assert 7 in (row["doc_ids"] if "doc_ids" in row else [row["doc_id" if "doc_id" in row else "page_id"]])
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            run(bad).collect()

@@ -8,6 +8,7 @@ import time
 from collections import Counter
 from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 
 from weftgraph.llm import fingerprints, html_extract, langid, licenses, quality
@@ -253,6 +254,15 @@ def test_repeats_against_brute_force(spark, monkeypatch, seed, window, block, si
     assert got == dict(enumerate(want)) and sum(map(bool, want)) > 10
 
 
+def test_codes_of_any_width():
+    rng = np.random.default_rng(1)
+    for width in (1, 3, 6, 11, 17):
+        for n in (0, 1, 7, 1000):
+            codes = rng.integers(0, 1 << width, n)
+            packed = fingerprints.pack_codes(codes, width)
+            assert len(packed) == -(-n * width // 8) and fingerprints.unpack_codes(packed, n, width).tolist() == codes.tolist()
+
+
 def test_groups_of_equal_texts(spark, monkeypatch):
     rows = [(3, "a b"), (2, "a b"), (None, "a b"), (5, None), (6, None), (7, ""), (8, ""), (None, "c"), (9, "d")]
     want = Counter([(3, 2, 3), (2, 2, 3), (None, 2, 3), (5, None, None), (6, None, None), (7, 7, 2), (8, 7, 2), (None, None, 1), (9, 9, 1)])

@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -208,7 +207,7 @@ def fingerprint(
     words is found in another row as well, words being counted from 0 and told apart by their letters alone; whether the
     windows of a run are all from one other row is not asked. A null text has null ``fingerprint``,
     ``same_as`` and ``n_same``, no spans and no repeats; an empty one has fingerprint 0. Repeated rows are kept, each with
-    its own row; they repeat one another's passages. Reference rows without id or text are left out; an empty reference gives no
+    its own row; they repeat one another's passages. Ids are integers, or strings of integers; any other string is an error. Reference rows without id or text are left out; an empty reference gives no
     spans. Reference text beyond ``reference_chars`` is taken in several passes over the documents, with the same result.
     """
     if min_chars < 2 or window < 1:
@@ -225,9 +224,12 @@ def fingerprint(
             passes[-1].append((r["i"], r["t"]))
             held += len(r["t"])
     buckets = buckets_for(docs, "text")
-    sent = docs.mapInArrow(lean(_send(passes[0], min_chars, window, buckets)), _SENT).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    back = sent.mapInArrow(lean(_answer), _SENT).repartition(buckets, "block").sortWithinPartitions("block")
-    out = back.mapInArrow(lean(_receive(window)), _OUT)
+    sent = docs.mapInArrow(lean(_send(window, buckets)), _SENT).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    # the texts are hashed twice: their blocks would cross both exchanges otherwise
+    told = docs.mapInArrow(lean(_tell(passes[0], min_chars, window, buckets)), _SENT)
+    # and come first in the union, so that a partition has the same number, which its blocks are named by, in both passes
+    back = told.unionByName(sent.mapInArrow(lean(_answer), _SENT)).repartition(buckets, "block").sortWithinPartitions("block")
+    out = back.mapInArrow(lean(_receive(window, buckets)), _OUT)
     more = None
     for items in passes[1:]:
         rows = _hashed(docs, items, min_chars).filter("size(spans) > 0").select("doc_id", "n_points", "fingerprint", "spans").distinct()
@@ -253,7 +255,7 @@ _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind",
 _SPANS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())]))
 _DOCS = pa.schema([("doc_id", pa.int64()), ("n_points", pa.int64()), ("fingerprint", pa.int64()), ("spans", _SPANS), ("n", pa.int64())])
 _OUT = "doc_id bigint, n_points bigint, fingerprint bigint, spans array<struct<item_id:bigint,start:int,item_start:int,length:int>>, repeats array<struct<first_word:int,n_words:int>>"
-#: What a block sends: its documents and the buckets of their windows; windows that one of its documents holds; such as several do.
+#: What a block sends: its documents and the buckets of their windows; windows that one of its documents holds; such as several hold.
 _BLOCK, _ASKED, _KNOWN = 0, 1, 2
 
 
@@ -261,56 +263,89 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT_ARROW)], schema=_SENT_ARROW)
 
 
-def _send(items: list[tuple[int, str]], min_chars: int, window: int, buckets: int):
-    """Texts to what their blocks send."""
-    code = np.dtype("<u1" if buckets < 255 else "<u4")
+def pack_codes(codes: np.ndarray, width: int) -> bytes:
+    """Numbers of ``width`` bits each."""
+    return np.packbits((codes[:, None] >> np.arange(width) & 1).astype(np.uint8)).tobytes()
 
-    def block_of(number: int, docs: list[tuple], hashes: list[np.ndarray]) -> pa.RecordBatch:
-        counts = np.array([len(h) for h in hashes], dtype=np.int64)
-        h, doc = np.concatenate(hashes), np.repeat(np.arange(len(docs)), counts)
-        bucket = ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+
+def unpack_codes(data: bytes, n: int, width: int) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width).reshape(n, width)
+    out = np.zeros(n, dtype=np.int32)
+    for k in range(width):
+        out |= bits[:, k].astype(np.int32) << k
+    return out
+
+
+class _Block:
+    """Documents that are next to one another: the hashes of their windows, each window's bucket, and which ones several of them hold."""
+
+    def __init__(self, number: int, docs: list[tuple], hashes: list[np.ndarray], buckets: int) -> None:
+        self.number, self.docs = number, docs
+        self.counts = np.array([len(h) for h in hashes], dtype=np.int64)
+        self.hashes = h = np.concatenate(hashes)
+        doc = np.repeat(np.arange(len(docs)), self.counts)
+        self.bucket = ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
         order = np.lexsort((doc, h))
         edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), dtype=bool), h[order][1:] != h[order][:-1])))
         low, high = (np.minimum.reduceat(doc[order], edge), np.maximum.reduceat(doc[order], edge)) if len(edge) else (edge, edge)
-        shared = np.empty(len(h), dtype=bool)
-        shared[order] = np.repeat(low < high, np.diff(np.append(edge, len(h))))
-        known = order[edge[low < high]]  # one place of each window that several documents hold
-        codes = np.where(shared, 0, bucket + 1)
-        table = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*(d + (int(n),) for d, n in zip(docs, counts))), _DOCS)], schema=_DOCS)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, _DOCS) as writer:
-            writer.write_batch(table)
-        held = sink.getvalue().to_pybytes()
-        rows = [(number % buckets, number, _BLOCK, len(held).to_bytes(8, "little") + held + codes.astype(code).tobytes())]
-        asked = np.flatnonzero(~shared)
-        for kind, places in ((_ASKED, asked), (_KNOWN, known)):
-            by = np.argsort(bucket[places], kind="stable")
-            cuts = np.searchsorted(bucket[places][by], np.arange(buckets + 1))
-            rows += [(k, number, kind, pack40(h[places[by[cuts[k] : cuts[k + 1]]]])) for k in np.flatnonzero(np.diff(cuts)).tolist()]
-        return _rows(rows)
+        self.shared = np.empty(len(h), dtype=bool)
+        self.shared[order] = np.repeat(low < high, np.diff(np.append(edge, len(h))))
+        self.known = order[edge[low < high]]  # one place of each window that several documents hold
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], window: int, buckets: int, refs: References | None) -> Iterator[_Block]:
+    """The same at each attempt and in both passes; only with ``refs`` are the documents told."""
+    part, made, held = TaskContext.get().partitionId(), 0, 0
+    docs: list[tuple] = []
+    hashes: list[np.ndarray] = []
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            t = t.as_py()
+            if t is None:
+                docs.append((i, None, None, []))
+                hashes.append(np.empty(0, np.uint64))
+            else:
+                p = Prefix(codes := code_points(t))
+                spans = [dict(zip(("item_id", "start", "item_start", "length"), s)) for s in refs.shared(p)] if refs else []
+                docs.append((i, p.n, p.span(0, p.n), spans))
+                hashes.append(window_hashes(p, *words(codes), window))
+            held += len(hashes[-1])
+            if held >= BLOCK_WINDOWS or len(docs) >= BLOCK_DOCS:
+                yield _Block(part << 24 | made, docs, hashes, buckets)
+                docs, hashes, held, made = [], [], 0, made + 1
+    if docs:
+        yield _Block(part << 24 | made, docs, hashes, buckets)
+
+
+def _send(window: int, buckets: int):
+    """Texts to the windows that their blocks send to each bucket, those to be asked for in order of place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs, part, made = References(items, min_chars), TaskContext.get().partitionId(), 0
-        docs: list[tuple] = []
-        hashes: list[np.ndarray] = []
-        held = 0
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                t = t.as_py()
-                if t is None:
-                    docs.append((i, None, None, []))
-                    hashes.append(np.empty(0, np.uint64))
-                else:
-                    codes = code_points(t)
-                    p = Prefix(codes)
-                    docs.append((i, p.n, p.span(0, p.n), [dict(zip(("item_id", "start", "item_start", "length"), s)) for s in refs.shared(p)]))
-                    hashes.append(window_hashes(p, *words(codes), window))
-                held += len(hashes[-1])
-                if held >= BLOCK_WINDOWS or len(docs) >= BLOCK_DOCS:
-                    yield block_of(part << 24 | made, docs, hashes)
-                    docs, hashes, held, made = [], [], 0, made + 1
-        if docs:
-            yield block_of(part << 24 | made, docs, hashes)
+        for x in _blocks(batches, window, buckets, None):
+            rows = []
+            for kind, places in ((_ASKED, np.flatnonzero(~x.shared)), (_KNOWN, x.known)):
+                by = np.argsort(x.bucket[places], kind="stable")
+                cuts = np.searchsorted(x.bucket[places][by], np.arange(buckets + 1))
+                rows += [(k, x.number, kind, pack40(x.hashes[places[by[cuts[k] : cuts[k + 1]]]])) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+            if rows:
+                yield _rows(rows)
+
+    return run
+
+
+def _tell(items: list[tuple[int, str]], min_chars: int, window: int, buckets: int):
+    """Texts to their blocks' documents, with the bucket of each window that was asked for, or 0."""
+    width = buckets.bit_length()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _blocks(batches, window, buckets, References(items, min_chars)):
+            table = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*(d + (int(n),) for d, n in zip(x.docs, x.counts))), _DOCS)], schema=_DOCS)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _DOCS) as writer:
+                writer.write_batch(table)
+            held = sink.getvalue().to_pybytes()
+            codes = pack_codes(np.where(x.shared, 0, x.bucket + 1), width)
+            yield _rows([(0, x.number, _BLOCK, len(held).to_bytes(8, "little") + held + codes)])
 
     return run
 
@@ -332,7 +367,7 @@ def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple]]
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bucket by bucket: for each window that is asked for, one bit, whether another block or several documents of one hold it."""
     for rows in _groups(batches, 0):
-        out = [r for r in rows if r[2] == _BLOCK]
+        out = []
         asked = [unpack40(r[3]) for r in rows if r[2] == _ASKED]
         known = [unpack40(r[3]) for r in rows if r[2] == _KNOWN]
         # a block asks for one document's windows; where these repeat within it, that is no other document
@@ -346,8 +381,9 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(out)
 
 
-def _receive(window: int):
+def _receive(window: int, buckets: int):
     """Block by block: the documents with their repeated passages."""
+    width = buckets.bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 1):
@@ -356,7 +392,7 @@ def _receive(window: int):
             docs = pa.ipc.open_stream(pa.py_buffer(data[8 : 8 + size])).read_next_batch()
             counts = docs.column(4).to_numpy()
             total = int(counts.sum())
-            codes = np.frombuffer(data[8 + size :], dtype="<u1" if len(data) - 8 - size == total else "<u4")
+            codes = unpack_codes(data[8 + size :], total, width)
             order = np.argsort(codes, kind="stable")
             each = np.bincount(codes, minlength=1) if total else np.zeros(1, np.int64)
             flags = np.ones(total, dtype=bool)
@@ -383,21 +419,17 @@ def _receive(window: int):
 
 
 def _hashed(docs: DataFrame, items: list[tuple[int, str]], min_chars: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``doc_id``, ``n_points``, ``fingerprint`` and ``spans`` of each row, without windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = References(items, min_chars)
         for b in batches:
             rows = []
-            for t in b["text"]:
-                if t is None:
-                    rows.append((None, None, []))
-                    continue
-                p = Prefix(code_points(t))
-                rows.append((p.n, p.span(0, p.n), [dict(zip(("item_id", "start", "item_start", "length"), s)) for s in refs.shared(p)]))
-            made = pd.DataFrame(rows, columns=["n_points", "fingerprint", "spans"], index=b.index)
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"].astype("Int64"), "n_points": made["n_points"].astype("Int64"),
-                "fingerprint": pd.array(made["fingerprint"].tolist(), dtype="Int64"), "spans": made["spans"],
-            })
-
-    schema = "doc_id bigint, n_points bigint, fingerprint bigint, spans array<struct<item_id:bigint,start:int,item_start:int,length:int>>"
-    return docs.mapInPandas(run, schema)
+            for t in b.column(1):
+                t = t.as_py()
+                p = None if t is None else Prefix(code_points(t))
+                rows.append((None, None, []) if p is None else (p.n, p.span(0, p.n), [dict(zip(("item_id", "start", "item_start", "length"), s)) for s in refs.shared(p)]))
+            made = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ((), (), ()), list(_DOCS)[1:4])]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], _DOCS.names[:4])
+
+    return docs.mapInArrow(lean(run), _OUT.rsplit(", ", 1)[0])

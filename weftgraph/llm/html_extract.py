@@ -248,7 +248,7 @@ def extract(df: DataFrame, html_col: str = "html", url_col: str = "url", id_col:
     ``method`` is ``consensus`` where the page has containers with text on its host's winning path, ``own`` for the page's best
     container, ``body`` for the text outside of noise elements. A page whose url is null or has no host has host '',
     does not vote and uses its own. Pages may be long and nested deeply; a path of more than MAX_PATH characters is given by its end and a digest. Null html has null ``path``, ``method``, ``text`` and ``n_chars``; html without text gives ''. Repeated rows are
-    kept, and each votes. Other columns are not read.
+    kept, and each votes. Ids are integers, or strings of integers; any other string is an error. Other columns are not read.
     """
     pages = tidy(df).select(col(id_col).cast("bigint").alias("page_id"), host_of(col(url_col)).alias("host"), col(html_col).alias("html"))
     best = stash(winners(votes(pages)), "host-paths")

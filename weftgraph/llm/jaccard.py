@@ -554,7 +554,7 @@ def links(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_df: int
     ``class_id`` is the smallest id of the class. Pairs of different sets are all found and counted, but not listed: a class of m
     documents has m rows. Documents of equal sets are linked by index 1 without being paired.
 
-    Rows with a null id have no row. Texts that are null or without a word are linked to nothing, not even to each other.
+    Rows with a null id have no row. Ids are integers, or strings of integers; any other string is an error. Texts that are null or without a word are linked to nothing, not even to each other.
     A text of fewer than ``n`` words has one token, itself. Repeated rows of one id count once, and an id is not linked to
     itself; an id with several different texts is one document of the class of all of them and has the links of each. Other columns are not read.
     """
@@ -584,7 +584,7 @@ def links(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_df: int
 def keep_one(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_df: int = RARE_DF, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``df`` less those of documents that are linked, by similar pairs, to one of smaller id.
 
-    Documents that pairs link, directly or by way of others, are a class; that of smallest id stays. Rows with a null id and
+    Documents that pairs link, directly or by way of others, are a class; that of smallest id stays. Ids are integers, or strings of integers; any other string is an error. Rows with a null id and
     texts without a word stay. Of repeated rows of one id all stay or all go; an id with several texts is of the class of all of them.
     """
     df = tidy(df, ("__gone",))

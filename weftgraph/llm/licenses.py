@@ -430,7 +430,7 @@ def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataF
     """One row a detection: ``doc_id``, ``license``, ``rule``, ``priority``, ``start``, ``end``, ``matched``.
 
     ``start`` and ``end`` are code points. A text that is null, empty or without any detection has no row.
-    Null ids and repeated rows are kept, each with its own detections. Other columns are not read.
+    Null ids and repeated rows are kept, each with its own detections. Ids are integers, or strings of integers; any other string is an error. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

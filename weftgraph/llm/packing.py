@@ -55,7 +55,7 @@ def pack(
     separator. An item longer than ``capacity`` is cut into pieces ``0, 1, ...``, all but the last
     of them full. A null size counts as 1 and one below 1 as 1, so that a document without text
     still appears once. Null ids and repeated rows are items like any other, hashed into groups by their places in the
-    table. Ids are integers or strings of such. Ties are taken by (size descending, id, piece). An empty table gives no bins. Other columns are not read.
+    table. Ids are integers, or strings of integers; any other string is an error. Ties are taken by (size descending, id, piece). An empty table gives no bins. Other columns are not read.
     """
     if capacity < 1 or fan_in < 2 or group_items < 1:
         raise ValueError("capacity and group_items must be positive, fan_in at least 2")
