@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 import threading
 import urllib.request
+from pathlib import Path
 
 import pytest
 
-from weftgraph import Config, Index
+from pyspark.sql import functions as F
+
+from weftgraph import Config, Index, config, storage
 from weftgraph.cli import serve
 from weftgraph.graph import CodeGraph
 from weftgraph.sources import files as src
@@ -87,13 +90,13 @@ def test_query_page_and_server(spark, project, tmp_path):
 
 def test_scan_and_errors(spark, tmp_path):
     (tmp_path / "bad name+x.py").write_bytes(b"def f(:\n    '\xff'\n")
-    (tmp_path / "empty.go").write_text("")  # Spark skips files of no bytes
+    (tmp_path / "empty.go").write_text("")
     (tmp_path / "blank.go").write_text("\n")
     found = src.scan(spark, str(tmp_path), exclude=["*.rs"]).collect()
-    assert {(r["path"], r["language"]) for r in found} == {("bad name+x.py", "python"), ("blank.go", "go")}
+    assert {(r["path"], r["language"]) for r in found} == {("bad name+x.py", "python"), ("blank.go", "go"), ("empty.go", "go")}
     index = Index(spark, str(tmp_path))
     report = index.build()
-    assert len(report.errors) == 1 and report.errors[0].startswith("bad name+x.py: SyntaxError") and report.new == 2
+    assert len(report.errors) == 1 and report.errors[0].startswith("bad name+x.py: SyntaxError") and report.new == 3
 
 
 def test_sql_table_function(spark):
@@ -121,3 +124,44 @@ def test_streaming_ingest(spark, project, tmp_path):
     ingest(spark, str(drop), str(store), str(marks)).awaitTermination(120)
     g = CodeGraph.load(spark, f"{store}/batch-1")
     assert {r["node_id"] for r in g.nodes.filter("kind = 'file'").collect()} == {"a.py", "b.py"} and g.nodes.count() == 7
+
+
+def shout(system, prompt):
+    return f"{len(system) > 0} {prompt.splitlines()[0]}"
+
+
+def lengths(text):
+    """A stand-in for a model: the text's length and a constant."""
+    return F.array(F.length(F.coalesce(text, F.lit(""))).cast("float"), F.lit(1.0).cast("float"))
+
+
+def test_empty_files_and_a_corrupt_state(spark, project):
+    (project / "pkg" / "__init__.py").write_text("")
+    index = Index(spark, str(project))
+    assert index.build().new == 3 and index.exists() and config.exists(project)
+    assert index.graph.node("pkg/__init__.py").first()["kind"] == "file"
+    assert index.build().unchanged == 3 and index.vector_count() == index.vectors.count() > 0
+    for f in Path(index._versions(), "state").glob("*.parquet"):
+        f.write_bytes(b"no parquet at all")
+        f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+    report = index.build()
+    assert (report.new, report.unchanged) == (3, 0) and index.graph.symbols().count() == 5
+
+
+def test_model_embedder_and_answers(spark, project, monkeypatch):
+    monkeypatch.setenv("WEFTGRAPH_MODEL", "tests.test_engine:shout")
+    index = Index(spark, str(project), Config(embedder="tests.test_engine:lengths"))
+    index.build()
+    assert len(index.vectors.first()["embedding"]) == 2
+    got = index.query("numbers", 2, explain=True)
+    assert got["explanation"] == "True Question: numbers" and len(got["hits"]) == 2
+    answer = index.ask("callers", "a.py::helper")
+    assert [n["node_id"] for n in answer.nodes] == ["a.py::main", "pkg/b.py::Animal::speak"] and answer.message == "2 caller(s) of 'a.py::helper'"
+    assert index.ask("find_symbol", "SHARED").as_dict()["message"] == "Found 1 symbol(s) named 'SHARED'" and index.ask("callees", "nobody").nodes == ()
+
+
+def test_sweep(spark):
+    kept = storage.stash(spark.range(3), "some")
+    assert kept.count() == 3
+    path = storage._made[spark.sparkContext.applicationId][-1].removeprefix("file:")
+    assert Path(path).is_dir() and storage.sweep(spark) >= 1 and not Path(path).exists() and storage.sweep(spark) == 0

@@ -27,6 +27,12 @@ def test_bodies(spark):
     assert one(spark, scalar.extract_body(t, F.lit(2), F.lit(3))) == " b \nc" and one(spark, scalar.extract_body(t, F.lit(3), F.lit(2))) == one(spark, scalar.extract_body(t, F.lit(0), F.lit(2))) == ""
 
 
+@pytest.mark.parametrize("text", ["\tindented\t", "\u3000wide\xa0", "\x1c\x85 x y \u2029", "", " \n "])
+def test_all_white_space_is_stripped(spark, text):
+    assert one(spark, scalar.strip(F.lit(text))) == text.strip()
+    assert one(spark, scalar.get_line(F.lit("a\n\t b \t\nc"), 2)) == "b" and one(spark, scalar.document_string(F.lit("n"), F.lit("\t"), F.lit("d"))) == "n  d"
+
+
 def test_names(spark):
     assert one(spark, scalar.node_id(F.lit("f"), F.lit("C"), F.lit("m"))) == "f::C::m"
     assert one(spark, scalar.external_id(F.lit("os"))) == "ext::os" and one(spark, scalar.external_id(F.lit("os"), F.lit("path"))) == "ext::os::path"

@@ -310,3 +310,10 @@ def test_odd_inputs():
         for text in ("", "\n\n", "{{{{", "}}}}((", '"unclosed', "/* open", "class", "func (", "impl<", "\x00\x01", "é" * 100):
             parse_source(f"x.{ext}", text)
     assert parse_source("x.py", None).errors and not parse_source("x.txt", "class A:").nodes
+
+
+def test_python_deep_expressions():
+    for n in (3_000, 300_000):  # the second is too deep for a syntax tree
+        rows = parse_source("x.py", "import os\ndef f():\n    return " + "+".join(["1"] * n) + "\ndef g():\n    return f()\n")
+        assert [t[3] for t in rows.tuples() if t[0] == "node"] and {t[2] for t in rows.tuples() if t[0] == "node"} == {"x.py::f", "x.py::g"}
+    assert parse_source("x.py", "def f():\n    return " + "(" * 500 + ")" * 500 + "\n").errors

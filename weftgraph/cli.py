@@ -110,7 +110,7 @@ def main(args: list[str] | None = None) -> int:
         if a.serve:
             serve(index, a.host, a.port).serve_forever()
     else:
-        print(json.dumps(index.stats() | {"vector_bytes": index.vector_bytes()}, indent=2))
+        print(json.dumps(index.stats() | {"vectors": index.vector_count(), "vector_bytes": index.vector_bytes()}, indent=2))
     return 0
 
 

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import os
 import tomllib
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields
+from importlib import import_module
 from pathlib import Path
 
 from .functions.scalar import DEFAULT_EXCLUDES
 
 FOLDER = ".weftgraph"
-_ENV = {"model_key": "OPENAI_API_KEY", "model_name": "OPENAI_MODEL"}
+_ENV = {"model_key": "OPENAI_API_KEY", "model_name": "OPENAI_MODEL", "model": "WEFTGRAPH_MODEL", "embedder": "WEFTGRAPH_EMBEDDER"}
+
+
+def _imported(name: str):
+    module, _, what = name.partition(":")
+    return getattr(import_module(module), what)
 
 
 @dataclass(frozen=True)
@@ -22,6 +29,9 @@ class Config:
     all_imports: bool = False
     model_key: str = ""
     model_name: str = ""
+    #: Where a model that explains is imported from, and one that embeds: "package.module:function".
+    model: str = ""
+    embedder: str = ""
     excludes: tuple[str, ...] = field(init=False, default=())
 
     def __post_init__(self) -> None:
@@ -30,6 +40,17 @@ class Config:
                 object.__setattr__(self, name, value)
         object.__setattr__(self, "excludes", tuple(dict.fromkeys((*DEFAULT_EXCLUDES, *self.exclude))))
 
+    def explainer(self) -> Callable[[str, str], str] | None:
+        """``model`` as a function of system and user prompt; it is made with the key and the name of the model if it is a class. None if none is set."""
+        if not self.model:
+            return None
+        found = _imported(self.model)
+        return found(self.model_key, self.model_name) if isinstance(found, type) else found
+
+    def embed(self) -> Callable | None:
+        """``embedder`` as a function from a text column to a vector column; None for the default."""
+        return _imported(self.embedder) if self.embedder else None
+
     def options(self) -> dict:
         """What the parsers are told."""
         return {"max_body_lines": self.max_body_lines, "emit_calls": self.emit_calls, "all_imports": self.all_imports}
@@ -57,4 +78,5 @@ def prepare_folder(root: str | Path) -> Path:
 
 
 def exists(root: str | Path) -> bool:
-    return (Path(root) / FOLDER / "graph" / "nodes").is_dir()
+    """Whether a whole build is stored in the project's index folder."""
+    return (Path(root) / FOLDER / "current").exists()

@@ -8,17 +8,21 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema as S
 from .config import Config, exists, prepare_folder
+from .functions import scalar
 from .graph import CodeGraph
 from .operators import exports, incremental, resolve, structural, traversal, vector
 from .page import render
 from .sources import files as src
 
 
+Model = Callable[[str, str], str]
+
+
 @dataclass(frozen=True)
 class BuildReport:
     new: int
@@ -28,16 +32,32 @@ class BuildReport:
     errors: tuple[str, ...]
 
 
+@dataclass(frozen=True)
+class LookUp:
+    """The answer to one look-up: the nodes found, in order of id, and a message."""
+
+    operator: str
+    subject: str
+    nodes: tuple[dict, ...]
+    message: str
+
+    def as_dict(self) -> dict:
+        return {"operator": self.operator, "subject": self.subject, "message": self.message, "nodes": list(self.nodes)}
+
+
 class Index:
     """Opened on a project's root; its tables live in the project's index folder, or in ``store`` where given.
 
     Stored edges are raw: calls by name are resolved when the graph is read, so that an incremental build gives what
-    a fresh one does.
+    a fresh one does. ``embedder`` takes a text column to a vector column and ``model`` a system and a user prompt to an answer; both
+    come from the settings where they are not given.
     """
 
-    def __init__(self, spark: SparkSession, root: str, config: Config | None = None, store: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str, config: Config | None = None, store: str | None = None, embedder: Callable[[Column], Column] | None = None, model: Model | None = None) -> None:
         self.spark, self.root = spark, str(root)
         self.config = config or Config.load(root)
+        self.embedder = embedder or self.config.embed() or vector.embed
+        self.model = model or self.config.explainer()
         self._store = store
         self._graph: CodeGraph | None = None
 
@@ -71,7 +91,7 @@ class Index:
         to = f"{self.store}/build-{datetime.now(timezone.utc).strftime('%Y%m%d%H%M%S%f')}"
         graph.save(f"{to}/graph")
         graph = CodeGraph.load(self.spark, f"{to}/graph")
-        vector.upsert_vectors(vectors, graph.nodes).write.parquet(f"{to}/vectors")
+        vector.upsert_vectors(vectors, graph.nodes, self.embedder).write.parquet(f"{to}/vectors")
         src.save_state(found, f"{to}/state")
         errors = tuple(r["message"] for r in src.errors_of(parsed).orderBy("message").collect())
         self.spark.createDataFrame([(to,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.store}/current")
@@ -104,18 +124,24 @@ class Index:
     def look_up(self, operator: str, subject: str) -> DataFrame:
         return structural.look_up(self.graph, operator, subject)
 
+    def ask(self, operator: str, subject: str) -> LookUp:
+        """``look_up`` with its rows and the message that goes with them; ``find_symbol`` looks for a name."""
+        df = self.find(subject) if operator == "find_symbol" else self.look_up(operator, subject)
+        rows = tuple(r.asDict(recursive=True) for r in df.select(*S.NODE_COLUMNS).orderBy("node_id").collect())
+        return LookUp(operator, subject, rows, scalar.MESSAGES[operator].format(n=len(rows), x=subject))
+
     def call_chain(self, source: str, target: str) -> DataFrame:
         return traversal.call_chain(self.graph, source, target)
 
     def find(self, name: str) -> DataFrame:
         return self.graph.find(name)
 
-    def query(self, text: str, limit: int = 10, explain: bool = False, model: Callable[[str, str], str] | None = None) -> dict:
+    def query(self, text: str, limit: int = 10, explain: bool = False, model: Model | None = None) -> dict:
         """The symbols that fit ``text`` best, each with its callers and callees; with ``explain`` what ``model`` says of them."""
-        asked = self.spark.createDataFrame([("q", text)], "query_id string, text string").select("query_id", vector.embed(F.col("text")).alias("embedding"))
+        asked = self.spark.createDataFrame([("q", text)], "query_id string, text string").select("query_id", self.embedder(F.col("text")).alias("embedding"))
         found = vector.search(self.graph, self.vectors, asked, limit).persist()
         rows = found.join(self.graph.nodes.drop("body"), "node_id").orderBy("pos").collect()
-        said = vector.explain(self.graph, found, text, model) if explain else ""
+        said = vector.explain(self.graph, found, text, model or self.model) if explain else ""
         found.unpersist()
         return {"query": text, "hits": [r.asDict(recursive=True) for r in rows], "explanation": said}
 
@@ -124,6 +150,9 @@ class Index:
         g = self.graph
         return {**g.totals().first().asDict(), "by_kind": pairs(g.by_kind()), "by_edge": pairs(g.by_edge()), "by_language": pairs(g.by_language())}
 
+    def vector_count(self) -> int:
+        return self.vectors.count()
+
     def vector_bytes(self) -> int:
         where = self._versions()
         if not where:

@@ -7,7 +7,6 @@ part. Users that follow one another in the events of one type and day call each
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..graph import CodeGraph, conform_nodes
-from ..storage import shared_folder
+from ..storage import is_kept, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,8 +117,8 @@ def _state(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> str:
 
 def _stored(spark: SparkSession, sf_dir: str, what: str, tables: tuple[str, ...], build: Callable[[], CodeGraph]) -> CodeGraph:
     key = (spark.sparkContext.applicationId, f"{what} {sf_dir}", _state(spark, sf_dir, tables))
-    if key not in _built:
-        path = f"{shared_folder(spark)}/weftgraph/{what}-{uuid.uuid4().hex}"
+    if not is_kept(spark, _built.get(key, "")):
+        path = shared_path(spark, what)
         build().save(path)
         _built[key] = path
     return CodeGraph.load(spark, _built[key])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +12,9 @@ from ..functions import scalar
 from ..graph import CodeGraph
 from ..operators import exports, incremental, resolve, structural, traversal, vector
 from ..sources import files as sources
-from ..storage import shared_folder
+from ..storage import shared_path
 from .projection import ORACLE_CTE, ORACLE_USERS, Star, star_graph, table, user_graph
-from .samples import LINKS, SOURCES, SYMBOLS, values
+from .samples import DETAILS, LINKS, MORE, SOURCES, SYMBOLS, values
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,7 +89,7 @@ def nodes_for_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges""")
 def graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The projected graph built anew and saved by kind, as every other query reads it."""
-    path = f"{shared_folder(spark)}/weftgraph/build-{uuid.uuid4().hex}"
+    path = shared_path(spark, "build")
     Star(spark, sf_dir).graph().save(path)
     g = CodeGraph.load(spark, path)
     return g.nodes.agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(g.edges.agg(F.count(F.lit(1)).alias("n_edges")))
@@ -497,3 +496,25 @@ UNION ALL SELECT string_split(node_id, '::')[1], node_id, 'DEFINES' FROM (VALUES
 def parse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of the same sources, with calls resolved across files."""
     return _samples(spark).edges
+
+
+@query(f"SELECT node_id, kind, qualified, signature, docstring, is_async, decorators FROM (VALUES {values(DETAILS)}) t(node_id, kind, qualified, signature, docstring, is_async, decorators)", base="")
+def parse_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is told of the symbols of further sources, one of them broken and one with a very deep expression."""
+    parsed = sources.parse(spark.createDataFrame(list(MORE.items()), "path string, text string"))
+    return sources.nodes_of(parsed).select("node_id", "kind", "qualified", "signature", "docstring", "is_async", F.array_join("decorators", ", ").alias("decorators"))
+
+
+@query("SELECT 'bad/broken.py' AS file, 'SyntaxError' AS error", base="")
+def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What could not be parsed, and why."""
+    parsed = sources.parse(spark.createDataFrame(list(MORE.items()), "path string, text string"))
+    return sources.errors_of(parsed).select("file", F.element_at(F.split("message", ": "), 2).alias("error"))
+
+
+@query("SELECT source || '/' || doc_id AS path, 'doc::' || source || '::' || doc_id AS node_id FROM documents WHERE text IS NOT NULL", base="")
+def make_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths below a root and ids made of parts."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    where, part = F.concat_ws("/", F.lit("/data/tree"), "source", F.col("doc_id").cast("string")), F.col("doc_id").cast("string")
+    return docs.select(scalar.relative_path(where, "/data/tree/").alias("path"), scalar.node_id(F.lit("doc"), "source", part).alias("node_id"))

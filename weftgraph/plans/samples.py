@@ -35,6 +35,28 @@ LINKS = [
 ]
 
 
+#: Further constructs, each with all that is told of it.
+MORE = {
+    "app/deco.py": "import functools\n\n@functools.cache\ndef slow(n):\n    \"\"\"Slow.\"\"\"\n    return n\n\nclass Late:\n    async def go(self):\n        pass\n",
+    "app/deep.py": "def total():\n    return " + "+".join(["1"] * 3000) + "\n",
+    "web/fn.js": "const fs = require('fs');\n\n/**\n * Adds.\n */\nfunction add(a, b) { return a; }\n",
+    "srv/free.rs": "enum Mode { A, B }\nunion Raw { n: u8 }\n\n/// Runs it.\npub fn run() {}\n",
+    "srv/Kinds.java": "/** Named. */\ninterface Named { }\nenum Color { RED, GREEN }\n",
+    "srv/group.go": 'package srv\n\nimport (\n\t"fmt"\n\tio "io"\n)\n\n// Shape has an area.\ntype Shape interface { Area() int }\n',
+    "bad/broken.py": "def ok():\n    return 1\n\ndef broken(:\n    pass\n",
+}
+
+DETAILS = [
+    ("app/deco.py::slow", "function", "app.deco.slow", "def slow(n):", "Slow.", False, "functools.cache"), ("app/deco.py::Late", "class", "app.deco.Late", "class Late:", "", False, ""),
+    ("app/deco.py::Late::go", "method", "app.deco.Late.go", "async def go(self):", "", True, ""), ("app/deep.py::total", "function", "app.deep.total", "def total():", "", False, ""),
+    ("web/fn.js::add", "function", "web/fn.js.add", "function add(a, b) { return a; }", "/**\n* Adds.\n*/", False, ""), ("srv/free.rs::Mode", "enum", "srv/free.rs::Mode", "enum Mode { A, B }", "", False, ""),
+    ("srv/free.rs::Raw", "struct", "srv/free.rs::Raw", "union Raw { n: u8 }", "", False, ""), ("srv/free.rs::run", "function", "srv/free.rs::run", "pub fn run() {}", "Runs it.", False, ""),
+    ("srv/Kinds.java::Named", "interface", "srv/Kinds.java.Named", "interface Named { }", "/** Named. */", False, ""), ("srv/Kinds.java::Color", "enum", "srv/Kinds.java.Color", "enum Color { RED, GREEN }", "", False, ""),
+    ("srv/group.go::Shape", "interface", "srv/group.go.Shape", "type Shape interface { Area() int }", "Shape has an area.", False, ""),
+    ("bad/broken.py::ok", "function", "bad.broken.ok", "def ok():", "", False, ""), ("bad/broken.py::broken", "function", "bad.broken.broken", "def broken(:", "", False, ""),
+]
+
+
 def values(rows: list[tuple]) -> str:
     """Rows as the body of an SQL VALUES list."""
     return ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from .parsers import OUT_SCHEMA, parse_source, supported_extensions
 def scan(spark: SparkSession, root: str, exclude: Iterable[str] = (), extensions: Iterable[str] | None = None) -> DataFrame:
     """``path`` (below ``root``), ``mtime``, ``sha256``, ``language``, ``content`` of all source files that no pattern excludes.
 
-    ``root`` is a folder of any file system that Spark reads. An empty folder gives no rows. Files of no bytes are left
-    out, as all of Spark's file sources do.
+    ``root`` is a folder of any file system that Spark reads. An empty folder gives no rows. Spark's file sources leave out files of
+    no bytes; those are listed by the driver and added.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -29,10 +30,22 @@ def scan(spark: SparkSession, root: str, exclude: Iterable[str] = (), extensions
     path = scalar.relative_path(plain, base)
     known = list(extensions) if extensions is not None else supported_extensions()
     # the test of the extension comes first: it is cheaper than the patterns
+    files = files.select("path", "modificationTime", "content").unionByName(_empty_files(spark, fs, hadoop))
     some = files.select(path.alias("path"), "modificationTime", "content").filter(scalar.suffix(F.col("path")).isin(known)).filter(~scalar.excluded(F.col("path"), exclude))
     return some.select("path", (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.sha2("content", 256).alias("sha256"), scalar.language_of(F.col("path")).alias("language"), "content")
 
 
+def _empty_files(spark: SparkSession, fs, root) -> DataFrame:
+    """``path``, ``modificationTime`` and empty ``content`` of the files of no bytes, which are few."""
+    found, listed = [], fs.listFiles(root, True)
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() == 0:
+            found.append((f.getPath().toUri().getPath(), f.getModificationTime()))
+    rows = spark.createDataFrame(found, "path string, millis bigint")
+    return rows.select("path", F.timestamp_millis("millis").alias("modificationTime"), F.lit(b"").alias("content"))
+
+
 def parse(files: DataFrame, options: dict | None = None) -> DataFrame:
     """Rows of OUT_SCHEMA for (path, content or text): ``rec_type`` tells nodes, edges and errors apart.
 
@@ -81,11 +94,13 @@ def register_sql(spark: SparkSession) -> None:
 
 
 def load_state(spark: SparkSession, path: str) -> DataFrame:
-    """The stored (path, mtime, sha256); empty where none is stored."""
+    """The stored (path, mtime, sha256); empty where none is stored or what is stored cannot be read, so that all files count as new."""
     try:
-        return spark.read.schema(S.STATE_SCHEMA).parquet(path)
-    except AnalysisException:
+        state = spark.read.schema(S.STATE_SCHEMA).parquet(path)
+        state.agg(F.max(F.struct(*state.columns))).collect()  # reads all columns of all rows: a corrupt file shows here
+    except (PySparkException, Py4JJavaError):
         return spark.createDataFrame([], S.STATE_SCHEMA)
+    return state
 
 
 def save_state(files: DataFrame, path: str) -> None:

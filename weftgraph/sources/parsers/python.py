@@ -32,13 +32,15 @@ def _name(e: ast.expr) -> str | None:
 def parse(rows: Rows, options: dict) -> None:
     try:
         tree = ast.parse(rows.source)
-    except (SyntaxError, ValueError) as e:
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         rows.errors.append(f"{rows.file}: {type(e).__name__}: {e}")
         _by_indent(rows)
         return
     classes, functions, calls, imports = [], [], [], []
 
-    def visit(node: ast.AST, around: tuple[ast.AST, ...]) -> None:
+    todo: list[tuple[ast.AST, tuple[ast.AST, ...]]] = [(tree, ())]
+    while todo:  # a stack of its own: expressions may be nested deeper than calls can be
+        node, around = todo.pop()
         if isinstance(node, ast.ClassDef):
             classes.append((node, around))
         elif isinstance(node, _DEFS):
@@ -48,11 +50,8 @@ def parse(rows: Rows, options: dict) -> None:
         elif isinstance(node, ast.Call) and (name := _name(node.func)):
             calls.append((name, around))
         scope = (*around, node) if isinstance(node, (ast.ClassDef, *_DEFS)) else around
-        held = [*getattr(node, "decorator_list", []), *getattr(node, "bases", []), *getattr(node, "keywords", [])] if scope is not around else []
-        for child in ast.iter_child_nodes(node):
-            visit(child, around if child in held else scope)
-
-    visit(tree, ())
+        held = {id(x) for f in ("decorator_list", "bases", "keywords") for x in getattr(node, f, [])} if scope is not around else ()
+        todo += reversed([(child, around if id(child) in held else scope) for child in ast.iter_child_nodes(node)])
     ids: dict[ast.AST, str] = {}
     for c, around in classes:
         outer = [a.name for a in around if isinstance(a, ast.ClassDef)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -25,14 +26,45 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_made: dict[str, list[str]] = {}
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes all tables that this application has put into the shared folder, once its results are written; how many there were.
+
+    Frames that were not written yet can't be read any more. What is left is swept when the process ends, if Spark still runs.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 @atexit.register
 def _sweep() -> None:
+    spark = SparkSession.getActiveSession() if _made else None
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session may have been stopped
+            sweep(spark)
     for d in _local:
         shutil.rmtree(d, ignore_errors=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by ``sweep``."""
+    path = f"{shared_folder(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def is_kept(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is one of this application's, not swept yet."""
+    return path in _made.get(spark.sparkContext.applicationId, ())
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """``df`` written and read again."""
-    path = f"{shared_folder(df.sparkSession)}/weftgraph/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

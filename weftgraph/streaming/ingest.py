@@ -23,7 +23,8 @@ def read_sources(spark: SparkSession, folder: str) -> DataFrame:
 def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str, options: dict | None = None) -> StreamingQuery:
     """Merge every batch of new files into the graph kept in ``store``; takes what is there and ends.
 
-    Batch n writes ``store``/batch-n from the one before, so that a batch that is run again after a failure gives the same.
+    Batch n writes ``store``/batch-n from the one before, so that a batch that is run again after a failure gives the same; the one
+    before that is deleted.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
@@ -34,5 +35,8 @@ def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str, option
         incremental.integrate(graph, src.nodes_of(parsed), src.edges_of(parsed), files.select("path", "language")).save(f"{store}/batch-{n}")
         parsed.unpersist()
         files.unpersist()
+        if n > 1:
+            old = session._jvm.org.apache.hadoop.fs.Path(f"{store}/batch-{n - 2}")
+            old.getFileSystem(session._jsc.hadoopConfiguration()).delete(old, True)
 
     return read_sources(spark, folder).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
