@@ -16,6 +16,7 @@ import re
 import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -198,22 +199,24 @@ def _expand(numbers: np.ndarray, starts: np.ndarray, counts: np.ndarray, flat: n
 
 
 def _finish(heads: dict, rests: dict, docs: list[np.ndarray | None]) -> tuple[list, list[str]]:
-    """A block's documents, given as the numbers of their pieces (those of first ones negative), as numbers of pre-tokens."""
+    """A block's documents, given as the numbers of their pieces (those of first ones negative), as numbers of pre-tokens; clears the pieces."""
     words = _Numbers()
-    flat_, counts_ = [], []
+    flat_, counts_ = array("i"), array("i")
     for known, before in ((rests, " "), (list(reversed(heads)), "")):
         for p in known:
             found = cut_piece(p, before)
             counts_.append(len(found))
-            flat_ += map(words.__getitem__, found)
-    flat, counts = np.array(flat_, dtype=np.int64), np.array(counts_, dtype=np.int64)
+            flat_.extend(map(words.__getitem__, found))
+    heads.clear()
+    rests.clear()
+    flat, counts = np.array(flat_, dtype=np.int32), np.array(counts_, dtype=np.int64)
     starts = np.cumsum(counts) - counts
     # the piece -1 - k is the first one's number k, which stands k places from the end
     numbers = [None if d is None else _expand(np.where(d < 0, len(counts) + d, d), starts, counts, flat) for d in docs]
     some = [d for d in numbers if d is not None]
     often = np.bincount(np.concatenate(some), minlength=len(words)) if some else np.zeros(len(words), np.int64)
     order = np.argsort(-often, kind="stable")
-    place = np.empty(len(words), dtype=np.int64)
+    place = np.empty(len(words), dtype=np.int32)
     place[order] = np.arange(len(words))
     known = list(words)
     return [d if d is None else place[d] for d in numbers], [known[n] for n in order.tolist()]
@@ -236,8 +239,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
                 numbers[0] = -1 - first
                 docs.append(numbers)
             if len(rests) > BLOCK_WORDS or row == end:
-                yield part << 24 | made, ids, *_finish(heads, rests, docs)
+                block = (part << 24 | made, ids, *_finish(heads, rests, docs))
                 heads, rests, ids, docs, made = _Numbers(), _Numbers(), [], [], made + 1
+                yield block
+                del block
 
 
 _WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("chars", pa.binary()), ("lens", pa.binary()), ("nums", pa.binary())])
