@@ -176,6 +176,73 @@ def test_links_of_ids_with_several_texts(spark):
     assert Counter(r["doc_id"] for r in kept) == Counter({1: 3, 4: 3, 5: 1, None: 2, 7: 2})
 
 
+def large_group(seed, sets, words=40):
+    """Copies of one text with a few words changed each."""
+    rng = random.Random(seed)
+    base = [f"g{k}" for k in range(words)]
+    return [" ".join(x if rng.random() > rng.choice([0, 0.03, 0.08]) else f"h{rng.randrange(50)}" for x in base) for _ in range(sets)]
+
+
+@pytest.mark.parametrize("heavy,tokens,least,dense,n,t", [(2, 1 << 20, 256, 64, 3, 0.55), (2, 60, 1, 1, 3, 0.55), (5, 300, 20, 10**9, 1, 0.8), (32, 1 << 20, 256, 64, 2, 0.6)])
+def test_groups_of_heavy_entries_against_brute_force(spark, monkeypatch, heavy, tokens, least, dense, n, t):
+    for name, value in {"HEAVY_RUN": heavy, "TILE_TOKENS": tokens, "_LEAST_TOKENS": least, "_DENSE": dense, "_TILE_ROWS": 7, "_LISTED": 50}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = near_copies(11, groups=8) + ODD + [(2000 + i, x) for i, x in enumerate(large_group(4, 90))]
+    got, want = found_pairs(docs(spark, rows), n, t, 2), brute_pairs(rows, n, t)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert told(jaccard.links(docs(spark, rows), n, t, 2)) == brute_links(rows, n, t)
+    assert {r["doc_id"] for r in jaccard.keep_one(docs(spark, rows), n, t, 2).collect()} == {r[0] for r in kept_of(rows, n, t)}
+
+
+def test_groups_of_ids_with_several_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.randrange(60), x) for x in large_group(6, 80) + large_group(7, 20)]
+    rows += [(rng.randrange(60), x) for _, x in rng.sample(rows, 20)]
+    plain = told(jaccard.links(docs(spark, rows), 2, 0.6, 2))
+    monkeypatch.setattr(jaccard, "HEAVY_RUN", 10**9)
+    want = told(jaccard.links(docs(spark, rows), 2, 0.6, 2))
+    for tokens in (1 << 20, 256 * 5):
+        monkeypatch.setattr(jaccard, "HEAVY_RUN", 3)
+        monkeypatch.setattr(jaccard, "TILE_TOKENS", tokens)
+        assert told(jaccard.links(docs(spark, rows), 2, 0.6, 2)) == want == plain
+    assert sum(n for _, n, _ in want.values()) > 1000
+
+
+def test_a_large_group_is_not_listed_as_pairs(spark, monkeypatch):
+    """No table that the join writes has more than some rows a set, however many sets are alike."""
+    written, plain = [], jaccard.stash
+
+    def counted(df, name):
+        out = plain(df, name)
+        written.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(jaccard, "stash", counted)
+    rows = list(enumerate(large_group(8, 600)))
+    got = told(jaccard.links(docs(spark, rows)))
+    assert got == brute_links(rows, jaccard.N, jaccard.THRESHOLD) and sum(n for _, n, _ in got.values()) > 100_000
+    assert max(written)[0] < 20 * len(rows), max(written)
+
+
+def test_forest_connects_what_a_matrix_does():
+    rng = np.random.default_rng(3)
+    for n, m, share in ((30, 30, 0.03), (20, 45, 0.04), (5, 1, 0.5), (4, 4, 0.0)):
+        ok = rng.random((n, m)) < share
+        edges = [(i, j + n) for i, j in np.argwhere(ok)]
+        assert parts_of(n + m, zip(*jaccard.forest(ok, False))) == parts_of(n + m, edges)
+        if n == m:
+            ok = np.triu(ok, 1) | np.triu(ok, 1).T
+            assert parts_of(n, zip(*jaccard.forest(ok, True))) == parts_of(n, np.argwhere(ok))
+
+
+def parts_of(n, edges):
+    at = list(range(n))
+    for i, j in edges:
+        a, b = at[i], at[j]
+        at = [min(a, b) if x in (a, b) else x for x in at]
+    return at
+
+
 def test_pairs_after_many_empty_texts_of_one_partition(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_CHUNK_CHARS", 1)
     monkeypatch.setattr(jaccard, "_BLOCK_TOKENS", 1)

@@ -12,11 +12,15 @@ A document is the set of its word n-grams, hashed. The steps, each linear in the
    prefix is extended until rare tokens plus, for each subclass, frequent tokens less one, exceed ``e``.
 4. Sets that share an entry, each within the prefix that the pair's sizes call for, are candidates. They are verified by
    their shared tokens, a group of candidates in one place.
+5. An entry of more than ``HEAVY_RUN`` sets is not paired, which would take the square of them for each entry. Its sets are linked
+   to one of them; sets that such links connect are a group, and all pairs of a group are counted once, in tiles of two
+   blocks, by products of matrices. A tile tells how many links each set has, the greatest index and a spanning forest, no pairs.
 
 Subclasses number with the sets' size, so that the pairs stay in proportion to the prefix; sets near the end of
 a size class index in the next one too. The registered result has one row a document, with its class and how many documents it is
 linked to: pairs of a group of copies are counted, not listed. The result is exact up to hash collisions, whose chance for a token
-is about 3e-6, as bits stay in proportion to the number of partitions. No candidate is capped.
+is about 3e-6, as bits stay in proportion to the number of partitions. No candidate is capped: a group of m sets takes m^2 / 2
+comparisons, of some ten nanoseconds each where 400 tokens are common.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buckets_for, col, lean, mix, pack40, stable, stash, tidy, unpack40
@@ -290,7 +294,9 @@ def _index(threshold: float, rare_df: int):
 _RUN_ROWS, _PAIR_ROWS = 1 << 18, 1 << 20
 
 
-_PAIRS_SQL = "bucket int, n int, data binary"
+_PAIRS_SQL = "bucket int, kind int, n int, data binary"
+#: Entries of up to so many sets are paired; beyond, their sets are a group's. Rare tokens are never beyond.
+HEAVY_RUN = 32
 
 
 def _pack_pairs(a: np.ndarray, b: np.ndarray) -> bytes:
@@ -314,57 +320,82 @@ def _unique(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket by bucket, the distinct pairs of its packets."""
-    bucket, found = None, []
+    """Bucket by bucket and kind by kind, the distinct pairs of its packets."""
+    of, found = None, []
+
+    def told() -> pa.RecordBatch:
+        a, b = _unique(found)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), of[1], np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+
     for batch in batches:
-        for k, n, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if k != bucket:
+        for k, kind, n, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if (k, kind) != of:
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unique(found)], ["a", "b"])
-                bucket, found = k, []
+                    yield told()
+                of, found = (k, kind), []
             found.append(_unpack_pairs(data, n))
     if found:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unique(found)], ["a", "b"])
+        yield told()
 
 
-def _pairs(threshold: float, buckets: int):
-    """Runs of equal entries, by size within them, to candidate pairs, packed for each bucket.
+def _pairs(threshold: float, buckets: int, heavy: int):
+    """Runs of equal entries, by size within them, to candidate pairs (kind 0), packed for each bucket.
 
     Two sets must share ``ceil(t / (1 + t) (|x| + |y|))`` tokens; an entry counts for the pair only if it lies in both
-    prefixes for the losses that this leaves. Pairs come once for each ``_PAIR_ROWS`` found.
+    prefixes for the losses that this leaves. Pairs come once for each ``_PAIR_ROWS`` found. Runs of more than ``heavy`` sets
+    of sizes that follow one another give a link (kind 1) from each set to the least instead.
     """
     share = threshold / (1 + threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        held = [0, 0]
 
-        def told() -> pa.RecordBatch:
-            nonlocal found, held
-            a, b = _unique(found)
-            found, held = [], 0
+        def told(kind: int) -> pa.RecordBatch:
+            a, b = _unique(found[kind])
+            found[kind], held[kind] = [], 0
             to = (mix(a.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-            out = [(k, hi - lo, _pack_pairs(a[order[lo:hi]], b[order[lo:hi]])) for k, (lo, hi) in enumerate(pairwise(cuts.tolist())) if hi > lo]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "n", "data"])
+            out = [(k, kind, hi - lo, _pack_pairs(a[order[lo:hi]], b[order[lo:hi]])) for k, (lo, hi) in enumerate(pairwise(cuts.tolist())) if hi > lo]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "n", "data"])
+
+        def add(kind: int, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(x):
+                found[kind].append((np.minimum(x, y), np.maximum(x, y)))
+                held[kind] += len(x)
+                if held[kind] > _PAIR_ROWS:
+                    yield told(kind)
+
+        def useful(sig: np.ndarray, size: np.ndarray, slack: np.ndarray) -> np.ndarray:
+            """Whether an entry counts beside the smallest set of its run that is not too small."""
+            run = np.cumsum(np.concatenate(([0], sig[1:] != sig[:-1]))) << 32  # runs are sorted by size
+            least = size[np.searchsorted(run | size, run | np.ceil(threshold * size - 1e-9).astype(np.int64))]
+            return size - np.ceil(share * (size.astype(np.int64) + least) - 1e-9) >= slack
 
         def made(sig: np.ndarray, rec: np.ndarray, size: np.ndarray, slack: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            last = np.searchsorted(sig, sig, side="right")  # runs are sorted by entry
-            gap, alive = 1, np.arange(len(sig))
+            if not len(sig):
+                return
+            on = useful(sig, size, slack)
+            sig, rec, size, slack = sig[on], rec[on], size[on], slack[on]
+            if not len(sig):
+                return
+            # no pair spans a step in sizes that is too large for the two beside it
+            first = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (size[:-1] < threshold * size[1:] - 1e-9))))
+            many = np.diff(first, append=len(sig))
+            last, long = np.repeat(first + many, many), np.repeat(many > heavy, many)
+            if long.any():
+                centre = np.repeat(np.minimum.reduceat(rec, first), many)
+                link = long & (rec != centre)
+                yield from add(1, centre[link], rec[link])
+            gap, alive = 1, np.flatnonzero(~long)
             while len(alive):
                 alive = alive[alive + gap < last[alive]]
                 alive = alive[size[alive] >= threshold * size[alive + gap] - 1e-9]
                 i, j = alive, alive + gap
                 shared = np.ceil(share * (size[i].astype(np.int64) + size[j]) - 1e-9)
                 ok = (size[i] - shared >= slack[i]) & (size[j] - shared >= slack[j]) & (rec[i] != rec[j])
-                if ok.any():
-                    x, y = rec[i[ok]], rec[j[ok]]
-                    found.append((np.minimum(x, y), np.maximum(x, y)))
-                    held += len(x)
-                    if held > _PAIR_ROWS:
-                        yield told()
+                yield from add(0, rec[i[ok]], rec[j[ok]])
                 gap += 1
 
         parts: list[pa.RecordBatch] = []
@@ -381,8 +412,9 @@ def _pairs(threshold: float, buckets: int):
                 yield from made(*(x[:cut] for x in now))
                 rest, parts = [x[cut:] for x in now], []
         yield from made(*joined())
-        if found:
-            yield told()
+        for kind in (0, 1):
+            if found[kind]:
+                yield told(kind)
 
     return run
 
@@ -448,6 +480,154 @@ def _verify(threshold: float):
     return run
 
 
+#: Tokens of one block of a group, a set counting as ``_LEAST_TOKENS`` at least: 4096 sets or fewer.
+TILE_TOKENS = 1 << 20
+_LEAST_TOKENS = 256
+#: Tokens that share this part of a tile's pairs or more are columns of a matrix; the others' pairs are listed, up to so many at once.
+_DENSE, _LISTED, _TILE_ROWS = 64, 1 << 21, 256
+
+
+def shared_tokens(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """How many tokens each set of ``left`` shares with each of ``right``: the first row's number and some rows, in order."""
+    a, b = (np.repeat(np.arange(len(x)), [len(t) for t in x]) for x in (left, right))
+    at = np.unique(np.concatenate(left + right), return_inverse=True)[1]
+    x, y = at[: len(a)], at[len(a) :]
+    n = int(at.max(initial=-1)) + 1
+    both = np.bincount(x, minlength=n) * (in_b := np.bincount(y, minlength=n))
+    dense = both * _DENSE >= len(left) * len(right)
+    column, some = np.cumsum(dense) - 1, (both > 0) & ~dense
+    matrix = np.zeros((len(right), int(dense.sum())), dtype=np.float32)
+    matrix[b[dense[y]], column[y[dense[y]]]] = 1
+    a_dense, x_dense = a[dense[x]], column[x[dense[x]]]
+    a, x, b, y = a[some[x]], x[some[x]], b[some[y]], y[some[y]]
+    b = b[np.argsort(y, kind="stable")]  # by token
+    of = np.where(some, in_b, 0)
+    start = np.cumsum(of) - of
+    listed = np.concatenate(([0], np.cumsum(np.bincount(a, weights=of[x], minlength=len(left)).astype(np.int64))))
+    lo = 0
+    while lo < len(left):
+        hi = max(lo + 1, min(lo + _TILE_ROWS, int(np.searchsorted(listed, listed[lo] + _LISTED, side="right")) - 1))
+        here = slice(*np.searchsorted(a_dense, (lo, hi)))
+        rows = np.zeros((hi - lo, matrix.shape[1]), dtype=np.float32)
+        rows[a_dense[here] - lo, x_dense[here]] = 1
+        common = (rows @ matrix.T).astype(np.float64)
+        here = slice(*np.searchsorted(a, (lo, hi)))
+        if here.stop > here.start:
+            each = of[x[here]]
+            place = np.arange(each.sum()) + np.repeat(start[x[here]] - np.cumsum(each) + each, each)
+            common += np.bincount(np.repeat((a[here] - lo) * len(right), each) + b[place], minlength=common.size).reshape(common.shape)
+        yield lo, common
+        lo = hi
+
+
+def forest(ok: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the matrix ``ok`` does, its rows numbered from 0 and its columns, if not the ``same``, from there on."""
+    n = len(ok)
+    seen_a, seen_b = np.zeros(n, bool), np.zeros(ok.shape[1], bool)
+    roots, nodes = [], []
+    for root in np.flatnonzero(ok.any(axis=1)).tolist():
+        if seen_a[root]:
+            continue
+        seen_a[root], front = True, np.array([root])
+        while len(front):
+            if same:
+                front = np.flatnonzero(ok[front].any(axis=0) & ~seen_a)
+                new = front
+            else:
+                cols = np.flatnonzero(ok[front].any(axis=0) & ~seen_b)
+                seen_b[cols] = True
+                front = np.flatnonzero(ok[:, cols].any(axis=1) & ~seen_a)
+                new = np.concatenate((front, cols + n))
+            seen_a[front] = True
+            roots.append(np.full(len(new), root))
+            nodes.append(new)
+    return (np.concatenate(roots), np.concatenate(nodes)) if roots else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+_TILE_SQL = "kind int, a bigint, b bigint, n bigint, jaccard double"
+
+
+def _tile(threshold: float, listed: bool):
+    """Unit by unit, the sets of one block or two. ``listed``: their pairs that reach the threshold (kind 2).
+
+    Else for each set the documents that it is linked to, by ``k``, and its greatest index (kind 0), edges that connect what the pairs
+    do (kind 1), and for each document that owns several sets how often they are linked, both ways (kind 3).
+    """
+
+    def told(kind: int, a: np.ndarray, b: np.ndarray | None = None, n: np.ndarray | None = None, jaccard: np.ndarray | None = None) -> pa.RecordBatch:
+        none = np.zeros(len(a), np.int64)
+        cols = [np.full(len(a), kind, np.int32), a, none if b is None else b, none if n is None else n, none.astype(float) if jaccard is None else jaccard]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "a", "b", "n", "jaccard"])
+
+    def tile(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sides = [[r for r in rows if r[0] == k] for k in (0, 1)]
+        same = not sides[1]
+        left, right = sides[0], sides[0] if same else sides[1]
+        (recs_a, size_a, k_a), (recs_b, size_b, k_b) = (tuple(np.array([r[k] for r in x], dtype=np.int64) for k in (1, 2, 3)) for x in (left, right))
+        ok = np.zeros((len(left), len(right)), dtype=bool)
+        n_a, n_b, near_a, near_b = np.zeros(len(left)), np.zeros(len(right)), np.zeros(len(left)), np.zeros(len(right))
+        for lo, common in shared_tokens([r[5] for r in left], [r[5] for r in right]):
+            at = np.arange(lo, lo + len(common))
+            jaccard = common / (size_a[at, None] + size_b - common)
+            if same:
+                jaccard[at - lo, at] = 0
+            hit = ok[at] = jaccard >= threshold - 1e-9
+            if listed:
+                i, j = np.nonzero(np.triu(hit, lo + 1) if same else hit)
+                yield told(2, recs_a[i + lo], recs_b[j], None, jaccard[i, j])
+                continue
+            jaccard[~hit] = 0
+            n_a[at], near_a[at] = hit.astype(float) @ k_b, jaccard.max(axis=1)
+            if not same:
+                n_b += k_a[at] @ hit.astype(float)
+                near_b = np.maximum(near_b, jaccard.max(axis=0))
+        if listed:
+            return
+        for recs, n, near in ((recs_a, n_a, near_a), (recs_b, n_b, near_b)):
+            yield told(0, recs[n > 0], None, n[n > 0].astype(np.int64), near[n > 0])
+        root, node = forest(ok, same)
+        yield told(1, recs_a[root], np.concatenate((recs_a, recs_b))[node])
+        own: list[dict[int, list[int]]] = [{}, {}]
+        for of, side in zip(own, (left, right)):
+            for i, r in enumerate(side):
+                for owner in r[4] or ():
+                    of.setdefault(owner, []).append(i)
+        counts = {x: int(ok[np.ix_(i, own[1][x])].sum()) * (1 if same else 2) for x, i in own[0].items() if x in own[1]}
+        yield told(3, np.array(list(counts), dtype=np.int64), None, np.array(list(counts.values()), dtype=np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, rows = None, []
+        for batch in batches:
+            for u, *row, tokens in zip(*(batch.column(k).to_pylist() for k in range(6)), batch.column(6)):
+                if u != unit:
+                    if rows:
+                        yield from tile(rows)
+                    unit, rows = u, []
+                rows.append((*row, tokens.values.to_numpy()))
+        if rows:
+            yield from tile(rows)
+
+    return run
+
+
+def _tiled(grouped: DataFrame, threshold: float, buckets: int, weights: DataFrame | None = None, owners: DataFrame | None = None, listed: bool = False) -> DataFrame:
+    """What ``_tile`` tells of all groups in ``grouped``; ``weights`` has ``rep`` and ``k``, 1 where it has none, ``owners`` ``rep`` and ``owners``."""
+    small = grouped.select("root", "rec", "size")
+    room = F.greatest("size", F.lit(_LEAST_TOKENS)).cast("bigint")
+    before = F.sum(room).over(Window.partitionBy("root").orderBy("size", "rec")) - room
+    small = small.withColumn("block", F.floor(before / F.lit(TILE_TOKENS)))
+    for more, name, none in ((weights, "k", F.lit(1)), (owners, "owners", F.lit(None).cast("array<bigint>"))):
+        small = small.withColumn(name, none) if more is None else small.join(more.withColumnRenamed("rep", "rec"), "rec", "left")
+    small = stash(small.withColumn("k", F.coalesce("k", F.lit(1)).cast("bigint")), "blocks")
+    ends = small.groupBy("root", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    x, y = (ends.select("root", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "lo", "hi")]) for s in "xy")
+    units = stash(x.join(y, "root").filter(f"block_x <= block_y AND hi_x >= {threshold} * lo_y - 1e-9").select(F.monotonically_increasing_id().alias("unit"), "root", "block_x", "block_y"), "tiles")
+    sides = units.select("unit", F.lit(0).alias("side"), "root", F.col("block_x").alias("block")).unionByName(units.filter("block_x < block_y").select("unit", F.lit(1).alias("side"), "root", F.col("block_y").alias("block")))
+    held = small.drop("size").join(grouped.drop("root"), "rec").join(sides, ["root", "block"])
+    ordered = held.select("unit", "side", "rec", "size", "k", "owners", "tokens").repartition(buckets, "unit").sortWithinPartitions("unit", "side")
+    return stash(ordered.mapInArrow(lean(_tile(threshold, listed)), _TILE_SQL), "tiled")
+
+
 def _some(ids: DataFrame) -> DataFrame:
     """``ids``, to be broadcast up to BROADCAST_IDS rows."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -485,6 +665,19 @@ def similar_sets(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_d
     """(members, pairs): the documents of each distinct set that may match, and the pairs of sets that do.
 
     ``members`` has ``rep`` and ``doc_id``; ``pairs`` has ``rep_a``, ``rep_b`` and ``jaccard``. Both are tables in the shared folder.
+    All pairs are listed, those of groups too, whose number grows with their square; ``links`` and ``keep_one`` do not list these.
+    """
+    members, pairs, grouped, buckets = _similar(df, n, threshold, rare_df, text_col, id_col)
+    if grouped is None:
+        return members, pairs
+    more = _tiled(grouped, threshold, buckets, listed=True)
+    return members, pairs.unionByName(more.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), "jaccard"))
+
+
+def _similar(df: DataFrame, n: int, threshold: float, rare_df: int, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame | None, int]:
+    """(members, pairs, grouped, buckets): as ``similar_sets``, but pairs within a group are not among ``pairs``.
+
+    ``grouped`` has ``root``, the group's number, and ``rec``, ``size`` and ``tokens`` of the sets in groups; None without groups.
     """
     if not 0.5 < threshold <= 1 or n < 1 or rare_df < 2:
         raise ValueError("threshold must be over 0.5 and at most 1, n at least 1, rare_df at least 2")
@@ -503,9 +696,16 @@ def similar_sets(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_d
     one = _where(sets, members.filter("rec <> rep").select("rec"), "rec", "left_anti")
     entries = one.select("rec", "size", "unshared", "tokens", "dfs").mapInArrow(lean(_index(threshold, rare_df)), "sig bigint, rec bigint, size int, slack int")
     runs = entries.repartition(buckets, "sig").sortWithinPartitions("sig", "size", "rec")
-    packets = runs.mapInArrow(lean(_pairs(threshold, buckets)), _PAIRS_SQL).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    candidates = stash(packets.mapInArrow(lean(_distinct), "a bigint, b bigint"), "candidates")
-    return members.select("rep", "doc_id"), stash(_verified(candidates, one, threshold, buckets), "set-pairs")
+    packets = runs.mapInArrow(lean(_pairs(threshold, buckets, HEAVY_RUN)), _PAIRS_SQL).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
+    found = stash(packets.mapInArrow(lean(_distinct), "kind int, a bigint, b bigint"), "candidates")
+    candidates, heavy, grouped = found.filter("kind = 0").select("a", "b"), found.filter("kind = 1"), None
+    if not heavy.isEmpty():
+        groups = stash(components(heavy, "a", "b"), "groups")
+        side = lambda x: groups.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        apart = candidates.join(side("a"), "a", "left").join(side("b"), "b", "left").filter("NOT root_a <=> root_b OR root_a IS NULL")
+        candidates = stash(apart.select("a", "b"), "apart")
+        grouped = stash(one.select("rec", "size", "tokens").join(groups.withColumnRenamed("node", "rec"), "rec"), "grouped")
+    return members.select("rep", "doc_id"), stash(_verified(candidates, one, threshold, buckets), "set-pairs"), grouped, buckets
 
 
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
@@ -534,6 +734,11 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
+def _edges(tiled: DataFrame) -> DataFrame:
+    """The edges that connect what the pairs of groups do."""
+    return tiled.filter("kind = 1").select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"))
+
+
 def _classes(members: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``doc_id``, ``rep``; ``rep``, ``class_id``) of all documents in ``members``: their sets and the sets' classes.
 
@@ -559,17 +764,28 @@ def links(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_df: int
     itself; an id with several different texts is one document of the class of all of them and has the links of each. Other columns are not read.
     """
     df = tidy(df)
-    members, pairs = similar_sets(df, n, threshold, rare_df, text_col, id_col)
+    members, pairs, grouped, buckets = _similar(df, n, threshold, rare_df, text_col, id_col)
     members = stash(members.distinct(), "members")
-    group, classes = _classes(members, pairs)
     several = _some(members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id"))
     equal = _some(members.groupBy("rep").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
+    edges, tiled = pairs.select("rep_a", "rep_b"), None
+    if grouped is not None:
+        owners = members.join(several, "doc_id", "left_semi").groupBy("rep").agg(F.collect_list("doc_id").alias("owners"))
+        tiled = _tiled(grouped, threshold, buckets, equal, owners)
+        edges = edges.unionByName(_edges(tiled))
+    group, classes = _classes(members, edges)
     both = pairs.select("rep_a", "rep_b", "jaccard").unionByName(pairs.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"), "jaccard"))
-    weighed = both.join(equal.withColumnRenamed("rep", "rep_b"), "rep_b", "left").groupBy("rep_a").agg(F.sum(F.coalesce("k", F.lit(1))).alias("others"), F.max("jaccard").alias("near"))
+    each = both.join(equal.withColumnRenamed("rep", "rep_b"), "rep_b", "left").select("rep_a", F.coalesce("k", F.lit(1)).cast("bigint").alias("n"), "jaccard")
+    if tiled is not None:
+        each = each.unionByName(tiled.filter("kind = 0").select(F.col("a").alias("rep_a"), "n", "jaccard"))
+    weighed = each.groupBy("rep_a").agg(F.sum("n").alias("others"), F.max("jaccard").alias("near"))
     sets = group.join(weighed.withColumnRenamed("rep_a", "rep"), "rep", "left").join(equal, "rep", "left")
     # an id whose own texts are linked is not linked to itself
     own = members.join(several, "doc_id", "left_semi")
-    own = both.join(own.select(F.col("rep").alias("rep_a"), "doc_id"), "rep_a").join(own.select(F.col("rep").alias("rep_b"), "doc_id"), ["rep_b", "doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    own = both.join(own.select(F.col("rep").alias("rep_a"), "doc_id"), "rep_a").join(own.select(F.col("rep").alias("rep_b"), "doc_id"), ["rep_b", "doc_id"]).select("doc_id", F.lit(1).cast("bigint").alias("n"))
+    if tiled is not None:
+        own = own.unionByName(tiled.filter("kind = 3").select(F.col("a").alias("doc_id"), "n"))
+    own = own.groupBy("doc_id").agg(F.sum("n").alias("own"))
     told = sets.join(classes, "root").groupBy("doc_id").agg(
         F.first("class_id").alias("class_id"),
         F.sum(F.coalesce("others", F.lit(0)) + F.coalesce("k", F.lit(1)) - 1).alias("links"),
@@ -588,8 +804,11 @@ def keep_one(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rare_df: i
     texts without a word stay. Of repeated rows of one id all stay or all go; an id with several texts is of the class of all of them.
     """
     df = tidy(df, ("__gone",))
-    members, pairs = similar_sets(df, n, threshold, rare_df, text_col, id_col)
-    group, classes = _classes(members.distinct(), pairs)
+    members, pairs, grouped, buckets = _similar(df, n, threshold, rare_df, text_col, id_col)
+    edges = pairs.select("rep_a", "rep_b")
+    if grouped is not None:
+        edges = edges.unionByName(_edges(_tiled(grouped, threshold, buckets)))
+    group, classes = _classes(members.distinct(), edges)
     gone = _some(stash(group.join(classes, "root").filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone"))
     return df.join(gone, col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
 
