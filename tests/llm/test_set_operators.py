@@ -224,6 +224,32 @@ def test_a_large_group_is_not_listed_as_pairs(spark, monkeypatch):
     assert max(written)[0] < 20 * len(rows), max(written)
 
 
+def test_the_pipeline_keeps_one_of_a_large_group_without_its_pairs(spark, monkeypatch):
+    written, plain = [], jaccard.stash
+
+    def counted(df, name):
+        out = plain(df, name)
+        written.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(jaccard, "stash", counted)
+    rows = list(enumerate(large_group(9, 500)))
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs(spark, rows), "")
+    assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in kept_of(rows)} and max(written)[0] < 20 * len(rows), max(written)
+
+
+def test_shared_tokens_of_two_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    left, right = ([np.unique(rng.zipf(1.3, k) % 500) for k in rng.integers(1, 80, m)] for m in (40, 23))
+    want = [[len(np.intersect1d(x, y)) for y in right] for x in left]
+    for dense, listed in ((64, 1 << 21), (1, 100), (4, 1), (10**9, 10**6)):
+        monkeypatch.setattr(jaccard, "_DENSE", dense)
+        monkeypatch.setattr(jaccard, "_LISTED", listed)
+        monkeypatch.setattr(jaccard, "_TILE_ROWS", 7)
+        got = list(jaccard.shared_tokens(left, right))
+        assert np.concatenate([c for _, c in got]).tolist() == want and [lo for lo, _ in got] == [0, *np.cumsum([len(c) for _, c in got])[:-1]]
+
+
 def test_forest_connects_what_a_matrix_does():
     rng = np.random.default_rng(3)
     for n, m, share in ((30, 30, 0.03), (20, 45, 0.04), (5, 1, 0.5), (4, 4, 0.0)):
