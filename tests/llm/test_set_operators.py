@@ -238,6 +238,28 @@ def test_the_pipeline_keeps_one_of_a_large_group_without_its_pairs(spark, monkey
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in kept_of(rows)} and max(written)[0] < 20 * len(rows), max(written)
 
 
+def test_long_texts_that_share_tokens_by_chance_are_not_all_paired(spark, monkeypatch):
+    """Unrelated texts, most of whose tokens some other has too; and copies with runs of words changed or cut off, some near the threshold."""
+    written, plain = {}, jaccard.stash
+
+    def counted(df, name):
+        out = plain(df, name)
+        written.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stash", counted)
+    rng = np.random.default_rng(5)
+    texts = [[f"w{x}" for x in rng.integers(0, 72, 5000)] for _ in range(150)]
+    for k, (changed, length) in enumerate([(0, 2800), (0, 2700), (300, 5000), (1400, 5000), (1460, 5000), (1500, 4900), (200, 3100), (2600, 5000)]):
+        copy = list(texts[k])
+        copy[100 : 100 + changed] = [f"z{k}"] * changed
+        texts.append(copy[:length])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs(spark, rows), "").collect()}
+    want = {r[0] for r in kept_of(rows)}
+    assert got == want and 150 < len(want) < len(rows) and written["candidates"] < 20 * len(rows), written
+
+
 def test_shared_tokens_of_two_blocks(monkeypatch):
     rng = np.random.default_rng(4)
     left, right = ([np.unique(rng.zipf(1.3, k) % 500) for k in rng.integers(1, 80, m)] for m in (40, 23))

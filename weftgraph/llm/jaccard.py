@@ -7,7 +7,7 @@ A document is the set of its word n-grams, hashed. The steps, each linear in the
    more unshared tokens than its error budget ``|x| - ceil(t |x|)`` cannot match and is dropped.
 2. Equal sets are collapsed to one.
 3. Every remaining set, its tokens in order of frequency, indexes a prefix. Rare tokens (frequency up to
-   ``rare_df``) are indexed alone, frequent ones in pairs within hashed subclasses. A pair of sets that lose at
+   ``rare_df``, less for large sets) are indexed alone, frequent ones in pairs within hashed subclasses. A pair of sets that lose at
    most ``e`` tokens lacks a common entry only if each subclass keeps at most one common token, so the
    prefix is extended until rare tokens plus, for each subclass, frequent tokens less one, exceed ``e``.
 4. Sets that share an entry, each within the prefix that the pair's sizes call for, are candidates. They are verified by
@@ -16,7 +16,8 @@ A document is the set of its word n-grams, hashed. The steps, each linear in the
    to one of them; sets that such links connect are a group, and all pairs of a group are counted once, in tiles of two
    blocks, by products of matrices. A tile tells how many links each set has, the greatest index and a spanning forest, no pairs.
 
-Subclasses number with the sets' size, so that the pairs stay in proportion to the prefix; sets near the end of
+Long texts that have nothing to do with each other share many tokens by chance, the more the larger the table: as single entries these would make
+all pairs of such texts candidates. Subclasses number with the sets' size, so that the pairs stay in proportion to the prefix; sets near the end of
 a size class index in the next one too. The registered result has one row a document, with its class and how many documents it is
 linked to: pairs of a group of copies are counted, not listed. The result is exact up to hash collisions, whose chance for a token
 is about 3e-6, as bits stay in proportion to the number of partitions. No candidate is capped: a group of m sets takes m^2 / 2
@@ -231,11 +232,20 @@ def _gather(threshold: float):
     return run
 
 
+#: The largest size class whose tokens are rare up to ``rare_df``.
+_RARE_CLASS = 8
+
+
 def subclasses(g: int) -> int:
     """How many subclasses the frequent tokens of size class ``g`` (2^g to 2^(g+1) - 1 tokens) fall into."""
     return max(1, (1 << g) // 5 if g >= 4 else 1)
 
 
+def rare_limit(g: int, rare_df: int) -> int:
+    """Up to what frequency tokens are indexed alone in size class ``g``: a set of twice as many has twice as many entries, and others' sets to verify are twice as large."""
+    return max(1, rare_df >> 2 * max(0, g - _RARE_CLASS))
+
+
 def index_entries(tokens: np.ndarray, dfs: np.ndarray, size: int, unshared: int, threshold: float, rare_df: int) -> tuple[np.ndarray, np.ndarray]:
     """The hashed entries of one set, its rare tokens and pairs of frequent ones in the extended prefix, and each one's slack.
 
@@ -246,9 +256,9 @@ def index_entries(tokens: np.ndarray, dfs: np.ndarray, size: int, unshared: int,
         return np.empty(0, np.uint64), np.empty(0, np.int32)
     g = size.bit_length() - 1
     classes = [g, g + 1] if math.floor(size / threshold + 1e-9) >> (g + 1) else [g]
-    rare = int(np.searchsorted(dfs, rare_df, side="right"))
     out, slack = [], []
     for k in classes:
+        rare = int(np.searchsorted(dfs, rare_limit(k, rare_df), side="right"))
         salt = np.uint64((k + 1) * int(_MIX) & 0xFFFFFFFFFFFFFFFF)
         singles = tokens[: min(rare, need)]
         out.append(mix(singles ^ salt))
