@@ -127,9 +127,18 @@ class CodeGraph:
     # Storage
 
     def save(self, path: str) -> None:
-        """Two Parquet tables, both partitioned by kind, so that a look-up reads its kind only."""
-        self.nodes.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/nodes")
-        self.edges.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/edges")
+        """Two Parquet tables, both partitioned by kind, so that a look-up reads its kind only.
+
+        Kinds are few: a task keeps a file open for each, in place of sorting its rows by kind.
+        """
+        conf, writers = self.nodes.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+        before = conf.get(writers)
+        conf.set(writers, max(len(S.NODE_KINDS), int(before)))
+        try:
+            self.nodes.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/nodes")
+            self.edges.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/edges")
+        finally:
+            conf.set(writers, before)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> CodeGraph:

@@ -9,6 +9,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a counted side that is broadcast at most, and of a shuffle's task on average at most.
+BROADCAST_ROWS, TASK_ROWS = 1_000_000, 500_000
 
 _local: list[str] = []
 
@@ -68,3 +72,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has no more than BROADCAST_ROWS rows. It is counted, so it should be stored or cheap."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` exchanged by ``keys`` into as many partitions as ``rows`` call for, the number of its rows.
+
+    Narrow rows take much more memory in a task than in the exchange, whose size adaptive execution goes by.
+    """
+    least, n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)
+    return df.repartition(max(n, least), *keys) if n > 1 else df.repartition(*keys)
