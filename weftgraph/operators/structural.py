@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import scalar
 from ..graph import CodeGraph
+from ..storage import spread
 
 #: Operator to (edge kind, whether the answer is the edges' source).
 LOOKUPS = {
@@ -42,6 +43,8 @@ def look_up(graph: CodeGraph, operator: str, subjects: Subjects = None) -> DataF
         pairs = pairs.filter(F.col("subject").isin(subjects))
     elif subjects is not None:
         pairs = pairs.join(subjects.select("subject"), "subject", "left_semi")
+    else:
+        pairs = spread(pairs, pairs.count(), "node_id")  # one exchange for this and for the join
     pairs = pairs.distinct()
     nodes = graph.with_externals().nodes if operator == "imports_of" else graph.nodes
     return pairs.join(nodes, "node_id").select("subject", *S.NODE_COLUMNS)
