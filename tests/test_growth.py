@@ -67,3 +67,12 @@ def test_spread_follows_the_rows(plain, monkeypatch):
     assert "Broadcast" not in plan(df.join(storage.small(plain.range(3)), "id")) or storage.BROADCAST_ROWS >= 3
     monkeypatch.setattr(storage, "BROADCAST_ROWS", 2)
     assert "Broadcast" not in plan(df.join(storage.small(plain.range(3)), "id"))
+
+
+def test_calls_are_exchanged_once_for_each_end(calls):
+    """Callers once, flows and links twice; besides, nodes by id, pairs of files, places by file."""
+    assert exchanges(structural.callers(calls)) == 2
+    assert exchanges(structural.callees(calls)) == 2
+    assert exchanges(exports.flow_edges(calls)) <= 5
+    assert exchanges(exports.flow_links(calls)) <= 7
+    assert {tuple(r) for r in exports.flow_edges(calls).collect()} == {("a", "b", 20), ("b", "c", 20), ("c", "a", 20), ("a", "c", 10), ("b", "a", 10), ("c", "b", 10)}

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import scalar
 from ..graph import CodeGraph
-from ..storage import stash
+from ..storage import spread, stash
 
 #: Order of kinds among the children of one parent.
 KIND_ORDER = (S.CLASS, S.INTERFACE, S.STRUCT, S.ENUM, S.TRAIT, S.FUNCTION, S.METHOD, S.FILE, S.EXTERNAL)
@@ -19,9 +19,12 @@ KIND_ORDER = (S.CLASS, S.INTERFACE, S.STRUCT, S.ENUM, S.TRAIT, S.FUNCTION, S.MET
 def flow_edges(graph: CodeGraph) -> DataFrame:
     """``source``, ``target``, ``weight``: how many calls go from one file to another; parallel calls all count."""
     files = graph.nodes.filter(F.coalesce("file", F.lit("")) != "").select("node_id", "file")
-    calls = graph.edges.filter(F.col("kind") == S.CALLS).groupBy("src", "tgt").agg(F.count(F.lit(1)).alias("n"))
-    ends = calls.join(files.toDF("src", "source"), "src").join(files.toDF("tgt", "target"), "tgt")
-    return ends.filter("source <> target").groupBy("source", "target").agg(F.sum("n").alias("weight"))
+    calls = graph.edges.filter(F.col("kind") == S.CALLS).select("src", "tgt")
+    rows = calls.count()
+    # calls hardly repeat, so that counting them first would be one more exchange of all of them
+    begun = spread(calls, rows, "src").join(files.toDF("src", "source"), "src").select("source", "tgt")
+    ends = spread(begun, rows, "tgt").join(files.toDF("tgt", "target"), "tgt")
+    return ends.filter("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def flow_nodes(graph: CodeGraph, flows: DataFrame | None = None) -> DataFrame:
@@ -47,9 +50,11 @@ def flow_links(graph: CodeGraph, symbols: DataFrame | None = None) -> DataFrame:
     """``file``, ``s``, ``t``: distinct calls inside a file by the symbols' places, none to itself."""
     symbols = flow_symbols(graph) if symbols is None else symbols
     places = symbols.select("node_id", "file", "ord")
-    calls = graph.edges.filter((F.col("kind") == S.CALLS) & (F.col("src") != F.col("tgt"))).select("src", "tgt").distinct()
+    calls = graph.edges.filter((F.col("kind") == S.CALLS) & (F.col("src") != F.col("tgt"))).select("src", "tgt")
+    rows = calls.count()
     a, b = places.toDF("src", "file", "s"), places.toDF("tgt", "file_t", "t")
-    return calls.join(a, "src").join(b, "tgt").filter("file = file_t").select("file", "s", "t")
+    begun = spread(calls, rows, "src").join(a, "src").select("file", "s", "tgt")
+    return spread(begun, rows, "tgt").join(b, "tgt").filter("file = file_t").select("file", "s", "t").distinct()
 
 
 def children_summary(graph: CodeGraph) -> DataFrame:
