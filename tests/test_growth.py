@@ -76,3 +76,15 @@ def test_calls_are_exchanged_once_for_each_end(calls):
     assert exchanges(exports.flow_edges(calls)) <= 5
     assert exchanges(exports.flow_links(calls)) <= 7
     assert {tuple(r) for r in exports.flow_edges(calls).collect()} == {("a", "b", 20), ("b", "c", 20), ("c", "a", 20), ("a", "c", 10), ("b", "a", 10), ("c", "b", 10)}
+
+
+def test_calls_meet_a_few_hits_without_an_exchange(calls):
+    spark = calls.nodes.sparkSession
+    direct = spark.createDataFrame([("q", "a::00", 0.1, 1), ("q", "b::01", 0.2, 2)], "query_id string, node_id string, distance double, pos int")
+    more = vector.expand(calls, direct)
+    assert {r["node_id"] for r in more.collect()} == {"c::02", "a::03", "b::28", "c::29"}
+    assert "Exchange hashpartitioning(src" not in plan(more) and "Exchange hashpartitioning(tgt" not in plan(more)
+    found = vector.context(calls, direct.filter("pos = 1"))
+    r = found.first()
+    assert (r["callers"], r["callees"]) == (["b::28", "c::29"], ["b::01", "c::02"])
+    assert len(re.findall(r"BroadcastHashJoin \[(?:src|tgt)#\d+\], \[(?:src|tgt)#\d+\], LeftSemi", plan(found))) == 2

@@ -18,7 +18,7 @@ from .. import schema as S
 from ..functions import scalar
 from ..graph import CodeGraph
 from ..session import ship
-from ..storage import stash
+from ..storage import small, spread, stash
 
 DIMENSIONS = 256
 #: Vectors in a block of the blocked search: 4096 of 256 doubles are 8 MB.
@@ -214,21 +214,24 @@ def hits(graph: CodeGraph, found: DataFrame) -> DataFrame:
 
 def expand(graph: CodeGraph, direct: DataFrame, seeds: int = 3) -> DataFrame:
     """``query_id``, ``node_id``: callers and callees of each query's first ``seeds`` hits that are not hits themselves."""
-    top = direct.filter(F.col("pos") <= seeds).select("query_id", F.col("node_id").alias("hit"))
-    calls = graph.edges.filter(F.col("kind") == S.CALLS).select("src", "tgt").distinct()
+    top = small(stash(direct.filter(F.col("pos") <= seeds).select("query_id", F.col("node_id").alias("hit")), "seeds"))
+    calls = graph.edges.filter(F.col("kind") == S.CALLS).select("src", "tgt")
     ends = calls.select(F.col("tgt").alias("hit"), F.col("src").alias("node_id")).unionByName(calls.select(F.col("src").alias("hit"), F.col("tgt").alias("node_id")))
-    near = top.join(ends, "hit").select("query_id", "node_id").distinct().join(graph.nodes.select("node_id"), "node_id", "left_semi")
-    return near.join(direct.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
+    near = stash(ends.join(top, "hit").select("query_id", "node_id").distinct(), "near")
+    known = graph.nodes.select("node_id").join(small(near.select("node_id").distinct()), "node_id", "left_semi")
+    return near.join(known, "node_id", "left_semi").join(direct.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
 
 
 def context(graph: CodeGraph, rows: DataFrame) -> DataFrame:
     """``rows`` with sorted arrays ``callers`` and ``callees`` of their ``node_id``."""
-    ids = rows.select("node_id").distinct()
+    ids = small(stash(rows.select("node_id").distinct(), "ids"))
     known = graph.nodes.select("node_id")
-    calls = graph.edges.filter(F.col("kind") == S.CALLS).select("src", "tgt").distinct()
+    calls = graph.edges.filter(F.col("kind") == S.CALLS).select("src", "tgt")
+    n = calls.count()
 
     def side(here: str, there: str, name: str) -> DataFrame:
-        near = calls.join(ids.withColumnRenamed("node_id", here), here, "left_semi").join(known.withColumnRenamed("node_id", there), there, "left_semi")
+        near = calls.join(ids.withColumnRenamed("node_id", here), here, "left_semi")
+        near = spread(near, n, there).distinct().join(known.withColumnRenamed("node_id", there), there, "left_semi")
         return near.groupBy(F.col(here).alias("node_id")).agg(F.array_sort(F.collect_list(there)).alias(name))
 
     out = rows.join(side("tgt", "src", "callers"), "node_id", "left").join(side("src", "tgt", "callees"), "node_id", "left")
@@ -252,7 +255,7 @@ def search(graph: CodeGraph, vectors: DataFrame, queries: DataFrame, limit: int
         found = kept.select("query_id", "node_id", "distance", F.lit(False).alias("is_expansion"))
     order = Window.partitionBy("query_id").orderBy("is_expansion", "distance", "node_id")
     top = found.unionByName(more).withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= limit)
-    return context(graph, top)
+    return context(graph, stash(top, "found"))
 
 
 SYSTEM_PROMPT = (
