@@ -88,3 +88,13 @@ def test_calls_meet_a_few_hits_without_an_exchange(calls):
     r = found.first()
     assert (r["callers"], r["callees"]) == (["b::28", "c::29"], ["b::01", "c::02"])
     assert len(re.findall(r"BroadcastHashJoin \[(?:src|tgt)#\d+\], \[(?:src|tgt)#\d+\], LeftSemi", plan(found))) == 2
+
+
+def test_a_frequent_name_is_paired_in_parts(calls, monkeypatch):
+    monkeypatch.setattr(resolve, "PART", 4)
+    nodes = calls.nodes
+    loose = nodes.select(F.col("node_id").alias("src"), F.concat(F.lit(S.UNRESOLVED_PREFIX), "name").alias("tgt"), F.lit(S.CALLS).alias("kind"))
+    got = resolve.resolve_edges(CodeGraph(nodes, loose))
+    ids = [r[0] for r in nodes.select("node_id").collect()]
+    assert sorted((r["src"], r["tgt"]) for r in got.collect()) == sorted((a, b) for a in ids for b in ids if a != b)
+    assert sum(n > 0 for n in got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) > 8
