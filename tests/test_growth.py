@@ -90,6 +90,16 @@ def test_calls_meet_a_few_hits_without_an_exchange(calls):
     assert len(re.findall(r"BroadcastHashJoin \[(?:src|tgt)#\d+\], \[(?:src|tgt)#\d+\], LeftSemi", plan(found))) == 2
 
 
+def test_elements_in_parts_are_exchanged_once(calls):
+    lists = exports.edges_by_kind(calls, 7)
+    rows = lists.collect()
+    assert len({(r["kind"], r["part"]) for r in rows}) == len(rows) > 5
+    assert sorted(e["id"] for r in rows for e in r["edges"]) == sorted(r["id"] for r in exports.edge_elements(calls).collect())
+    assert exchanges(lists) == 1
+    many = CodeGraph(calls.nodes, calls.edges.limit(1).crossJoin(calls.edges.sparkSession.range(50)).select(*S.EDGE_COLUMNS))
+    assert sorted(len(r["edges"]) for r in exports.edges_by_kind(many, 20).collect()) == [10, 20, 20]
+
+
 def test_a_frequent_name_is_paired_in_parts(calls, monkeypatch):
     monkeypatch.setattr(resolve, "PART", 4)
     nodes = calls.nodes

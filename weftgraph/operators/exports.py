@@ -112,8 +112,12 @@ def edge_elements(graph: CodeGraph) -> DataFrame:
     """``id``, ``source``, ``target``, ``kind``: every edge; parallel ones get ``_1``, ``_2`` and so on behind their id."""
     same = Window.partitionBy("src", "kind", "tgt").orderBy("src")
     n = F.row_number().over(same) - 1
-    id_ = F.concat(F.concat_ws("--", "src", "kind", "tgt"), F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(""))
-    return graph.edges.select(id_.alias("id"), F.col("src").alias("source"), F.col("tgt").alias("target"), "kind")
+    return graph.edges.select(_element_id(n).alias("id"), F.col("src").alias("source"), F.col("tgt").alias("target"), "kind")
+
+
+def _element_id(n: Column) -> Column:
+    """The id of an edge that is the ``n``-th of its parallel ones, from 0."""
+    return F.concat(F.concat_ws("--", "src", "kind", "tgt"), F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(""))
 
 
 def node_elements(graph: CodeGraph) -> DataFrame:
@@ -132,10 +136,17 @@ def node_bodies(graph: CodeGraph) -> DataFrame:
 
 def edges_by_kind(graph: CodeGraph, most: int = 10_000) -> DataFrame:
     """``kind``, ``part`` and ``edges``, its elements in order of id; a kind of more than ``most`` elements, on average, is in several parts."""
-    elements = edge_elements(graph)
-    parts = graph.edges.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).alias("n"))
-    placed = elements.join(F.broadcast(parts), "kind").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))  # kinds are few
-    return placed.groupBy("kind", "part").agg(F.array_sort(F.collect_list(F.struct("id", "source", "target"))).alias("edges"))
+    kinds = stash(graph.edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "kinds")
+    parts = F.broadcast(kinds.select("kind", F.ceil(F.col("n") / F.lit(most)).alias("parts")))  # kinds are few
+    rows = kinds.agg(F.sum("n")).first()[0] or 0
+    # parallel edges meet in one part, so that one exchange does for numbering and gathering; ``most`` and more of them go to parts of their own
+    placed = graph.edges.join(parts, "kind").withColumn("part", F.pmod(F.xxhash64("src", "tgt"), F.col("parts")))
+    same = Window.partitionBy("kind", "part", "src", "tgt").orderBy("src")
+    numbered = spread(placed, rows, "kind", "part").withColumn("n", F.row_number().over(same) - 1)
+    apart = (F.col("part") + F.col("parts") * F.floor(F.col("n") / F.lit(most)))
+    elements = numbered.select("kind", "part", apart.alias("__part"), _element_id(F.col("n")).alias("id"), F.col("src").alias("source"), F.col("tgt").alias("target"))
+    lists = elements.groupBy("kind", "part", "__part").agg(F.array_sort(F.collect_list(F.struct("id", "source", "target"))).alias("edges"))
+    return lists.select("kind", F.col("__part").alias("part"), "edges")
 
 
 def file_panel(flows: DataFrame, most: int = 30) -> DataFrame:
