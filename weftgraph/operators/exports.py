@@ -52,9 +52,9 @@ def flow_links(graph: CodeGraph, symbols: DataFrame | None = None) -> DataFrame:
     places = symbols.select("node_id", "file", "ord")
     calls = graph.edges.filter((F.col("kind") == S.CALLS) & (F.col("src") != F.col("tgt"))).select("src", "tgt")
     rows = calls.count()
-    a, b = places.toDF("src", "file", "s"), places.toDF("tgt", "file_t", "t")
+    a, b = places.toDF("src", "file", "s"), places.toDF("tgt", "file", "t")
     begun = spread(calls, rows, "src").join(a, "src").select("file", "s", "tgt")
-    return spread(begun, rows, "tgt").join(b, "tgt").filter("file = file_t").select("file", "s", "t").distinct()
+    return spread(begun, rows, "tgt", "file").join(b, ["tgt", "file"]).select("file", "s", "t").distinct()
 
 
 def children_summary(graph: CodeGraph) -> DataFrame:
