@@ -90,6 +90,11 @@ def test_calls_meet_a_few_hits_without_an_exchange(calls):
     assert len(re.findall(r"BroadcastHashJoin \[(?:src|tgt)#\d+\], \[(?:src|tgt)#\d+\], LeftSemi", plan(found))) == 2
 
 
+def test_a_few_files_are_removed_without_an_exchange_of_edges(calls):
+    left = calls.remove_files(calls.nodes.sparkSession.createDataFrame([("a",)], "path string"))
+    assert left.edges.count() == 30 and exchanges(left.edges) == 0
+
+
 def test_elements_in_parts_are_exchanged_once(calls):
     lists = exports.edges_by_kind(calls, 7)
     rows = lists.collect()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import schema as S
 from .functions import scalar
-from .storage import stash
+from .storage import small, stash
 
 
 def conform_nodes(df: DataFrame) -> DataFrame:
@@ -94,11 +94,10 @@ class CodeGraph:
     def remove_files(self, files: DataFrame) -> CodeGraph:
         """Without the nodes of ``files`` (column ``path``) and every edge that touches one; unknown files change nothing."""
         gone = self.nodes.join(files.select(F.col("path").alias("file")).distinct(), "file", "left_semi").select("node_id")
-        gone = stash(gone, "gone")
-        return CodeGraph(
-            self.nodes.join(gone, "node_id", "left_anti").select(*S.NODE_COLUMNS),
-            self.edges.join(gone.withColumnRenamed("node_id", "src"), "src", "left_anti").join(gone.withColumnRenamed("node_id", "tgt"), "tgt", "left_anti").select(*S.EDGE_COLUMNS),
-        )
+        gone, edges = small(stash(gone, "gone")), self.edges
+        for end in ("src", "tgt"):
+            edges = edges.join(gone.withColumnRenamed("node_id", end), end, "left_anti")
+        return CodeGraph(self.nodes.join(gone, "node_id", "left_anti").select(*S.NODE_COLUMNS), edges.select(*S.EDGE_COLUMNS))
 
     # Statistics
 
