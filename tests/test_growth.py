@@ -49,6 +49,7 @@ def exchanges(df) -> int:
     return len(re.findall(r"(?<!Reused)Exchange hashpartitioning", plan(df)))
 
 
+@needs_data
 def test_only_the_kinds_asked_for_are_built(spark, tmp_path):
     where = tmp_path / "star"
     where.symlink_to(DIR)
@@ -113,3 +114,15 @@ def test_a_frequent_name_is_paired_in_parts(calls, monkeypatch):
     ids = [r[0] for r in nodes.select("node_id").collect()]
     assert sorted((r["src"], r["tgt"]) for r in got.collect()) == sorted((a, b) for a in ids for b in ids if a != b)
     assert sum(n > 0 for n in got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) > 8
+
+
+def test_a_query_is_not_copied_for_each_cell(spark):
+    rng = np.random.default_rng(0)
+    v = spark.createDataFrame([(f"{i:03}", x.tolist()) for i, x in enumerate(rng.normal(size=(300, 8)))], "node_id string, embedding array<float>")
+    index, asked = vector.CellIndex.fit(v, 20), v.limit(30).withColumnRenamed("node_id", "query_id")
+    got = index.top_k(asked, 5, probes=20, block=16)
+    assert [tuple(r) for r in got.orderBy("query_id", "rank").collect()] == [tuple(r) for r in vector.top_k_all(v, asked, 5).orderBy("query_id", "rank").collect()]
+    sent = vector._blocks(asked, "query_id", "q", 16, index.centres, 20)
+    assert sent.agg(F.sum(F.size("ids_q"))).first()[0] == 30
+    few = index.top_k(asked, 300, probes=1).groupBy("query_id").count().collect()
+    assert len(few) == 30 and max(r["count"] for r in few) < 300

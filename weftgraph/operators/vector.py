@@ -23,6 +23,8 @@ from ..storage import small, spread, stash
 DIMENSIONS = 256
 #: Vectors in a block of the blocked search: 4096 of 256 doubles are 8 MB.
 BLOCK = 4096
+#: Rows of a block that are compared at a time: 256 by 4096 distances are 8 MB.
+SLICE = 256
 
 
 _CAMEL, _WORD = r"([a-z0-9])([A-Z])", r"[a-z0-9]+"
@@ -97,41 +99,64 @@ def top_k_all(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK
     return _nearest(pairs, k)
 
 
-def _blocks(df: DataFrame, key: str, side: str, block: int, cell: bool = False) -> DataFrame:
-    """Runs of up to ``block`` vectors of one length, and of one ``cell`` if there are any, as rows."""
+def _blocks(df: DataFrame, key: str, side: str, block: int, centres: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """Runs of up to ``block`` vectors of one length as rows.
+
+    With ``centres``, in order of cell: queries with the bits of their ``probes`` nearest cells, others with their ``cell``.
+    """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for (n, c), rows in b.groupby([b["e"].map(len), b["cell"]]):
+            for n, rows in b.groupby(b["e"].map(len)):
                 for at in range(0, len(rows), block):
                     part = rows.iloc[at : at + block]
-                    yield pd.DataFrame({"cell": [int(c)], f"ids_{side}": [part["id"].tolist()], f"n_{side}": [int(n)], f"data_{side}": [np.stack(part["e"].to_numpy()).astype("<f8").tobytes()]})
-
-    rows = df.filter(F.col(key).isNotNull() & F.col("embedding").isNotNull()).select(F.col(key).cast("string").alias("id"), F.col("embedding").alias("e"), "cell" if cell else F.lit(0).alias("cell"))
-    out = rows.mapInPandas(pack, f"cell int, ids_{side} array<string>, n_{side} int, data_{side} binary")
-    return out if cell else out.drop("cell")
+                    x = np.stack(part["e"].to_numpy()).astype("<f8")
+                    more = {}
+                    if probes:
+                        bits, near = np.zeros((len(x), len(centres)), np.uint8), _nearest_centres(x, centres, probes)
+                        np.put_along_axis(bits, near, 1, axis=1)
+                        order = np.argsort(near[:, 0], kind="stable")  # neighbours probe like cells
+                        x, part, more = x[order], part.iloc[order], {"probes_q": [np.packbits(bits[order], axis=1).tobytes()]}
+                    elif centres is not None:
+                        more = {"cells_v": [part["cell"].to_numpy().astype("<i4").tobytes()]}
+                    yield pd.DataFrame({f"ids_{side}": [part["id"].tolist()], f"n_{side}": [int(n)], f"data_{side}": [x.tobytes()], **more})
+
+    celled = centres is not None and not probes
+    rows = df.filter(F.col(key).isNotNull() & F.col("embedding").isNotNull()).select(F.col(key).cast("string").alias("id"), F.col("embedding").alias("e"), *["cell"] * celled)
+    more = ", probes_q binary" if probes else ", cells_v binary" if celled else ""
+    return rows.mapInPandas(pack, f"ids_{side} array<string>, n_{side} int, data_{side} binary{more}")
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of each query from pairs of blocks."""
+    """The ``k`` nearest of each query from pairs of blocks; where these have cells, among the vectors in the cells that a query probes."""
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids_q, data_q, ids_v, data_v, n, m in zip(b["ids_q"], b["data_q"], b["ids_v"], b["data_v"], b["n_q"], b["n_v"]):
-                if n != m:
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i] for c in b.schema.names}
+                n = row["n_q"].as_py()
+                if n != row["n_v"].as_py():
                     continue
-                q = np.frombuffer(data_q, "<f8").reshape(-1, n)
-                v = np.frombuffer(data_v, "<f8").reshape(-1, n)
-                norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    d = np.round(np.where(norms > 0, 1 - q @ v.T / norms, 1.0), 6) + 0.0
-                ids = np.array(ids_v, dtype=object)
+                q, v = (np.frombuffer(row[f"data_{x}"].as_buffer(), "<f8").reshape(-1, n) for x in "qv")
+                ids_q, ids = (np.array(row[f"ids_{x}"].as_py(), dtype=object) for x in "qv")
                 order = np.argsort(ids, kind="stable")
-                d, ids = d[:, order], ids[order]
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(np.array(ids_q, dtype=object), best.shape[1]), "node_id": ids[best].ravel(), "distance": np.take_along_axis(d, best, axis=1).ravel()})
-
-    found = pairs.mapInPandas(multiply, _BLOCKED)
+                v, ids = v[order], ids[order]
+                cells = np.frombuffer(row["cells_v"].as_buffer(), "<i4")[order] if "cells_v" in row else None
+                probes = np.unpackbits(np.frombuffer(row["probes_q"].as_buffer(), np.uint8).reshape(len(q), -1), axis=1).astype(bool) if "probes_q" in row else None
+                for at in range(0, len(q), SLICE):
+                    some = slice(at, at + SLICE)
+                    use = np.arange(len(v)) if probes is None else np.flatnonzero(probes[some].any(axis=0)[cells])
+                    norms = np.linalg.norm(q[some], axis=1)[:, None] * np.linalg.norm(v[use], axis=1)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        d = np.round(np.where(norms > 0, 1 - q[some] @ v[use].T / norms, 1.0), 6) + 0.0
+                    if probes is not None:
+                        d[~probes[some][:, cells[use]]] = np.inf
+                    best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    near = np.take_along_axis(d, best, axis=1).ravel()
+                    held = near != np.inf
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids_q[some], best.shape[1])[held], pa.string()), pa.array(ids[use][best].ravel()[held], pa.string()), pa.array(near[held])], names=["query_id", "node_id", "distance"])
+
+    found = pairs.mapInArrow(multiply, _BLOCKED)
     rank = Window.partitionBy("query_id").orderBy("distance", "node_id")
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
@@ -177,15 +202,17 @@ class CellIndex:
         probes = int(found[min(len(found) - 1, int(recall * len(found)))]) + 1
         whole = some.filter(F.size("embedding") == width).select(F.col("node_id").cast("string").alias("node_id"), "embedding")
         # a cell of many vectors is in several partitions
-        placed = _in_cells(whole, "node_id", centres, 1).repartition("cell", F.pmod(F.xxhash64("node_id"), F.lit(8))).sortWithinPartitions("cell")
+        placed = _in_cells(whole, "node_id", centres).repartition("cell", F.pmod(F.xxhash64("node_id"), F.lit(8))).sortWithinPartitions("cell")
         return cls(stash(placed, "cells"), centres, probes)
 
     def top_k(self, queries: DataFrame, k: int, probes: int | None = None, block: int = BLOCK) -> DataFrame:
-        """``top_k_all`` over the cells nearest to each query; fewer than ``k`` where these hold fewer."""
+        """``top_k_all`` over the cells nearest to each query; fewer than ``k`` where these hold fewer.
+
+        A query is not copied for each of its cells: blocks of queries, with the cells they probe, meet blocks of vectors in order of cell.
+        """
         some = queries.filter("query_id IS NOT NULL AND embedding IS NOT NULL").filter(F.size("embedding") == self.centres.shape[1])
-        asked = _in_cells(some.select(F.col("query_id").cast("string").alias("query_id"), "embedding"), "query_id", self.centres, min(probes or self.probes, len(self.centres)))
-        pairs = stash(_blocks(asked, "query_id", "q", block, True), "blocks-q").join(stash(_blocks(self.cells, "node_id", "v", block, True), "blocks-v"), "cell")
-        return _nearest(pairs, k)
+        asked = _blocks(some, "query_id", "q", block, self.centres, min(probes or self.probes, len(self.centres)))
+        return _nearest(stash(asked, "blocks-q").crossJoin(stash(_blocks(self.cells, "node_id", "v", block, self.centres), "blocks-v")), k)
 
 
 def _unit_rows(x: np.ndarray) -> np.ndarray:
@@ -193,15 +220,19 @@ def _unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1.0)
 
 
-def _in_cells(df: DataFrame, key: str, centres: np.ndarray, probes: int) -> DataFrame:
-    """Each row once for each of its ``probes`` nearest centres, by ``cell``."""
+def _nearest_centres(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest centres of each row, in order, SLICE rows at a time."""
+    parts = [np.argsort(-(x[at : at + SLICE] @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32) for at in range(0, len(x), SLICE)]
+    return np.concatenate(parts) if parts else np.zeros((0, n), np.int32)
+
+
+def _in_cells(df: DataFrame, key: str, centres: np.ndarray) -> DataFrame:
+    """Each row with its nearest centre as ``cell``."""
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                order = np.argsort(-(np.stack(b["embedding"].to_numpy()).astype(np.float64) @ centres.T), axis=1, kind="stable")[:, :probes]
-                out = b.loc[b.index.repeat(order.shape[1])].reset_index(drop=True)
-                yield out.assign(cell=order.ravel().astype("int32"))
+                yield b.assign(cell=_nearest_centres(np.stack(b["embedding"].to_numpy()).astype(np.float64), centres, 1)[:, 0])
 
     return df.mapInPandas(near, f"{key} string, embedding array<float>, cell int")
 
